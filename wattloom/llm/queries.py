@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from wattloom.llm.language_id import op3_language_id
 from wattloom.llm.simhash import op10_simhash_near_dedup
 from wattloom.llm.token_file import op2_token_file
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_file": op2_token_file,
+    "op3_language_id": op3_language_id,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
 ORACLE_SQL: dict[str, str] = {}
