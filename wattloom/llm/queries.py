@@ -9,10 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from wattloom.llm.language_id import op3_language_id
 from wattloom.llm.simhash import op10_simhash_near_dedup
 from wattloom.llm.token_file import op2_token_file
+from wattloom.llm.warc import OP4_SQL, op4_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_file": op2_token_file,
     "op3_language_id": op3_language_id,
+    "op4_warc": op4_warc,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op4_warc": OP4_SQL,
+}
