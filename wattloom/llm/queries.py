@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from wattloom.llm.chat import OP7_SQL, op7_chat_format
 from wattloom.llm.language_id import op3_language_id
 from wattloom.llm.simhash import op10_simhash_near_dedup
 from wattloom.llm.token_file import op2_token_file
@@ -15,8 +16,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_file": op2_token_file,
     "op3_language_id": op3_language_id,
     "op4_warc": op4_warc,
+    "op7_chat_format": op7_chat_format,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
 ORACLE_SQL: dict[str, str] = {
     "op4_warc": OP4_SQL,
+    "op7_chat_format": OP7_SQL,
 }
