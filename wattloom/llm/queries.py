@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from wattloom.llm.chat import OP7_SQL, op7_chat_format
 from wattloom.llm.language_id import op3_language_id
+from wattloom.llm.quality import op8_quality_rules
 from wattloom.llm.simhash import op10_simhash_near_dedup
 from wattloom.llm.token_file import op2_token_file
 from wattloom.llm.warc import OP4_SQL, op4_warc
@@ -17,6 +18,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_language_id": op3_language_id,
     "op4_warc": op4_warc,
     "op7_chat_format": op7_chat_format,
+    "op8_quality_rules": op8_quality_rules,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
 ORACLE_SQL: dict[str, str] = {
