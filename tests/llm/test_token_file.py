@@ -8,10 +8,10 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 from wattloom.llm.token_file import canonical_codes, code_lengths, decode_table, pack, unpack, write_tokens
-from wattloom.llm.tokens import Encoder, pieces_between_spaces, pieces_by_leading_space
+from wattloom.llm.tokens import LeadingSpaceEncoder, WordEncoder
 
-FILES = {"byte_bpe_50k.json": pieces_by_leading_space, "word_bpe_49k.json": pieces_between_spaces}
-ODD = ["", " ", "a  b", "a \n b", "foo.\nBar baz", "it's  don't 'll x", " a  b", "e ́x", "<|endoftext|> a <|startoftext|>", "ΑΣ ΑΣΑ", "a\u001cb c", "x" * 3000, "  lead", "trail  ", "\u0085 q", "日本 語", "A\u0000 b"]
+FILES = {"byte_bpe_50k.json": LeadingSpaceEncoder, "word_bpe_49k.json": WordEncoder}
+ODD = ["", " ", "a  b", "a \n b", "foo.\nBar baz", "it's  don't 'll x", " a  b", "e ́x", "<|endoftext|> a <|startoftext|>", "ΑΣ ΑΣΑ", "a\u001cb c", "x" * 3000, "  lead", "trail  ", "\u0085 q", "日本 語", "A\u0000 b", " 0 00 a0 b", "tab\t", "x \ty", "end ", "a\u00a0 b"]
 
 
 def plain(name, texts):
@@ -22,11 +22,11 @@ def plain(name, texts):
 
 @pytest.mark.parametrize("name", FILES)
 def test_pieces_encode_as_the_whole_text(name):
-    got = [np.frombuffer(x, "<u2").tolist() for x in Encoder(public_tokenizers.path(name), FILES[name]).encode(ODD)]
+    got = [np.frombuffer(x, "<u2").tolist() for x in FILES[name](public_tokenizers.path(name)).encode(ODD)]
     assert got == plain(name, ODD)
 
 
-ENCODERS = {n: Encoder(public_tokenizers.path(n), p) for n, p in FILES.items()}
+ENCODERS = {n: p(public_tokenizers.path(n)) for n, p in FILES.items()}
 
 
 @settings(max_examples=300, deadline=None)

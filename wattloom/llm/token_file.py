@@ -15,13 +15,14 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wattloom.llm.common import Scratch, load
-from wattloom.llm.tokens import encoded, expand, pieces_by_leading_space
+from wattloom.llm.tokens import LeadingSpaceEncoder, encoded, expand
 
 LIMIT = 20
 EVERY = 128
@@ -148,10 +149,10 @@ class TokenFile:
         return rows.join(F.broadcast(offsets), "part").select("doc_id", (F.col("start") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
 
 
-def write_tokens(docs: DataFrame, path: str, end_id: int, pieces=pieces_by_leading_space) -> TokenFile:
+def write_tokens(docs: DataFrame, path: str, end_id: int, encoder=LeadingSpaceEncoder) -> TokenFile:
     """Encodes all texts with the tokenizers file at ``path`` and writes them in ascending doc_id."""
     scratch = Scratch(docs.sparkSession, "tokens")
-    held = encoded(docs, scratch, path, pieces, end_id)
+    held = encoded(docs, scratch, partial(encoder, path), end_id)
 
     def count(batches: Iterator) -> Iterator:
         import pyarrow as pa

@@ -2,12 +2,13 @@
 
 Encoding a text costs the tokenizer library the same for a word seen a million times. Texts are
 therefore cut where a tokenizer's own splitting cuts in any case, and each distinct piece goes
-through the library once per worker, in batches; the ids of a text are its pieces' ids joined.
-Where the cut is not certain to be one the tokenizer makes, the pieces stay together.
+through the library once while a worker remembers it; the ids of a text are its pieces' ids
+joined. Where a cut is not certain to be one the tokenizer makes, the text stays together.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -16,67 +17,130 @@ from pyspark.sql import functions as F
 
 from wattloom.llm.common import Scratch
 
-#: Distinct pieces that a worker keeps before it starts anew; bounds its memory, not the result.
-CACHED = 400_000
+#: Distinct pieces in a generation that a worker remembers; the last two bound its memory.
+REMEMBERED = 400_000
 #: Whole vocabularies fit 16 bits in both files; ids are held so between steps.
 HELD = np.dtype("<u2")
+#: A space beside other white space: there a piece may reach over the space.
+UNSURE = re.compile(r" \s|\s ")
 
 
-def pieces_by_leading_space(text: str) -> list[str]:
-    """Cuts before each single space between two characters that are no white space.
+class Pieces:
+    """Ids of pieces, each encoded as ``before`` + piece.
 
-    For byte-level BPE whose pattern takes one leading space into a piece: no piece of that
-    pattern reaches over such a place, from either side.
+    New pieces are encoded many at a time in one text, between two of which stands ``mark``: a
+    string that a tokenizer takes as exactly one id of its own. Pieces that hold the mark or end in
+    white space are encoded alone, as is a text whose ids do not hold every mark.
     """
-    parts = text.split(" ")
-    if len(parts) == 1:
-        return [text]
-    out, held = [], parts[0]
-    for part in parts[1:]:
-        if held and part and not held[-1].isspace() and not part[0].isspace():
-            out.append(held)
-            held = " " + part
-        else:
-            held += " " + part
-    out.append(held)
-    return out
-
-
-def pieces_between_spaces(text: str) -> list[str]:
-    """Cuts at spaces and drops them, for a tokenizer whose splitting drops white space."""
-    return [x for x in text.split(" ") if x]
 
+    def __init__(self, tokenizer, before: str, mark: str, apart: str):
+        self.tokenizer, self.before, self.mark, self.apart = tokenizer, before, mark, apart
+        [self.mark_id] = tokenizer.encode(mark, add_special_tokens=False).ids
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def learn(self, needed: set[str]) -> None:
+        if len(self.known) > REMEMBERED:
+            self.older, self.known = self.known, {}
+        known, older = self.known, self.older
+        new = []
+        for piece in needed.difference(known):
+            if piece in older:
+                known[piece] = older[piece]
+            else:
+                new.append(piece)
+        alone = []
+        together = [p for p in new if p and self.apart not in p and not p[-1].isspace() and not p[0].isspace() or alone.append(p)]
+        for at in range(0, len(together), 2048):
+            some = together[at : at + 2048]
+            ids = np.array(self._ids([self.before + (self.mark + self.before).join(some)])[0], HELD)
+            marks = np.nonzero(ids == self.mark_id)[0].tolist()
+            if len(marks) != len(some) - 1:
+                alone += some
+                continue
+            raw, size, start = ids.tobytes(), HELD.itemsize, 0
+            for piece, end in zip(some, [*marks, len(ids)], strict=True):
+                known[piece] = raw[start * size : end * size]
+                start = end + 1
+        for at in range(0, len(alone), 2048):
+            some = alone[at : at + 2048]
+            for piece, ids in zip(some, self._ids([self.before + p for p in some]), strict=True):
+                known[piece] = np.array(ids, HELD).tobytes()
+
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+
+def _tokenizer(path: str):
+    import os
+
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.encode_special_tokens = True
+    if tokenizer.get_vocab_size() > np.iinfo(HELD).max:
+        raise ValueError("ids of this vocabulary do not fit 16 bits")
+    return tokenizer
+
+
+class LeadingSpaceEncoder:
+    """For byte-level BPE whose pattern takes one leading space into a piece.
+
+    Texts are cut before each single space between characters that are no white space: no piece
+    of such a pattern reaches over that place, from either side.
+    """
 
-class Encoder:
-    """Encodes texts with a tokenizers file, remembering pieces."""
+    def __init__(self, path: str):
+        tokenizer = _tokenizer(path)
+        self.first, self.spaced = Pieces(tokenizer, "", "\n", "\n"), Pieces(tokenizer, " ", "\n", "\n")
 
-    def __init__(self, path: str, pieces: Callable[[str], list[str]]):
-        import os
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Little-endian 16-bit ids of each text."""
+        cuts, starts, rest = [], set(), set()
+        for text in texts:
+            parts = text.split(" ")
+            if UNSURE.search(text):
+                first, parts = self._whole(parts), []
+            else:
+                first = [parts.pop(0)]
+            starts.update(first)
+            rest.update(parts)
+            cuts.append((first, parts))
+        # a first piece has no space before it, so two of them cannot stand in one text unless marked
+        self.first.learn(starts)
+        self.spaced.learn(rest)
+        one, more = self.first.known.__getitem__, self.spaced.known.__getitem__
+        return [b"".join([*map(one, first), *map(more, parts)]) for first, parts in cuts]
+
+    @staticmethod
+    def _whole(parts: list[str]) -> list[str]:
+        """Pieces with their leading spaces, kept together where a cut is unsure."""
+        out, held = [], parts[0]
+        for part in parts[1:]:
+            if held and part and not held[-1].isspace() and not part[0].isspace():
+                out.append(held)
+                held = " " + part
+            else:
+                held += " " + part
+        out.append(held)
+        return out
+
+
+class WordEncoder:
+    """For a tokenizer whose splitting drops white space: texts are cut at spaces."""
+
+    def __init__(self, path: str):
+        self.words = Pieces(_tokenizer(path), "", " 0 ", "0")
 
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+    def encode(self, texts: list[str]) -> list[bytes]:
+        cuts = [text.split(" ") for text in texts]
+        self.words.learn(set().union(*cuts))
+        get = self.words.known.__getitem__
+        return [b"".join(map(get, parts)) for parts in cuts]
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        if self.tokenizer.get_vocab_size() > np.iinfo(HELD).max:
-            raise ValueError("ids of this vocabulary do not fit 16 bits")
-        self.pieces, self.known = pieces, {}
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian 16-bit ids of each text."""
-        cut = [self.pieces(t) for t in texts]
-        if len(self.known) > CACHED:
-            self.known = {}
-        known = self.known
-        new = list({p for c in cut for p in c if p not in known})
-        for at in range(0, len(new), 4096):
-            some = new[at : at + 4096]
-            for piece, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                known[piece] = np.array(e.ids, HELD).tobytes()
-        return [b"".join([known[p] for p in c]) for c in cut]
-
-
-def encoded(docs: DataFrame, scratch: Scratch, path: str, pieces: Callable[[str], list[str]], end_id: int) -> DataFrame:
+def encoded(docs: DataFrame, scratch: Scratch, make_encoder: Callable[[], LeadingSpaceEncoder | WordEncoder], end_id: int) -> DataFrame:
     """Writes and returns (part, pos, doc_id, n_tokens, ids): each text's ids and ``end_id``.
 
     ids is a zstd frame of 16-bit ids. (part, pos) numbers the rows of the written table; it
@@ -88,7 +152,7 @@ def encoded(docs: DataFrame, scratch: Scratch, path: str, pieces: Callable[[str]
         import zstandard
         from pyspark import TaskContext
 
-        encoder, squeeze = Encoder(path, pieces), zstandard.ZstdCompressor(level=1)
+        encoder, squeeze = make_encoder(), zstandard.ZstdCompressor(level=1)
         part, pos, end = TaskContext.get().partitionId(), 0, np.array([end_id], HELD).tobytes()
         for batch in batches:
             texts = [t or "" for t in batch.column("text").to_pylist()]
