@@ -135,7 +135,8 @@ def read_warc(spark: SparkSession, path: str, scratch: Scratch, payloads: bool =
     chain = scratch.save(narrow.groupBy("file").applyInArrow(_chain, "file string, split long, at long, own_split long, own_at long, kept boolean"), "chain")
     parted = chain.where("not kept").select("file", F.col("own_split").alias("split"), F.col("own_at").alias("at")).distinct()
     keys = ["file", "split", "at"]
-    whole = found.join(chain.where("kept").select(*keys), keys).join(parted, keys, "left_anti").select(*names)
+    # both sides grow with the archives, though their columns compress to little: no broadcast by file size
+    whole = found.join(chain.where("kept").select(*keys).hint("merge"), keys).join(parted.hint("merge"), keys, "left_anti").select(*names)
     if not parted.limit(1).count():
         return whole
     of_parted = chain.join(parted.select("file", F.col("split").alias("own_split"), F.col("at").alias("own_at")), ["file", "own_split", "own_at"])
