@@ -119,9 +119,13 @@ def fit_arrays(sets: list[np.ndarray], labels: list[str], landmarks: list[int])
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, landmarks: int = LANDMARKS) -> Model:
     """Fits on rows (text, lang) of docs with neither null, at most per_language of each language."""
     shared_dir(docs.sparkSession)
-    rows = docs.select("text", "lang").where("text is not null and lang is not null")
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("text"), "text")
-    sample = rows.withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_language)
+    rows = docs.select("text", "lang").where("text is not null and lang is not null").withColumn("h", F.xxhash64("text"))
+    order = Window.partitionBy("lang").orderBy("h")
+    numbered = rows.select("lang", "h").distinct().withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_language)
+    chosen = numbered.collect()  # per_language hashes a language: texts themselves are not shuffled for them
+    spark = docs.sparkSession
+    wanted = F.broadcast(spark.createDataFrame([(r.lang, r.h, r.n) for r in chosen], "lang string, h long, n int"))
+    sample = rows.join(wanted, ["lang", "h"]).groupBy("lang", "n").agg(F.min("text").alias("text"))
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
