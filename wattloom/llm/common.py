@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import itertools
 import tempfile
 import uuid
@@ -94,27 +95,31 @@ def connected_components(scratch: Scratch, edges: DataFrame) -> DataFrame:
             return total
 
 
-def batches_of_runs(batches: Iterator, key: str) -> Iterator:
-    """Arrow batches of rows sorted by ``key``, cut so that no run of equal keys is parted."""
-    import pyarrow as pa
+def batches_of_runs(batches: Iterator, key: str, least: int = 1 << 16) -> Iterator:
+    """Arrow tables of rows sorted by ``key``, of ``least`` rows or more, that part no run of equal keys."""
     import numpy as np
+    import pyarrow as pa
 
-    held = []
+    held, rows = [], 0
     for batch in batches:
         if not batch.num_rows:
             continue
+        held.append(batch)
+        rows += batch.num_rows
         keys = batch.column(key).to_numpy(zero_copy_only=False)
-        last = int(np.searchsorted(keys, keys[-1], side="left")) if keys[0] <= keys[-1] else 0
-        if last == 0 and held and held[-1].column(key)[-1].as_py() == keys[-1]:
-            held.append(batch)
-            continue
-        if last == 0:
-            if held:
-                yield pa.Table.from_batches(held).combine_chunks()
-            held = [batch]
+        if rows < least or len(keys) > 1 and keys[0] == keys[-1]:
             continue
-        held.append(batch.slice(0, last))
-        yield pa.Table.from_batches(held).combine_chunks()
-        held = [batch.slice(last)]
+        cut = int(np.searchsorted(keys, keys[-1]))
+        head = [*held[:-1], batch.slice(0, cut)] if cut else held[:-1]
+        if head and (cut or head[-1].column(key)[-1].as_py() != keys[0]):
+            yield pa.Table.from_batches(head).combine_chunks()
+            held = [batch.slice(cut)]
+            rows = batch.num_rows - cut
     if held:
         yield pa.Table.from_batches(held).combine_chunks()
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete shuffle files of steps whose results are written, before the next ones need room."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

@@ -11,6 +11,7 @@ from wattloom.llm.embedding_dedup import OP6_SQL, op6_embedding_dedup
 from wattloom.llm.language_id import op3_language_id
 from wattloom.llm.quality import op8_quality_rules
 from wattloom.llm.simhash import op10_simhash_near_dedup
+from wattloom.llm.substring_dedup import op9_substring_dedup
 from wattloom.llm.token_file import op2_token_file
 from wattloom.llm.warc import OP4_SQL, op4_warc
 
@@ -21,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_embedding_dedup": op6_embedding_dedup,
     "op7_chat_format": op7_chat_format,
     "op8_quality_rules": op8_quality_rules,
+    "op9_substring_dedup": op9_substring_dedup,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
 ORACLE_SQL: dict[str, str] = {
