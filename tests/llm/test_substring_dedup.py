@@ -66,7 +66,8 @@ def test_given_documents(spark):
 
 
 def test_text_stage_keeps_columns_and_edges(spark):
-    p = "".join(random.Random(3).choice("abcdefgh ") for _ in range(150))
+    rng = random.Random(3)
+    p = "".join(rng.choice("abcdefgh ") for _ in range(150))
     rows = [(1, p, 3, "row"), (2, "é" + p + "tail", 3, "row"), (3, None, None, None), (None, "", 0, "q"), (2, p, 3, "row"), (2, p, 3, "row")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars int, spans string")
     got = sorted(map(tuple, remove_repeats(docs).collect()), key=str)

@@ -15,7 +15,6 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from functools import partial
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -152,17 +151,14 @@ class TokenFile:
 def write_tokens(docs: DataFrame, path: str, end_id: int, encoder=LeadingSpaceEncoder) -> TokenFile:
     """Encodes all texts with the tokenizers file at ``path`` and writes them in ascending doc_id."""
     scratch = Scratch(docs.sparkSession, "tokens")
-    held = encoded(docs, scratch, partial(encoder, path), end_id)
+    held = encoded(docs, scratch, encoder, path, end_id)
 
     def count(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         total = np.zeros(1 << 16, np.int64)
         for batch in batches:
-            for blob in batch.column("ids").to_pylist():
-                total += np.bincount(expand(blob), minlength=1 << 16) if len(blob) > 20_000 else 0
-                if len(blob) <= 20_000:
-                    np.add.at(total, expand(blob), 1)
+            total += np.bincount(np.concatenate([expand(blob) for blob in batch.column("ids").to_pylist()]), minlength=1 << 16)
         used = np.nonzero(total)[0]
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["id", "n"])
 

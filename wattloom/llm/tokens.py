@@ -21,20 +21,24 @@ from wattloom.llm.common import Scratch
 REMEMBERED = 400_000
 #: Whole vocabularies fit 16 bits in both files; ids are held so between steps.
 HELD = np.dtype("<u2")
-#: A space beside other white space: there a piece may reach over the space.
-UNSURE = re.compile(r" \s|\s ")
+#: White space that is not alone, or at an end: there a piece may reach over it.
+UNSURE = re.compile(r"\s\s")
+#: White space other than blanks and line ends.
+_OTHER_WHITE = re.compile(r"[^\S \n]")
+#: Letters, then ASCII signs but apostrophe and underscore: splitting cuts between the two.
+SIGNED = re.compile(r"(.*[^\W\d_])([!-&(-/:-@\[-^`{-~]+)", re.S)
 
 
 class Pieces:
-    """Ids of pieces, each encoded as ``before`` + piece.
+    """Ids of pieces without white space, each encoded as ``before`` + piece.
 
     New pieces are encoded many at a time in one text, between two of which stands ``mark``: a
-    string that a tokenizer takes as exactly one id of its own. Pieces that hold the mark or end in
-    white space are encoded alone, as is a text whose ids do not hold every mark.
+    string that a tokenizer takes as exactly one id of its own. Pieces that hold the mark are
+    encoded alone, as is a text whose ids do not hold every mark.
     """
 
-    def __init__(self, tokenizer, before: str, mark: str, apart: str):
-        self.tokenizer, self.before, self.mark, self.apart = tokenizer, before, mark, apart
+    def __init__(self, tokenizer, before: str, mark: str, apart: str, signs: Pieces | None = None):
+        self.tokenizer, self.before, self.mark, self.apart, self.signs = tokenizer, before, mark, apart, signs or self
         [self.mark_id] = tokenizer.encode(mark, add_special_tokens=False).ids
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
@@ -43,14 +47,21 @@ class Pieces:
         if len(self.known) > REMEMBERED:
             self.older, self.known = self.known, {}
         known, older = self.known, self.older
-        new = []
+        new, signed = [], []
         for piece in needed.difference(known):
             if piece in older:
                 known[piece] = older[piece]
+            elif found := SIGNED.fullmatch(piece):
+                signed.append((piece, *found.groups()))
             else:
                 new.append(piece)
+        if signed:
+            self.signs.learn({s for _, _, s in signed})
+            new = {*new, *({w for _, w, _ in signed}.difference(known))}
+            known.update({p: older[p] for p in new if p in older})
+            new = [p for p in new if p not in known]
         alone = []
-        together = [p for p in new if p and self.apart not in p and not p[-1].isspace() and not p[0].isspace() or alone.append(p)]
+        together = [p for p in new if p and self.apart not in p or alone.append(p)]
         for at in range(0, len(together), 2048):
             some = together[at : at + 2048]
             ids = np.array(self._ids([self.before + (self.mark + self.before).join(some)])[0], HELD)
@@ -66,6 +77,8 @@ class Pieces:
             some = alone[at : at + 2048]
             for piece, ids in zip(some, self._ids([self.before + p for p in some]), strict=True):
                 known[piece] = np.array(ids, HELD).tobytes()
+        for piece, word, sign in signed:
+            known[piece] = known[word] + self.signs.known[sign]
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -87,60 +100,67 @@ def _tokenizer(path: str):
 class LeadingSpaceEncoder:
     """For byte-level BPE whose pattern takes one leading space into a piece.
 
-    Texts are cut before each single space between characters that are no white space: no piece
-    of such a pattern reaches over that place, from either side.
+    A text in which all white space stands alone, as one blank or one line end, is cut before each
+    blank and around each line end: no piece of such a pattern reaches over those places,
+    from either side. Any other text is encoded line by line where that is certain, or whole.
     """
 
     def __init__(self, path: str):
-        tokenizer = _tokenizer(path)
-        self.first, self.spaced = Pieces(tokenizer, "", "\n", "\n"), Pieces(tokenizer, " ", "\n", "\n")
+        self.tokenizer = _tokenizer(path)
+        self.first = Pieces(self.tokenizer, "", "\n", "\n")
+        self.spaced = Pieces(self.tokenizer, " ", "\n", "\n", self.first)
+        self.line = np.array(self.tokenizer.encode("\n", add_special_tokens=False).ids, HELD).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 16-bit ids of each text."""
-        cuts, starts, rest = [], set(), set()
+        cuts: list[list[list[str]] | None] = []
+        starts, rest, whole = set(), set(), []
         for text in texts:
-            parts = text.split(" ")
-            if UNSURE.search(text):
-                first, parts = self._whole(parts), []
-            else:
-                first = [parts.pop(0)]
-            starts.update(first)
-            rest.update(parts)
-            cuts.append((first, parts))
-        # a first piece has no space before it, so two of them cannot stand in one text unless marked
+            if UNSURE.search(text) or text[:1].isspace() or text[-1:].isspace() or _OTHER_WHITE.search(text):
+                cuts.append(None)
+                whole.append(text)
+                continue
+            lines = [line.split(" ") for line in text.split("\n")]
+            cuts.append(lines)
+            starts.update([words[0] for words in lines])
+            for words in lines:
+                rest.update(words[1:])
         self.first.learn(starts)
         self.spaced.learn(rest)
-        one, more = self.first.known.__getitem__, self.spaced.known.__getitem__
-        return [b"".join([*map(one, first), *map(more, parts)]) for first, parts in cuts]
-
-    @staticmethod
-    def _whole(parts: list[str]) -> list[str]:
-        """Pieces with their leading spaces, kept together where a cut is unsure."""
-        out, held = [], parts[0]
-        for part in parts[1:]:
-            if held and part and not held[-1].isspace() and not part[0].isspace():
-                out.append(held)
-                held = " " + part
+        plain = iter(self.tokenizer.encode_batch_fast(whole, add_special_tokens=False))
+        one, more, out = self.first.known, self.spaced.known.__getitem__, []
+        for lines in cuts:
+            if lines is None:
+                out.append(np.array(next(plain).ids, HELD).tobytes())
             else:
-                held += " " + part
-        out.append(held)
+                out.append(self.line.join([b"".join([one[words[0]], *map(more, words[1:])]) for words in lines]))
         return out
 
 
 class WordEncoder:
-    """For a tokenizer whose splitting drops white space: texts are cut at spaces."""
+    """For a tokenizer whose splitting drops white space: texts are cut at blanks and line ends."""
 
     def __init__(self, path: str):
         self.words = Pieces(_tokenizer(path), "", " 0 ", "0")
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        cuts = [text.split(" ") for text in texts]
+        cuts = [text.replace("\n", " ").split(" ") for text in texts]
         self.words.learn(set().union(*cuts))
         get = self.words.known.__getitem__
         return [b"".join(map(get, parts)) for parts in cuts]
 
 
-def encoded(docs: DataFrame, scratch: Scratch, make_encoder: Callable[[], LeadingSpaceEncoder | WordEncoder], end_id: int) -> DataFrame:
+_encoders: dict = {}
+
+
+def shared(make: Callable, path: str):
+    """This worker's encoder for a file, so that its tasks share what it remembers."""
+    if (make, path) not in _encoders:
+        _encoders[make, path] = make(path)
+    return _encoders[make, path]
+
+
+def encoded(docs: DataFrame, scratch: Scratch, kind: type[LeadingSpaceEncoder] | type[WordEncoder], path: str, end_id: int) -> DataFrame:
     """Writes and returns (part, pos, doc_id, n_tokens, ids): each text's ids and ``end_id``.
 
     ids is a zstd frame of 16-bit ids. (part, pos) numbers the rows of the written table; it
@@ -152,7 +172,7 @@ def encoded(docs: DataFrame, scratch: Scratch, make_encoder: Callable[[], Leadin
         import zstandard
         from pyspark import TaskContext
 
-        encoder, squeeze = make_encoder(), zstandard.ZstdCompressor(level=1)
+        encoder, squeeze = shared(kind, path), zstandard.ZstdCompressor(level=1)
         part, pos, end = TaskContext.get().partitionId(), 0, np.array([end_id], HELD).tobytes()
         for batch in batches:
             texts = [t or "" for t in batch.column("text").to_pylist()]
