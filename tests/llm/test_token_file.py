@@ -3,14 +3,16 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
+from wattloom.llm import tokens
 from wattloom.llm.token_file import canonical_codes, code_lengths, decode_table, pack, unpack, write_tokens
-from wattloom.llm.tokens import LeadingSpaceEncoder, WordEncoder
+from wattloom.llm.tokens import Encoder
 
-FILES = {"byte_bpe_50k.json": LeadingSpaceEncoder, "word_bpe_49k.json": WordEncoder}
+FILES = {"byte_bpe_50k.json": True, "word_bpe_49k.json": False}
 ODD = ["", " ", "a  b", "a \n b", "foo.\nBar baz", "it's  don't 'll x", " a  b", "e ́x", "<|endoftext|> a <|startoftext|>", "ΑΣ ΑΣΑ", "a\u001cb c", "x" * 3000, "  lead", "trail  ", "\u0085 q", "日本 語", "A\u0000 b", " 0 00 a0 b", "tab\t", "x \ty", "end ", "a\u00a0 b"]
 
 
@@ -22,18 +24,27 @@ def plain(name, texts):
 
 @pytest.mark.parametrize("name", FILES)
 def test_pieces_encode_as_the_whole_text(name):
-    got = [np.frombuffer(x, "<u2").tolist() for x in FILES[name](public_tokenizers.path(name)).encode(ODD)]
+    got = [np.frombuffer(x, "<u2").tolist() for x in Encoder(public_tokenizers.path(name), FILES[name]).encode(pa.array(ODD))]
     assert got == plain(name, ODD)
 
 
-ENCODERS = {n: p(public_tokenizers.path(n)) for n, p in FILES.items()}
+def test_forgetting_changes_nothing(monkeypatch):
+    monkeypatch.setattr(tokens, "REMEMBERED", 5)
+    for name, kind in FILES.items():
+        encoder = Encoder(public_tokenizers.path(name), kind)
+        for _ in range(3):
+            got = [np.frombuffer(encoder.encode(pa.array([t]))[0], "<u2").tolist() for t in [*ODD, "one, two! three\nfour, one\nfive", "four one, six"]]
+            assert got == plain(name, [*ODD, "one, two! three\nfour, one\nfive", "four one, six"])
+
+
+ENCODERS = {n: Encoder(public_tokenizers.path(n), p) for n, p in FILES.items()}
 
 
 @settings(max_examples=300, deadline=None)
 @given(st.text(alphabet=st.sampled_from(list(" \n\t'sdtlAbé́ ​1$.Σ中 ")), max_size=30))
 def test_any_text_encodes_alike(text):
     for name, encoder in ENCODERS.items():
-        assert np.frombuffer(encoder.encode([text])[0], "<u2").tolist() == plain(name, [text])[0]
+        assert np.frombuffer(encoder.encode(pa.array([text]))[0], "<u2").tolist() == plain(name, [text])[0]
 
 
 def huffman_cost(counts):

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wattloom.llm.common import Scratch, load
-from wattloom.llm.tokens import LeadingSpaceEncoder, encoded, expand
+from wattloom.llm.tokens import encoded, expand
 
 LIMIT = 20
 EVERY = 128
@@ -148,10 +148,10 @@ class TokenFile:
         return rows.join(F.broadcast(offsets), "part").select("doc_id", (F.col("start") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
 
 
-def write_tokens(docs: DataFrame, path: str, end_id: int, encoder=LeadingSpaceEncoder) -> TokenFile:
+def write_tokens(docs: DataFrame, path: str, end_id: int, leading_space: bool = True) -> TokenFile:
     """Encodes all texts with the tokenizers file at ``path`` and writes them in ascending doc_id."""
     scratch = Scratch(docs.sparkSession, "tokens")
-    held = encoded(docs, scratch, encoder, path, end_id)
+    held = encoded(docs, scratch, path, leading_space, end_id)
 
     def count(batches: Iterator) -> Iterator:
         import pyarrow as pa

@@ -1,15 +1,15 @@
 """Token ids of whole documents, shared by the operators that store or pack them.
 
 Encoding a text costs the tokenizer library the same for a word seen a million times. Texts are
-therefore cut where a tokenizer's own splitting cuts in any case, and each distinct piece goes
-through the library once while a worker remembers it; the ids of a text are its pieces' ids
-joined. Where a cut is not certain to be one the tokenizer makes, the text stays together.
+therefore cut where a tokenizer's own splitting cuts in any case; each distinct piece goes through
+the library once while a worker remembers it, and the ids of a text are gathered from its
+pieces' by array operations. A text where a cut is not certain is encoded whole.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -18,149 +18,171 @@ from pyspark.sql import functions as F
 from wattloom.llm.common import Scratch
 
 #: Distinct pieces in a generation that a worker remembers; the last two bound its memory.
-REMEMBERED = 400_000
+REMEMBERED = 600_000
 #: Whole vocabularies fit 16 bits in both files; ids are held so between steps.
 HELD = np.dtype("<u2")
-#: White space that is not alone, or at an end: there a piece may reach over it.
-UNSURE = re.compile(r"\s\s")
-#: White space other than blanks and line ends.
-_OTHER_WHITE = re.compile(r"[^\S \n]")
-#: Letters, then ASCII signs but apostrophe and underscore: splitting cuts between the two.
-SIGNED = re.compile(r"(.*[^\W\d_])([!-&(-/:-@\[-^`{-~]+)", re.S)
+#: Stands before the first piece of a text, which has no blank before it.
+FIRST = "\x02"
+#: White space at an end or not alone, kinds other than blank and line end, and FIRST itself.
+UNSURE = r"[ \n][ \n]|^[ \n]|[ \n]$|[\t\x0b-\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200b}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x02]"
+#: Letters or digits, then ASCII signs but apostrophe and underscore: splitting cuts between the two.
+SIGNED = re.compile(r"(.*[^\W_])([!-&(-/:-@\[-^`{-~]+)", re.S)
 
 
-class Pieces:
-    """Ids of pieces without white space, each encoded as ``before`` + piece.
+class Encoder:
+    """Encodes texts with a tokenizers file, remembering pieces.
 
-    New pieces are encoded many at a time in one text, between two of which stands ``mark``: a
-    string that a tokenizer takes as exactly one id of its own. Pieces that hold the mark are
-    encoded alone, as is a text whose ids do not hold every mark.
+    leading_space: byte-level BPE whose pattern takes one blank into the piece behind it. A text in
+    which all white space stands alone, as one blank or line end, is then cut before each blank
+    and around each line end; no piece of such a pattern reaches over those places, from either
+    side. Else the tokenizer drops white space, and texts are cut at it.
     """
 
-    def __init__(self, tokenizer, before: str, mark: str, apart: str, signs: Pieces | None = None):
-        self.tokenizer, self.before, self.mark, self.apart, self.signs = tokenizer, before, mark, apart, signs or self
-        [self.mark_id] = tokenizer.encode(mark, add_special_tokens=False).ids
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+    def __init__(self, path: str, leading_space: bool):
+        import os
+
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True
+        if self.tokenizer.get_vocab_size() > np.iinfo(HELD).max:
+            raise ValueError("ids of this vocabulary do not fit 16 bits")
+        self.leading_space = leading_space
+        # what parts new pieces in one text, taken as exactly one id of its own, and what they must not hold
+        self.mark, self.apart = ("\n", "\n") if leading_space else (" 0 ", "0")
+        [self.mark_id] = self._ids([self.mark])[0]
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.older: dict[str, int] = {}
+        self.start, self.size, self.pool = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, HELD)
+        if self.leading_space:
+            self._add(["\n"], np.array([self.mark_id], HELD), np.zeros(1, np.int64), np.ones(1, np.int64))
 
-    def learn(self, needed: set[str]) -> None:
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _add(self, pieces: list[str], ids: np.ndarray, start: np.ndarray, size: np.ndarray) -> None:
+        """pieces have ids[start : start + size]."""
+        self.known.update(zip(pieces, range(len(self.start), len(self.start) + len(pieces)), strict=True))
+        self.start, self.size = np.concatenate([self.start, start + len(self.pool)]), np.concatenate([self.size, size])
+        self.pool = np.concatenate([self.pool, ids])
+
+    def gather(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of remembered pieces, joined, and where each piece's end."""
+        size = self.size[codes]
+        ends = np.cumsum(size)
+        where = np.repeat(self.start[codes] - (ends - size), size)
+        where += np.arange(len(where))
+        return self.pool[where], ends
+
+    def codes(self, pieces: list[str]) -> np.ndarray:
+        """Numbers of distinct pieces, after learning the new ones."""
         if len(self.known) > REMEMBERED:
+            kept = list(self.known)
+            ids, ends = self.gather(np.fromiter(self.known.values(), np.int64, len(kept)))
+            size = np.diff(ends, prepend=0)
+            self.forget()
+            self._add(kept, ids, ends - size, size)
             self.older, self.known = self.known, {}
         known, older = self.known, self.older
-        new, signed = [], []
-        for piece in needed.difference(known):
-            if piece in older:
-                known[piece] = older[piece]
-            elif found := SIGNED.fullmatch(piece):
-                signed.append((piece, *found.groups()))
+        missing = [p for p in pieces if p not in known]
+        if missing:
+            known.update({p: older[p] for p in missing if p in older})
+            self._learn([p for p in missing if p not in known])
+        return np.fromiter(map(known.__getitem__, pieces), np.int64, len(pieces))
+
+    def _learn(self, pieces: list[str]) -> None:
+        first = FIRST if self.leading_space else ""
+        single, composed = [], []
+        for piece in pieces:
+            parts, body = [], piece
+            if first and piece[0] == "\n":
+                parts, body = ["\n"], FIRST + piece[1:]
+            if found := SIGNED.fullmatch(body):
+                parts += [found[1], first + found[2]]
+                composed.append((piece, parts))
+            elif parts:
+                composed.append((piece, [*parts, body]))
             else:
-                new.append(piece)
-        if signed:
-            self.signs.learn({s for _, _, s in signed})
-            new = {*new, *({w for _, w, _ in signed}.difference(known))}
-            known.update({p: older[p] for p in new if p in older})
-            new = [p for p in new if p not in known]
+                single.append(piece)
+        known, older = self.known, self.older
+        inner = {p for _, parts in composed for p in parts}.difference(known, single)
+        known.update({p: older[p] for p in inner if p in older})
+        single += [p for p in inner if p not in known]
+        self._encode([p for p in single if p[:1] != FIRST], " " if self.leading_space else "", 0)
+        self._encode([p for p in single if p[:1] == FIRST], "", 1)
+        if composed:
+            ids, ends = self.gather(np.array([known[p] for _, parts in composed for p in parts]))
+            ends = ends[np.cumsum([len(parts) for _, parts in composed]) - 1]
+            size = np.diff(ends, prepend=0)
+            self._add([p for p, _ in composed], ids, ends - size, size)
+
+    def _encode(self, pieces: list[str], before: str, cut: int) -> None:
         alone = []
-        together = [p for p in new if p and self.apart not in p or alone.append(p)]
-        for at in range(0, len(together), 2048):
-            some = together[at : at + 2048]
-            ids = np.array(self._ids([self.before + (self.mark + self.before).join(some)])[0], HELD)
-            marks = np.nonzero(ids == self.mark_id)[0].tolist()
+        together = [p for p in pieces if len(p) > cut and self.apart not in p or alone.append(p)]
+        for at in range(0, len(together), 4096):
+            some = together[at : at + 4096]
+            ids = np.array(self._ids([before + (self.mark + before).join([p[cut:] for p in some])])[0], HELD)
+            marks = np.nonzero(ids == self.mark_id)[0]
             if len(marks) != len(some) - 1:
                 alone += some
                 continue
-            raw, size, start = ids.tobytes(), HELD.itemsize, 0
-            for piece, end in zip(some, [*marks, len(ids)], strict=True):
-                known[piece] = raw[start * size : end * size]
-                start = end + 1
-        for at in range(0, len(alone), 2048):
-            some = alone[at : at + 2048]
-            for piece, ids in zip(some, self._ids([self.before + p for p in some]), strict=True):
-                known[piece] = np.array(ids, HELD).tobytes()
-        for piece, word, sign in signed:
-            known[piece] = known[word] + self.signs.known[sign]
-
-    def _ids(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-
-def _tokenizer(path: str):
-    import os
-
-    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    from tokenizers import Tokenizer
-
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
-    if tokenizer.get_vocab_size() > np.iinfo(HELD).max:
-        raise ValueError("ids of this vocabulary do not fit 16 bits")
-    return tokenizer
-
-
-class LeadingSpaceEncoder:
-    """For byte-level BPE whose pattern takes one leading space into a piece.
-
-    A text in which all white space stands alone, as one blank or one line end, is cut before each
-    blank and around each line end: no piece of such a pattern reaches over those places,
-    from either side. Any other text is encoded line by line where that is certain, or whole.
-    """
-
-    def __init__(self, path: str):
-        self.tokenizer = _tokenizer(path)
-        self.first = Pieces(self.tokenizer, "", "\n", "\n")
-        self.spaced = Pieces(self.tokenizer, " ", "\n", "\n", self.first)
-        self.line = np.array(self.tokenizer.encode("\n", add_special_tokens=False).ids, HELD).tobytes()
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian 16-bit ids of each text."""
-        cuts: list[list[list[str]] | None] = []
-        starts, rest, whole = set(), set(), []
-        for text in texts:
-            if UNSURE.search(text) or text[:1].isspace() or text[-1:].isspace() or _OTHER_WHITE.search(text):
-                cuts.append(None)
-                whole.append(text)
-                continue
-            lines = [line.split(" ") for line in text.split("\n")]
-            cuts.append(lines)
-            starts.update([words[0] for words in lines])
-            for words in lines:
-                rest.update(words[1:])
-        self.first.learn(starts)
-        self.spaced.learn(rest)
-        plain = iter(self.tokenizer.encode_batch_fast(whole, add_special_tokens=False))
-        one, more, out = self.first.known, self.spaced.known.__getitem__, []
-        for lines in cuts:
-            if lines is None:
-                out.append(np.array(next(plain).ids, HELD).tobytes())
-            else:
-                out.append(self.line.join([b"".join([one[words[0]], *map(more, words[1:])]) for words in lines]))
+            start = np.concatenate(([0], marks + 1))
+            self._add(some, ids, start, np.append(marks, len(ids)) - start)
+        for at in range(0, len(alone), 4096):
+            some = alone[at : at + 4096]
+            ids = self._ids([before + p[cut:] for p in some])
+            size = np.array([len(x) for x in ids], np.int64)
+            self._add(some, np.array([i for x in ids for i in x], HELD), np.cumsum(size) - size, size)
+
+    def encode(self, texts) -> list[bytes]:
+        """Little-endian 16-bit ids of each text of an Arrow string array without nulls."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        text = pa.large_string()
+        texts = texts.cast(text)
+        out: list[bytes | None] = [None] * len(texts)
+        sure = np.arange(len(texts))
+        if self.leading_space:
+            odd = pc.match_substring_regex(texts, UNSURE).to_numpy(zero_copy_only=False)
+            some = np.nonzero(odd)[0]
+            for i, ids in zip(some, self._ids(texts.take(pa.array(some)).to_pylist()), strict=True):
+                out[i] = np.array(ids, HELD).tobytes()
+            sure = np.nonzero(~odd)[0]
+            texts = pc.binary_join_element_wise(pa.scalar(FIRST, text), pc.replace_substring(texts.take(pa.array(sure)), "\n", " \n"), pa.scalar("", text))
+        else:
+            texts = pc.replace_substring(texts, "\n", " ")
+        if not len(sure):
+            return out
+        words = pc.split_pattern(texts, " ")
+        ends = words.offsets.to_numpy()[1:] - words.offsets[0].as_py()
+        coded = words.flatten().dictionary_encode()
+        codes = self.codes(coded.dictionary.to_pylist())
+        ids, stops = self.gather(codes[coded.indices.to_numpy()])
+        stop = np.where(ends > 0, stops[ends - 1], 0).tolist()
+        raw, width, start = ids.tobytes(), HELD.itemsize, 0
+        for i, end in zip(sure.tolist(), stop, strict=True):
+            out[i] = raw[start * width : end * width]
+            start = end
         return out
 
 
-class WordEncoder:
-    """For a tokenizer whose splitting drops white space: texts are cut at blanks and line ends."""
-
-    def __init__(self, path: str):
-        self.words = Pieces(_tokenizer(path), "", " 0 ", "0")
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        cuts = [text.replace("\n", " ").split(" ") for text in texts]
-        self.words.learn(set().union(*cuts))
-        get = self.words.known.__getitem__
-        return [b"".join(map(get, parts)) for parts in cuts]
-
-
-_encoders: dict = {}
+_encoders: dict[tuple[str, bool], Encoder] = {}
 
 
-def shared(make: Callable, path: str):
+def shared(path: str, leading_space: bool) -> Encoder:
     """This worker's encoder for a file, so that its tasks share what it remembers."""
-    if (make, path) not in _encoders:
-        _encoders[make, path] = make(path)
-    return _encoders[make, path]
+    key = (path, leading_space)
+    if key not in _encoders:
+        _encoders[key] = Encoder(*key)
+    return _encoders[key]
 
 
-def encoded(docs: DataFrame, scratch: Scratch, kind: type[LeadingSpaceEncoder] | type[WordEncoder], path: str, end_id: int) -> DataFrame:
+def encoded(docs: DataFrame, scratch: Scratch, path: str, leading_space: bool, end_id: int) -> DataFrame:
     """Writes and returns (part, pos, doc_id, n_tokens, ids): each text's ids and ``end_id``.
 
     ids is a zstd frame of 16-bit ids. (part, pos) numbers the rows of the written table; it
@@ -172,11 +194,10 @@ def encoded(docs: DataFrame, scratch: Scratch, kind: type[LeadingSpaceEncoder] |
         import zstandard
         from pyspark import TaskContext
 
-        encoder, squeeze = shared(kind, path), zstandard.ZstdCompressor(level=1)
+        encoder, squeeze = shared(path, leading_space), zstandard.ZstdCompressor(level=1)
         part, pos, end = TaskContext.get().partitionId(), 0, np.array([end_id], HELD).tobytes()
         for batch in batches:
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            ids = [x + end for x in encoder.encode(texts)]
+            ids = [x + end for x in encoder.encode(batch.column("text").fill_null(""))]
             n = len(ids)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.full(n, part, np.int32)), pa.array(np.arange(pos, pos + n)), batch.column("doc_id"), pa.array([len(x) // HELD.itemsize for x in ids], pa.int64()), pa.array([squeeze.compress(x) for x in ids], pa.binary())],
