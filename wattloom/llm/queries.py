@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from wattloom.llm.chat import OP7_SQL, op7_chat_format
 from wattloom.llm.embedding_dedup import OP6_SQL, op6_embedding_dedup
 from wattloom.llm.language_id import op3_language_id
+from wattloom.llm.packing import op5_packing
 from wattloom.llm.quality import op8_quality_rules
 from wattloom.llm.simhash import op10_simhash_near_dedup
 from wattloom.llm.substring_dedup import op9_substring_dedup
@@ -19,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_file": op2_token_file,
     "op3_language_id": op3_language_id,
     "op4_warc": op4_warc,
+    "op5_packing": op5_packing,
     "op6_embedding_dedup": op6_embedding_dedup,
     "op7_chat_format": op7_chat_format,
     "op8_quality_rules": op8_quality_rules,
