@@ -8,7 +8,6 @@ pieces' by array operations. A text where a cut is not certain is encoded whole.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,12 +20,12 @@ from wattloom.llm.common import Scratch
 REMEMBERED = 600_000
 #: Whole vocabularies fit 16 bits in both files; ids are held so between steps.
 HELD = np.dtype("<u2")
-#: Stands before the first piece of a text, which has no blank before it.
+#: Stands before a piece that has no blank before it.
 FIRST = "\x02"
 #: White space at an end or not alone, kinds other than blank and line end, and FIRST itself.
 UNSURE = r"[ \n][ \n]|^[ \n]|[ \n]$|[\t\x0b-\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200b}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x02]"
-#: Letters or digits, then ASCII signs but apostrophe and underscore: splitting cuts between the two.
-SIGNED = re.compile(r"(.*[^\W_])([!-&(-/:-@\[-^`{-~]+)", re.S)
+#: A letter or digit, then an ASCII sign: no piece of either splitting reaches from one into the other.
+SIGN = r"([\p{L}\p{N}])([!-/:-@\[-`{-~])"
 
 
 class Encoder:
@@ -91,35 +90,11 @@ class Encoder:
         missing = [p for p in pieces if p not in known]
         if missing:
             known.update({p: older[p] for p in missing if p in older})
-            self._learn([p for p in missing if p not in known])
+            missing = [p for p in missing if p not in known]
+            self._encode([p for p in missing if p[:1] != FIRST], " " if self.leading_space else "", 0)
+            self._encode([p for p in missing if p[:1] == FIRST], "", 1)
         return np.fromiter(map(known.__getitem__, pieces), np.int64, len(pieces))
 
-    def _learn(self, pieces: list[str]) -> None:
-        first = FIRST if self.leading_space else ""
-        single, composed = [], []
-        for piece in pieces:
-            parts, body = [], piece
-            if first and piece[0] == "\n":
-                parts, body = ["\n"], FIRST + piece[1:]
-            if found := SIGNED.fullmatch(body):
-                parts += [found[1], first + found[2]]
-                composed.append((piece, parts))
-            elif parts:
-                composed.append((piece, [*parts, body]))
-            else:
-                single.append(piece)
-        known, older = self.known, self.older
-        inner = {p for _, parts in composed for p in parts}.difference(known, single)
-        known.update({p: older[p] for p in inner if p in older})
-        single += [p for p in inner if p not in known]
-        self._encode([p for p in single if p[:1] != FIRST], " " if self.leading_space else "", 0)
-        self._encode([p for p in single if p[:1] == FIRST], "", 1)
-        if composed:
-            ids, ends = self.gather(np.array([known[p] for _, parts in composed for p in parts]))
-            ends = ends[np.cumsum([len(parts) for _, parts in composed]) - 1]
-            size = np.diff(ends, prepend=0)
-            self._add([p for p, _ in composed], ids, ends - size, size)
-
     def _encode(self, pieces: list[str], before: str, cut: int) -> None:
         alone = []
         together = [p for p in pieces if len(p) > cut and self.apart not in p or alone.append(p)]
@@ -153,9 +128,10 @@ class Encoder:
             for i, ids in zip(some, self._ids(texts.take(pa.array(some)).to_pylist()), strict=True):
                 out[i] = np.array(ids, HELD).tobytes()
             sure = np.nonzero(~odd)[0]
-            texts = pc.binary_join_element_wise(pa.scalar(FIRST, text), pc.replace_substring(texts.take(pa.array(sure)), "\n", " \n"), pa.scalar("", text))
+            texts = pc.replace_substring_regex(texts.take(pa.array(sure)), SIGN, rf"\1 {FIRST}\2")
+            texts = pc.binary_join_element_wise(pa.scalar(FIRST, text), pc.replace_substring(texts, "\n", f" \n {FIRST}"), pa.scalar("", text))
         else:
-            texts = pc.replace_substring(texts, "\n", " ")
+            texts = pc.replace_substring_regex(pc.replace_substring(texts, "\n", " "), SIGN, r"\1 \2")
         if not len(sure):
             return out
         words = pc.split_pattern(texts, " ")
