@@ -11,12 +11,14 @@ from wattloom.llm.embedding_dedup import OP6_SQL, op6_embedding_dedup
 from wattloom.llm.language_id import op3_language_id
 from wattloom.llm.packing import op5_packing
 from wattloom.llm.quality import op8_quality_rules
+from wattloom.llm.sentencepiece_viterbi import op1_sentencepiece
 from wattloom.llm.simhash import op10_simhash_near_dedup
 from wattloom.llm.substring_dedup import op9_substring_dedup
 from wattloom.llm.token_file import op2_token_file
 from wattloom.llm.warc import OP4_SQL, op4_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_sentencepiece": op1_sentencepiece,
     "op2_token_file": op2_token_file,
     "op3_language_id": op3_language_id,
     "op4_warc": op4_warc,
