@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of one Arrow batch handed to Python; bounds a worker's memory with long texts.
-ARROW_ROWS = 512
+ARROW_ROWS = 256
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -43,7 +43,7 @@ SIDE = LENGTH - GRAM
 HALF = SIDE // 2
 SYMBOL = 16
 #: Repeated classes that a task remembers between batches; it forgets all beyond that.
-REMEMBERED = 500_000
+REMEMBERED = 100_000
 #: Owners in one call of the suffix sorter; groups are never parted, so one may be larger.
 TOGETHER = 1 << 15
 

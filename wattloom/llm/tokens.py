@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from wattloom.llm.common import Scratch
 
 #: Distinct pieces in a generation that a worker remembers; the last two bound its memory.
-REMEMBERED = 600_000
+REMEMBERED = 400_000
 #: Whole vocabularies fit 16 bits in both files; ids are held so between steps.
 HELD = np.dtype("<u2")
 #: Stands before a piece that has no blank before it.
@@ -180,6 +180,7 @@ def encoded(docs: DataFrame, scratch: Scratch, path: str, leading_space: bool, e
                 ["part", "pos", "doc_id", "n_tokens", "ids"],
             )
             pos += n
+        pa.default_memory_pool().release_unused()  # this worker's next task may be another operator's
 
     rows = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "part int, pos long, doc_id long, n_tokens long, ids binary")
     return scratch.save(rows, "ids", codec="uncompressed")
