@@ -21,11 +21,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wattloom.llm.common import Scratch, load
-from wattloom.llm.tokens import encoded, expand
+from wattloom.llm.tokens import encoded, expand, id_counts
 
 LIMIT = 20
 EVERY = 128
-BLOCK = 1 << 18
+BLOCK = 1 << 19
 BLOCK_SCHEMA = "part int, start long, n_tokens long, doc_ids array<long>, doc_tokens array<long>, bits binary, checkpoints binary"
 
 
@@ -151,20 +151,8 @@ class TokenFile:
 def write_tokens(docs: DataFrame, path: str, end_id: int, leading_space: bool = True) -> TokenFile:
     """Encodes all texts with the tokenizers file at ``path`` and writes them in ascending doc_id."""
     scratch = Scratch(docs.sparkSession, "tokens")
-    held = encoded(docs, scratch, path, leading_space, end_id)
-
-    def count(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        total = np.zeros(1 << 16, np.int64)
-        for batch in batches:
-            total += np.bincount(np.concatenate([expand(blob) for blob in batch.column("ids").to_pylist()]), minlength=1 << 16)
-        used = np.nonzero(total)[0]
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["id", "n"])
-
-    counts = np.zeros(1 << 16, np.int64)
-    for r in held.select("ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
-        counts[r.id] = r.n  # a row for each id of the vocabulary at most
+    held, counts = encoded(docs, scratch, path, leading_space, end_id)
+    counts = id_counts(counts)
     lengths = code_lengths(counts)
     codes = canonical_codes(lengths)
 

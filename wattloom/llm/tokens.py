@@ -17,7 +17,9 @@ from pyspark.sql import functions as F
 from wattloom.llm.common import Scratch
 
 #: Distinct pieces in a generation that a worker remembers; the last two bound its memory.
-REMEMBERED = 400_000
+REMEMBERED = 500_000
+#: Bytes of text that are encoded together, whole texts at a time: more texts share more pieces.
+TOGETHER = 4 << 20
 #: Whole vocabularies fit 16 bits in both files; ids are held so between steps.
 HELD = np.dtype("<u2")
 #: Stands before a piece that has no blank before it.
@@ -158,11 +160,31 @@ def shared(path: str, leading_space: bool) -> Encoder:
     return _encoders[key]
 
 
-def encoded(docs: DataFrame, scratch: Scratch, path: str, leading_space: bool, end_id: int) -> DataFrame:
-    """Writes and returns (part, pos, doc_id, n_tokens, ids): each text's ids and ``end_id``.
+ENCODED = "part int, pos long, doc_id long, n_tokens long, ids binary, counts binary"
+
+
+def gathered(batches: Iterator, least: int = TOGETHER) -> Iterator:
+    """Arrow batches joined until their texts hold ``least`` bytes."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += pc.sum(pc.binary_length(batch.column("text"))).as_py() or 0
+        if size >= least:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, size = [], 0
+    if sum(b.num_rows for b in held):
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
+def encoded(docs: DataFrame, scratch: Scratch, path: str, leading_space: bool, end_id: int) -> tuple[DataFrame, DataFrame]:
+    """Writes each text's ids and ``end_id``: rows (part, pos, doc_id, n_tokens, ids), and (counts).
 
     ids is a zstd frame of 16-bit ids. (part, pos) numbers the rows of the written table; it
-    tells rows apart even if doc_id is null or repeated. Null text counts as empty.
+    tells rows apart even if doc_id is null or repeated. Null text counts as empty. Each task's
+    last row only holds how often each id occurred (64-bit integers in a zstd frame).
     """
 
     def run(batches: Iterator) -> Iterator:
@@ -172,18 +194,44 @@ def encoded(docs: DataFrame, scratch: Scratch, path: str, leading_space: bool, e
 
         encoder, squeeze = shared(path, leading_space), zstandard.ZstdCompressor(level=1)
         part, pos, end = TaskContext.get().partitionId(), 0, np.array([end_id], HELD).tobytes()
-        for batch in batches:
+        total = np.zeros(1 << 16, np.int64)
+        schema = pa.schema([("part", pa.int32()), ("pos", pa.int64()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary()), ("counts", pa.binary())])
+        for batch in gathered(batches):
             ids = [x + end for x in encoder.encode(batch.column("text").fill_null(""))]
+            total += np.bincount(np.frombuffer(b"".join(ids), HELD), minlength=1 << 16)
             n = len(ids)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(n, part, np.int32)), pa.array(np.arange(pos, pos + n)), batch.column("doc_id"), pa.array([len(x) // HELD.itemsize for x in ids], pa.int64()), pa.array([squeeze.compress(x) for x in ids], pa.binary())],
-                ["part", "pos", "doc_id", "n_tokens", "ids"],
-            )
+            columns = [pa.array(np.full(n, part, np.int32)), pa.array(np.arange(pos, pos + n)), batch.column("doc_id"), pa.array([len(x) // HELD.itemsize for x in ids], pa.int64()), pa.array([squeeze.compress(x) for x in ids], pa.binary()), pa.nulls(n, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, schema=schema)
             pos += n
+        if pos:
+            yield pa.RecordBatch.from_pydict({"part": [part], "pos": [None], "doc_id": [None], "n_tokens": [None], "ids": [None], "counts": [squeeze.compress(total.tobytes())]}, schema=schema)
         pa.default_memory_pool().release_unused()  # this worker's next task may be another operator's
 
-    rows = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "part int, pos long, doc_id long, n_tokens long, ids binary")
-    return scratch.save(rows, "ids", codec="uncompressed")
+    rows = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, ENCODED)
+    held = scratch.save(rows, "ids", codec="uncompressed")
+    texts = held.where("pos is not null").drop("counts")
+    texts.path = held.path
+    return texts, held.where("counts is not null").select("counts")
+
+
+def id_counts(counts: DataFrame) -> np.ndarray:
+    """How often each id occurs in all documents: tasks add up their part, a row an id reaches the driver."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+        import zstandard
+
+        total = np.zeros(1 << 16, np.int64)
+        for batch in batches:
+            for blob in batch.column("counts").to_pylist():
+                total += np.frombuffer(zstandard.decompress(blob), np.int64)
+        used = np.nonzero(total)[0]
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["id", "n"])
+
+    out = np.zeros(1 << 16, np.int64)
+    for r in counts.mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
+        out[r.id] = r.n
+    return out
 
 
 def expand(blob: bytes) -> np.ndarray:
