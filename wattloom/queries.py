@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wattloom.operators import anomalies, builds, closure, quality, stats, workload
+from wattloom.operators import anomalies, builds, closure, identity, models, quality, stats, workload
 from wattloom.operators.derive import with_derived, with_features
 from wattloom.operators.select import build_ranks, latest_builds, select_slice, with_rank
 from wattloom.plans.fixture import sql, table
+from wattloom.sources import tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -370,12 +371,12 @@ def _(s, d):
 
 
 # workloads and curves
-POWER = "with p as (select design, build, workload, operating_point, count(*) as n_fubs, cast(sum(cast(be_mw as decimal(28,9))) as double) as be_mw, cast(sum(cast(fe_physical_mw as decimal(28,9))) as double) as fe_physical_mw, round(avg(activity), 6) as activity, max(frequency_ghz) as frequency_ghz, max(voltage_v) as voltage_v from wide group by 1, 2, 3, 4)"
+POWER = "with p as (select design, build, workload, operating_point, count(*) as n_fubs, cast(sum(cast(be_mw as decimal(28,9))) as double) as be_mw, cast(sum(cast(fe_physical_mw as decimal(28,9))) as double) as fe_physical_mw, round(avg(activity), 9) as activity, max(frequency_ghz) as frequency_ghz, max(voltage_v) as voltage_v from wide group by 1, 2, 3, 4)"
 
 
 @query("design_power", f"{POWER} select * replace (round(be_mw, 9) as be_mw, round(fe_physical_mw, 9) as fe_physical_mw) from p")
 def _(s, d):
-    return rounded(workload.design_power(table(s, d, "wide")), be_mw=9, fe_physical_mw=9)
+    return rounded(workload.design_power(table(s, d, "wide")), be_mw=9, fe_physical_mw=9, activity=9)
 
 
 ENERGY = POWER + ", e as (select p.*, f.throughput_gops, case when f.throughput_gops > 0 then be_mw / f.throughput_gops end as energy_pj_per_op from p left join performance f using (design, build, workload))"
@@ -457,3 +458,180 @@ def _(s, d):
     profile = table(s, d, "profile")
     expected = profile.select("workload").distinct().where("workload <> 'error'").withColumn("be_mw", F.lit(50.0))
     return rounded(workload.reconcile(workload.profile_summary(profile), expected).select("workload", "mean_mw", "gap_pct", "ok"))
+
+
+# models
+SPLIT = "build_number <= 21"  # the latest sixth of 27 builds is held out
+
+
+@query("model_baseline", f"select {_metrics('physical')} from wide where not ({SPLIT})")
+def _(s, d):
+    _, held, _ = models.split_by_build(table(s, d, "wide"))
+    return rounded(stats.stage_metrics(held, "physical"))
+
+
+def model_rows(s: SparkSession, m: models.Linear) -> DataFrame:
+    return s.createDataFrame([("intercept", m.intercept), *m.coefficients.items()], "term string, weight double")
+
+
+@query("model_scaled", f"select 'intercept' as term, round(regr_intercept(be_mw, fe_physical_mw), 6) as weight from wide where {SPLIT} union all select 'fe_physical_mw', round(regr_slope(be_mw, fe_physical_mw), 6) from wide where {SPLIT}")
+def _(s, d):
+    train, _, _ = models.split_by_build(table(s, d, "wide"))
+    return rounded(model_rows(s, models.fit(train, "scaled")))
+
+
+@query("model_scaled_lobo", """with b as (select distinct build as held from wide), f as (select held, regr_slope(be_mw, fe_physical_mw) as m, regr_intercept(be_mw, fe_physical_mw) as c from wide join b on build <> held group by held)
+select build, count(*) as n, round(avg(abs((fe_physical_mw * m + c - be_mw) / be_mw) * 100), 6) as mape from wide join f on build = held where be_mw <> 0 group by build""")
+def _(s, d):
+    w = table(s, d, "wide")
+    return rounded(models.score_folds(w, models.leave_one_build_out(w, "scaled")))
+
+
+for _kind in ("linear", "physics", "datamove"):
+    query(f"model_{_kind}")(lambda s, d, k=_kind: model_rows(s, models.fit(models.split_by_build(wide(s, d))[0], k)))
+    query(f"model_{_kind}_lobo")(lambda s, d, k=_kind: models.score_folds(w := wide(s, d), models.leave_one_build_out(w, k)))
+
+
+@query("model_tree")
+def _(s, d):
+    names = ["fe_physical_mw", "wire_cap_pf", "cell_cap_pf", "dyn_term", "leak_term"]
+    train, held, _ = models.split_by_build(wide(s, d))
+    tree = models.MonotoneTrees(names, {"fe_physical_mw", "dyn_term"}, rounds=60).fit(train)
+    return tree.predict(held).select(*KEY, "be_mw", "predicted_mw")
+
+
+@query("permutation_importance")
+def _(s, d):
+    w = wide(s, d).where("bits_per_cycle is not null")
+    return models.permutation_importance(w, models.fit(w, "datamove"))
+
+
+FIXED = models.Linear("datamove", 5.0, {"cell_dyn_term": 0.5, "wire_dyn_term": 0.25, "move_term": -0.125, "leak_term": 0.0625}, {"move_term": 10.0})
+_P = "5.0 + cell_dyn_term * 0.5 + wire_dyn_term * 0.25 + coalesce(move_term, 10.0) * -0.125 + leak_term * 0.0625"
+
+
+@query("decompose", f"{DERIVED} select {KEYS}, round({_P}, 13) as predicted_mw, round(coalesce(greatest(cell_dyn_term * 0.5, 0) / nullif(greatest(cell_dyn_term * 0.5, 0) + greatest(wire_dyn_term * 0.25, 0) + greatest(coalesce(move_term, 10.0) * -0.125, 0) + greatest(leak_term * 0.0625, 0), 0), -1), 6) as cell_share from d")
+def _(s, d):
+    rows = models.decompose(wide(s, d), FIXED)
+    return rounded(rows.select(*KEY, "predicted_mw", F.coalesce("cell_dyn_term_share", F.lit(-1.0)).alias("cell_share")), predicted_mw=13)
+
+
+@query("whatif", f"{DERIVED} select design, round(sum({_P}), 3) as current_mw, round(sum({_P} - wire_dyn_term * 0.25 + wire_dyn_term * 0.25 * 0.8), 3) as proposed_mw from d where {AT} group by design")
+def _(s, d):
+    rows = models.what_if(corner(wide(s, d)), FIXED, {"wire": "x0.8"})
+    return rounded(rows.groupBy("design").agg(F.sum("current_mw").alias("current_mw"), F.sum("proposed_mw").alias("proposed_mw")), current_mw=3, proposed_mw=3)
+
+
+SWEEP = f"v(f) as (values (0.5e0), (1.0e0), (1.5e0)), g as (select design, f as frequency_ghz, sum(5.0 + 0.5 * cell_dyn_term / frequency_ghz * f + 0.25 * wire_dyn_term / frequency_ghz * f - 0.125 * coalesce(move_term / frequency_ghz * f, 10.0) + 0.0625 * leak_term) as power_mw from d cross join v where {AT} group by 1, 2)"
+
+
+@query("explore_sweep", f"{DERIVED}, {SWEEP} select design, frequency_ghz, round(power_mw, 3) as power_mw from g")
+def _(s, d):
+    return rounded(models.sweep(corner(wide(s, d)), FIXED, "frequency_ghz", [0.5, 1.0, 1.5]), power_mw=3)
+
+
+@query("explore_pareto", f"{DERIVED}, {SWEEP}, q as (select *, frequency_ghz <= 1.2 as feasible from g) select design, frequency_ghz, feasible and not exists (select 1 from q r where r.feasible and r.power_mw <= q.power_mw and r.frequency_ghz >= q.frequency_ghz and (r.power_mw < q.power_mw or r.frequency_ghz > q.frequency_ghz)) as pareto from q")
+def _(s, d):
+    rows = models.sweep(corner(wide(s, d)), FIXED, "frequency_ghz", [0.5, 1.0, 1.5]).withColumn("feasible", F.col("frequency_ghz") <= 1.2)
+    return models.mark_pareto(rows, speed="frequency_ghz").select("design", "frequency_ghz", "pareto")
+
+
+TRACE = [("ASIA", 0, 2.0, "idle", "nom"), ("ASIA", 1, 1.0, "typical", "turbo"), ("EUROPE", 0, 3.0, "compute", "nom"), ("EUROPE", 1, 1.0, "none", "nom")]
+
+
+@query("trace_eval", f"with t(design, interval_no, duration_s, workload, operating_point) as (values {', '.join(map(str, TRACE))}), w as (select design, workload, operating_point, cast(sum(cast(be_mw as decimal(28,9))) as double) as p from wide where build = 'B9' group by 1, 2, 3), f as (select design, workload, throughput_gops as g from performance where build = 'B9') select t.design, interval_no, round(p * duration_s, 6) as energy_mj, round(g * duration_s, 6) as ops_g, round(p * duration_s / (g * duration_s), 6) as pj_per_op from t left join w using (design, workload, operating_point) left join f using (design, workload)", ("wide", "performance"))
+def _(s, d):
+    trace = s.createDataFrame(TRACE, "design string, interval_no int, duration_s double, workload string, operating_point string")
+    power = workload.design_power(table(s, d, "wide").where("build = 'B9'")).select("design", "workload", "operating_point", F.col("be_mw").alias("power_mw"))
+    rows = models.run_trace(trace, power, table(s, d, "performance").where("build = 'B9'").select("design", "workload", "throughput_gops"))
+    return rounded(rows.select("design", "interval_no", "energy_mj", "ops_g", "pj_per_op"))
+
+
+# identity: reports over the same cells
+def reports(s: SparkSession, d: str) -> DataFrame:
+    """Long records: an object a cell and instance, in units that vary by build."""
+    w = table(s, d, "wide").where("build_number <= 6")
+    unit = F.when(F.col("build_number") % 3 == 0, "W").when(F.col("build_number") % 3 == 1, "mW").otherwise("uW")
+    obj = F.concat(F.lit("soc/"), "fub", F.lit("/i"), (F.col("build_number") % 3).cast("string"))
+    return w.select("design", "build", "workload", "operating_point", obj.alias("object"), F.lit("be_hier").alias("object_kind"), F.lit("be_mw").alias("metric"), F.col("be_mw").alias("value"), unit.alias("unit"), F.lit("r").alias("source_file"), F.lit("signoff").alias("source"), F.lit(0).cast("long").alias("ordinal"))
+
+
+def block_map(s: SparkSession) -> DataFrame:
+    """Odd blocks are split in two objects, even ones replicated under a glob; blocks 1 and 3 share an object."""
+    rows = []
+    for n in range(1, 26):
+        names = [f"soc/Brand#{n}/i0", f"soc/Brand#{n}/i1"] if n % 2 else [f"soc/Brand#{n}/i*"]
+        rows += [(f"Brand#{n}", f"fe/Brand#{n}", name, f"P{n % 5}", 1.0) for name in names]
+    rows.append(("Brand#3", "fe/Brand#3", "soc/Brand#1/i0", "P3", 3.0))
+    return s.createDataFrame(rows, "fub string, fe_hier string, be_hier string, partition string, be_share double")
+
+
+LONG = """
+l as (select *, 'soc/' || fub || '/i' || cast(build_number % 3 as varchar) as object, cast(substring(fub, 7) as int) as n, build_number % 3 as i from wide where build_number <= 6),
+x as (select l.*, case when n % 2 = 0 then fub || '@i' || cast(i as varchar) else fub end as to_fub, case when n = 1 and i = 0 then 0.25 else 1.0 end as weight from l where n % 2 = 0 or i < 2
+  union all select l.*, 'Brand#3', 0.75 from l where n = 1 and i = 0)
+"""
+
+
+@query("unit_conversion", f"with {LONG} select design, build, object, workload, operating_point, round(be_mw * case i when 0 then 1000 when 1 then 1 else 0.001 end, 9) as value, 'mw' as unit from l")
+def _(s, d):
+    return rounded(identity.convert_units(reports(s, d)).select("design", "build", "object", "workload", "operating_point", "value", "unit"), value=9)
+
+
+@query("resolve_objects", f"with {LONG} select design, build, object, workload, operating_point, to_fub as fub, round(weight, 6) as weight from x")
+def _(s, d):
+    mapped, _ = identity.resolve_objects(reports(s, d), block_map(s))
+    return rounded(mapped.select("design", "build", "object", "workload", "operating_point", "fub", "weight"))
+
+
+@query("unmapped_objects", f"with {LONG} select object, count(*) as n from l where n % 2 = 1 and i = 2 group by object")
+def _(s, d):
+    return identity.resolve_objects(reports(s, d), block_map(s))[1].groupBy("object").agg(F.count("*").alias("n"))
+
+
+@query("aggregate_metric", f"with {LONG} select design, build, to_fub as fub, workload, operating_point, round(sum(be_mw * case i when 0 then 1000 when 1 then 1 else 0.001 end * weight), 6) as be_mw from x group by 1, 2, 3, 4, 5")
+def _(s, d):
+    mapped, _ = identity.resolve_objects(identity.convert_units(reports(s, d)), block_map(s))
+    return rounded(identity.pivot_wide(identity.aggregate_metrics(mapped), ["be_mw"]))
+
+
+@query("lineage_issues", f"""with {LONG}, m as (select distinct cast(substring(fub, 7) as int) as n, fub from wide where build_number <= 6), r as (select distinct design, build from x),
+s as (select distinct design, build, string_split(to_fub, '@')[1] as fub from x) select r.design, r.build, m.fub, case when s.fub is null then 'fe_hier_not_in_reports;be_hier_not_in_reports;partition_timing_missing' else 'fe_hier_not_in_reports;partition_timing_missing' end as issues from r cross join m left join s on s.design = r.design and s.build = r.build and s.fub = m.fub""")
+def _(s, d):
+    mapped, _ = identity.resolve_objects(reports(s, d), block_map(s))
+    return identity.lineage(mapped, block_map(s)).select("design", "build", "fub", F.array_join("lineage_issues", ";").alias("issues")).distinct()
+
+
+@query("intent_issues", f"""with {LATEST}, b as (select fub, partition, operating_point, voltage_v from wide join l using (design) where build_number = bn and design = 'ASIA' and workload = 'typical' group by all),
+e(domain, element, voltage) as (values ('PD0', 'P0', 0.75e0), ('PD1', 'P1', 0.85e0), ('PD1b', 'P1/Brand#6', 0.85e0), ('PD2', 'P2', null)),
+j as (select fub, voltage_v, count(distinct domain) as n, max(voltage) as dv from b left join e on partition || '/' || fub = element or (partition || '/' || fub) like element || '/%' group by 1, 2)
+select fub, voltage_v, concat_ws(';', case when n = 0 then 'no_power_domain' end, case when n > 1 then 'multiple_power_domains' end, case when n > 0 and dv is null then 'domain_state_missing' end, case when abs(dv - voltage_v) > 0.005 then 'domain_voltage_mismatch' end) as issues from j""")
+def _(s, d):
+    blocks = select_slice(table(s, d, "wide"), operating_point=None).where("design = 'ASIA'").select("fub", F.concat_ws("/", "partition", "fub").alias("be_hier"), "voltage_v").distinct()
+    domains = s.createDataFrame([("PD0", "P0", 0.75), ("PD1", "P1", 0.85), ("PD1b", "P1/Brand#6", 0.85), ("PD2", "P2", None)], "domain string, element string, voltage double")
+    return identity.intent_table(blocks, domains).select("fub", "voltage_v", F.array_join("intent_issues", ";").alias("issues"))
+
+
+@query("keyed_replace", "with n as (select design, build, fub, be_mw * 2 as be_mw from wide where build_number between 3 and 5 and design < 'ASIB') select design, build, fub, round(be_mw, 9) as be_mw from wide w where build_number <= 5 and not exists (select 1 from n where n.design = w.design and n.build = w.build) union all select design, build, fub, round(be_mw, 9) from n")
+def _(s, d):
+    w = table(s, d, "wide").where("build_number <= 5")
+    new = w.where("build_number >= 3 and design < 'ASIB'").select("design", "build", "fub", (F.col("be_mw") * 2).alias("be_mw"))
+    return rounded(tables.keyed_replace(w.select("design", "build", "fub", "be_mw"), new, ["design", "build"]), be_mw=9)
+
+
+@query("append_last_wins", "select design, build, fub, workload, operating_point, round(case when build_number >= 3 then be_mw * 2 else be_mw end, 9) as be_mw from wide where build_number <= 5")
+def _(s, d):
+    w = table(s, d, "wide").where("build_number <= 5").select(*KEY, "be_mw", "build_number", F.lit(0).alias("ordinal"))
+    new = w.where("build_number >= 3").withColumn("be_mw", F.col("be_mw") * 2)
+    return rounded(tables.append_last_wins(w, new, KEY).select(*KEY, "be_mw"), be_mw=9)
+
+
+@query("sql_over_views", "select design, count(*) as n from wide where workload = 'idle' group by design")
+def _(s, d):
+    return tables.run_sql(s, "select design, count(*) as n from measurements where workload = 'idle' group by design", measurements=table(s, d, "wide"))
+
+
+@query("metadata_json", "select cast(json_extract(props, '$.k') as int) as k, count(*) as n from events group by 1")
+def _(s, d):
+    props = F.get_json_object("props", "$.k").cast("int")
+    return s.read.parquet(f"{d}/events.parquet").groupBy(props.alias("k")).agg(F.count("*").alias("n"))
