@@ -62,6 +62,24 @@ class Scratch:
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+_kept: dict[str, object] = {}
+
+
+def worker_cache(name: str = "", make=None):
+    """What a Python worker keeps between tasks: one thing at a time.
+
+    Asking for another name, or for none, frees what was kept, as workers serve one operator after another.
+    """
+    if name not in _kept:
+        if _kept:
+            _kept.clear()
+            gc.collect()
+        if make is None:
+            return None
+        _kept[name] = make()
+    return _kept[name]
+
+
 def connected_components(scratch: Scratch, edges: DataFrame) -> DataFrame:
     """(node, root) for every node of ``edges`` (a, b: long); root is one node of the component.
 

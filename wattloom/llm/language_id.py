@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from wattloom.llm.common import load, shared_dir
+from wattloom.llm.common import load, shared_dir, worker_cache
 
 ORDER = 4
 SPACE = 20
@@ -156,6 +156,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     def of(texts):
         import pandas as pd
 
+        worker_cache()
         lang, score = model.scores([t if isinstance(t, str) else None for t in texts])
         return pd.DataFrame({"lang_pred": lang, "score": score})
 

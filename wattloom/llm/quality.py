@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wattloom.llm.common import Scratch, load
+from wattloom.llm.common import Scratch, load, worker_cache
 
 WINDOW = 5
 SYMBOLS = b"#*$%&|<>"
@@ -65,6 +65,7 @@ def with_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     def of(texts):
         import pandas as pd
 
+        worker_cache()
         return pd.DataFrame([statistics(t) if isinstance(t, str) else (0,) * 5 for t in texts], columns=STATISTICS)
 
     return docs.withColumn("quality", of(F.col(text)))

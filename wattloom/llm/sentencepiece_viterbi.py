@@ -29,7 +29,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wattloom.llm.common import load, shared_dir
+from wattloom.llm.common import load, shared_dir, worker_cache
 from wattloom.llm.tokens import FIRST, HELD, Encoder
 
 BLANK = "▁"
@@ -197,13 +197,8 @@ class Segmenter(Encoder):
         return (raw[1:] if raw[:1] == b" " else raw).decode("utf-8", "replace")
 
 
-_segmenters: dict[str, Segmenter] = {}
-
-
 def segmenter(path: str) -> Segmenter:
-    if path not in _segmenters:
-        _segmenters[path] = Segmenter(path)
-    return _segmenters[path]
+    return worker_cache(f"pieces {path}", lambda: Segmenter(path))
 
 
 def encode(docs: DataFrame, path: str) -> DataFrame:

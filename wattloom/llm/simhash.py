@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wattloom.llm.common import Scratch, batches_of_runs, connected_components, load
+from wattloom.llm.common import Scratch, batches_of_runs, connected_components, load, worker_cache
 
 SHINGLE = 3
 SEED = 42
@@ -65,6 +65,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> D
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        worker_cache()
         for batch in batches:
             texts = batch.column("text").cast(pa.large_binary()).to_pylist()
             prints = np.array([simhash(t or b"", shingle, seed) for t in texts], np.uint64)

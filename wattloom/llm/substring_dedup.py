@@ -34,7 +34,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wattloom.llm.common import Scratch, batches_of_runs, load, release
+from wattloom.llm.common import Scratch, batches_of_runs, load, release, worker_cache
 from wattloom.llm.suffix_array import suffix_array
 
 LENGTH = 100
@@ -117,6 +117,7 @@ def _find(batches: Iterator) -> Iterator:
     import pyarrow as pa
     import xxhash
 
+    worker_cache()
     long, int_, digest = pa.int64(), pa.int32(), xxhash.xxh3_64_intdigest
     seen: dict[tuple[int, int], tuple[int, int, int]] = {}
     for batch in batches:

@@ -14,10 +14,10 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wattloom.llm.common import Scratch
+from wattloom.llm.common import Scratch, worker_cache
 
 #: Distinct pieces in a generation that a worker remembers; the last two bound its memory.
-REMEMBERED = 500_000
+REMEMBERED = 400_000
 #: Bytes of text that are encoded together, whole texts at a time: more texts share more pieces.
 TOGETHER = 4 << 20
 #: Whole vocabularies fit 16 bits in both files; ids are held so between steps.
@@ -149,15 +149,9 @@ class Encoder:
         return out
 
 
-_encoders: dict[tuple[str, bool], Encoder] = {}
-
-
 def shared(path: str, leading_space: bool) -> Encoder:
     """This worker's encoder for a file, so that its tasks share what it remembers."""
-    key = (path, leading_space)
-    if key not in _encoders:
-        _encoders[key] = Encoder(*key)
-    return _encoders[key]
+    return worker_cache(f"tokens {path} {leading_space}", lambda: Encoder(path, leading_space))
 
 
 ENCODED = "part int, pos long, doc_id long, n_tokens long, ids binary, counts binary"
