@@ -506,14 +506,14 @@ def _(s, d):
     return models.permutation_importance(w, models.fit(w, "datamove"))
 
 
-FIXED = models.Linear("datamove", 5.0, {"cell_dyn_term": 0.5, "wire_dyn_term": 0.25, "move_term": -0.125, "leak_term": 0.0625}, {"move_term": 10.0})
-_P = "5.0 + cell_dyn_term * 0.5 + wire_dyn_term * 0.25 + coalesce(move_term, 10.0) * -0.125 + leak_term * 0.0625"
+FIXED = models.Linear("datamove", 5.1234567890123, {"cell_dyn_term": 0.5, "wire_dyn_term": 0.25, "move_term": -0.125, "leak_term": 0.0625}, {"move_term": 10.0})
+_P = "5.1234567890123e0 + cell_dyn_term * 0.5 + wire_dyn_term * 0.25 + coalesce(move_term, 10.0) * -0.125 + leak_term * 0.0625"
 
 
-@query("decompose", f"{DERIVED} select {KEYS}, round({_P}, 13) as predicted_mw, round(coalesce(greatest(cell_dyn_term * 0.5, 0) / nullif(greatest(cell_dyn_term * 0.5, 0) + greatest(wire_dyn_term * 0.25, 0) + greatest(coalesce(move_term, 10.0) * -0.125, 0) + greatest(leak_term * 0.0625, 0), 0), -1), 6) as cell_share from d")
+@query("decompose", f"{DERIVED} select {KEYS}, round({_P}, 6) as predicted_mw, round(coalesce(greatest(cell_dyn_term * 0.5, 0) / nullif(greatest(cell_dyn_term * 0.5, 0) + greatest(wire_dyn_term * 0.25, 0) + greatest(coalesce(move_term, 10.0) * -0.125, 0) + greatest(leak_term * 0.0625, 0), 0), -1), 6) as cell_share from d")
 def _(s, d):
     rows = models.decompose(wide(s, d), FIXED)
-    return rounded(rows.select(*KEY, "predicted_mw", F.coalesce("cell_dyn_term_share", F.lit(-1.0)).alias("cell_share")), predicted_mw=13)
+    return rounded(rows.select(*KEY, "predicted_mw", F.coalesce("cell_dyn_term_share", F.lit(-1.0)).alias("cell_share")))
 
 
 @query("whatif", f"{DERIVED} select design, round(sum({_P}), 3) as current_mw, round(sum({_P} - wire_dyn_term * 0.25 + wire_dyn_term * 0.25 * 0.8), 3) as proposed_mw from d where {AT} group by design")
@@ -522,7 +522,7 @@ def _(s, d):
     return rounded(rows.groupBy("design").agg(F.sum("current_mw").alias("current_mw"), F.sum("proposed_mw").alias("proposed_mw")), current_mw=3, proposed_mw=3)
 
 
-SWEEP = f"v(f) as (values (0.5e0), (1.0e0), (1.5e0)), g as (select design, f as frequency_ghz, sum(5.0 + 0.5 * cell_dyn_term / frequency_ghz * f + 0.25 * wire_dyn_term / frequency_ghz * f - 0.125 * coalesce(move_term / frequency_ghz * f, 10.0) + 0.0625 * leak_term) as power_mw from d cross join v where {AT} group by 1, 2)"
+SWEEP = f"v(f) as (values (0.5e0), (1.0e0), (1.5e0)), g as (select design, f as frequency_ghz, sum(5.1234567890123e0 + 0.5 * cell_dyn_term / frequency_ghz * f + 0.25 * wire_dyn_term / frequency_ghz * f - 0.125 * coalesce(move_term / frequency_ghz * f, 10.0) + 0.0625 * leak_term) as power_mw from d cross join v where {AT} group by 1, 2)"
 
 
 @query("explore_sweep", f"{DERIVED}, {SWEEP} select design, frequency_ghz, round(power_mw, 3) as power_mw from g")
@@ -568,8 +568,8 @@ def block_map(s: SparkSession) -> DataFrame:
 
 LONG = """
 l as (select *, 'soc/' || fub || '/i' || cast(build_number % 3 as varchar) as object, cast(substring(fub, 7) as int) as n, build_number % 3 as i from wide where build_number <= 6),
-x as (select l.*, case when n % 2 = 0 then fub || '@i' || cast(i as varchar) else fub end as to_fub, case when n = 1 and i = 0 then 0.25 else 1.0 end as weight from l where n % 2 = 0 or i < 2
-  union all select l.*, 'Brand#3', 0.75 from l where n = 1 and i = 0)
+x as (select l.*, case when n % 2 = 0 then fub || '@' || cast(i as varchar) else fub end as to_fub, case when n = 1 and i = 0 then 0.25e0 else 1e0 end as weight from l where n % 2 = 0 or i < 2
+  union all select l.*, 'Brand#3', 0.75e0 from l where n = 1 and i = 0)
 """
 
 
