@@ -7,6 +7,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from wattloom.session import importable
+
 WIDE = """
 select *, design || '.' || partition || '.' || fub as model_root, 'rtl-' || partition as owner,
   cast(40 - (partition_number * 7 + build_number * 13 + case when operating_point = 'nom' then 0 else 29 end) % 80 as double) as wns_ps,
@@ -67,6 +69,7 @@ SOURCES = ["lineitem", "orders", "part", "supplier", "nation", "region", "custom
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of TABLES over the given Parquet files."""
+    importable(spark)
     text = TABLES[name]
     used = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in SOURCES if "{" + t + "}" in text}
     return spark.sql(text.replace("varchar(9)", "string"), **used)

@@ -16,6 +16,8 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wattloom.session import importable
+
 SCHEMA = "source_file string, source string, ordinal long, object string, object_kind string, metric string, value double, unit string, workload string, operating_point string, error string"
 Record = tuple[str, str, str, float | None, str]  # object, kind, metric, value, unit
 _KEY = re.compile(r"^\s*([A-Za-z][\w ./-]{0,39}?)\s*[:=]\s*(.*)$")
@@ -271,6 +273,7 @@ def context_of(path: str, source: str) -> dict:
 
 def read_reports(spark: SparkSession, run: str, source: str, **context) -> DataFrame:
     """Long records of one source under a run's folder; a file that cannot be parsed is one row with its error."""
+    importable(spark)
     reader, pattern = READERS[source]
     files = spark.read.text(f"{run.rstrip('/')}/{pattern}", wholetext=True).select("value", F.col("_metadata.file_path").alias("path"))
 
