@@ -11,6 +11,8 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wattloom.session import importable
+
 #: Rows of one Arrow batch handed to Python; bounds a worker's memory with long texts.
 ARROW_ROWS = 256
 
@@ -25,6 +27,7 @@ def shared_dir(spark: SparkSession) -> str:
 
     Only where that setting is missing (tests on one machine) an own folder is made and set.
     """
+    importable(spark)
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = "file://" + tempfile.mkdtemp(prefix="wattloom-")

@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wattloom.llm.common import Scratch, load, worker_cache
+from wattloom.llm.common import Scratch, load, shared_dir, worker_cache
 
 WINDOW = 5
 SYMBOLS = b"#*$%&|<>"
@@ -61,6 +61,8 @@ def with_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with a struct column ``quality`` of STATISTICS; narrow."""
     from pyspark.sql.functions import pandas_udf
 
+    shared_dir(docs.sparkSession)
+
     @pandas_udf(", ".join(f"{c} long" for c in STATISTICS))
     def of(texts):
         import pandas as pd
