@@ -59,7 +59,7 @@ def timing_model(df: DataFrame) -> DataFrame:
 def timing_fmax(model: DataFrame, voltage: float) -> DataFrame:
     """GHz that each design's slowest partition reaches at a voltage."""
     ghz = 1000 / F.exp(F.col("intercept") + F.coalesce("slope", F.lit(0.0)) * F.ln(F.lit(voltage)))
-    return model.withColumn("ghz", ghz).groupBy("design").agg(F.min("ghz").alias("fmax_ghz"), F.min_by("partition", F.struct("ghz", "partition")).alias("limited_by"))
+    return model.withColumn("ghz", ghz).groupBy("design").agg(F.min("ghz").alias("fmax_ghz"), F.min_by("partition", F.struct(F.round("ghz", 9), "partition")).alias("limited_by"))
 
 
 def profile_summary(profile: DataFrame) -> DataFrame:

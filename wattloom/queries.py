@@ -435,7 +435,7 @@ def _(s, d):
     return rounded(timing(s, d))
 
 
-@query("timing_fmax", f"{TIMING}, g as (select *, 1000 / exp(intercept + coalesce(slope, 0) * ln(0.8)) as ghz from m) select design, round(min(ghz), 6) as fmax_ghz, arg_min(partition, (ghz, partition)) as limited_by from g group by design")
+@query("timing_fmax", f"{TIMING}, g as (select *, 1000 / exp(intercept + coalesce(slope, 0) * ln(0.8)) as ghz from m) select design, round(min(ghz), 6) as fmax_ghz, arg_min(partition, (round(ghz, 9), partition)) as limited_by from g group by design")
 def _(s, d):
     return rounded(workload.timing_fmax(timing(s, d), 0.8))
 
