@@ -51,9 +51,10 @@ def dvfs_curve(df: DataFrame) -> DataFrame:
 
 
 def timing_model(df: DataFrame) -> DataFrame:
-    """log delay over log voltage per design and partition, on distinct points of the rows given."""
+    """log delay over log voltage per design and partition, on distinct points of the rows given; flat at one voltage."""
     points = df.select("design", "partition", "voltage_v", (F.col("clock_period_ps") - F.col("wns_ps")).alias("delay")).where("delay > 0 and voltage_v > 0").distinct()
-    return points.withColumns({"ld": F.ln("delay"), "lv": F.ln("voltage_v")}).groupBy("design", "partition").agg(*_fit(F.col("ld"), F.col("lv")))
+    fitted = points.withColumns({"ld": F.ln("delay"), "lv": F.ln("voltage_v")}).groupBy("design", "partition").agg(*_fit(F.col("ld"), F.col("lv")), F.avg("ld").alias("mean_"))
+    return fitted.withColumn("intercept", F.coalesce("intercept", "mean_")).drop("mean_")
 
 
 def timing_fmax(model: DataFrame, voltage: float) -> DataFrame:

@@ -423,7 +423,7 @@ def _(s, d):
     return rounded(workload.dvfs_curve(table(s, d, "wide")))
 
 
-TIMING = f"with {LATEST}, p as (select distinct design, partition, ln(voltage_v) as lv, ln(clock_period_ps - wns_ps) as ld from wide join l using (design) where build_number = bn and clock_period_ps - wns_ps > 0), m as (select design, partition, count(*) as n, regr_slope(ld, lv) as slope, regr_intercept(ld, lv) as intercept, case when var_pop(ld) > 0 then regr_r2(ld, lv) end as r2 from p group by 1, 2)"
+TIMING = f"with {LATEST}, p as (select distinct design, partition, ln(voltage_v) as lv, ln(clock_period_ps - wns_ps) as ld from wide join l using (design) where build_number = bn and clock_period_ps - wns_ps > 0), m as (select design, partition, count(*) as n, case when var_pop(lv) > 0 then regr_slope(ld, lv) end as slope, coalesce(case when var_pop(lv) > 0 then regr_intercept(ld, lv) end, avg(ld)) as intercept, case when var_pop(ld) > 0 then regr_r2(ld, lv) end as r2 from p group by 1, 2)"
 
 
 def timing(s: SparkSession, d: str) -> DataFrame:
