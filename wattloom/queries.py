@@ -62,17 +62,17 @@ KEY = ["design", "build", "fub", "workload", "operating_point"]
 KEYS = ", ".join(KEY)
 
 
-def _columns(names: list[str]) -> str:
-    return ", ".join(f"round({c}, 11) as {c}" for c in names)
+def _columns(names: list[str], places: int) -> str:
+    return ", ".join(f"round({c}, {places}) as {c}" for c in names)
 
 
-def _projection(name: str, columns: list[str]) -> None:
-    query(name, f"{DERIVED} select {KEYS}, {_columns(columns)} from d")(lambda s, d: rounded(wide(s, d).select(*KEY, *columns), **dict.fromkeys(columns, 11)))
+def _projection(name: str, columns: list[str], places: int = 11) -> None:
+    query(name, f"{DERIVED} select {KEYS}, {_columns(columns, places)} from d")(lambda s, d: rounded(wide(s, d).select(*KEY, *columns), **dict.fromkeys(columns, places)))
 
 
 _projection("wide_measurements", ["be_mw", "fe_physical_mw", "fe_logical_mw", "be_leakage_mw", "be_clock_mw", "be_register_mw", "be_comb_mw", "be_memory_mw", "wire_cap_pf", "cell_cap_pf", "area", "wns_ps", "voltage_v", "activity", "cg_efficiency", "be_voltus_mw"])
 _projection("derived_metrics", ["logical_error_mw", "physical_error_mw", "logical_error_pct", "physical_error_pct", "logical_to_be_ratio", "physical_to_be_ratio", "be_dynamic_mw"])
-_projection("convergence_metrics", ["leakage_fraction", "clock_fraction", "cdyn_pf"])
+_projection("convergence_metrics", ["leakage_fraction", "clock_fraction", "cdyn_pf"], 7)
 _projection("fmax", ["fmax_ghz"])
 _projection("engineered_features", ["total_cap_pf", "wire_cap_fraction", "dyn_term", "leak_term", "cell_dyn_term", "wire_dyn_term", "move_term"])
 
