@@ -74,3 +74,14 @@ def test_text_stage_keeps_columns_and_edges(spark):
     assert got == sorted([(1, p, 150, "row"), (2, "étail", 5, "row"), (3, None, None, None), (None, "", 0, "q"), (2, "", 0, "row"), (2, "", 0, "row")], key=str)
     assert remove_repeats(docs).schema.names == docs.schema.names and remove_repeats(docs.limit(0)).count() == 0
     assert report(docs).count() == 6
+
+
+def test_repeated_rows_without_an_earlier_copy_keep_their_text(spark):
+    rng = random.Random(4)
+    p, q, r = ("".join(rng.choice("abcdefgh ") for _ in range(n)) for n in (150, 400, 300))
+    rows = [(7, p), (7, p), (None, q), (None, q), (8, r), (9, r), (9, r)]
+    for parts in (1, 7):  # repeated rows in one batch, and in tasks of their own
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+        got = sorted((r.doc_id or 0, r.n_bytes, r.n_removed) for r in report(docs).collect())
+        assert got == [(0, 400, 0), (0, 400, 0), (7, 150, 0), (7, 150, 0), (8, 300, 0), (9, 300, 300), (9, 300, 300)]
+        assert sorted(r.text for r in remove_repeats(docs).collect()) == sorted([p, p, q, q, r, "", ""])

@@ -99,6 +99,11 @@ def _batch(columns: dict) -> object:
     return pa.RecordBatch.from_pydict({k: pa.array(v, t) for k, (v, t) in columns.items()})
 
 
+def _distinct(*columns: np.ndarray) -> np.ndarray:
+    """Of sorted rows, those unlike the one before: an owner of a repeated row is no repeat of itself."""
+    return np.concatenate(([True], np.any([c[1:] != c[:-1] for c in columns], axis=0)))
+
+
 def _tie() -> Column:
     return F.xxhash64(F.col("text")).bitwiseAND(F.lit(0xFFFF)).cast("int")
 
@@ -135,6 +140,8 @@ def _find(batches: Iterator) -> Iterator:
         key, ctx, doc, tie, pos, lo, hi = (np.concatenate(x) for x in zip(*parts, strict=True))
         order = np.lexsort((pos, tie, doc, ctx, key))
         key, ctx, doc, tie, pos, lo, hi = (x[order] for x in (key, ctx, doc, tie, pos, lo, hi))
+        own = _distinct(key, ctx, doc, tie, pos)
+        key, ctx, doc, tie, pos, lo, hi = (x[own] for x in (key, ctx, doc, tie, pos, lo, hi))
         same = (key[1:] == key[:-1]) & (ctx[1:] == ctx[:-1])
         repeat = np.concatenate(([False], same))
         # classes that repeat here are remembered: later ones in this task need not move
@@ -197,6 +204,8 @@ def _resolve(batches: Iterator) -> Iterator:
         key, ctx, doc, tie, pos, lo, hi = (get(c)[at] for c in ("key", "ctx", "doc", "tie", "pos", "lo", "hi"))
         order = np.lexsort((pos, tie, doc, ctx, key))
         key, ctx, doc, tie, pos, lo, hi = (x[order] for x in (key, ctx, doc, tie, pos, lo, hi))
+        own = _distinct(key, ctx, doc, tie, pos)
+        key, ctx, doc, tie, pos, lo, hi = (x[own] for x in (key, ctx, doc, tie, pos, lo, hi))
         new_key = np.concatenate(([True], key[1:] != key[:-1]))
         first = new_key | np.concatenate(([True], ctx[1:] != ctx[:-1]))
         rep = np.nonzero(~first)[0]
