@@ -85,3 +85,17 @@ def test_repeated_rows_without_an_earlier_copy_keep_their_text(spark):
         got = sorted((r.doc_id or 0, r.n_bytes, r.n_removed) for r in report(docs).collect())
         assert got == [(0, 400, 0), (0, 400, 0), (7, 150, 0), (7, 150, 0), (8, 300, 0), (9, 300, 300), (9, 300, 300)]
         assert sorted(r.text for r in remove_repeats(docs).collect()) == sorted([p, p, q, q, r, "", ""])
+
+
+def test_many_texts_without_an_id_are_told_apart(spark):
+    rng = random.Random(6)
+    word = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    common = word(130)
+    texts = [f"{i} {word(rng.randrange(20, 60))}#{common}|{i} {word(130)}" for i in range(1500)]
+    null = spark.createDataFrame([(None, t) for t in texts], "doc_id long, text string")
+    hashes = null.selectExpr("text", "xxhash64(text) as h").collect()
+    assert len({r.h & 0xFFFF for r in hashes}) < len(texts)
+    rows = [(None, r.text) for r in sorted(hashes, key=lambda r: r.h)] + [(i, t[-120:]) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = sorted(tuple(r)[1:] for r in report(docs).collect())
+    assert got == sorted(brute(rows))

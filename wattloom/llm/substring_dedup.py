@@ -20,8 +20,8 @@ Then each document's repeats are removed in one join. Every step is exact: hashe
 candidates together (64 bits each), and windows are judged on the input.
 
 Defined results: null text counts as empty; texts under 100 bytes keep everything; rows that
-share a doc_id are told apart by 16 bits of their texts' hash, and rows equal in both are one
-document (all get its result); a null doc_id sorts first; an empty table gives no rows; other
+share a doc_id are told apart and ordered by a 64-bit hash of their texts, and rows equal in both
+are one document (all get its result); a null doc_id sorts first; an empty table gives no rows; other
 columns pass through ``remove_repeats`` and are ignored by the query.
 """
 
@@ -105,7 +105,7 @@ def _distinct(*columns: np.ndarray) -> np.ndarray:
 
 
 def _tie() -> Column:
-    return F.xxhash64(F.col("text")).bitwiseAND(F.lit(0xFFFF)).cast("int")
+    return F.xxhash64(F.col("text"))
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -114,7 +114,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc"), text.alias("text")).withColumn("tie", _tie())
 
 
-FOUND = "key long, ctx long, doc long, tie int, pos long, lo int, hi int, repeat boolean"
+FOUND = "key long, ctx long, doc long, tie long, pos long, lo int, hi int, repeat boolean"
 
 
 def _find(batches: Iterator) -> Iterator:
@@ -154,7 +154,7 @@ def _find(batches: Iterator) -> Iterator:
         if len(seen) > REMEMBERED:
             seen.clear()
         go = ~repeat
-        yield _batch({"key": (key[go], long), "ctx": (ctx[go], long), "doc": (doc[go], long), "tie": (tie[go], int_), "pos": (pos[go], long), "lo": (lo[go], int_), "hi": (hi[go], int_), "repeat": (repeat[go], pa.bool_())})
+        yield _batch({"key": (key[go], long), "ctx": (ctx[go], long), "doc": (doc[go], long), "tie": (tie[go], long), "pos": (pos[go], long), "lo": (lo[go], int_), "hi": (hi[go], int_), "repeat": (repeat[go], pa.bool_())})
         yield from _spread(doc[repeat], tie[repeat], pos[repeat], lo[repeat], hi[repeat])
 
 
@@ -172,12 +172,12 @@ def _spread(doc, tie, pos, lo, hi) -> Iterator:
     end = np.maximum.reduceat(end, at)
     doc, tie, start = doc[at], tie[at], start[at]
     with np.errstate(over="ignore"):
-        key = (doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + start.astype(np.uint64) * np.uint64(0xBF58476D1CE4E5B9)).view(np.int64)
+        key = ((doc ^ tie).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + start.astype(np.uint64) * np.uint64(0xBF58476D1CE4E5B9)).view(np.int64)
     n = len(doc)
-    yield _batch({"key": (key, long), "ctx": (end, long), "doc": (doc, long), "tie": (tie, int_), "pos": (start, long), "lo": (np.zeros(n, int), int_), "hi": (np.zeros(n, int), int_), "repeat": (np.ones(n, bool), pa.bool_())})
+    yield _batch({"key": (key, long), "ctx": (end, long), "doc": (doc, long), "tie": (tie, long), "pos": (start, long), "lo": (np.zeros(n, int), int_), "hi": (np.zeros(n, int), int_), "repeat": (np.ones(n, bool), pa.bool_())})
 
 
-RESOLVED = "doc long, tie int, start long, stop long, key long, lo int, hi int"
+RESOLVED = "doc long, tie long, start long, stop long, key long, lo int, hi int"
 
 
 def _resolve(batches: Iterator) -> Iterator:
@@ -190,7 +190,7 @@ def _resolve(batches: Iterator) -> Iterator:
         known = get("repeat")
         if known.any():
             at = np.nonzero(known)[0]
-            yield _batch({"doc": (get("doc")[at], long), "tie": (get("tie")[at], int_), "start": (get("pos")[at], long), "stop": (get("ctx")[at], long), "key": ([None] * len(at), long), "lo": ([None] * len(at), int_), "hi": ([None] * len(at), int_)})
+            yield _batch({"doc": (get("doc")[at], long), "tie": (get("tie")[at], long), "start": (get("pos")[at], long), "stop": (get("ctx")[at], long), "key": ([None] * len(at), long), "lo": ([None] * len(at), int_), "hi": ([None] * len(at), int_)})
         key = get("key")
         at = np.nonzero(~known)[0]
         key = key[at]
@@ -211,15 +211,15 @@ def _resolve(batches: Iterator) -> Iterator:
         rep = np.nonzero(~first)[0]
         if len(rep):
             none = [None] * len(rep)
-            yield _batch({"doc": (doc[rep], long), "tie": (tie[rep], int_), "start": (pos[rep] - hi[rep], long), "stop": (pos[rep] - lo[rep] + LENGTH, long), "key": (none, long), "lo": (none, int_), "hi": (none, int_)})
+            yield _batch({"doc": (doc[rep], long), "tie": (tie[rep], long), "start": (pos[rep] - hi[rep], long), "stop": (pos[rep] - lo[rep] + LENGTH, long), "key": (none, long), "lo": (none, int_), "hi": (none, int_)})
         group = np.cumsum(new_key) - 1
         several = first & (np.bincount(group, first)[group] > 1)
         if several.any():
             s = np.nonzero(several)[0]
-            yield _batch({"doc": (doc[s], long), "tie": (tie[s], int_), "start": (pos[s], long), "stop": ([None] * len(s), long), "key": (key[s], long), "lo": (lo[s], int_), "hi": (hi[s], int_)})
+            yield _batch({"doc": (doc[s], long), "tie": (tie[s], long), "start": (pos[s], long), "stop": ([None] * len(s), long), "key": (key[s], long), "lo": (lo[s], int_), "hi": (hi[s], int_)})
 
 
-NEAR = "key long, doc long, tie int, pos long, lo int, hi int, left binary, right binary"
+NEAR = "key long, doc long, tie long, pos long, lo int, hi int, left binary, right binary"
 
 
 def _surroundings(batches: Iterator) -> Iterator:
@@ -240,7 +240,7 @@ def _surroundings(batches: Iterator) -> Iterator:
                     name = _signed(xxhash.xxh3_64_digest(b"R" + key + right[:HALF]))
                     out.append((name, doc, tie, pos, lo, min(hi, HALF - 1), left, right))
         if out:
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
             names = ["key", "doc", "tie", "pos", "lo", "hi", "left", "right"]
             yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
@@ -316,7 +316,7 @@ def _compare(batches: Iterator) -> Iterator:
         row, a = np.nonzero(edge == 1)
         b = np.nonzero(edge == -1)[1] - 1
         none = [None] * len(row)
-        yield _batch({"doc": (doc[row], long), "tie": (tie[row], int_), "start": (pos[row] - b, long), "stop": (pos[row] - a + LENGTH, long), "key": (none, long), "lo": (none, int_), "hi": (none, int_)})
+        yield _batch({"doc": (doc[row], long), "tie": (tie[row], long), "start": (pos[row] - b, long), "stop": (pos[row] - a + LENGTH, long), "key": (none, long), "lo": (none, int_), "hi": (none, int_)})
 
 
 def repeats(docs: DataFrame, scratch: Scratch) -> DataFrame:
