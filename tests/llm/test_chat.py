@@ -1,5 +1,6 @@
 import hashlib
 
+from pyspark.sql import functions as F
 from wattloom.llm.chat import PLANTED, digests, format_conversations, op7_chat_format, read_turns
 from wattloom.llm.common import load
 
@@ -45,3 +46,14 @@ def test_query_runs_on_the_jvm_alone_and_empty_tables(spark):
     assert "Python" not in plan and "Arrow" not in plan
     n = load(spark, "/root/testdata/sf0.001", "conversations").select("conv_id").distinct().count()
     assert op7_chat_format(spark, "/root/testdata/sf0.001").count() == n + 1
+
+
+def test_digests_read_the_mask(spark):
+    said = ["\ufeffé😀\\e", "", "</turn>###", "plain"]
+    rows = [(1, i, "assistant" if i % 2 else "user", said[i // 2 % 4] if i % 2 else f"u{i}", "", 0) for i in range(1500)]
+    done = format_conversations(spark.createDataFrame(rows, SCHEMA)).withColumn("other", F.transform("loss_runs", lambda r: F.struct(r["chars"].alias("chars"), F.lit(False).alias("loss"))))
+    [right] = digests(done).collect()
+    want = "".join(r[3] for r in rows if r[2] == "assistant")
+    assert (right.loss_chars, right.loss_sha256) == (len(want), sha(want))
+    [wrong] = digests(done.withColumn("loss_runs", F.col("other"))).collect()
+    assert (wrong.loss_chars, wrong.loss_sha256, wrong.turns_sha256) == (0, sha(""), right.turns_sha256)

@@ -29,6 +29,8 @@ from wattloom.llm.common import load
 #: Control strings and the letters that escape them.
 ESCAPES = [("</turn>", "e"), ("</part>", "p"), ("###", "h")]
 END, PART = "</turn>\n", "</part>"
+#: Runs of a mask whose spans are gathered together, so that appending does not copy long arrays.
+TOGETHER = 512
 
 
 def escape(text: Column, role: bool = False) -> Column:
@@ -80,11 +82,39 @@ def read_turns(formatted: Column) -> Column:
     return F.flatten(F.transform(F.slice(blocks, 1, F.size(blocks) - 1), turns))
 
 
+def loss_spans(runs: Column) -> Column:
+    """array<struct<at, chars>> of the runs with loss, at counted from 0."""
+    none = F.array().cast("array<struct<at: int, chars: int>>")
+
+    def step(done: Column, run: Column) -> Column:
+        span = F.array(F.struct(done["at"].alias("at"), run["chars"].alias("chars")))
+        return F.struct((done["at"] + run["chars"]).alias("at"), F.when(run["loss"], F.concat(done["spans"], span)).otherwise(done["spans"]).alias("spans"))
+
+    def gather(done: Column, block: Column) -> Column:
+        part = F.aggregate(block, F.struct(done["at"].alias("at"), none.alias("spans")), step)
+        return F.struct(part["at"].alias("at"), F.concat(done["spans"], F.array(part["spans"])).alias("spans"))
+
+    first = F.sequence(F.lit(1), F.greatest(F.size(runs), F.lit(1)), F.lit(TOGETHER))
+    blocks = F.transform(first, lambda i: F.slice(runs, i, TOGETHER))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<array<struct<at: int, chars: int>>>").alias("spans"))
+    return F.flatten(F.aggregate(blocks, start, gather)["spans"])
+
+
+def under_mask(formatted: Column, runs: Column) -> Column:
+    """The text under the loss mask, unescaped. Sliced in UTF-32, where a character's place is known."""
+    bom = F.unhex(F.lit("0000FEFF"))  # the decoder takes one; a text may begin with its own
+
+    def slices(raw: Column) -> Column:
+        return F.transform(loss_spans(runs), lambda s: unescape(F.decode(F.concat(bom, F.substr(raw, s["at"] * 4 + 1, s["chars"] * 4)), "UTF-32")))
+
+    # raw is bound to a variable, as a column of a row would be copied for each slice
+    return F.array_join(F.flatten(F.transform(F.array(F.encode(formatted, "UTF-32")), slices)), "")
+
+
 def digests(formatted: DataFrame) -> DataFrame:
-    """What the formatted text holds when read back."""
-    back = formatted.select("conv_id", "formatted", read_turns(F.col("formatted")).alias("turns"))
-    said = F.array_join(F.transform(F.filter("turns", lambda t: t["role"] == "assistant"), lambda t: t["text"]), "")
-    back = back.withColumn("said", said)
+    """What the formatted text holds when read back, and what its loss mask leaves of it."""
+    said = under_mask(F.col("formatted"), F.col("loss_runs"))
+    back = formatted.select("conv_id", "formatted", read_turns(F.col("formatted")).alias("turns"), said.alias("said"))
     return back.select(
         "conv_id",
         F.size("turns").cast("long").alias("n_turns"),
