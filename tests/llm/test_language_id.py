@@ -1,8 +1,10 @@
+import random
 import zlib
 
+import numpy as np
 from pyspark.sql import functions as F
 from wattloom.llm.common import load
-from wattloom.llm.language_id import fit, grams, held_out, op3_language_id, predict
+from wattloom.llm.language_id import fit, fit_arrays, grams, held_out, op3_language_id, predict
 
 SF = "/root/testdata/sf0.01"
 
@@ -37,3 +39,15 @@ def test_grams_do_not_depend_on_case_or_symbols():
     a, b = grams("Ab, c!"), grams("ab ** C")
     assert [x.tolist() for x in a] == [x.tolist() for x in b]
     assert grams("1 2") is None
+
+
+def test_a_language_with_few_texts_keeps_its_ngrams():
+    rng = random.Random(8)
+    text = lambda letters, n: " ".join("".join(rng.choices(letters, k=rng.randrange(3, 9))) for _ in range(n))
+    large = {"aa": "abcdefghijklm", "bb": "nopqrstuvwxyz", "cc": "бвгджзклмнпр"}
+    small = "αβγδε ζηθικ λμνξο πρστυ"
+    rows = [(text(letters, 400), lang) for lang, letters in large.items() for _ in range(30)] + [(small, "zz")]
+    sets = [np.unique(np.concatenate(grams(t))).astype(np.int64) for t, _ in rows]
+    model = fit_arrays(sets, [lang for _, lang in rows], list(range(len(rows))))
+    assert (model.place[np.unique(np.concatenate(sets))] < model.landmarks.shape[1]).all()
+    assert model.scores(["λμνξο πρστυ αβγδε", text(large["aa"], 20)])[0] == ["zz", "aa"]

@@ -30,7 +30,6 @@ ORDER = 4
 SPACE = 20
 PER_LANGUAGE = 300
 LANDMARKS = 48
-FEATURES = 1 << 14
 RIDGE = 1e-2
 UNKNOWN = "und"
 PIECE = 1_000_000
@@ -68,7 +67,7 @@ def grams(text: str) -> list[np.ndarray] | None:
 
 @dataclass
 class Model:
-    """place: feature of each n-gram hash, or FEATURES' end; weights: features x languages."""
+    """place: feature of each n-gram hash, or their number; weights: landmarks x languages."""
 
     languages: list[str]
     place: np.ndarray
@@ -97,15 +96,14 @@ class Model:
 def fit_arrays(sets: list[np.ndarray], labels: list[str], landmarks: list[int]) -> Model:
     """sets: distinct n-gram hashes of each sample text; landmarks: indexes into them."""
     languages = sorted(set(labels))
-    seen, count = np.unique(np.concatenate([sets[i] for i in landmarks] or [np.zeros(0, np.int64)]), return_counts=True)
-    chosen = np.sort(seen[np.lexsort((seen, -count))[:FEATURES]])
+    chosen = np.unique(np.concatenate([sets[i] for i in landmarks] or [np.zeros(0, np.int64)]))
     place = np.full(1 << SPACE, len(chosen), np.int32)
     place[chosen] = np.arange(len(chosen))
     present = np.zeros((len(sets), len(chosen) + 1), np.float32)
     for i, s in enumerate(sets):
         present[i, place[s]] = 1
-    present = present[:, :-1]
-    unit = present / np.maximum(np.sqrt(present.sum(axis=1)), 1)[:, None]
+    unit = present[:, :-1]
+    unit /= np.maximum(np.sqrt(unit.sum(axis=1)), 1)[:, None]
     marks = unit[landmarks]
     kernel = (unit @ marks.T).astype(np.float64)
     values, vectors = np.linalg.eigh((marks @ marks.T).astype(np.float64)) if len(marks) else (np.zeros(0), np.zeros((0, 0)))
