@@ -114,3 +114,17 @@ def test_name_rules(spark):
     df = spark.createDataFrame([("chip.Core\\[0\\].u_x",)], "p string")
     got = df.select(identity.normalize_name(F.col("p"), divider=".", strip_top=True, rules=[(r"\[(\d+)\]", "_$1")], lowercase=True).alias("n")).first().n
     assert got == "core_0/u_x"
+
+
+def test_importance_is_the_mean_of_five_shuffles(spark):
+    rows = [("D", "B1", f"F{i}", "w", "nom", float(i % 7 + 1), float(i % 5), 13.0 + 3 * (i % 7) + i % 5) for i in range(40)]
+    df = spark.createDataFrame(rows, "design string, build string, fub string, workload string, operating_point string, x double, z double, be_mw double")
+    model = models.Linear("linear", 10.0, {"x": 3.0, "z": 1.0}, {"x": 1.0, "z": 1.0})
+    got = {r.feature: r.importance for r in models.permutation_importance(df, model).collect()}
+    gains = {"x": 0.0, "z": 0.0}
+    for n in range(5):
+        for k, c in enumerate(gains):
+            order = df.selectExpr("*", f"xxhash64({42 + k + n * 2}, fub, workload, operating_point) as h").orderBy("h").collect()
+            for a, b in zip(df.orderBy("fub").collect(), order, strict=True):
+                gains[c] += abs(model.coefficients[c] * (b[c] - a[c])) / a.be_mw
+    assert {c: round(v, 9) for c, v in got.items()} == {c: round(v / sum(gains.values()), 9) for c, v in gains.items()}
