@@ -76,7 +76,6 @@ def test_pieces_hold_the_ids(spark):
     docs = load(spark, "/root/testdata/sf0.01", "documents")
     got = op5_packing(spark, "/root/testdata/sf0.01").collect()
     t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
     rows = docs.select("doc_id", "text").collect()
     ids = {r.doc_id: [*e.ids, 1] for r, e in zip(rows, t.encode_batch([r.text or "" for r in rows], add_special_tokens=False), strict=True)}
     for r in got:
@@ -85,8 +84,8 @@ def test_pieces_hold_the_ids(spark):
 
 
 def test_edges(spark):
-    rows = [(1, None), (1, ""), (None, "a b"), (1, "")]
+    rows = [(1, None), (1, ""), (None, "a b"), (1, ""), (4, "a <|endoftext|> b")]
     docs = spark.createDataFrame([(*r, 5, "x") for r in rows], "doc_id long, text string, part int, ids string")
     got = pack(docs, PATH).groupBy(F.coalesce("doc_id", F.lit(-1)).alias("d")).agg(F.sum("length").alias("n")).collect()
-    assert {r.d: r.n for r in got} == {1: 3, -1: 3}
+    assert {r.d: r.n for r in got} == {1: 3, -1: 3, 4: 4}
     assert pack(docs.limit(0), PATH).collect() == []

@@ -25,11 +25,15 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
-    Only where that setting is missing (tests on one machine) an own folder is made and set.
+    Where that setting is missing, a session on one machine gets a folder of its own; on a cluster this raises,
+    as executors would each write to their own disk.
     """
     importable(spark)
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="wattloom-")
         spark.conf.set("spark.checkpoint.dir", found)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))

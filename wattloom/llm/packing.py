@@ -210,10 +210,10 @@ def plan_pieces(lengths: DataFrame, scratch: Scratch, length: int = LENGTH, grai
     return whole.union(packed).union(filled)
 
 
-def pack(docs: DataFrame, path: str, end_id: int = 1, length: int = LENGTH) -> DataFrame:
+def pack(docs: DataFrame, path: str, end_id: int = 1, length: int = LENGTH, control_as_text: bool = False) -> DataFrame:
     """Pieces of all docs (doc_id, text): doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     scratch = Scratch(docs.sparkSession, "packing")
-    held, _ = encoded(docs, scratch, path, False, end_id)
+    held, _ = encoded(docs, scratch, path, False, end_id, control_as_text)
     pieces = plan_pieces(held.select("part", "pos", "n_tokens"), scratch, length)
     of = pieces.groupBy("part", "pos").agg(F.collect_list(F.struct("start", "length", "sequence_id", "offset")).alias("pieces"))
 

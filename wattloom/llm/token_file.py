@@ -1,9 +1,10 @@
 """Token-id output: canonical length-limited Huffman coding of ids, from global counts.
 
-The file format is a table of blocks, in ascending (doc_id, row) order over its parts. A block
+A file is a folder of two tables. ``blocks`` is in ascending (doc_id, row) order over its parts. A block
 holds whole documents and can be decoded alone: its code is the file's one canonical
-code (kept beside it as one length per id), its bit stream has a checkpoint, the bit offset, at
+code, its bit stream has a checkpoint, the bit offset, at
 every 128th id, and decoding runs all checkpoints at once through one table of 2**LIMIT entries.
+``code`` holds that code as one length per id, so a file is read by its path alone, in any session.
 Code lengths come from package-merge over the counts of all ids, so no code exceeds LIMIT bits.
 
 Defined results: null and empty texts give the end id alone; a null doc_id sorts first; repeated
@@ -26,6 +27,7 @@ from wattloom.llm.tokens import encoded, expand, id_counts
 LIMIT = 20
 EVERY = 128
 BLOCK = 1 << 19
+CODE_SCHEMA = "id int, bits int"
 BLOCK_SCHEMA = "part int, start long, n_tokens long, doc_ids array<long>, doc_tokens array<long>, bits binary, checkpoints binary"
 
 
@@ -112,10 +114,14 @@ def unpack(bits: bytes, checkpoints: bytes, n_tokens: int, table: tuple[np.ndarr
 
 
 class TokenFile:
-    """A written file: its blocks, its code lengths and the ids before each part."""
+    """A written file, opened by its path: its blocks and its code lengths."""
 
-    def __init__(self, blocks: DataFrame, lengths: np.ndarray):
-        self.blocks, self.lengths = blocks, lengths
+    def __init__(self, spark: SparkSession, path: str):
+        self.blocks = spark.read.schema(BLOCK_SCHEMA).parquet(f"{path}/blocks")
+        code = spark.read.schema(CODE_SCHEMA).parquet(f"{path}/code").collect()  # a row an id of the vocabulary
+        self.lengths = np.zeros(max((r.id for r in code), default=-1) + 1, np.uint8)
+        for r in code:
+            self.lengths[r.id] = r.bits
 
     def documents(self) -> DataFrame:
         """Reads back (doc_id, start, n_tokens, ids_crc32), the crc over 32-bit little-endian ids."""
@@ -148,10 +154,11 @@ class TokenFile:
         return rows.join(F.broadcast(offsets), "part").select("doc_id", (F.col("start") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
 
 
-def write_tokens(docs: DataFrame, path: str, end_id: int, leading_space: bool = True) -> TokenFile:
-    """Encodes all texts with the tokenizers file at ``path`` and writes them in ascending doc_id."""
-    scratch = Scratch(docs.sparkSession, "tokens")
-    held, counts = encoded(docs, scratch, path, leading_space, end_id)
+def write_tokens(docs: DataFrame, path: str, end_id: int, out: str, leading_space: bool = True, control_as_text: bool = False) -> None:
+    """Encodes all texts with the tokenizers file at ``path`` and writes them in ascending doc_id to the folder ``out``."""
+    spark = docs.sparkSession
+    scratch = Scratch(spark, "tokens")
+    held, counts = encoded(docs, scratch, path, leading_space, end_id, control_as_text)
     counts = id_counts(counts)
     lengths = code_lengths(counts)
     codes = canonical_codes(lengths)
@@ -182,12 +189,15 @@ def write_tokens(docs: DataFrame, path: str, end_id: int, leading_space: bool =
             yield close()
 
     ordered = held.repartitionByRange("doc_id", "part", "pos").sortWithinPartitions("doc_id", "part", "pos").select("doc_id", "ids")
-    out = scratch.save(ordered.mapInArrow(blocks, BLOCK_SCHEMA), "blocks", codec="uncompressed")
+    ordered.mapInArrow(blocks, BLOCK_SCHEMA).write.option("compression", "uncompressed").parquet(f"{out}/blocks")
+    used = [(int(i), int(lengths[i])) for i in np.nonzero(lengths)[0]]
+    spark.createDataFrame(used, CODE_SCHEMA).coalesce(1).write.parquet(f"{out}/code")
     scratch.drop(held)
-    return TokenFile(out, lengths)
 
 
 def op2_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return write_tokens(load(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2).documents()
+    out = Scratch(spark, "token-file").path("documents")
+    write_tokens(load(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 2, out)
+    return TokenFile(spark, out).documents()

@@ -3,11 +3,14 @@
 Encoding a text costs the tokenizer library the same for a word seen a million times. Texts are
 therefore cut where a tokenizer's own splitting cuts in any case; each distinct piece goes through
 the library once while a worker remembers it, and the ids of a text are gathered from its
-pieces' by array operations. A text where a cut is not certain is encoded whole.
+pieces' by array operations. A text where a cut is not certain is encoded whole, and so is one that
+holds an added token of the file (a control string such as an end of text): by default such strings
+become the added token's id, as the library does it; ``control_as_text`` spells them as ordinary text.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,8 +19,9 @@ from pyspark.sql import functions as F
 
 from wattloom.llm.common import Scratch, worker_cache
 
-#: Distinct pieces in a generation that a worker remembers; the last two bound its memory.
+#: Distinct pieces, and their characters, in a generation that a worker remembers; the last two bound its memory.
 REMEMBERED = 400_000
+REMEMBERED_CHARS = 16 << 20
 #: Bytes of text that are encoded together, whole texts at a time: more texts share more pieces.
 TOGETHER = 4 << 20
 #: Whole vocabularies fit 16 bits in both files; ids are held so between steps.
@@ -39,14 +43,15 @@ class Encoder:
     side. Else the tokenizer drops white space, and texts are cut at it.
     """
 
-    def __init__(self, path: str, leading_space: bool):
+    def __init__(self, path: str, leading_space: bool, control_as_text: bool = False):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = control_as_text
+        self.control = "|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values())
         if self.tokenizer.get_vocab_size() > np.iinfo(HELD).max:
             raise ValueError("ids of this vocabulary do not fit 16 bits")
         self.leading_space = leading_space
@@ -56,6 +61,7 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
+        self.chars = 0
         self.known: dict[str, int] = {}
         self.older: dict[str, int] = {}
         self.start, self.size, self.pool = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, HELD)
@@ -68,6 +74,7 @@ class Encoder:
     def _add(self, pieces: list[str], ids: np.ndarray, start: np.ndarray, size: np.ndarray) -> None:
         """pieces have ids[start : start + size]."""
         self.known.update(zip(pieces, range(len(self.start), len(self.start) + len(pieces)), strict=True))
+        self.chars += sum(map(len, pieces))
         self.start, self.size = np.concatenate([self.start, start + len(self.pool)]), np.concatenate([self.size, size])
         self.pool = np.concatenate([self.pool, ids])
 
@@ -81,13 +88,15 @@ class Encoder:
 
     def codes(self, pieces: list[str]) -> np.ndarray:
         """Numbers of distinct pieces, after learning the new ones."""
-        if len(self.known) > REMEMBERED:
+        if len(self.known) > REMEMBERED or self.chars > REMEMBERED_CHARS:
             kept = list(self.known)
+            if sum(map(len, kept)) > REMEMBERED_CHARS:  # few but long pieces, as of scripts without blanks
+                kept = []
             ids, ends = self.gather(np.fromiter(self.known.values(), np.int64, len(kept)))
             size = np.diff(ends, prepend=0)
             self.forget()
             self._add(kept, ids, ends - size, size)
-            self.older, self.known = self.known, {}
+            self.older, self.known, self.chars = self.known, {}, 0
         known, older = self.known, self.older
         missing = [p for p in pieces if p not in known]
         if missing:
@@ -123,14 +132,18 @@ class Encoder:
         text = pa.large_string()
         texts = texts.cast(text)
         out: list[bytes | None] = [None] * len(texts)
-        sure = np.arange(len(texts))
+        odd = np.zeros(len(texts), bool)
+        if self.control:
+            odd |= pc.match_substring_regex(texts, self.control, ignore_case=True).to_numpy(zero_copy_only=False)
         if self.leading_space:
-            odd = pc.match_substring_regex(texts, UNSURE).to_numpy(zero_copy_only=False)
-            some = np.nonzero(odd)[0]
-            for i, ids in zip(some, self._ids(texts.take(pa.array(some)).to_pylist()), strict=True):
-                out[i] = np.array(ids, HELD).tobytes()
-            sure = np.nonzero(~odd)[0]
-            texts = pc.replace_substring_regex(texts.take(pa.array(sure)), SIGN, rf"\1 {FIRST}\2")
+            odd |= pc.match_substring_regex(texts, UNSURE).to_numpy(zero_copy_only=False)
+        some, sure = np.nonzero(odd)[0], np.nonzero(~odd)[0]
+        for i, ids in zip(some, self._ids(texts.take(pa.array(some)).to_pylist()), strict=True):
+            out[i] = np.array(ids, HELD).tobytes()
+        if len(some):
+            texts = texts.take(pa.array(sure))
+        if self.leading_space:
+            texts = pc.replace_substring_regex(texts, SIGN, rf"\1 {FIRST}\2")
             texts = pc.binary_join_element_wise(pa.scalar(FIRST, text), pc.replace_substring(texts, "\n", f" \n {FIRST}"), pa.scalar("", text))
         else:
             texts = pc.replace_substring_regex(pc.replace_substring(texts, "\n", " "), SIGN, r"\1 \2")
@@ -149,9 +162,9 @@ class Encoder:
         return out
 
 
-def shared(path: str, leading_space: bool) -> Encoder:
+def shared(path: str, leading_space: bool, control_as_text: bool = False) -> Encoder:
     """This worker's encoder for a file, so that its tasks share what it remembers."""
-    return worker_cache(f"tokens {path} {leading_space}", lambda: Encoder(path, leading_space))
+    return worker_cache(f"tokens {path} {leading_space} {control_as_text}", lambda: Encoder(path, leading_space, control_as_text))
 
 
 ENCODED = "part int, pos long, doc_id long, n_tokens long, ids binary, counts binary"
@@ -173,7 +186,7 @@ def gathered(batches: Iterator, least: int = TOGETHER) -> Iterator:
         yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
-def encoded(docs: DataFrame, scratch: Scratch, path: str, leading_space: bool, end_id: int) -> tuple[DataFrame, DataFrame]:
+def encoded(docs: DataFrame, scratch: Scratch, path: str, leading_space: bool, end_id: int, control_as_text: bool = False) -> tuple[DataFrame, DataFrame]:
     """Writes each text's ids and ``end_id``: rows (part, pos, doc_id, n_tokens, ids), and (counts).
 
     ids is a zstd frame of 16-bit ids. (part, pos) numbers the rows of the written table; it
@@ -186,7 +199,7 @@ def encoded(docs: DataFrame, scratch: Scratch, path: str, leading_space: bool, e
         import zstandard
         from pyspark import TaskContext
 
-        encoder, squeeze = shared(path, leading_space), zstandard.ZstdCompressor(level=1)
+        encoder, squeeze = shared(path, leading_space, control_as_text), zstandard.ZstdCompressor(level=1)
         part, pos, end = TaskContext.get().partitionId(), 0, np.array([end_id], HELD).tobytes()
         total = np.zeros(1 << 16, np.int64)
         schema = pa.schema([("part", pa.int32()), ("pos", pa.int64()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary()), ("counts", pa.binary())])
