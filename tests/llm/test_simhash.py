@@ -3,9 +3,12 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
+import pytest
 import xxhash
-from wattloom.llm.common import Scratch, connected_components
-from wattloom.llm.simhash import links, near_duplicates, simhash
+from wattloom.llm import simhash as wattloom_simhash
+from wattloom.llm.common import Scratch, connected_components, lists
+from wattloom.llm.simhash import CHOICES, links, looked_up, near_duplicates, shared_bytes, simhash, tallied
 
 LOWER = str.maketrans({c: c.lower() for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"})
 
@@ -57,7 +60,9 @@ def test_components_equal_brute_force(spark):
     assert got == {i: (f"{prints[i]:016x}", want[i]) for i in prints}
 
 
-def test_dense_lists_lose_no_link(spark):
+@pytest.mark.parametrize("long", [2048, 60, 2])  # lists are tallied, or dealt again by finer keys
+def test_dense_lists_lose_no_link(spark, monkeypatch, long):
+    monkeypatch.setattr(wattloom_simhash, "LONG", long)
     rng = random.Random(2)
     values = {rng.getrandbits(64) for _ in range(300)}
     centre = rng.getrandbits(64)
@@ -65,7 +70,7 @@ def test_dense_lists_lose_no_link(spark):
     values |= {centre ^ x << 3 for x in range(700)}
     signed = [v - (1 << 64) if v >> 63 else v for v in values]
     scratch = Scratch(spark, "t")
-    roots = connected_components(scratch, links(spark.createDataFrame([(v,) for v in signed], "fp long"))).collect()
+    roots = connected_components(scratch, links(spark.createDataFrame([(v,) for v in signed], "fp long"), scratch)).collect()
     got = {}
     for r in roots:
         got.setdefault(r.root, set()).add(r.node)
@@ -90,3 +95,42 @@ def test_repeated_rows_and_null_ids(spark):
     docs = spark.createDataFrame([(5, "a b c d"), (5, "a b c d"), (None, "a b c d"), (None, "q r s t u")], "doc_id long, text string")
     got = sorted((r.doc_id or -1, r.component_id or -1) for r in near_duplicates(docs).collect())
     assert got == [(-1, -1), (-1, 5), (5, 5), (5, 5)]
+
+
+def test_every_two_positions_leave_a_key_alone():
+    assert all(any(not {a, b} & set(c) for c in CHOICES) for a, b in itertools.combinations(range(8), 2))
+
+
+def test_tally_and_lookup_give_the_pairs_within_two_bits():
+    rng = np.random.default_rng(3)
+    for _ in range(20):
+        centre = rng.integers(0, 1 << 63, dtype=np.uint64)
+        own = np.unique(centre ^ (rng.integers(0, 1 << 16, 400).astype(np.uint64) & rng.integers(0, 1 << 16, 400).astype(np.uint64)))
+        want = {(i, j) for i in range(len(own)) for j in range(i + 1, len(own)) if int(own[i] ^ own[j]).bit_count() <= 2}
+        assert set(zip(*map(np.ndarray.tolist, tallied(own, 2)), strict=True)) == want
+        assert set(zip(*map(np.ndarray.tolist, looked_up(own, 2)), strict=True)) == want
+    a, b = np.array([0x0102030405060708], np.uint64), np.array([0x0102FF0405060709], np.uint64)
+    assert shared_bytes(a, b).tolist() == [6]
+
+
+def test_lists_hold_no_long_run():
+    rng = random.Random(7)
+    for most in (1, 3, 10):
+        for least in (1, 20):
+            keys = sorted(rng.choice([rng.randrange(30), 5, 5]) for _ in range(300))
+            batches, at = [], 0
+            while at < len(keys):
+                n = rng.randrange(0, 7)
+                batches.append(pa.record_batch({"key": pa.array(keys[at : at + n], pa.int64())}))
+                at += n
+            seen = []
+            for t, long in lists(iter(batches), "key", most, least):
+                own = t.column("key").to_pylist()
+                if long:
+                    assert len(set(own)) == 1 and len(own) <= most + 14
+                seen.append((own, long))
+            assert sorted(k for own, _ in seen for k in own) == keys
+            passed = {own[0] for own, long in seen if long}
+            whole = [set(own) for own, long in seen if not long]
+            assert sum(map(len, whole)) == len(set().union(*whole)) and not passed & set().union(*whole)
+            assert all(keys.count(k) <= max(most, 7) for own in whole for k in own)

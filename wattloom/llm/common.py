@@ -144,6 +144,43 @@ def batches_of_runs(batches: Iterator, key: str, least: int = 1 << 16) -> Iterat
         yield pa.Table.from_batches(held).combine_chunks()
 
 
+def lists(batches: Iterator, key: str, most: int, least: int = 1 << 16) -> Iterator:
+    """Arrow tables of rows sorted by ``key`` as (table, long): whole runs of equal keys, or parts of one run of more than ``most`` rows.
+
+    A long run is passed on as it comes: what is held is bounded by ``least``, ``most`` and a batch's rows. (A run
+    inside one batch is whole whatever its length.)
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    table = lambda parts: pa.Table.from_batches(parts).combine_chunks()
+    done, size = [], 0  # whole runs
+    held, rows, now, long = [], 0, None, False  # the run that the last batch ended in
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys, start = batch.column(key).to_numpy(zero_copy_only=False), 0
+        if now is not None and keys[0] == now:
+            start = int(np.searchsorted(keys, now, side="right"))
+            held.append(batch.slice(0, start))
+            rows += start
+            if long or rows > most:
+                yield table(held), True
+                held, long = [], True
+            if start == len(keys):
+                continue
+        cut = int(np.searchsorted(keys, keys[-1]))
+        done += [*held, batch.slice(start, cut - start)]
+        size += sum(map(len, held)) + cut - start
+        if size >= least:
+            yield table(done), False
+            done, size = [], 0
+        held, rows, now, long = [batch.slice(cut)], len(keys) - cut, keys[-1], False
+    done += held
+    if sum(map(len, done)):
+        yield table(done), False
+
+
 def release(spark: SparkSession) -> None:
     """Lets Spark delete shuffle files of steps whose results are written, before the next ones need room."""
     gc.collect()

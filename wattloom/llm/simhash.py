@@ -2,13 +2,17 @@
 
 Two 64-bit fingerprints that differ in at most two bits differ in at most two of their eight
 bytes, so they share at least six positional bytes. A posting list per single byte would hold
-1/256 of all fingerprints, and tallying its pairs would grow with the square of the corpus.
-The index therefore is keyed by every choice of six positions (28 of them) with their six
-bytes: a pair meets in a list exactly if its tally of shared positional bytes reaches six, and
-no pair below that count is ever made. Fingerprints in one list differ in two bytes only, so
-a list of distinct fingerprints has at most 65,536 entries whatever the corpus is; that bounds
-what one task holds. Each list verifies its pairs by Hamming distance and emits
-the links of a spanning forest, never all pairs.
+1/256 of all fingerprints, and tallying its pairs would grow with the square of the corpus. The
+index therefore keys its lists by four positional bytes at once: of four pairs of positions two differing
+bytes leave two pairs alone, so six keys a fingerprint (the choices of two pairs) bring every such
+pair of fingerprints together. Within a list the shared positional bytes of each pair are tallied, pairs
+below the guaranteed six go, and the others are verified by Hamming distance. A list emits the
+links of a spanning forest, never all pairs.
+
+A list longer than LONG is not held: its rows are dealt again under each choice of two of the four
+positions that the key leaves open. What meets then shares six positional bytes (the tally is the key), differs in
+two bytes only, and so has at most 65,536 entries whatever the corpus is; there, neighbours are looked up by
+their few differing bits.
 
 Defined results: null and empty texts and texts without a word have fingerprint zero and link
 like any other; a text of one or two words is one shingle; repeated rows share a fingerprint;
@@ -22,18 +26,21 @@ import itertools
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wattloom.llm.common import Scratch, batches_of_runs, connected_components, load, worker_cache
+from wattloom.llm.common import Scratch, batches_of_runs, connected_components, lists, load, worker_cache
 
 SHINGLE = 3
 SEED = 42
 BITS = 2
 #: The bits of each byte value, highest first.
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
-#: Each choice of six of the eight byte positions, as (number, positions kept).
-CHOICES = list(enumerate(itertools.combinations(range(8), 8 - BITS)))
+#: The lists' keys: each choice of two of the four pairs of byte positions.
+PAIRS = [(0, 1), (2, 3), (4, 5), (6, 7)]
+CHOICES = [a + b for a, b in itertools.combinations(PAIRS, 2)]
+#: Fingerprints of a list that are tallied in one task.
+LONG = 2048
 
 
 def simhash(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
@@ -74,26 +81,42 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> D
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
 
 
-def _forest(prints: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links of a spanning forest over distinct fingerprints that share six positional bytes.
-
-    Beyond 256 entries, neighbours are looked up by their few differing bits, not by pairs.
-    """
-    n = len(prints)
+def shared_bytes(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many positional bytes each pair shares."""
+    other = a ^ b
+    return (other.view(np.uint8).reshape(*other.shape, 8) == 0).sum(axis=-1)
+
+
+def tallied(prints: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (i < j) of a list that share the guaranteed number of positional bytes and are within ``bits`` bits."""
+    found = []
+    for at in range(0, len(prints), 256):
+        rows = prints[at : at + 256]
+        enough = shared_bytes(np.broadcast_to(rows[:, None], (len(rows), len(prints))).copy(), prints) >= 8 - bits
+        i, j = np.nonzero(enough)
+        keep = (i + at < j) & (np.bitwise_count(rows[i] ^ prints[j]) <= bits)
+        found.append((i[keep] + at, j[keep]))
+    a, b = zip(*found, strict=True)
+    return np.concatenate(a), np.concatenate(b)
+
+
+def looked_up(prints: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The same pairs of sorted distinct fingerprints that differ in few places, by each set of differing bits."""
+    spread = int(np.bitwise_or.reduce(prints ^ prints[0]))
+    places = [1 << i for i in range(64) if spread >> i & 1]
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    for mask in [sum(c) for k in range(1, bits + 1) for c in itertools.combinations(places, k)]:
+        other = prints ^ np.uint64(mask)
+        at = np.minimum(np.searchsorted(prints, other), len(prints) - 1)
+        i = np.nonzero((prints[at] == other) & (prints < other))[0]
+        found.append((i, at[i]))
+    a, b = zip(*found, strict=True)
+    return np.concatenate(a), np.concatenate(b)
+
+
+def _forest(n: int, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of n nodes and links (a, b): each node but the least of a component, and that least one."""
     root = np.arange(n)
-    if n <= 256:
-        a, b = np.nonzero(np.triu(np.bitwise_count(prints[:, None] ^ prints) <= bits, 1))
-    else:
-        spread = int(np.bitwise_or.reduce(prints ^ prints[0]))
-        places = [1 << i for i in range(64) if spread >> i & 1]
-        masks = [sum(c) for k in range(1, bits + 1) for c in itertools.combinations(places, k)]
-        found = []
-        for mask in masks:
-            other = prints ^ np.uint64(mask)
-            at = np.minimum(np.searchsorted(prints, other), n - 1)
-            i = np.nonzero((prints[at] == other) & (prints < other))[0]
-            found.append((i, at[i]))
-        a, b = (np.concatenate(x) for x in zip(*found, strict=True))
     while len(a):
         before = root.copy()
         np.minimum.at(root, a, root[b])
@@ -102,41 +125,80 @@ def _forest(prints: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
         if (root == before).all():
             break
     i = np.nonzero(root != np.arange(n))[0]
-    return prints[i], prints[root[i]]
+    return i, root[i]
+
 
+def _key(number: int, positions: tuple[int, ...]) -> Column:
+    """A list's key: the bytes at these positions, and which choice it is."""
+    out = F.lit(number).cast("long")
+    for i in positions:
+        out = F.shiftleft(out, 8).bitwiseOR(F.shiftrightunsigned("fp", 56 - 8 * i).bitwiseAND(F.lit(255)))
+    return out
 
-def links(prints: DataFrame, bits: int = BITS) -> DataFrame:
-    """(a, b) that connect all fingerprints (fp, distinct longs) within ``bits`` bits.
 
-    One shuffle of 28 rows of 16 bytes a fingerprint; output at most linear in it.
+def links(prints: DataFrame, scratch: Scratch, bits: int = BITS) -> DataFrame:
+    """(a, b) that connect all fingerprints (fp, distinct longs) within ``bits`` bits (2 at most).
+
+    One shuffle of six rows of 16 bytes a fingerprint; output at most linear in it.
     """
-    byte = lambda i: F.shiftrightunsigned("fp", 56 - 8 * i).bitwiseAND(F.lit(255))
-    keys = []
-    for k, kept in CHOICES:
-        key = F.lit(k).cast("long")
-        for i in kept:
-            key = F.shiftleft(key, 8).bitwiseOR(byte(i))
-        keys.append(key)
-    rows = prints.select("fp", F.explode(F.array(*keys)).alias("key"))
-    dealt = rows.repartition("key").sortWithinPartitions("key", "fp")
+    if bits > 2:
+        raise ValueError("four pairs of positions leave two alone for two differing bytes only")
+    keys = F.array(*[_key(k, c) for k, c in enumerate(CHOICES)])
+    dealt = prints.select("fp", F.explode(keys).alias("key")).repartition("key").sortWithinPartitions("key")
 
-    def run(batches: Iterator) -> Iterator:
+    def emit(fp: np.ndarray, found):
         import pyarrow as pa
 
-        for table in batches_of_runs(batches, "key"):
-            key = table.column("key").to_numpy()
-            fp = table.column("fp").to_numpy().view(np.uint64)
+        a, b = (np.concatenate(x).view(np.int64) for x in zip(*found, strict=True))
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.nulls(len(a), pa.int64())], ["a", "b", "choice"])
+
+    def tally(batches: Iterator) -> Iterator:
+        """Links of short lists (choice null); rows of long ones (b null)."""
+        import pyarrow as pa
+
+        for table, long in lists(batches, "key", LONG):
+            key, fp = table.column("key").to_numpy(), table.column("fp").to_numpy().view(np.uint64)
+            if long:
+                yield pa.RecordBatch.from_arrays([pa.array(fp.view(np.int64)), pa.nulls(len(fp), pa.int64()), pa.array(key >> 32)], ["a", "b", "choice"])
+                continue
             cut = np.concatenate(([0], np.nonzero(key[1:] != key[:-1])[0] + 1, [len(key)]))
             size = np.diff(cut)
             two = cut[:-1][size == 2]
-            ok = np.bitwise_count(fp[two] ^ fp[two + 1]) <= bits
-            found = [(fp[two[ok]], fp[two[ok] + 1])]
+            one, other = fp[two], fp[two + 1]
+            ok = shared_bytes(one, other) >= 8 - bits
+            ok &= np.bitwise_count(one ^ other) <= bits
+            found = [(one[ok], other[ok])]
             for at, n in zip(cut[:-1][size > 2], size[size > 2], strict=True):
-                found.append(_forest(np.sort(fp[at : at + n]), bits))
-            a, b = (np.concatenate(x).view(np.int64) for x in zip(*found, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+                own = fp[at : at + n]
+                i, j = _forest(n, *tallied(own, bits))
+                found.append((own[i], own[j]))
+            yield emit(fp, found)
 
-    return dealt.mapInArrow(run, "a long, b long")
+    def look_up(batches: Iterator) -> Iterator:
+        for table in batches_of_runs(batches, "key"):
+            key, fp = table.column("key").to_numpy(), table.column("fp").to_numpy().view(np.uint64)
+            cut = np.concatenate(([0], np.nonzero(key[1:] != key[:-1])[0] + 1, [len(key)]))
+            found = [(fp[:0], fp[:0])]
+            for at, end in zip(cut[:-1], cut[1:], strict=True):
+                if end - at > 1:
+                    own = np.sort(fp[at:end])
+                    i, j = _forest(len(own), *looked_up(own, bits))
+                    found.append((own[i], own[j]))
+            yield emit(fp, found)
+
+    schema = "a long, b long, choice long"
+    short = scratch.save(dealt.mapInArrow(tally, schema), "tallied")
+    found = short.where("b is not null").select("a", "b")
+    long = short.where("b is null").select(F.col("a").alias("fp"), "choice")
+    if not long.limit(1).count():
+        return found
+    finer = []
+    for k, held in enumerate(CHOICES):
+        rest = [i for i in range(8) if i not in held]
+        subs = [_key(0, held + c) for c in itertools.combinations(rest, 2)]
+        finer.append(F.when(F.col("choice") == k, F.array(*subs)))
+    again = long.select("fp", F.posexplode(F.coalesce(*finer)).alias("n", "bytes"), "choice").select("fp", (F.shiftleft(F.col("choice") * 6 + F.col("n"), 48).bitwiseOR(F.col("bytes"))).alias("key"))
+    return found.unionByName(again.repartition("key").sortWithinPartitions("key").mapInArrow(look_up, schema).select("a", "b"))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, bits: int = BITS) -> DataFrame:
@@ -144,7 +206,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, b
     scratch = Scratch(docs.sparkSession, "simhash")
     prints = scratch.save(fingerprints(docs, shingle, seed), "fingerprints")
     distinct = scratch.save(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    roots = connected_components(scratch, links(distinct.select("fp"), bits)).withColumnsRenamed({"node": "fp"})
+    roots = connected_components(scratch, links(distinct.select("fp"), scratch, bits)).withColumnsRenamed({"node": "fp"})
     placed = distinct.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = placed.groupBy("root").agg(F.min("least").alias("component_id"))
     of = scratch.save(placed.join(least, "root").select("fp", "component_id"), "components")
