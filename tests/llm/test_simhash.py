@@ -127,10 +127,10 @@ def test_lists_hold_no_long_run():
             for t, long in lists(iter(batches), "key", most, least):
                 own = t.column("key").to_pylist()
                 if long:
-                    assert len(set(own)) == 1 and len(own) <= most + 14
+                    assert len(set(own)) == 1 and len(own) <= 2 * most
                 seen.append((own, long))
             assert sorted(k for own, _ in seen for k in own) == keys
             passed = {own[0] for own, long in seen if long}
             whole = [set(own) for own, long in seen if not long]
             assert sum(map(len, whole)) == len(set().union(*whole)) and not passed & set().union(*whole)
-            assert all(keys.count(k) <= max(most, 7) for own in whole for k in own)
+            assert all(keys.count(k) <= most for own in whole for k in own)

@@ -1,14 +1,16 @@
 import hashlib
 import random
 
+import pytest
 from hypothesis import given
 from hypothesis import strategies as st
-from wattloom.llm.common import load
-from wattloom.llm.substring_dedup import remove_repeats, report
+from wattloom.llm import substring_dedup
+from wattloom.llm.common import Scratch, load
+from wattloom.llm.substring_dedup import remove_repeats, repeats, report
 from wattloom.llm.suffix_array import suffix_array
 
 
-@given(st.lists(st.integers(0, 4), max_size=40))
+@given(st.lists(st.integers(0, 4), max_size=40) | st.lists(st.integers(0, 300), max_size=40))
 def test_suffix_array(text):
     assert suffix_array(text) == sorted(range(len(text)), key=lambda i: text[i:])
 
@@ -49,10 +51,14 @@ def texts():
     return out
 
 
-def test_equals_brute_force(spark):
+@pytest.mark.parametrize("hot", [substring_dedup.HOT, 3])  # groups are compared, or dealt again by window
+def test_equals_brute_force(spark, hot):
     rows = [(i * 5, t) for i, t in enumerate(texts())] + [(10**6, None)]
     docs = spark.createDataFrame([(*r, "x", 1) for r in random.Random(1).sample(rows, len(rows))], "doc_id long, text string, row string, start int").repartition(5)
-    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in report(docs).collect()}
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in report(docs, hot).collect()}
+    if hot == 3:
+        near = repeats(docs, scratch := Scratch(spark, "t"), hot)
+        assert near.count() and spark.read.parquet(f"{scratch.root}/2-later").count()
     want = dict(zip([r[0] for r in rows], brute(rows), strict=True))
     assert {i: (got[i], want[i]) for i in want if got[i] != want[i]} == {}
     assert len(got) == len(rows) and sum(w[1] for w in want.values()) > 1000

@@ -144,11 +144,25 @@ def batches_of_runs(batches: Iterator, key: str, least: int = 1 << 16) -> Iterat
         yield pa.Table.from_batches(held).combine_chunks()
 
 
+def joined(batches: Iterator, least: int = 1 << 16) -> Iterator:
+    """Arrow batches put together into tables of ``least`` rows."""
+    import pyarrow as pa
+
+    held, rows = [], 0
+    for batch in batches:
+        held.append(batch)
+        rows += batch.num_rows
+        if rows >= least:
+            yield pa.Table.from_batches(held).combine_chunks()
+            held, rows = [], 0
+    if rows:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
 def lists(batches: Iterator, key: str, most: int, least: int = 1 << 16) -> Iterator:
     """Arrow tables of rows sorted by ``key`` as (table, long): whole runs of equal keys, or parts of one run of more than ``most`` rows.
 
-    A long run is passed on as it comes: what is held is bounded by ``least``, ``most`` and a batch's rows. (A run
-    inside one batch is whole whatever its length.)
+    A long run is passed on as it comes: what is held is bounded by ``least``, ``most`` and a batch's rows.
     """
     import numpy as np
     import pyarrow as pa
@@ -156,9 +170,7 @@ def lists(batches: Iterator, key: str, most: int, least: int = 1 << 16) -> Itera
     table = lambda parts: pa.Table.from_batches(parts).combine_chunks()
     done, size = [], 0  # whole runs
     held, rows, now, long = [], 0, None, False  # the run that the last batch ended in
-    for batch in batches:
-        if not batch.num_rows:
-            continue
+    for batch in (b.slice(at, most) for b in batches for at in range(0, b.num_rows, most)):
         keys, start = batch.column(key).to_numpy(zero_copy_only=False), 0
         if now is not None and keys[0] == now:
             start = int(np.searchsorted(keys, now, side="right"))

@@ -14,14 +14,18 @@ some 3 microseconds a byte. Suffixes are therefore sorted only where they decide
 3. In each such group, the bytes to the right of the gram, and those to the left read
    backwards, are symbols of 16 bytes. Their suffix arrays (see suffix_array.py) and the common
    prefixes of neighbours give, for each offset, which owners share the window there; all but
-   the first in the order of the corpus are repeats.
+   the first in the order of the corpus are repeats. A group of more than HOT owners is not held in a
+   task: its owners are dealt again by each whole window, sorted, and read as a stream.
 
-Then each document's repeats are removed in one join. Every step is exact: hashes only bring
-candidates together (64 bits each), and windows are judged on the input.
+Then each document's repeats are removed in one join. Windows are judged on the input. Equality is told by
+bytes in step 3; in step 1 by the gram's 64-bit hash together with a 64-bit hash of the class's
+bytes, so two different classes are taken for one with a probability of 2**-64 a pair that shares its gram and
+2**-128 any other pair; windows of groups over HOT by 128 bits.
 
 Defined results: null text counts as empty; texts under 100 bytes keep everything; rows that
-share a doc_id are told apart and ordered by a 64-bit hash of their texts, and rows equal in both
-are one document (all get its result); a null doc_id sorts first; an empty table gives no rows; other
+share a doc_id are told apart and ordered by a 64-bit hash of their texts. Rows equal in both start nowhere
+earlier than each other: they are one document, and all get its result (none loses a text for the other's sake).
+A null doc_id sorts first; an empty table gives no rows; other
 columns pass through ``remove_repeats`` and are ignored by the query.
 """
 
@@ -34,7 +38,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wattloom.llm.common import Scratch, batches_of_runs, load, release, worker_cache
+from wattloom.llm.common import Scratch, joined, lists, load, release, worker_cache
 from wattloom.llm.suffix_array import suffix_array
 
 LENGTH = 100
@@ -44,8 +48,10 @@ HALF = SIDE // 2
 SYMBOL = 16
 #: Repeated classes that a task remembers between batches; it forgets all beyond that.
 REMEMBERED = 100_000
-#: Owners in one call of the suffix sorter; groups are never parted, so one may be larger.
+#: Owners in one call of the suffix sorter.
 TOGETHER = 1 << 15
+#: Owners of a group that one task compares; larger groups are dealt again.
+HOT = 1 << 15
 
 
 def gram_hashes(raw: np.ndarray) -> np.ndarray:
@@ -178,45 +184,59 @@ def _spread(doc, tie, pos, lo, hi) -> Iterator:
 
 
 RESOLVED = "doc long, tie long, start long, stop long, key long, lo int, hi int"
+ORDER = ["key", "ctx", "doc", "tie", "pos"]
 
 
-def _resolve(batches: Iterator) -> Iterator:
-    """Of owners sorted by key: intervals of repeats (key null), and first owners of grams in several classes."""
+def _resolved(doc, tie, start, stop, key=None, lo=None, hi=None) -> object:
     import pyarrow as pa
 
     long, int_ = pa.int64(), pa.int32()
-    for table in batches_of_runs(batches, "key"):
-        get = lambda c: table.column(c).to_numpy()  # noqa: B023, E731
-        known = get("repeat")
-        if known.any():
-            at = np.nonzero(known)[0]
-            yield _batch({"doc": (get("doc")[at], long), "tie": (get("tie")[at], long), "start": (get("pos")[at], long), "stop": (get("ctx")[at], long), "key": ([None] * len(at), long), "lo": ([None] * len(at), int_), "hi": ([None] * len(at), int_)})
-        key = get("key")
-        at = np.nonzero(~known)[0]
-        key = key[at]
-        twice = np.zeros(len(key), bool)
-        same = key[1:] == key[:-1]
-        twice[1:], twice[:-1] = same, twice[:-1] | same
-        twice[1:] |= same
-        at = at[twice]
-        if not len(at):
+    none = [None] * len(doc)
+    rest = [(none if x is None else x, t) for x, t in ((stop, long), (key, long), (lo, int_), (hi, int_))]
+    return _batch(dict(zip(["doc", "tie", "start", "stop", "key", "lo", "hi"], [(doc, long), (tie, long), (start, long), *rest], strict=True)))
+
+
+def _resolve(batches: Iterator) -> Iterator:
+    """Of owners sorted by ORDER: intervals of repeats (key null), and first owners of grams in several classes.
+
+    A stream: from one batch to the next it keeps the last owner and the first owner of the last class.
+    """
+    last = pending = None
+    for table in joined(batches):
+        column = {c: table.column(c).to_numpy(zero_copy_only=False) for c in (*ORDER, "lo", "hi", "repeat")}
+        known = np.nonzero(column["repeat"])[0]
+        if len(known):
+            yield _resolved(*(column[c][known] for c in ("doc", "tie", "pos", "ctx")))
+        some = np.nonzero(~column["repeat"])[0]
+        if not len(some):
             continue
-        key, ctx, doc, tie, pos, lo, hi = (get(c)[at] for c in ("key", "ctx", "doc", "tie", "pos", "lo", "hi"))
-        order = np.lexsort((pos, tie, doc, ctx, key))
-        key, ctx, doc, tie, pos, lo, hi = (x[order] for x in (key, ctx, doc, tie, pos, lo, hi))
-        own = _distinct(key, ctx, doc, tie, pos)
-        key, ctx, doc, tie, pos, lo, hi = (x[own] for x in (key, ctx, doc, tie, pos, lo, hi))
-        new_key = np.concatenate(([True], key[1:] != key[:-1]))
-        first = new_key | np.concatenate(([True], ctx[1:] != ctx[:-1]))
-        rep = np.nonzero(~first)[0]
+        key, ctx, doc, tie, pos = (column[c][some] for c in ORDER)
+        lo, hi = column["lo"][some], column["hi"][some]
+        before = [np.concatenate((c[:1] if last is None else last[i : i + 1], c[:-1])) for i, c in enumerate((key, ctx, doc, tie, pos))]
+        change = [c != b for c, b in zip((key, ctx, doc, tie, pos), before, strict=True)]
+        if last is None:
+            change[0][0] = True
+        own, first = np.logical_or.reduce(change), change[0] | change[1]
+        last = np.array([c[-1] for c in (key, ctx, doc, tie, pos)])
+        rep = np.nonzero(own & ~first)[0]
         if len(rep):
-            none = [None] * len(rep)
-            yield _batch({"doc": (doc[rep], long), "tie": (tie[rep], long), "start": (pos[rep] - hi[rep], long), "stop": (pos[rep] - lo[rep] + LENGTH, long), "key": (none, long), "lo": (none, int_), "hi": (none, int_)})
-        group = np.cumsum(new_key) - 1
-        several = first & (np.bincount(group, first)[group] > 1)
-        if several.any():
-            s = np.nonzero(several)[0]
-            yield _batch({"doc": (doc[s], long), "tie": (tie[s], long), "start": (pos[s], long), "stop": ([None] * len(s), long), "key": (key[s], long), "lo": (lo[s], int_), "hi": (hi[s], int_)})
+            yield _resolved(doc[rep], tie[rep], pos[rep] - hi[rep], pos[rep] - lo[rep] + LENGTH)
+        f = np.nonzero(first)[0]
+        if not len(f):
+            continue
+        several = np.zeros(len(f), bool)
+        same = key[f[1:]] == key[f[:-1]]
+        several[1:] |= same
+        several[:-1] |= same
+        if pending is not None and pending[0][0] == key[f[0]]:
+            several[0] = True
+            if not pending[1]:
+                k, d, t, p, a, b = ([x] for x in pending[0])
+                yield _resolved(d, t, p, None, k, a, b)
+        s = f[several]
+        if len(s):
+            yield _resolved(doc[s], tie[s], pos[s], None, key[s], lo[s], hi[s])
+        pending = tuple(int(c[f[-1]]) for c in (key, doc, tie, pos, lo, hi)), bool(several[-1])
 
 
 NEAR = "key long, doc long, tie long, pos long, lo int, hi int, left binary, right binary"
@@ -291,21 +311,29 @@ def repeated_windows(group, rank, lo, hi, left, right) -> np.ndarray:
     return out
 
 
-def _compare(batches: Iterator) -> Iterator:
-    """Intervals of windows that repeat, of owners sorted by key."""
+COMPARED = RESOLVED + ", left binary, right binary"
+
+
+def _compare(batches: Iterator, hot: int = HOT) -> Iterator:
+    """Intervals of windows that repeat, of owners sorted by key; owners of groups over ``hot`` as they came (stop null)."""
     import pyarrow as pa
 
-    long, int_ = pa.int64(), pa.int32()
-    for table in batches_of_runs(batches, "key", least=TOGETHER):
-        key = table.column("key").to_numpy()
+    kinds = [pa.int64()] * 5 + [pa.int32()] * 2 + [pa.binary()] * 2
+    names = ["doc", "tie", "start", "stop", "key", "lo", "hi", "left", "right"]
+    out = lambda values: pa.RecordBatch.from_arrays([pa.nulls(len(values[0]), k) if v is None else pa.array(v, k) for v, k in zip(values, kinds, strict=True)], names)
+    for table, long in lists(batches, "key", hot, least=min(hot, TOGETHER)):
+        key, doc, tie, pos, lo, hi = (table.column(c).to_numpy() for c in ("key", "doc", "tie", "pos", "lo", "hi"))
+        if long:
+            yield out([doc, tie, pos, None, key, lo, hi, table.column("left").to_pylist(), table.column("right").to_pylist()])
+            continue
         same = key[1:] == key[:-1]
         twice = np.zeros(len(key), bool)
         twice[1:] = same
         twice[:-1] |= same
-        table = table.filter(pa.array(twice)).combine_chunks()
-        if not table.num_rows:
+        if not twice.any():
             continue
-        key, doc, tie, pos, lo, hi = (table.column(c).to_numpy() for c in ("key", "doc", "tie", "pos", "lo", "hi"))
+        key, doc, tie, pos, lo, hi = (x[twice] for x in (key, doc, tie, pos, lo, hi))
+        table = table.filter(pa.array(twice)).combine_chunks()
         rank = np.empty(len(key), np.int64)
         rank[np.lexsort((pos, tie, doc))] = np.arange(len(key))
         group = np.concatenate(([0], np.cumsum(key[1:] != key[:-1])))
@@ -315,24 +343,61 @@ def _compare(batches: Iterator) -> Iterator:
         edge = np.diff(np.pad(repeat.astype(np.int8), ((0, 0), (1, 1))), axis=1)
         row, a = np.nonzero(edge == 1)
         b = np.nonzero(edge == -1)[1] - 1
-        none = [None] * len(row)
-        yield _batch({"doc": (doc[row], long), "tie": (tie[row], long), "start": (pos[row] - b, long), "stop": (pos[row] - a + LENGTH, long), "key": (none, long), "lo": (none, int_), "hi": (none, int_)})
+        yield out([doc[row], tie[row], pos[row] - b, pos[row] - a + LENGTH, *[None] * 5])
+
+
+WINDOWS = "key long, ctx long, doc long, tie long, pos long"
+
+
+def _windows(batches: Iterator) -> Iterator:
+    """Each window of owners in large groups, by 128 bits of its bytes; pos is where the window starts."""
+    import pyarrow as pa
+    import xxhash
+
+    for batch in batches:
+        rows: list[tuple] = []
+        for doc, tie, pos, key, lo, hi, left, right in zip(*(batch.column(c).to_pylist() for c in ("doc", "tie", "start", "key", "lo", "hi", "left", "right")), strict=True):
+            head = key.to_bytes(8, "little", signed=True)
+            for o in range(lo, hi + 1):
+                name = xxhash.xxh3_128_digest(head + left[:o] + b"|" + right[: SIDE - o], o)
+                rows.append((_signed(name[:8]), _signed(name[8:]), doc, tie, pos - o))
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows, strict=True)], ORDER)
+
+
+def _later(batches: Iterator) -> Iterator:
+    """Of windows sorted by ORDER, all but the first of each."""
+    last = None
+    for table in joined(batches):
+        key, ctx, doc, tie, pos = columns = [table.column(c).to_numpy() for c in ORDER]
+        before = [np.concatenate((c[:1] if last is None else last[i : i + 1], c[:-1])) for i, c in enumerate(columns)]
+        change = [c != b for c, b in zip(columns, before, strict=True)]
+        if last is None:
+            change[0][0] = True
+        last = np.array([c[-1] for c in columns])
+        rep = np.nonzero(~(change[0] | change[1]) & np.logical_or.reduce(change))[0]
+        if len(rep):
+            yield _resolved(doc[rep], tie[rep], pos[rep], pos[rep] + LENGTH)
 
 
-def repeats(docs: DataFrame, scratch: Scratch) -> DataFrame:
+def repeats(docs: DataFrame, scratch: Scratch, hot: int = HOT) -> DataFrame:
     """(doc, tie, spans array<struct<start, stop>>) of documents with repeated windows; spans may overlap."""
     spark = docs.sparkSession
     keyed = _keyed(docs)
-    found = keyed.mapInArrow(_find, FOUND).repartition("key").sortWithinPartitions("key")
+    found = keyed.mapInArrow(_find, FOUND).repartition("key").sortWithinPartitions(*ORDER)
     resolved = scratch.save(found.mapInArrow(_resolve, RESOLVED), "resolved")
     release(spark)
     owned = resolved.where("key is not null").groupBy("doc", "tie").agg(F.collect_list(F.struct("key", "start", "lo", "hi")).alias("owned"))
     texts = keyed.select("doc", "tie", F.col("text").cast("binary").alias("raw"))
     near = texts.join(owned, ["doc", "tie"]).dropDuplicates(["doc", "tie"]).mapInArrow(_surroundings, NEAR)
-    compared = scratch.save(near.repartition("key").sortWithinPartitions("key").mapInArrow(_compare, RESOLVED), "compared")
+    compared = scratch.save(near.repartition("key").sortWithinPartitions("key").mapInArrow(lambda batches: _compare(batches, hot), COMPARED), "compared")
     release(spark)
-    spans = resolved.where("key is null").union(compared).select("doc", "tie", F.struct("start", "stop").alias("span"))
-    return spans.groupBy("doc", "tie").agg(F.collect_set("span").alias("spans"))
+    spans = resolved.where("key is null").select("doc", "tie", "start", "stop").union(compared.where("stop is not null").select("doc", "tie", "start", "stop"))
+    large = compared.where("stop is null")
+    if large.limit(1).count():
+        windows = large.mapInArrow(_windows, WINDOWS).repartition("key").sortWithinPartitions(*ORDER)
+        spans = spans.union(scratch.save(windows.mapInArrow(_later, RESOLVED), "later").select("doc", "tie", "start", "stop"))
+    return spans.groupBy("doc", "tie").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
 
 
 def _removal(spans, size: int) -> list[tuple[int, int]]:
@@ -342,9 +407,9 @@ def _removal(spans, size: int) -> list[tuple[int, int]]:
     return list(zip(start.tolist(), stop.tolist(), strict=True))
 
 
-def _with_spans(docs: DataFrame, scratch: Scratch) -> DataFrame:
+def _with_spans(docs: DataFrame, scratch: Scratch, hot: int = HOT) -> DataFrame:
     """Rows of docs as a struct ``row``, with ``raw`` bytes and ``spans``."""
-    found = repeats(docs, scratch)
+    found = repeats(docs, scratch, hot)
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(F.struct("*").alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc"), text.alias("text")).withColumn("tie", _tie())
     return rows.select("row", "doc", "tie", "text").join(found, ["doc", "tie"], "left")
@@ -379,7 +444,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     return done.select(*[new.get(c, F.col("row")[c]).cast(t).alias(c) if c in new else F.col("row")[c].alias(c) for c, t in docs.dtypes])
 
 
-def report(docs: DataFrame) -> DataFrame:
+def report(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
 
     def run(batches: Iterator) -> Iterator:
@@ -398,7 +463,7 @@ def report(docs: DataFrame) -> DataFrame:
             n, removed, count, sha = zip(*out, strict=True) if out else ((), (), (), ())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(count, pa.int64()), pa.array(sha, pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    rows = _with_spans(docs.select(F.col("doc_id").cast("long"), "text"), Scratch(docs.sparkSession, "repeats"))
+    rows = _with_spans(docs.select(F.col("doc_id").cast("long"), "text"), Scratch(docs.sparkSession, "repeats"), hot)
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     return rows.select("row.doc_id", "text", "spans").mapInArrow(run, schema)
 

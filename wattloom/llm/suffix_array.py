@@ -11,30 +11,51 @@ def suffix_array(text: list[int]) -> list[int]:
     thereby grows by the group's, once for each member that found it. Phase 2 emits: a
     suffix takes the next place of its group once the suffix behind its Lyndon prefix has been
     placed, along the same pointers. Nothing is renamed and no subproblem is solved.
+
+    Linear in the text and its largest symbol: the first groups come from counting symbols; a search passes
+    only suffixes that no later search meets again, as these jump over them, and stops at a member of its own
+    group, whose pointer it shares; counts of finds sum to the group's size, so that sorting the distinct ones is linear, too.
     """
     end = len(text)
     n = end + 1  # the empty suffix is the least one and a group of its own
-    array = [end, *sorted(range(end), key=text.__getitem__)]
-    start, size, place = [0] * n, [0] * n, [0] * n
-    at, before = 0, None
-    for k, i in enumerate(array):
-        symbol = text[i] if k else None
-        if k and symbol != before:
-            at = k
-        before = symbol
-        start[i], place[i] = at, k
+    first = [0] * (max(text, default=-1) + 2)
+    for symbol in text:
+        first[symbol + 1] += 1
+    first[0] = 1
+    for symbol in range(1, len(first)):
+        first[symbol] += first[symbol - 1]
+    array, start, size, place = [end] * n, [0] * n, [0] * n, [0] * n
+    filled = first[:]
+    size[0] = 1
+    for i, symbol in enumerate(text):
+        at, k = first[symbol], filled[symbol]
+        filled[symbol] += 1
+        array[k], start[i], place[i] = i, at, k
         size[at] += 1
 
-    previous = [-1] * n
+    previous, known = [-1] * n, bytearray(n)
     top = n
     while top > 0:
         low = start[array[top - 1]]
-        found: dict[int, int] = {}
-        for i in sorted(array[low:top]) if top - low > 1 else (array[low],):
+        members = array[low:top]
+        for i in members:
             j = i - 1
-            while j >= 0 and start[j] >= low:
+            while j >= 0 and start[j] > low:
+                j = previous[j]
+            previous[i] = j  # a member of this very group, for now, or the pointer sought
+        found: dict[int, int] = {}
+        for i in members:
+            chain = []
+            j = i
+            while j >= 0 and start[j] == low and not known[j]:
+                chain.append(j)
+                j = previous[j]
+            if j >= 0 and start[j] == low:
                 j = previous[j]
-            previous[i] = j
+            for k in chain:
+                previous[k] = j
+                known[k] = 1
+            j = previous[i]
             if j >= 0:
                 found[j] = found.get(j, 0) + 1
         top = low
