@@ -49,3 +49,30 @@ def test_empty_table(spark):
     path = scratch.path("warc")
     write_warc(spark.createDataFrame([], SCHEMA), path, scratch)
     assert read_warc(spark, path, scratch).collect() == []
+
+
+def records(spark, tmp_path, raw):
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "x.warc").write_bytes(raw)
+    got = read_warc(spark, str(tmp_path / "a"), Scratch(spark, "t"), payloads=True).collect()
+    return sorted((r.page_id, r.payload, r.payload_bytes, r.truncated) for r in got)
+
+
+def record(page, payload):
+    block = b"HTTP/1.1 200 OK\r\n\r\n" + payload
+    return f"{MAGIC}WARC-Type: response\r\nWARC-Record-ID: <urn:page:{page}>\r\nContent-Length: {len(block)}{GAP}".encode() + block + GAP.encode()
+
+
+def test_bytes_of_no_record_are_no_payload(spark, tmp_path):
+    raw = record(1, "é one".encode()) + record(2, b"second") + b"bytes that belong to no record" + GAP.encode()
+    assert records(spark, tmp_path, raw) == [(1, "é one", 6, False), (2, "second", 6, False)]
+
+
+def test_an_archive_cut_short_is_reported(spark, tmp_path):
+    raw = record(1, b"first") + record(2, (MAGIC + "inside").encode()) + record(3, b"the third payload")
+    assert records(spark, tmp_path, raw[:-9]) == [(1, "first", 5, False), (2, MAGIC + "inside", 16, False), (3, "the third pay"[:12], 12, True)]
+
+
+def test_a_record_without_its_last_gap(spark, tmp_path):
+    raw = record(1, b"first") + record(2, b"")
+    assert records(spark, tmp_path, raw[: -len(GAP)]) == [(1, "first", 5, False), (2, "", 0, False)]

@@ -10,7 +10,9 @@ Tasks emit for each cut a candidate: its length and, from the header behind it,
 its successor. Per file, pointer jumping from the first byte (log2 n doublings over two integer
 arrays) keeps the records that the chain of lengths reaches; a magic inside a payload is never
 reached. A candidate takes some 40 bytes there, so even an archive of a million records is
-a small group. Cuts inside a kept record are joined to its payload again.
+a small group. Cuts inside a kept record are joined to its payload again. A record's block is the
+octets that its Content-Length counts: what stands behind them belongs to no record, and a record with
+fewer (an archive cut short) is reported as ``truncated``.
 
 Defined results: null html is an empty payload; payloads under 100 bytes are never revisits; rows
 that share payload and least page_id are all responses; a null page_id revisits a page with an
@@ -74,11 +76,13 @@ def _field(header: Column, name: str, value: str) -> Column:
 
 
 def _parsed(value: Column) -> dict[str, Column]:
-    """Fields of a record whose whole text after the magic is ``value``."""
+    """Fields of a record whose text after the magic begins ``value``; its block ends where Content-Length says."""
     header = F.substring_index(value, GAP, 1)
-    block = F.substr(value, F.length(header) + 5, F.greatest(F.length(value) - F.length(header) - 8, F.lit(0)))
+    length = F.coalesce(_field(header, "Content-Length", r"(\d{1,9})").cast("int"), F.lit(0))
+    rest = F.octet_length(value) - F.octet_length(header) - len(GAP)
+    block = F.substr(value.cast("binary"), F.octet_length(header) + len(GAP) + 1, F.greatest(length, F.lit(0))).cast("string")
     http = F.substring_index(block, GAP, 1)
-    payload = F.substr(block, F.length(http) + 5)
+    payload = F.substr(block, F.length(http) + len(GAP) + 1)
     revisit = _field(header, "WARC-Type", r"(\w+)") == "revisit"
     return {
         "page_id": _field(header, "WARC-Record-ID", r"<urn:page:(-?\d+)>").cast("long"),
@@ -87,6 +91,7 @@ def _parsed(value: Column) -> dict[str, Column]:
         "refers_to": _field(header, "WARC-Refers-To", r"<urn:page:(-?\d+)>").cast("long"),
         "payload_bytes": F.when(revisit, _field(http, "Content-Length", r"(\d+)").cast("long")).otherwise(F.octet_length(payload).cast("long")),
         "payload_digest": F.when(revisit, _field(header, "WARC-Payload-Digest", r"sha256:([0-9a-f]{64})")).otherwise(F.sha2(payload.cast("binary"), 256)),
+        "truncated": rest < length,
         "payload": F.when(~revisit, payload),
     }
 
@@ -120,7 +125,7 @@ def _chain(table):
 
 
 def read_warc(spark: SparkSession, path: str, scratch: Scratch, payloads: bool = False) -> DataFrame:
-    """Records under ``path``: page_id, url, record_type, refers_to, payload_bytes, payload_digest.
+    """Records under ``path``: page_id, url, record_type, refers_to, payload_bytes, payload_digest, truncated.
 
     With ``payloads``, also the payload of responses.
     """
