@@ -66,3 +66,16 @@ def test_edges(spark):
     labels = spark.createDataFrame([(1, None), (1, 0), (1, 1), (None, 1)], "doc_id long, quality int")
     assert [r.kept for r in stats.select(verdict(fit(stats, labels)).alias("kept")).collect()] == [False] * 3
     assert fit(stats.limit(0), labels.limit(0)) == []
+
+
+def test_sampling_ties_repeats_and_long_texts(spark):
+    rows = [(i % 700, 40.0 + i % 2, i % 2) for i in range(2100)]  # each row three times
+    stats = spark.createDataFrame([(i, int(w), 200, 0, 0, 0) for i, w, _ in rows], "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long")
+    labels = spark.createDataFrame([(i, q) for i, _, q in rows] * 2, "doc_id long, quality int")
+    rules = fit(stats, labels)
+    assert rules and fit(stats, labels, sample=100) and fit(stats.union(stats), labels) == rules
+    kept = stats.select("n_words", verdict(rules).alias("kept")).distinct().collect()
+    assert {(r.n_words, r.kept) for r in kept} == {(40, False), (41, True)}
+    same = stats.withColumn("n_words", F.lit(50).cast("long"))  # ties: nothing tells good from bad
+    assert fit(same, labels) == []
+    assert statistics("a b c d e f " * 300_000) == (1_800_000, 1_800_000, 0, 0, 1_800_000)

@@ -25,7 +25,7 @@ from wattloom.llm.common import Scratch, load, shared_dir, worker_cache
 WINDOW = 5
 SYMBOLS = b"#*$%&|<>"
 WHITE = b"\x20\x09\x0a\x0b\x0c\x0d"
-#: Labelled rows that fitting takes at most, by the order of hashed statistics.
+#: Labelled rows that fitting takes at most, by the order of hashes.
 SAMPLE = 20_000
 MOST_CONDITIONS = 3
 LEAST_PRECISION = 0.95
@@ -159,11 +159,18 @@ def learn(x: dict[str, np.ndarray], bad: np.ndarray) -> list[Rule]:
 
 
 def fit(stats: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> list[Rule]:
-    """Rules from stats (doc_id, STATISTICS) and labels (doc_id, quality), at most ``sample`` rows."""
-    one = labels.where("quality is not null").groupBy("doc_id").agg(F.min("quality").alias("label"))
-    rows = stats.where("doc_id is not null").join(one, "doc_id").select("label", *[c.alias(n) for n, c in features().items()])
+    """Rules from stats (doc_id, STATISTICS) and labels (doc_id, quality), at most ``sample`` rows, equal ones once.
+
+    Rows are counted first; only those whose hash is under the threshold that leaves some ``sample`` are gathered.
+    """
+    one = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("label"))
+    rows = stats.join(one, "doc_id").select("doc_id", "label", *[c.alias(n) for n, c in features().items()]).distinct()
     names = list(features())
-    got = rows.orderBy(F.xxhash64(*names), *names, "label").limit(sample).toPandas()
+    rows = Scratch(stats.sparkSession, "labelled").save(rows.withColumn("h", F.xxhash64("doc_id", *names)), "rows")
+    share = (sample + 4 * sample**0.5) / max(1, rows.count())
+    if share < 1:
+        rows = rows.where(F.col("h") <= int(share * (1 << 64)) - (1 << 63))
+    got = rows.select("h", "label", *names).toPandas().sort_values(["h", *names, "label"])[:sample]
     return learn({n: got[n].to_numpy(float) for n in names}, got["label"].to_numpy() == 0)
 
 
@@ -188,3 +195,24 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     stats = scratch.save(with_statistics(docs).select("doc_id", "quality.*"), "statistics")
     rules = fit(stats, load(spark, sf_dir, "labels"))
     return stats.select("doc_id", *STATISTICS, base_failed().alias("base_failed"), verdict(rules).alias("kept"))
+
+
+STATISTICS_SQL = r"""
+with d as (select doc_id, coalesce(text, '') as text from documents),
+w as (select doc_id, unnest(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) as word, generate_subscripts(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), 1) as i from d),
+g as (select doc_id, i, word || ' ' || lead(word, 1) over v || ' ' || lead(word, 2) over v || ' ' || lead(word, 3) over v || ' ' || lead(word, 4) over v as gram from w window v as (partition by doc_id order by i)),
+t as (select doc_id, i from (select doc_id, i, count(*) over (partition by doc_id, gram) as n from g where gram is not null) where n > 1),
+r as (select doc_id, count(distinct i + k) as n from t, range(5) s(k) group by doc_id),
+l as (select doc_id, unnest(string_split(text, chr(10))) as line from d),
+u as (select doc_id, count(*) - count(distinct line) as n from l where regexp_matches(line, '[^\x20\x09-\x0D]') group by doc_id),
+c as (select doc_id, count(*) as n, sum(length(word)) as chars from w group by doc_id)
+select d.doc_id, coalesce(c.n, 0) as n_words, cast(coalesce(c.chars, 0) as bigint) as word_chars, cast(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) as bigint) as n_symbols,
+  coalesce(u.n, 0) as n_dup_lines, coalesce(r.n, 0) as n_repeat_words, coalesce(c.n, 0) < 10 or 100 * coalesce(r.n, 0) > 20 * coalesce(c.n, 0) as base_failed
+from d left join c using (doc_id) left join r using (doc_id) left join u using (doc_id)
+"""
+
+
+def quality_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op8's rules are made of, without the learned verdict."""
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    return with_statistics(docs).select("doc_id", "quality.*").select("doc_id", *STATISTICS, base_failed().alias("base_failed"))

@@ -10,7 +10,7 @@ from wattloom.llm.chat import OP7_SQL, op7_chat_format
 from wattloom.llm.embedding_dedup import OP6_SQL, op6_embedding_dedup
 from wattloom.llm.language_id import op3_language_id
 from wattloom.llm.packing import op5_packing
-from wattloom.llm.quality import op8_quality_rules
+from wattloom.llm.quality import STATISTICS_SQL, op8_quality_rules, quality_statistics
 from wattloom.llm.sentencepiece_viterbi import op1_sentencepiece
 from wattloom.llm.simhash import op10_simhash_near_dedup
 from wattloom.llm.substring_dedup import op9_substring_dedup
@@ -28,9 +28,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
+    "quality_statistics": quality_statistics,
 }
 ORACLE_SQL: dict[str, str] = {
     "op4_warc": OP4_SQL,
     "op6_embedding_dedup": OP6_SQL,
     "op7_chat_format": OP7_SQL,
+    "quality_statistics": STATISTICS_SQL,
 }
