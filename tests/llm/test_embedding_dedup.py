@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 from wattloom.llm import embedding_dedup
-from wattloom.llm.embedding_dedup import near_duplicates
+from wattloom.llm.embedding_dedup import grow, near_duplicates, route
 
 SCHEMA = "vec_id long, embedding array<float>, label int, n int, leaf string"
 
@@ -42,10 +42,9 @@ def clouds(seed, many):
 
 
 @pytest.mark.parametrize("leaf", [256, 40])
-def test_links_equal_brute_force(spark, monkeypatch, leaf):
-    monkeypatch.setattr(embedding_dedup, "LEAF", leaf)
+def test_links_equal_brute_force(spark, leaf):
     rows = clouds(1, 900)
-    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()}
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in near_duplicates(spark.createDataFrame(rows, SCHEMA), leaf=leaf).collect()}
     want = brute(rows)
     assert all(got[i][0] <= want[i][0] for i in want)  # no link below the threshold, none twice
     assert sum(g[0] for g in got.values()) >= 0.999 * sum(w[0] for w in want.values())
@@ -60,3 +59,54 @@ def test_edges(spark):
     alone = [(i, 0, i, True) for i in [*range(1, 15), 17]]
     assert got == sorted([*alone, (15, 1, 15, True), (16, 1, 15, False), (18, 3, 18, True), (19, 3, 18, False), (19, 3, 18, False)])
     assert near_duplicates(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def comparisons(n, leaf):
+    """Pairs compared per vector in one tree over n vectors, grown by rounds as leaves_of does; and rows per vector."""
+    rng = np.random.default_rng(n)
+    x = rng.standard_normal((n, 64)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    nodes, pairs, held = [(1, np.arange(n))], 0, 0
+    while nodes:
+        seed, rows = nodes.pop()
+        if len(rows) <= leaf:
+            pairs, held = pairs + len(rows) ** 2, held + len(rows)
+            continue
+        sample = rng.choice(rows, min(len(rows), 512), replace=False)
+        tree = grow(x[sample], seed, len(rows) / len(sample), 0.98, leaf, least=8)
+        for number, final, found in route(tree, seed, x, rows, 0.98):
+            if final:
+                pairs, held = pairs + len(found) ** 2, held + len(found)
+            else:
+                nodes.append(((seed * 131 + number) % (1 << 62), found))
+    return pairs / n, held / n
+
+
+def test_comparisons_per_vector_do_not_grow_with_the_table():
+    # what counts is leaves: 2 thousand to 131 thousand vectors in leaves of 16 are as 32 thousand to 2 million in leaves of 256
+    small, middle, large = comparisons(1 << 11, 16), comparisons(1 << 14, 16), comparisons(1 << 17, 16)
+    assert large[0] <= 16 * large[1] and large[0] / small[0] < 2
+    assert large[1] / middle[1] < 1.6  # spill adds a constant share a level
+
+
+def test_narrow_margins_and_many_trees_find_pairs_at_the_threshold():
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((20_000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    off = rng.standard_normal(x[:400].shape)
+    off -= (off * x[:400]).sum(axis=1, keepdims=True) * x[:400]
+    off /= np.linalg.norm(off, axis=1, keepdims=True)
+    x[400:800] = 0.981 * x[:400] + np.sqrt(1 - 0.981**2) * off  # cosines just above the threshold
+    met = np.zeros(400, bool)
+    for t in range(embedding_dedup.TREES):
+        nodes = [(t * 7919 + 1, np.arange(len(x)))]
+        while nodes:
+            seed, rows = nodes.pop()
+            if len(rows) <= 256:
+                own = np.zeros(len(x), bool)
+                own[rows] = True
+                met |= own[:400] & own[400:800]
+                continue
+            tree = grow(x[rng.choice(rows, min(len(rows), 4096), replace=False)], seed, max(1, len(rows) / 4096), 0.98)
+            nodes += [((seed * 131 + n) % (1 << 62), found) for n, final, found in route(tree, seed, x, rows, 0.98) if len(found) < len(rows)]
+    assert met.mean() >= 0.995

@@ -3,10 +3,15 @@
 Only vectors of equal label and length compare. Exact copies are first counted as one. Each tree
 splits recursively at the median of a random projection; vectors within a margin of the split go
 both ways, so that a pair at the threshold parts only if its projections differ by more than
-twice the margin. The trees are fitted on a bounded sample (SAMPLE vectors by hash order), then
-route every vector. Leaves are compared by matrix products, in blocks of BLOCK vectors: a leaf that
-does not split (a dense cloud of near copies) becomes pairs of blocks in tasks of their own. A
-pair that meets in several leaves counts in the first one only, which each task tells from the
+twice the margin. Many trees with a narrow margin miss a pair only if each of them parts it.
+
+Trees grow by rounds. A round counts the rows of each node; nodes above LEAF each get a subtree, fitted
+on a sample of their own vectors (at most SAMPLE a node, by hash) and applied by a join on the node, until
+no node splits any more. So leaves hold at most LEAF vectors whatever the corpus; what stays larger is a
+cloud no wider than the margin, whose vectors are near copies: it becomes pairs of blocks in
+tasks of their own. Leaves and pairs of blocks are compared by matrix products.
+
+A pair that meets in several leaves counts in the first one only, which each task tells from the
 leaves that its vectors carry; so link counts add up without a list of pairs. For components,
 each task emits a spanning forest.
 
@@ -18,9 +23,7 @@ an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -29,23 +32,17 @@ from pyspark.sql import functions as F
 from wattloom.llm.common import Scratch, connected_components, load
 
 COSINE = 0.98
-TREES = 3
+TREES = 8
 #: Margin of a split, in standard deviations of the projected distance of a pair at the threshold.
-MARGIN = 1.0
-SAMPLE = 50_000
-SAMPLE_FLOATS = 16_000_000
+MARGIN = 0.5
 LEAF = 256
+#: Vectors of a node that its subtree is fitted on, the fewest that a split is fitted on, and levels of a subtree.
+SAMPLE = 4096
 LEAST_FIT = 32
+DEPTH = 6
 BLOCK = 512
-
-
-@dataclass
-class Node:
-    """A split (direction is drawn from seed), or a leaf where ``below`` is empty."""
-
-    seed: tuple[int, int] = (0, 0)
-    at: float = 0.0
-    below: tuple = ()
+#: Marks in a subtree: a leaf that a later round may split, and one that none does.
+OPEN, FINAL = np.float32(np.nan), np.float32(np.inf)
 
 
 def _unit(vectors: np.ndarray) -> np.ndarray:
@@ -61,32 +58,42 @@ def _margin(size: int, cosine: float) -> float:
     return MARGIN * float(np.sqrt(2 - 2 * cosine) / np.sqrt(size))
 
 
-def grow(x: np.ndarray, tree: int, scale: float, cosine: float, number: int = 1) -> Node:
-    """A tree over sample vectors x, each of which stands for ``scale`` vectors."""
-    if len(x) * scale <= LEAF or len(x) < LEAST_FIT or number >> 60:
-        return Node()
-    seed = (tree, number)
-    p = x @ _direction(seed, x.shape[1])
-    at, m = float(np.median(p)), _margin(x.shape[1], cosine)
-    sides = [x[p <= at + m], x[p >= at - m]]
-    if max(map(len, sides)) > 0.9 * len(x):
-        return Node()  # a cloud no wider than the margin
-    return Node(seed, at, tuple(grow(s, tree, scale, cosine, 2 * number + i) for i, s in enumerate(sides)))
-
-
-def route(node: Node, x: np.ndarray, rows: np.ndarray, cosine: float, path: str = "") -> Iterator[tuple[str, np.ndarray]]:
-    """(leaf, rows in it) for unit vectors x."""
-    if not node.below or not len(rows):
-        yield path, rows
+def grow(x: np.ndarray, seed: int, scale: float, cosine: float, leaf: int = LEAF, least: int = LEAST_FIT) -> np.ndarray:
+    """A subtree over sample vectors x of a node, each of which stands for ``scale`` vectors.
+
+    A heap of thresholds, its root at 1; the direction of a split is drawn from the node's seed and its number.
+    """
+    tree, m = np.full(2 << DEPTH, OPEN), _margin(x.shape[1], cosine)
+
+    def split(number: int, x: np.ndarray) -> None:
+        if len(x) * scale <= leaf:
+            tree[number] = FINAL
+        if len(x) * scale <= leaf or len(x) < least or number >> DEPTH:
+            return  # with few vectors of the sample left, the next round samples this node anew
+        p = x @ _direction((seed, number), x.shape[1])
+        at = np.float32(np.median(p))
+        sides = [x[p <= at + m], x[p >= at - m]]
+        if max(map(len, sides)) > 0.9 * len(x):
+            tree[number] = FINAL  # a cloud no wider than the margin
+            return
+        tree[number] = at
+        for i, side in enumerate(sides):
+            split(2 * number + i, side)
+
+    split(1, x)
+    return tree
+
+
+def route(tree: np.ndarray, seed: int, x: np.ndarray, rows: np.ndarray, cosine: float, number: int = 1) -> Iterator[tuple[int, bool, np.ndarray]]:
+    """(leaf's number, whether it is final, rows in it) for unit vectors x; a root that does not split is final."""
+    at = tree[number]
+    if not np.isfinite(at) or not len(rows):
+        yield number, bool(np.isinf(at)) or number == 1, rows
         return
-    p = x[rows] @ _direction(node.seed, x.shape[1])
+    p = x[rows] @ _direction((seed, number), x.shape[1])
     m = _margin(x.shape[1], cosine)
-    for i, side in enumerate((p <= node.at + m, p >= node.at - m)):
-        yield from route(node.below[i], x, rows[side], cosine, path + "01"[i])
-
-
-def _leaf_id(group: str, tree: int, path: str) -> int:
-    return int.from_bytes(hashlib.blake2b(f"{group}/{tree}/{path}".encode(), digest_size=8).digest(), signed=True)
+    for i, side in enumerate((p <= at + m, p >= at - m)):
+        yield from route(tree, seed, x, rows[side], cosine, 2 * number + i)
 
 
 def _forest(linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -135,10 +142,61 @@ def _compare(cosine: float):
     return run
 
 
-def near_duplicates(vectors: DataFrame, cosine: float = COSINE, trees: int = TREES) -> DataFrame:
+def leaves_of(vectors: DataFrame, scratch: Scratch, cosine: float = COSINE, trees: int = TREES, leaf: int = LEAF, sample: int = SAMPLE) -> DataFrame:
+    """(gid, leaf) of each distinct vector (gid, label, v) in each tree: a vector has a leaf or, by spill, several a tree."""
+    kind = F.xxhash64("label", F.size("v"))
+    node = F.explode(F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.xxhash64(t, kind)))
+    here = scratch.save(vectors.select("gid", node.alias("node")), "roots")
+    done = None
+
+    def fit(table):
+        import pyarrow as pa
+
+        node, size = table.column("node")[0].as_py(), table.column("size")[0].as_py()
+        x = _unit(np.array(table.column("v").combine_chunks().flatten(), np.float64).reshape(table.num_rows, -1))
+        tree = grow(x, node & (1 << 63) - 1, size / len(x), cosine, leaf)
+        return pa.table({"node": pa.array([node], pa.int64()), "tree": pa.array([tree.tobytes()], pa.binary())})
+
+    def deal(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+        import xxhash
+
+        for batch in batches:
+            gids, nodes, blobs, lists = (batch.column(c) for c in ("gid", "node", "tree", "v"))
+            out: list[tuple] = []
+            same: dict[int, list[int]] = {}
+            for i, k in enumerate(nodes.to_pylist()):
+                same.setdefault(k, []).append(i)
+            for k, members in same.items():
+                tree = np.frombuffer(blobs[members[0]].as_py(), np.float32)
+                own, x = gids.take(pa.array(members)).to_numpy(), _unit(np.array(lists.take(pa.array(members)).flatten(), np.float64).reshape(len(members), -1))
+                for number, final, found in route(tree, k & (1 << 63) - 1, x, np.arange(len(members)), cosine):
+                    name = int.from_bytes(xxhash.xxh3_64_digest(b"%d/%d" % (k, number)), signed=True)
+                    out += [(g, name, final) for g in own[found].tolist()]
+            g, name, final = zip(*out, strict=True) if out else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(g, pa.int64()), pa.array(name, pa.int64()), pa.array(final, pa.bool_())], ["gid", "node", "final"])
+
+    while True:
+        sizes = scratch.save(here.groupBy("node").agg(F.count("*").alias("size")), "sizes")
+        large = sizes.where(F.col("size") > leaf)
+        if not large.limit(1).count():
+            break
+        kept = here.join(sizes.where(F.col("size") <= leaf).select("node"), "node").select("gid", "node")
+        rows = scratch.save(here.join(large, "node").join(vectors.select("gid", "v"), "gid"), "large")
+        few = F.pmod(F.xxhash64("gid", "node"), F.lit(1 << 30)) < F.lit(float(1 << 30)) * sample / F.col("size")
+        fitted = scratch.save(rows.where(few).groupBy("node").applyInArrow(fit, "node long, tree binary"), "trees")
+        dealt = scratch.save(rows.join(fitted, "node").select("gid", "node", "tree", "v").mapInArrow(deal, "gid long, node long, final boolean"), "dealt")
+        scratch.drop(rows)
+        kept = scratch.save(kept.unionByName(dealt.where("final").select("gid", "node")), "done")
+        done = kept if done is None else done.unionByName(kept)
+        here = dealt.where("not final").select("gid", "node")
+    out = here.select("gid", "node") if done is None else done.unionByName(here.select("gid", "node"))
+    return out.withColumnRenamed("node", "leaf")
+
+
+def near_duplicates(vectors: DataFrame, cosine: float = COSINE, trees: int = TREES, leaf: int = LEAF) -> DataFrame:
     """vectors (vec_id, embedding, label) -> (vec_id, n_links, component_id, kept)."""
-    spark = vectors.sparkSession
-    scratch = Scratch(spark, "embeddings")
+    scratch = Scratch(vectors.sparkSession, "embeddings")
     v = F.col("v")
     finite = F.forall(v, lambda c: F.coalesce(F.abs(c) < float("inf"), F.lit(False)))
     rows = vectors.select(F.col("vec_id").cast("long"), F.col("label").cast("string").alias("label"), F.col("embedding").cast("array<double>").alias("v"))
@@ -147,39 +205,11 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, trees: int = TRE
     copies = keyed.where("v is not null").groupBy("k1", "k2").agg(F.first("v").alias("v"), F.first("label").alias("label"), F.min("vec_id").alias("least"), F.count("*").alias("n"))
     distinct = scratch.save(copies.withColumn("gid", F.monotonically_increasing_id()), "distinct")
 
-    total, longest = distinct.agg(F.count("*"), F.max(F.size("v"))).first()
-    most = max(1, min(SAMPLE, SAMPLE_FLOATS // (longest or 1)))
-    sample = distinct.orderBy("k1", "k2").limit(most).select("label", "v").collect()  # bounded by SAMPLE and SAMPLE_FLOATS
-    groups: dict[str, list] = {}
-    for r in sample:
-        groups.setdefault(f"{len(r.v)}/{r.label}", []).append(r.v)
-    scale = total / max(1, len(sample))
-    model = {k: [grow(_unit(np.array(x)), t, scale, cosine) for t in range(trees)] for k, x in groups.items()}
-    model = {k: ts for k, ts in model.items() if all(t.below for t in ts)}
-
-    def deal(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        for batch in batches:
-            labels, lists = batch.column("label").to_pylist(), batch.column("v")
-            sizes = lists.value_lengths().to_numpy()
-            leaves: list[list[int]] = [[] for _ in labels]
-            same: dict[str, list[int]] = {}
-            for i, (label, size) in enumerate(zip(labels, sizes, strict=True)):
-                same.setdefault(f"{size}/{label}", []).append(i)
-            for group, members in same.items():
-                x = _unit(np.array(lists.take(pa.array(members)).flatten()).reshape(len(members), -1))
-                for t, tree in enumerate(model.get(group, [Node()])):
-                    for path, found in route(tree, x, np.arange(len(members)), cosine):
-                        leaf = _leaf_id(group, t, path)
-                        for i in found:
-                            leaves[members[i]].append(leaf)
-            yield pa.RecordBatch.from_arrays([batch.column("gid"), batch.column("n"), lists, pa.array(leaves, pa.list_(pa.int64()))], ["gid", "n", "v", "leaves"])
-
-    dealt = distinct.select("gid", "n", "label", "v").mapInArrow(deal, "gid long, n long, v array<double>, leaves array<long>")
-    dealt = scratch.save(dealt, "dealt").withColumn("leaf", F.explode("leaves"))
+    leaves = scratch.save(leaves_of(distinct.select("gid", "label", "v"), scratch, cosine, trees, leaf), "leaves")
     blocks = F.greatest(F.lit(1), F.ceil(F.col("size") / BLOCK)).cast("int")
-    sizes = scratch.save(dealt.groupBy("leaf").agg(F.count("*").alias("size")).where("size > 1"), "sizes")
+    sizes = scratch.save(leaves.groupBy("leaf").agg(F.count("*").alias("size")).where("size > 1"), "sizes")
+    carried = leaves.groupBy("gid").agg(F.collect_list("leaf").alias("leaves"))
+    dealt = distinct.select("gid", "n", "v").join(carried, "gid").withColumn("leaf", F.explode("leaves"))
     placed = dealt.join(sizes, "leaf").withColumn("block", F.pmod(F.xxhash64("gid"), blocks).cast("int"))
     # in a leaf of several blocks, a block meets each other one; alone it is one pair of itself
     pairs = F.transform(F.sequence(F.lit(0), blocks - 1), lambda k: F.struct(F.least(k, F.col("block")).alias("i"), F.greatest(k, F.col("block")).alias("j")))
