@@ -8,7 +8,7 @@ import pytest
 import xxhash
 from wattloom.llm import simhash as wattloom_simhash
 from wattloom.llm.common import Scratch, connected_components, lists
-from wattloom.llm.simhash import CHOICES, links, looked_up, near_duplicates, shared_bytes, simhash, tallied
+from wattloom.llm.simhash import CHOICES, links, looked_up, near_duplicates, positions, shared_bytes, shingle_set, similar, simhash, spanning, tallied
 
 LOWER = str.maketrans({c: c.lower() for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"})
 
@@ -134,3 +134,80 @@ def test_lists_hold_no_long_run():
             whole = [set(own) for own, long in seen if not long]
             assert sum(map(len, whole)) == len(set().union(*whole)) and not passed & set().union(*whole)
             assert all(keys.count(k) <= most for own in whole for k in own)
+
+
+def shingles(text, n=5):
+    words = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(LOWER))
+    return {tuple(words[i : i + n]) for i in range(max(1, len(words) - n + 1))}
+
+
+def jaccard_components(rows, similarity=0.8):
+    """Brute force: all pairs of texts by their whole shingle sets."""
+    sets = {i: shingles(t) for i, t in rows}
+    linked = [(a, b) for a, b in itertools.combinations(sets, 2) if len(sets[a] & sets[b]) >= similarity * len(sets[a] | sets[b])]
+    return slow_components(sets, linked)
+
+
+def edited(rng, words, n):
+    words = words[:]
+    for _ in range(n):
+        words[rng.randrange(len(words))] = f"z{rng.randrange(10**6)}"
+    return " ".join(words)
+
+
+def test_similar_texts_are_grouped_as_by_brute_force(spark):
+    rng = random.Random(11)
+    rows, i = [], 0
+    for _ in range(60):
+        base = [f"w{rng.randrange(3000)}" for _ in range(rng.choice([12, 60, 200, 400]))]
+        rows.append((i := i + 1, " ".join(base)))
+        for _ in range(rng.randrange(6)):
+            n = rng.choice([0, 1, len(base) // 60, len(base) // 35, len(base) // 20])
+            rows.append((i := i + 1, edited(rng, base, n).upper() if n == 0 else edited(rng, base, n)))
+    rows += [(1000, ""), (1001, None), (1002, " \n"), (1003, "a b"), (1004, "A  b"), (1005, "a b c d e"), (1006, "a b c d e")]
+    docs = spark.createDataFrame([(*r, "x", 1) for r in rng.sample(rows, len(rows))], "doc_id long, text string, gid string, key int").repartition(5)
+    got = {r.doc_id: r.component_id for r in similar(docs).collect()}
+    want = jaccard_components(rows)
+    assert len(set(want.values())) < 0.8 * len(rows)
+    assert sum(got[i] == want[i] for i in want) >= 0.99 * len(want)
+    assert all(want[got[i]] == want[i] for i in want)  # never two that no chain of similar pairs connects
+
+
+def test_similar_repeated_rows_null_ids_and_empty_tables(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    rows = [(5, text), (5, text), (None, text), (9, text + " x"), (None, "other words of no kin at all"), (7, "q")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id or -1, r.component_id or -1) for r in similar(docs).collect())
+    assert got == [(-1, -1), (-1, 5), (5, 5), (5, 5), (7, 7), (9, 5)]
+    assert similar(docs.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("together", [8192, 40])
+def test_a_large_group_of_near_copies(spark, monkeypatch, together):
+    monkeypatch.setattr(wattloom_simhash, "TOGETHER", together)
+    rng = random.Random(12)
+    base = [f"w{rng.randrange(3000)}" for _ in range(150)]
+    rows = [(i, edited(rng, base, 1)) for i in range(700)] + [(1000 + i, edited(rng, base, 60)) for i in range(100)]
+    got = {r.doc_id: r.component_id for r in similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(700)] == [0] * 700 and all(got[i] == i for i in range(1000, 1100))
+
+
+def test_positions_agree_as_often_as_sets_are_similar():
+    rng = random.Random(13)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(2000)]
+    for n in (20, 60, 200):
+        a, b = " ".join(base), edited(rng, base, n)
+        share = len(shingles(a) & shingles(b)) / len(shingles(a) | shingles(b))
+        assert len(shingle_set(a.encode())) == len(shingles(a))
+        assert abs((positions(shingle_set(a.encode())) == positions(shingle_set(b.encode()))).mean() - share) < 0.12
+
+
+def test_the_forest_keeps_the_best_links():
+    rng = np.random.default_rng(14)
+    sketch = rng.integers(0, 3, (60, 30)).astype(np.uint8)
+    i, j, tally = spanning(sketch, 12)
+    shared = (sketch[:, None] == sketch).sum(axis=2)
+    assert (shared[i, j] == tally).all()
+    for least in range(12, 25):  # connected at a bound as by all pairs
+        want = slow_components(range(60), [(a, b) for a, b in itertools.combinations(range(60), 2) if shared[a, b] >= least])
+        assert slow_components(range(60), [(min(a, b), max(a, b)) for a, b, n in zip(i.tolist(), j.tolist(), tally.tolist(), strict=True) if n >= least]) == want

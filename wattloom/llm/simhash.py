@@ -14,10 +14,20 @@ positions that the key leaves open. What meets then shares six positional bytes
 two bytes only, and so has at most 65,536 entries whatever the corpus is; there, neighbours are looked up by
 their few differing bits.
 
+**Similarity of shingles.** ``similar`` groups documents whose sets of five-word shingles have a Jaccard
+similarity of 0.8 or more. SimHash cannot bring those together: at 0.8 two fingerprints differ in some 10 of 64 bits,
+so no positional byte is sure to be shared, and even a key of three bytes out of a longer fingerprint would be shared by 2 %
+of such pairs. There, a position's byte comes from the least of the shingles' hashes under the position's own
+order instead, so that two documents share a position as often as their similarity says. The rest is the same
+index: lists by five positional bytes (BANDS of them), shared positions tallied per pair within a list, pairs
+below the count that all but 0.3 % of pairs at the threshold reach dropped, and the others verified by their whole shingle sets. A list
+emits its maximum spanning forest by tally, never all pairs.
+
 Defined results: null and empty texts and texts without a word have fingerprint zero and link
 like any other; a text of one or two words is one shingle; repeated rows share a fingerprint;
 a null doc_id takes part but never is the smallest id; an empty table gives no rows; other
-columns of the input are ignored, so their names cannot clash.
+columns of the input are ignored, so their names cannot clash. ``similar`` has the same results but
+for texts without a word: these are similar to each other only.
 """
 
 from __future__ import annotations
@@ -29,7 +39,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wattloom.llm.common import Scratch, batches_of_runs, connected_components, lists, load, worker_cache
+from wattloom.llm.common import Scratch, batches_of_runs, connected_components, joined, lists, load, worker_cache
 
 SHINGLE = 3
 SEED = 42
@@ -213,5 +223,152 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, b
     return prints.join(of, "fp").select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+#: Positional bytes of a list's key in ``similar``, and lists a document is in.
+WIDTH, BANDS = 5, 24
+#: Documents of a list that are held together; of those before, one for each cluster of all but equal ones stays.
+TOGETHER = 8192
+#: A pair at the threshold falls below the tally's bound by so many standard deviations at most, but for 0.3 %.
+SLACK = 2.75
+_rng = np.random.default_rng(10)
+_TIMES, _XOR = _rng.integers(0, 1 << 63, (2, WIDTH * BANDS, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def shingle_set(text: bytes, words: int = 5, seed: int = SEED) -> np.ndarray:
+    """Sorted distinct hashes of a text's shingles; a text of fewer words is one, as is one without a word."""
+    import xxhash
+
+    own = text.lower().split()
+    digest = xxhash.xxh64_intdigest
+    found = {digest(b" ".join(own[i : i + words]), seed) for i in range(max(1, len(own) - words + 1))}
+    return np.sort(np.fromiter(found, np.uint64, len(found)))
+
+
+def positions(shingles: np.ndarray) -> np.ndarray:
+    """A byte a position: from the least hash under the position's order."""
+    least = np.full(len(_TIMES), np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(shingles), 4096):
+        np.minimum(least, ((shingles[at : at + 4096] ^ _XOR) * _TIMES).min(axis=1), out=least)
+    return ((least * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(56)).astype(np.uint8)
+
+
+def spanning(sketch: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, tally): a maximum spanning forest of the pairs that share ``least`` positions or more (Prim's)."""
+    n = len(sketch)
+    best, of = np.zeros(n, np.int16), np.zeros(n, np.int64)
+    out, rest = [], np.arange(1, n)
+    at = 0
+    while len(rest):
+        shared = (sketch[rest] == sketch[at]).sum(axis=1, dtype=np.int16)
+        more = shared > best[rest]
+        best[rest[more]], of[rest[more]] = shared[more], at
+        k = int(best[rest].argmax())
+        at = int(rest[k])
+        if best[at] >= least:
+            out.append((int(of[at]), at, int(best[at])))
+        rest = np.delete(rest, k)
+    i, j, tally = np.array(out, np.int64).reshape(-1, 3).T
+    return i, j, tally
+
+
+def similar(docs: DataFrame, words: int = 5, similarity: float = 0.8, seed: int = SEED) -> DataFrame:
+    """Per document: doc_id, component_id (smallest doc_id reachable by pairs of at least this Jaccard similarity)."""
+    scratch = Scratch(docs.sparkSession, "similar")
+    size = WIDTH * BANDS
+    least = int(np.floor(size * similarity - SLACK * np.sqrt(size * similarity * (1 - similarity))))
+    text = F.coalesce(F.col("text"), F.lit(""))
+    keyed = docs.select(F.col("doc_id").cast("long"), text.alias("text")).withColumns({"k1": F.xxhash64("text"), "k2": F.xxhash64(F.lit(7), "text")})
+
+    def sketches(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        worker_cache()
+        for batch in batches:
+            texts = batch.column("text").cast(pa.large_binary()).to_pylist()
+            found = [positions(shingle_set(t, words, seed)).tobytes() for t in texts]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("k1"), batch.column("k2"), pa.array(found, pa.binary())], ["doc_id", "k1", "k2", "sketch"])
+
+    rows = scratch.save(keyed.mapInArrow(sketches, "doc_id long, k1 long, k2 long, sketch binary"), "sketches")
+    texts = rows.groupBy("k1", "k2").agg(F.min("doc_id").alias("least"), F.first("sketch").alias("sketch"))  # equal texts are one
+    texts = scratch.save(texts.withColumn("gid", F.monotonically_increasing_id()), "texts")
+    keys = F.array(*[F.xxhash64(F.lit(b), F.substring("sketch", b * WIDTH + 1, WIDTH)) for b in range(BANDS)])
+
+    def met(batches: Iterator) -> Iterator:
+        """Rows of lists of two or more, of rows sorted by key: a stream."""
+        import pyarrow as pa
+
+        last = None  # the row before, if it has not been passed on
+        before = None
+        for table in joined(batches):
+            key, gid = table.column("key").to_numpy(), table.column("gid").to_numpy()
+            as_before = np.concatenate(([before is not None and key[0] == before], key[1:] == key[:-1]))
+            keep = as_before.copy()
+            keep[:-1] |= as_before[1:]
+            if as_before[0] and last is not None:
+                yield pa.RecordBatch.from_arrays([pa.array([last[0]], pa.int64()), pa.array([last[1]], pa.int64())], ["key", "gid"])
+            if keep.any():
+                yield pa.RecordBatch.from_arrays([pa.array(key[keep]), pa.array(gid[keep])], ["key", "gid"])
+            before = key[-1]
+            last = None if keep[-1] else (int(key[-1]), int(gid[-1]))
+
+    dealt = texts.select("gid", F.explode(keys).alias("key")).repartition("key").sortWithinPartitions("key")
+    shared = scratch.save(dealt.mapInArrow(met, "key long, gid long"), "met")
+
+    def tally(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        kept = None  # of a long list: (key, gids, sketches) that stay for its next part
+        for table, long in lists(batches, "key", TOGETHER):
+            key, gid = table.column("key").to_numpy(), table.column("gid").to_numpy()
+            sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(len(key), size)
+            cut = np.concatenate(([0], np.nonzero(key[1:] != key[:-1])[0] + 1, [len(key)]))
+            found = []
+            for a, b in zip(cut[:-1], cut[1:], strict=True):
+                own, marks = gid[a:b], sketch[a:b]
+                if long and kept is not None and kept[0] == key[a]:
+                    own, marks = np.concatenate([kept[1], own]), np.concatenate([kept[2], marks])
+                i, j, n = spanning(marks, least)
+                found.append((own[i], own[j]))
+                if long:
+                    rest = np.ones(len(own), bool)
+                    rest[j[n >= 0.95 * size]] = False
+                    kept = key[a], own[rest], marks[rest]
+            i, j = (np.concatenate(x) for x in zip(*found, strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(i, j)), pa.array(np.maximum(i, j))], ["a", "b"])
+
+    listed = shared.join(texts.select("gid", "sketch"), "gid").select("key", "gid", "sketch").repartition("key").sortWithinPartitions("key", "gid")
+    pairs = scratch.save(listed.mapInArrow(tally, "a long, b long").distinct(), "pairs")
+
+    def sets(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            found = [shingle_set(t, words, seed).tobytes() for t in batch.column("text").cast(pa.large_binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("gid"), pa.array(found, pa.binary())], ["gid", "shingles"])
+
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("gid")).distinct()
+    wanted = texts.join(ends, "gid").select("gid", "k1", "k2", "least")
+    # of equal texts the one with the least id gives the shingles; of rows equal in that, too, any
+    held = keyed.join(wanted, (keyed.k1 == wanted.k1) & (keyed.k2 == wanted.k2) & keyed.doc_id.eqNullSafe(wanted.least)).select("gid", "text").dropDuplicates(["gid"])
+    held = scratch.save(held.mapInArrow(sets, "gid long, shingles binary"), "sets")
+
+    def verify(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            ok = []
+            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
+                one, other = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                both = len(np.intersect1d(one, other, assume_unique=True))
+                ok.append(both >= similarity * (len(one) + len(other) - both) - 1e-9)
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    both = pairs.join(held.toDF("a", "x"), "a").join(held.toDF("b", "y"), "b").select("a", "b", "x", "y")
+    roots = connected_components(scratch, both.mapInArrow(verify, "a long, b long")).withColumnsRenamed({"node": "gid"})
+    placed = texts.select("gid", "k1", "k2", "least").join(roots, "gid", "left").withColumn("root", F.coalesce("root", "gid"))
+    first = placed.groupBy("root").agg(F.min("least").alias("component_id"))
+    of = scratch.save(placed.join(first, "root").select("k1", "k2", "component_id"), "components")
+    return rows.select("doc_id", "k1", "k2").join(of, ["k1", "k2"]).select("doc_id", "component_id")
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(load(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
