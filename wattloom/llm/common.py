@@ -68,6 +68,26 @@ class Scratch:
         path = jvm.org.apache.hadoop.fs.Path(df.path)
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
+    def close(self) -> None:
+        """Deletes all tables of this scratch space, once nothing that reads them is needed any more."""
+        jvm = self.spark.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(self.root)
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def trim() -> None:
+    """Gives memory that this Python worker no longer uses back to the system; workers live on between operators."""
+    import ctypes
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
 
 _kept: dict[str, object] = {}
 
@@ -80,7 +100,7 @@ def worker_cache(name: str = "", make=None):
     if name not in _kept:
         if _kept:
             _kept.clear()
-            gc.collect()
+            trim()
         if make is None:
             return None
         _kept[name] = make()

@@ -39,7 +39,7 @@ LEAST_EIGENVALUE = 1e-6
 UNKNOWN = "und"
 PIECE = 1_000_000
 #: Texts whose presence is held in one matrix: bounds its entries.
-CELLS = 1 << 24
+CELLS = 1 << 22
 BUCKETS = 20
 _STEP, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 _letters: np.ndarray | None = None

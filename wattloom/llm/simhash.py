@@ -39,7 +39,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wattloom.llm.common import Scratch, batches_of_runs, connected_components, joined, lists, load, worker_cache
+from wattloom.llm.common import Scratch, batches_of_runs, connected_components, joined, lists, load, trim, worker_cache
 
 SHINGLE = 3
 SEED = 42
@@ -246,8 +246,8 @@ def shingle_set(text: bytes, words: int = 5, seed: int = SEED) -> np.ndarray:
 def positions(shingles: np.ndarray) -> np.ndarray:
     """A byte a position: from the least hash under the position's order."""
     least = np.full(len(_TIMES), np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(shingles), 4096):
-        np.minimum(least, ((shingles[at : at + 4096] ^ _XOR) * _TIMES).min(axis=1), out=least)
+    for at in range(0, len(shingles), 1024):
+        np.minimum(least, ((shingles[at : at + 1024] ^ _XOR) * _TIMES).min(axis=1), out=least)
     return ((least * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(56)).astype(np.uint8)
 
 
@@ -286,6 +286,7 @@ def similar(docs: DataFrame, words: int = 5, similarity: float = 0.8, seed: int
             texts = batch.column("text").cast(pa.large_binary()).to_pylist()
             found = [positions(shingle_set(t, words, seed)).tobytes() for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("k1"), batch.column("k2"), pa.array(found, pa.binary())], ["doc_id", "k1", "k2", "sketch"])
+        trim()
 
     rows = scratch.save(keyed.mapInArrow(sketches, "doc_id long, k1 long, k2 long, sketch binary"), "sketches")
     texts = rows.groupBy("k1", "k2").agg(F.min("doc_id").alias("least"), F.first("sketch").alias("sketch"))  # equal texts are one
