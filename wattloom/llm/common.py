@@ -84,7 +84,9 @@ def trim() -> None:
     gc.collect()
     pa.default_memory_pool().release_unused()
     try:
-        ctypes.CDLL("libc.so.6").malloc_trim(0)
+        libc = ctypes.CDLL("libc.so.6")
+        libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD: arrays of a MB or more go back when they are freed
+        libc.malloc_trim(0)
     except (OSError, AttributeError):  # another C library
         pass
 

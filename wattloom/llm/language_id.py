@@ -26,10 +26,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wattloom.llm.common import load, shared_dir, worker_cache
+from wattloom.llm.common import load, shared_dir, trim, worker_cache
 
 ORDER = 4
 PER_LANGUAGE = 300
@@ -240,14 +241,15 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
     shared_dir(docs.sparkSession)
 
-    @pandas_udf("lang_pred string, score double")
-    def of(texts):
-        import pandas as pd
-
+    def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         worker_cache()
-        lang, score = model.scores([t if isinstance(t, str) else None for t in texts])
-        return pd.DataFrame({"lang_pred": lang, "score": score})
+        for texts in batches:
+            lang, score = model.scores([t if isinstance(t, str) else None for t in texts])
+            yield pd.DataFrame({"lang_pred": lang, "score": score})
+        model._ready = None
+        trim()
 
+    of = pandas_udf(of, "lang_pred string, score double")
     return docs.withColumn("language", of(F.col(text)))
 
 

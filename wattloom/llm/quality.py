@@ -17,10 +17,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wattloom.llm.common import Scratch, load, shared_dir, worker_cache
+from wattloom.llm.common import Scratch, load, shared_dir, trim, worker_cache
 
 WINDOW = 5
 SYMBOLS = b"#*$%&|<>"
@@ -63,12 +64,13 @@ def with_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
 
     shared_dir(docs.sparkSession)
 
-    @pandas_udf(", ".join(f"{c} long" for c in STATISTICS))
-    def of(texts):
-        import pandas as pd
-
+    def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         worker_cache()
-        return pd.DataFrame([statistics(t) if isinstance(t, str) else (0,) * 5 for t in texts], columns=STATISTICS)
+        for texts in batches:
+            yield pd.DataFrame([statistics(t) if isinstance(t, str) else (0,) * 5 for t in texts], columns=STATISTICS)
+        trim()
+
+    of = pandas_udf(of, ", ".join(f"{c} long" for c in STATISTICS))
 
     return docs.withColumn("quality", of(F.col(text)))
 

@@ -38,7 +38,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wattloom.llm.common import Scratch, joined, lists, load, release, worker_cache
+from wattloom.llm.common import Scratch, joined, lists, load, release, trim, worker_cache
 from wattloom.llm.suffix_array import suffix_array
 
 LENGTH = 100
@@ -162,6 +162,8 @@ def _find(batches: Iterator) -> Iterator:
         go = ~repeat
         yield _batch({"key": (key[go], long), "ctx": (ctx[go], long), "doc": (doc[go], long), "tie": (tie[go], long), "pos": (pos[go], long), "lo": (lo[go], int_), "hi": (hi[go], int_), "repeat": (repeat[go], pa.bool_())})
         yield from _spread(doc[repeat], tie[repeat], pos[repeat], lo[repeat], hi[repeat])
+    seen.clear()
+    trim()
 
 
 def _spread(doc, tie, pos, lo, hi) -> Iterator:
