@@ -1,9 +1,13 @@
 """Identities, boundary tables and one defect at a time."""
 
+import json
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
-from wattloom.operators import builds, closure, identity, models, quality
+from wattloom.operators import anomalies, builds, closure, explore, identity, models, quality, stats, workload
+from wattloom.operators.measurements import MeasurementStore
 from wattloom.operators.derive import with_derived, with_features
 from wattloom.operators.select import build_ranks, latest_builds, select_slice
 from wattloom.plans.fixture import table
@@ -51,7 +55,7 @@ def test_default_corner_falls_back_to_the_first(spark, wide):
 
 
 def test_classify_boundaries(spark):
-    cases = [(0.5, 1.0, "neutral"), (-0.6, 0.0, "pareto improvement"), (0.0, 1.1, "pareto improvement"), (0.6, 0.0, "regression"), (0.0, -1.1, "regression"), (0.6, 1.1, "power-for-performance"), (-0.6, -1.1, "performance-for-power"), (None, 0.0, "power unknown"), (None, None, "timing unknown")]
+    cases = [(0.5, 1.0, "neutral"), (-0.6, 0.0, "pareto improvement"), (0.0, 1.1, "pareto improvement"), (0.6, 0.0, "regression"), (0.0, -1.1, "regression"), (0.6, 1.1, "power-for-performance trade"), (-0.6, -1.1, "performance-for-power trade"), (None, 0.0, "power unknown"), (None, None, "timing unknown")]
     df = spark.createDataFrame(cases, "p double, t double, want string").withColumn("got", builds.classify(F.col("p"), F.col("t")))
     assert all(r.got == r.want for r in df.collect())
 
@@ -70,18 +74,34 @@ def test_linear_fit_equals_least_squares(wide):
     assert np.allclose([m.intercept, *m.coefficients.values()], w, rtol=1e-6)
 
 
-def test_folds_equal_refits_where_nothing_is_missing(wide):
-    folds = models.leave_one_build_out(wide, "linear")
+@pytest.mark.parametrize("kind", ["linear", "physics", "datamove"])  # the last two miss values: each fold has its own medians
+def test_folds_equal_refits(wide, kind):
+    folds = models.leave_one_build_out(wide, kind)
     for b in ("B3", "B20"):
-        again = models.fit(wide.where(F.col("build") != b), "linear")
-        assert np.allclose(list(folds[b].coefficients.values()), list(again.coefficients.values()), rtol=1e-6)
+        again = models.fit(wide.where(F.col("build") != b), kind)
+        assert {c: folds[b].fill[c] for c in again.fill if c == "move_term"} == {c: pytest.approx(v) for c, v in again.fill.items() if c == "move_term"}
+        assert np.allclose([folds[b].intercept, *folds[b].coefficients.values()], [again.intercept, *again.coefficients.values()], rtol=1e-6)
+
+
+def test_folds_fill_with_their_own_medians(spark):
+    rows = [("d", f"B{b}", float(10 * b + i), None if i % 3 == b % 3 else float(b * b + i), float(b + 2 * i)) for b in range(4) for i in range(6)]
+    df = spark.createDataFrame(rows, "design string, build string, dyn_term double, move_term double, be_mw double").withColumns({"leak_term": F.col("dyn_term") * F.col("dyn_term"), "fe_physical_mw": F.col("be_mw") + F.sin("dyn_term")})
+    folds = models.leave_one_build_out(df, "physics")
+    data = df.toPandas()
+    features = models.KINDS["physics"]
+    for b in ("B0", "B3"):
+        own = data[data.build != b]
+        x = own[features].fillna(own[features].median())
+        w = np.linalg.lstsq(np.column_stack([np.ones(len(x)), x]), own.be_mw, rcond=None)[0]
+        assert np.allclose([folds[b].intercept, *folds[b].coefficients.values()], w, atol=1e-6)
 
 
 def test_shares_sum_to_one_and_terms_to_the_prediction(wide):
-    m = models.fit(wide, "datamove")
+    m = models.Linear("datamove", 1.5, {"cell_dyn_term": 0.5, "wire_dyn_term": 0.25, "move_term": 0.125, "leak_term": 0.0625}, {"move_term": 10.0})
     rows = models.decompose(wide, m)
-    off = sum((F.col(f"{c}_mw") for c in m.coefficients), F.lit(m.intercept)) - F.col("predicted_mw")
-    share = sum((F.coalesce(F.col(f"{c}_share"), F.lit(0.0)) for c in m.coefficients), F.lit(0.0))
+    parts = list(models.PARTS.values())
+    off = sum((F.col(c) for c in parts), F.lit(m.intercept)) - F.col("predicted_mw")
+    share = sum((F.coalesce(F.col(f"{c}_share"), F.lit(0.0)) for c in parts), F.lit(0.0))
     worst = rows.agg(F.max(F.abs(off)), F.max(F.abs(share - 1))).first()
     assert worst[0] < 1e-9 and worst[1] < 1e-9
 
@@ -98,7 +118,7 @@ def test_trees_are_monotone_and_better_than_the_mean(wide):
     tree = models.MonotoneTrees(names, {"fe_physical_mw"}, rounds=40).fit(wide)
     x = np.column_stack([np.linspace(0, 400, 60), np.full(60, 50.0), np.full(60, 0.2)])
     assert (np.diff(tree.predict_array(x)) >= -1e-9).all()
-    e = tree.predict(wide).agg(F.avg(F.abs(F.col("predicted_mw") - F.col("be_mw"))), F.avg(F.abs(F.col("be_mw") - tree.base))).first()
+    e = tree.predict(wide).agg(F.avg(F.abs(F.col("predicted_mw") - F.col("be_mw"))), F.avg(F.abs(F.col("be_mw") - tree.parts[0].base))).first()
     assert e[0] < 0.5 * e[1]
 
 
@@ -128,3 +148,181 @@ def test_importance_is_the_mean_of_five_shuffles(spark):
             for a, b in zip(df.orderBy("fub").collect(), order, strict=True):
                 gains[c] += abs(model.coefficients[c] * (b[c] - a[c])) / a.be_mw
     assert {c: round(v, 9) for c, v in got.items()} == {c: round(v / sum(gains.values()), 9) for c, v in gains.items()}
+
+
+def run_of(spark, values, **columns):
+    """Rows of one design at the reference corner: values[build][fub] of be_dynamic_mw."""
+    base = {"design": "d", "workload": "typical", "operating_point": "nom", "owner": "o", "partition": "p", "wire_cap_pf": 50.0, "cell_cap_pf": 50.0, "area": 10.0, "activity": 0.5, "voltage_v": 0.8, "frequency_ghz": 1.0, "be_clock_mw": 1.0, "be_leakage_mw": 1.0}
+    rows = [base | {"build": b, "fub": f, "model_root": f"d.{f}", "be_dynamic_mw": float(v), "be_mw": float(v) + 1, "clock_fraction": 1.0 / v, "leakage_fraction": 1.0 / (v + 1)} | columns.get(f"{b}_{f}", {}) for b, own in values.items() for f, v in own.items()]
+    return spark.createDataFrame(rows)
+
+
+def test_regression_is_growth_of_dynamic_power_less_what_explains_it(spark):
+    df = run_of(spark, {"B1": {"a": 100, "b": 100, "c": 100, "e": 100}, "B2": {"a": 130, "b": 130, "c": 109, "e": 130}}, B2_b={"wire_cap_pf": 75.0}, B2_e={"wire_cap_pf": None, "area": 11.0})
+    got = {r.fub: r.value for r in anomalies.find(df, "unexplained_regression").collect()}
+    # a: 30 % and nothing explains it; b: 25 % more capacitance leaves 5 %; c: 9 % is no growth; e: area explains 10 %
+    assert got == pytest.approx({"a": 30.0, "e": 20.0})
+
+
+def test_creep_needs_every_build_to_rise(spark):
+    df = run_of(spark, {"B1": {"a": 100, "b": 100, "c": 100}, "B2": {"a": 105, "b": 120, "c": 104}, "B9": {"a": 110, "b": 119, "c": 108}, "B10": {"a": 116, "b": 140, "c": 114}})
+    assert {(r.fub, r.build): r.value for r in anomalies.find(df, "creeping_growth").collect()} == {("a", "B10"): pytest.approx(16.0)}
+    assert {r.rule: r.reason for r in anomalies.skipped(df.where("build <> 'B1'")).collect()}["creeping_growth"] == "fewer than 4 builds"
+
+
+def test_replicas_are_compared_by_dynamic_power(spark):
+    df = run_of(spark, {"B1": {"m@0": 100, "m@1": 131, "n@0": 100, "n@1": 129, "plain": 900}})
+    [r] = anomalies.find(df, "replica_divergence").collect()
+    assert (r.fub, r.severity, r.unit, r.technique) == ("m@1", "medium", "max/min", "wire_cap_reduction") and r.value == pytest.approx(1.31) and "m@0" in r.evidence
+
+
+def test_report_tells_new_persisting_and_cleared_in_order(spark):
+    df = run_of(spark, {"B1": {"a": 1.5, "b": 100, "c": 1.8}, "B2": {"a": 1.6, "b": 150, "c": 100}})
+    got = [(r.rule, r.fub, r.status, r.place) for r in anomalies.report(df).orderBy("place").collect()]
+    assert got == [("unexplained_regression", "c", "new", 1), ("unexplained_regression", "b", "new", 2), ("clock_dominant", "a", "persisting", 3), ("clock_dominant", "c", "cleared", 4)]
+    assert [(r.owner, r.findings, r.high) for r in anomalies.by_owner(anomalies.report(df).where("status <> 'cleared'")).collect()] == [("o", 3, 2)]
+
+
+def test_a_rule_without_its_columns_is_skipped(spark):
+    df = run_of(spark, {"B1": {"a": 1.5}, "B2": {"a": 9.0}}).drop("be_clock_mw")
+    assert "clock_dominant" not in {r.rule for r in anomalies.findings(df).collect()}
+    assert {r.rule: r.reason for r in anomalies.skipped(df).collect()}["clock_dominant"] == "needs be_clock_mw"
+
+
+def test_convergence(spark):
+    totals = {"conv": [130, 120, 110], "done": [120, 100, 90], "flat": [110, 110, 110], "up": [101, 103, 105], "short": [150, 120]}
+    rows = [("d", f"B{i + 1}", f, "typical", "nom", float(v), "route" if i else "rtl") for f, own in totals.items() for i, v in enumerate(own)]
+    df = spark.createDataFrame(rows, "design string, build string, fub string, workload string, operating_point string, be_mw double, milestone string").withColumns({"cdyn_pf": F.lit(1.0), "be_leakage_mw": F.lit(1.0), "be_dynamic_mw": F.lit(1.0), "partition": F.lit("p"), "model_root": F.col("fub")})
+    asked = closure.budget_table(spark, [closure.Budget("d", f"fub:{f}", "be_mw", 100.0) for f in totals])
+    history = closure.budget_history(df, asked)
+    got = {r.member: r for r in closure.converge(history, closure.ranks_of(df)).collect()}
+    assert {k: (r.verdict, r.gap, r.builds_to_target) for k, r in got.items()} == {"conv": ("CONVERGING", 10.0, pytest.approx(1.0)), "done": ("CONVERGED", -10.0, 0.0), "flat": ("FLAT", 10.0, float("inf")), "up": ("DIVERGING", 5.0, float("inf")), "short": ("FLAT", 20.0, float("inf"))}
+    assert got["short"].trend is None and got["conv"].required_cut_pct == pytest.approx(10 / 110 * 100)
+    by_build = {(r.member, r.build): (r.milestone, r.tolerance_pct, r.status) for r in history.collect()}
+    assert by_build["conv", "B1"] == ("rtl", 25.0, "OVER") and by_build["conv", "B3"] == ("route", 5.0, "OVER") and by_build["done", "B1"] == ("rtl", 25.0, "AT RISK")
+    known = df.select("design", "build", "fub", "partition", "model_root").union(spark.createDataFrame([("d", "B3", "lost", "p", "lost")]))
+    whole = closure.budget_status(closure.budget_history(df, closure.budget_table(spark, [closure.Budget("d", "partition:p", "be_mw", 100.0)])), closure.ranks_of(df), known).first()
+    assert (whole.build, whole.fubs_measured, whole.fubs_expected) == ("B3", 4, 5)
+
+
+def test_timing_falls_back_to_history(spark):
+    law = lambda v, scale=1.0: scale * 500 * v**-1.5
+    rows = [("d", "P", "B1", v, law(v), 0.0) for v in (0.7, 0.9)] + [("d", "P", "B2", 0.8, law(0.8, 1.1), 0.0)]
+    rows += [("d", "Q", "B2", v, law(v), 0.0) for v in (0.7, 0.9)] + [("d", "R", "B1", 0.8, 600.0, 0.0)]
+    df = spark.createDataFrame(rows, "design string, partition string, build string, voltage_v double, clock_period_ps double, wns_ps double")
+    got = {r.partition: r for r in workload.timing_model(df).collect()}
+    delay = lambda r, v: math.exp(r.intercept + r.slope * math.log(v))
+    assert delay(got["P"], 0.8) == pytest.approx(law(0.8, 1.1))  # anchored on the latest build
+    assert got["Q"].slope == pytest.approx(-1.5) and delay(got["R"], 0.5) == pytest.approx(600.0)
+
+
+def test_p_values():
+    # r and n with two-sided p of Student's t: n = 3, r = 0.5 has p = 2/3 exactly
+    assert stats.pearson_p(0.5, 3) == pytest.approx(2 / 3)
+    assert stats.pearson_p(0.0, 10) == pytest.approx(1.0) and stats.pearson_p(1.0, 10) == 0.0
+    assert stats.pearson_p(0.632, 10) == pytest.approx(0.05, abs=2e-4) and stats.pearson_p(-0.361, 30) == pytest.approx(0.05, abs=2e-4)
+    assert stats.pearson_p(None, 10) is None and stats.pearson_p(0.3, 2) is None
+
+
+def test_compact_models_reproduce_the_model(spark, wide):
+    m = models.fit(wide, "datamove")
+    docs = explore.export_compact(wide, m, table(spark, SF, "performance"))
+    last = wide.join(latest_builds(wide), ["design", "build"], "left_semi")
+    for f, v, op in ((1.0, 0.75, "nom"),):
+        want = {r.design: r.p for r in last.where("workload = 'typical' and operating_point = 'nom'").groupBy("design").agg(F.sum(m.predict()).alias("p")).collect()}
+        rows = last.where("workload = 'typical' and operating_point = 'nom'").groupBy("design").agg(F.collect_set("model_root").alias("roots"))
+        trace = spark.createDataFrame([(d, 0, 1.0, "typical", op) for d in want], "design string, interval_no int, duration_s double, workload string, operating_point string")
+        got = {r.design: r for r in explore.run_trace(docs, trace).collect()}
+        blocks = {r.design: len(json.loads(r.document)["fubs"]) for r in docs.collect()}
+        for r in rows.collect():
+            assert (got[r.design].frequency_ghz, got[r.design].voltage_v) == (f, v)
+            if blocks[r.design] == len(r.roots):  # every block has a row at the corner: activity means are the row's own
+                cells = last.where((F.col("design") == r.design) & (F.col("workload") == "typical")).groupBy("model_root").count().where("count > 1").count()
+                assert cells or got[r.design].power_mw == pytest.approx(want[r.design], rel=1e-9)
+    unknown = spark.createDataFrame([("ASIA", 0, 1.0, "never seen", "nom")], "design string, interval_no int, duration_s double, workload string, operating_point string")
+    assert explore.run_trace(docs, unknown).first().power_mw is not None
+
+
+def test_scenarios_equal_a_what_if(spark, wide):
+    m = models.fit(wide, "physics")
+    asked = [explore.Scenario("base", "ASIA"), explore.Scenario("thin", "ASIA", scales={"wire_cap_pf": 0.8}, baseline="base"), explore.Scenario("slow", "ASIA", frequency_ghz=0.5, baseline="base"), explore.Scenario("set", "ASIA", sets={"fe_physical_mw": 1.0, "activity": 0.1}, baseline="base")]
+    got = {r.name: r for r in explore.evaluate(wide, explore.scenario_table(spark, asked), m, table(spark, SF, "performance"), (-10.0, 20.0)).collect()}
+    rows = select_slice(wide, design="ASIA")
+    volts = {r.design: r.intercept + 0.5 * r.slope for r in workload.dvfs_curve(wide).collect()}["ASIA"]
+    for name, changes in (("thin", {"wire_cap_pf": "x0.8"}), ("slow", {"frequency_ghz": 0.5, "voltage_v": volts}), ("set", {"fe_physical_mw": 1.0, "activity": 0.1})):
+        r = models.what_if_totals(models.what_if(rows, m, changes), ["design"]).first()
+        assert got[name].power_mw == pytest.approx(r.proposed_mw) and got["base"].power_mw == pytest.approx(r.current_mw)
+        assert got[name].delta_power_pct == pytest.approx(r.delta_pct)
+    assert got["slow"].voltage_v == pytest.approx(volts) and got["base"].power_high_mw == pytest.approx(1.2 * got["base"].power_mw)
+    with pytest.raises(ValueError):
+        explore.scenario_table(spark, [explore.Scenario("x", "ASIA", sets={"nonsense": 1.0})])
+
+
+def test_pareto_marks(spark):
+    rows = [("a", 10.0, 1.0, True), ("b", 9.0, 1.0, True), ("c", 9.0, 1.0, True), ("d", 12.0, 2.0, True), ("e", 5.0, 3.0, False), ("f", 8.0, None, True), ("g", 12.5, 1.5, True)]
+    df = spark.createDataFrame(rows, "name string, power_mw double, throughput_gops double, feasible boolean")
+    assert {r.name for r in models.mark_pareto(df).where("pareto").collect()} == {"b", "c", "d"}
+
+
+def test_train_evaluate_and_pick(wide):
+    done = models.train(wide, ["baseline", "scaled", "physics"])
+    assert done.best == min(done.metrics, key=lambda k: done.metrics[k]["mape"]) and len(done.held_out) == 6
+    assert models.evaluate(wide, done)["scaled"]["n"] == done.metrics["scaled"]["n"]
+    assert models.pick_model(done.models, "linear") == "physics" and models.pick_model(done.models, "scaled") == "scaled"
+    assert models.improvement_pct({"mape": 10.0}, {"mape": 8.0}) == pytest.approx(20.0)
+    folds, summary = models.cross_validate(wide, ["baseline", "physics"])
+    s = {r.kind: r for r in summary.collect()}
+    assert s["physics"].n_folds == folds.where("kind = 'physics'").count() and s["physics"].p05 < s["physics"].p50 < s["physics"].p95
+
+
+def test_trees_over_several_groups_stay_monotone(wide):
+    names = ["fe_physical_mw", "area", "activity"]
+    tree = models.MonotoneTrees(names, {"fe_physical_mw"}, rounds=30, group=2000).fit(wide)
+    assert len(tree.parts) == 3 and all(len(t.trees) <= 30 for t in tree.parts)
+    x = np.column_stack([np.linspace(0, 400, 60), np.full(60, 50.0), np.full(60, 0.2)])
+    assert (np.diff(tree.predict_array(x)) >= -1e-9).all()
+
+
+def test_module_metrics_are_shared_among_instances(spark):
+    rows = [("d", "B1", "m", "w", "nom", None, 8.0, 0.5), ("d", "B1", "m@0", "w", "nom", 1.0, None, None), ("d", "B1", "m@1", "w", "nom", 3.0, None, None), ("d", "B1", "m@1", "idle", "nom", 2.0, None, None), ("d", "B1", "x", "w", "nom", 7.0, 6.0, 0.1)]
+    df = spark.createDataFrame(rows, "design string, build string, fub string, workload string, operating_point string, be_mw double, fe_physical_mw double, cg_efficiency double")
+    got = {(r.fub, r.workload): (r.be_mw, r.fe_physical_mw, r.cg_efficiency) for r in identity.share_modules(df, ["fe_physical_mw", "cg_efficiency"]).collect()}
+    assert got == {("m@0", "w"): (1.0, 4.0, 0.5), ("m@1", "w"): (3.0, 4.0, 0.5), ("m@1", "idle"): (2.0, None, None), ("x", "w"): (7.0, 6.0, 0.1)}
+
+
+def test_partition_names(spark):
+    long = spark.createDataFrame([("top/part_P0", "partition", "wns_ps", 1.0), ("top/p1", "partition", "wns_ps", 2.0), ("P9", "partition", "wns_ps", 3.0)], "object string, object_kind string, metric string, value double")
+    blocks = spark.createDataFrame([("a", "fa", "ba", "P0", 1.0), ("b", "fb", "bb", "p0", 1.0), ("c", "fc", "bc", "P1", 1.0)], "fub string, fe_hier string, be_hier string, partition string, be_share double")
+    mapped, unmapped = identity.resolve_objects(long, blocks)
+    assert {(r.object, r.fub) for r in mapped.collect()} == {("top/part_P0", "a"), ("top/part_P0", "b"), ("top/p1", "c")} and unmapped.count() == 1
+
+
+def test_validation_of_text_and_absent_columns(spark):
+    rows = [("d", "B1", "f", "10", " ", "x", "3"), ("d", "B1", "g", "9", "8", "7", "-1"), ("d", "B1", "h", None, "8", "0", "1")]
+    df = spark.createDataFrame(rows, "design string, build string, fub string, fe_logical_mw string, fe_physical_mw string, be_mw string, tns_ps string")
+    got = {r.fub: r.reject_reason for r in quality.validate(df).collect()}
+    assert got == {"f": "missing_column:stage;non_numeric:be_mw;missing_value:fe_physical_mw", "g": "missing_column:stage", "h": "missing_column:stage;missing_value:fe_logical_mw;zero_be"}
+    issues = {r.code: r.n for r in quality.validation_issues(quality.validate(df)).collect()}
+    assert issues["missing_column:stage"] == 3 and any(k.startswith("absent_feature_columns:") and n == 0 for k, n in issues.items())
+
+
+def test_measurement_store(spark):
+    rows = [("d", "B1", "a", "w", "nom", "be_mw", 5.0, "signoff", "x", 0), ("d", "B1", "a", "w", "turbo", "be_mw", 6.0, "signoff", "x", 1), ("d", "B1", "a", "w", "nom", "fe_physical_mw", 4.0, "estimate", "y", 0), ("d", "B1", "a", "w", "nom", "be_mw", 5.5, "signoff", "z", 0), ("d", "B1", "*", None, "nom", "voltage_v", 0.8, "metadata", "m", 0)]
+    long = spark.createDataFrame(rows, "design string, build string, fub string, workload string, operating_point string, metric string, value double, source string, source_file string, ordinal int")
+    store = MeasurementStore(long, spark.createDataFrame([("d", "B1", "a", "d.p.a")], "design string, build string, fub string, model_root string"))
+    assert store.get(fub="a", metric="fe_physical_mw")["stage"] == "FE" and store.get(metric="be_mw", operating_point="nom")["value"] == 5.0
+    assert store.get(model_root="d.p.a", operating_point="turbo")["value"] == 6.0
+    with pytest.raises(ValueError):
+        store.get(metric="be_mw")
+    with pytest.raises(KeyError):
+        store.get(metric="nothing")
+    assert store.get_value(7.0, metric="nothing") == 7.0 and store.fubs() == ["a"] and store.metrics("FE") == ["fe_physical_mw"]
+    assert {(r.fub, r.operating_point): (r.be_mw, r.fe_physical_mw) for r in store.pivot(["be_mw", "fe_physical_mw"]).where("fub = 'a'").collect()} == {("a", "nom"): (5.0, 4.0), ("a", "turbo"): (6.0, None)}
+
+
+def test_techniques_without_data_and_a_decomposition(spark, wide):
+    _, needs = closure.assess_all(wide.drop("cg_efficiency"), closure.budget_table(spark, [closure.Budget("ASIA", "design", "be_mw", 1.0)]))
+    assert {r.technique for r in needs.collect()} == {"operand_isolation", "glitch_reduction", "memory_low_power", "clock_gating"}
+    rows = spark.createDataFrame([("d", "B1", "r", "w", "nom", 10.0)], "design string, build string, model_root string, workload string, operating_point string, be_mw double")
+    parts = spark.createDataFrame([("d", "B1", "r", "w", "nom", 4.0)], "design string, build string, model_root string, workload string, operating_point string, leakage_mw double")
+    assert closure.dyn_leak(rows, parts).first().leak == 4.0 and closure.dyn_leak(rows).first().leak == pytest.approx(1.5)

@@ -6,7 +6,7 @@ import json
 import tomllib
 from dataclasses import asdict, dataclass, field, fields
 
-from wattloom.operators.closure import Budget
+from wattloom.operators.closure import METRICS, MILESTONES, Budget
 
 
 @dataclass(frozen=True)
@@ -32,6 +32,21 @@ class Config:
     group_sum_tol_pct: float = 5.0
     unit_magnitude_ratio: float = 50.0
     use_sanitized: bool = True
+    fub_map_pattern: str = "mapping/fub_map.csv"
+    source_patterns: dict[str, str] = field(default_factory=dict)
+    disabled_sources: list[str] = field(default_factory=list)
+    upf_pattern: str = "intent/*.upf"
+    budgets_file: str = "budgets.toml"
+    identity: dict[str, object] = field(default_factory=lambda: {"replica_policy": "sum", "divider": "/", "strip_top": False, "lowercase": False, "name_rules": []})
+    tree_features: list[str] = field(default_factory=lambda: ["fe_physical_mw", "wire_cap_pf", "cell_cap_pf", "area", "cell_count", "fanout", "frequency_ghz", "voltage_v", "activity", "wire_cap_fraction", "dyn_term", "leak_term"])
+    anomaly_idle_ratio: float = 0.35
+    anomaly_eff_ratio: float = 2.0
+    anomaly_regression_pct: float = 10.0
+    anomaly_clock_fraction: float = 0.5
+    anomaly_creep_builds: int = 3
+    anomaly_creep_pct: float = 15.0
+    anomaly_replica_ratio: float = 1.3
+    profile_tol_pct: float = 5.0
 
     @classmethod
     def read(cls, path: str) -> Config:
@@ -40,7 +55,14 @@ class Config:
         return cls(**{k: v for k, v in found.items() if k in {x.name for x in fields(cls)}})
 
     def to_toml(self) -> str:
-        return "".join(f"{k} = {json.dumps(v)}\n" for k, v in asdict(self).items())
+        """Flat keys, then a table for each group of them."""
+        flat, tables = {}, {}
+        for k, v in asdict(self).items():
+            (tables if isinstance(v, dict) else flat)[k] = v
+        lines = [f"{k} = {json.dumps(v)}\n" for k, v in flat.items()]
+        for k, v in tables.items():
+            lines += [f"\n[{k}]\n", *(f"{json.dumps(name)} = {json.dumps(x)}\n" for name, x in v.items())]
+        return "".join(lines)
 
 
 def read_budgets(path: str) -> list[Budget]:
@@ -51,10 +73,15 @@ def read_budgets(path: str) -> list[Budget]:
     out = []
     for b in found.get("budget", []):
         b = found.get("defaults", {}) | b
-        if "metric" not in b:
-            [b["metric"]] = [k for k in b if k.endswith(("_mw", "_pf")) or k == "area"]
-            b["target"] = b[b["metric"]]
-        out.append(Budget(**{"scope": "design"} | {k: v for k, v in b.items() if k in known}))
+        metric = b.get("metric") or next((m for m in METRICS if m in b), "be_mw")
+        if metric not in METRICS:
+            raise ValueError(f"{metric} is no convergence metric ({', '.join(METRICS)})")
+        target = b.get("target", b.get(metric))
+        if target is None:
+            raise ValueError(f"no target for {b.get('design')} {b.get('scope', 'design')}")
+        tolerance = MILESTONES | {k: float(v) for k, v in (b.get("tolerance_pct") or {}).items()}
+        own = {k: v for k, v in b.items() if k in known} | {"metric": metric, "target": float(target), "tolerance_pct": tolerance}
+        out.append(Budget(**{"scope": "design"} | own))
     return out
 
 
@@ -67,5 +94,12 @@ def read_scenarios(path: str) -> list[dict]:
         s = found.get("defaults", {}) | s
         overrides = dict(s.get("set", {})) | {k: f"x{v}" for k, v in s.get("scale", {}).items()}
         overrides |= {k: s[k] for k in ("frequency_ghz", "voltage_v") if k in s}
-        out.append({"name": s["name"], "design": s.get("design"), "workload": s.get("workload"), "operating_point": s.get("operating_point"), "overrides": overrides})
+        out.append({"name": s["name"], "design": s.get("design"), "workload": s.get("workload", "typical"), "operating_point": s.get("operating_point"), "overrides": overrides})
     return out
+
+
+def read_identity(path: str) -> dict[str, object]:
+    """A preset of name rules and replica policy."""
+    with open(path, "rb") as f:
+        found = tomllib.load(f)
+    return Config().identity | found.get("identity", found)

@@ -1,115 +1,229 @@
-"""Power anomaly rules. Each yields findings (design, build, model_root, rule, value, threshold) over all builds at once."""
+"""Power anomaly rules. Each yields findings over all builds at once; a report compares the latest build with the one before.
+
+A rule reads ``context(df)``: the wide rows with their build's rank and, per design, the reference
+corner (workload ``typical`` and operating point ``nom`` where a design has them, else the first by name).
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wattloom.config import Config
 from wattloom.functions.expr import ratio
 from wattloom.operators.select import with_rank
 
-#: Fixed thresholds and severities.
-IDLE_RATIO, EFFICIENCY_RATIO, ROBUST_Z, REGRESSION_PCT, CREEP_BUILDS, CREEP_PCT, CLOCK_FRACTION, REPLICA_RATIO, LEAKAGE_SHARE, LEAST_BLOCKS = 0.35, 2.0, 3.0, 10.0, 3, 15.0, 0.5, 1.3, 0.25, 8
-SEVERITY = {"idle_dynamic": "high", "activity_power_mismatch": "medium", "unexplained_regression": "high", "creeping_growth": "medium", "clock_dominant": "medium", "replica_divergence": "medium", "leakage_share": "low"}
-ID = ["design", "build", "model_root", "fub", "owner"]
+#: Fixed thresholds that no setting changes.
+ROBUST_Z, LEAKAGE_SHARE, LEAST_BLOCKS = 3.0, 0.25, 8
+IDLE = "idle"
+ID = ["design", "build", "model_root", "fub", "partition", "owner"]
+FINDING = [*ID, "rule", "severity", "value", "threshold", "unit", "evidence", "technique", "workload", "operating_point"]
+
+
+@dataclass(frozen=True)
+class Rule:
+    """How a rule is called, what it needs, what it may point at; ``find`` maps a context to rows with a value."""
+
+    name: str
+    label: str
+    severity: str
+    unit: str
+    technique: str | None
+    needs: tuple[str, ...]
+    find: Callable[[DataFrame, Config], DataFrame]
+
+
+def context(df: DataFrame) -> DataFrame:
+    preferred = lambda c, value: F.coalesce(F.max(F.when(F.col(c) == value, F.col(c))), F.min(c))
+    corners = df.groupBy("design").agg(preferred("workload", "typical").alias("ref_workload"), preferred("operating_point", "nom").alias("ref_op"))
+    for c in ("partition", "owner"):
+        if c not in df.columns:
+            df = df.withColumn(c, F.lit(None).cast("string"))
+    return with_rank(df).join(F.broadcast(corners), "design")  # a row a design
+
 
+def _reference(ctx: DataFrame) -> DataFrame:
+    return ctx.where((F.col("workload") == F.col("ref_workload")) & (F.col("operating_point") == F.col("ref_op")))
 
-def _found(df: DataFrame, rule: str, value: Column, threshold: Column | float) -> DataFrame:
+
+def _found(rows: DataFrame, value: Column, threshold: Column | float, evidence: Column, workload: Column | None = None) -> DataFrame:
     limit = threshold if isinstance(threshold, Column) else F.lit(float(threshold))
-    return df.select(*ID, F.lit(rule).alias("rule"), F.lit(SEVERITY[rule]).alias("severity"), value.cast("double").alias("value"), limit.cast("double").alias("threshold"))
+    return rows.select(*ID, value.cast("double").alias("value"), limit.cast("double").alias("threshold"), evidence.alias("evidence"), (F.col("workload") if workload is None else workload).alias("workload"), "operating_point")
 
 
-def _at(df: DataFrame, workload: str, op: str = "nom") -> DataFrame:
-    return df.where((F.col("workload") == workload) & (F.col("operating_point") == op))
+def _say(text: str, *values: Column) -> Column:
+    return F.format_string(text, *[F.coalesce(v.cast("double"), F.lit(float("nan"))) for v in values])
 
 
-def idle_dynamic(df: DataFrame, reference: str = "typical") -> DataFrame:
+def idle_dynamic(ctx: DataFrame, cfg: Config) -> DataFrame:
     """Blocks that burn dynamic power while idle; one conditional aggregate, no self join."""
-    at = lambda w: F.max(F.when(F.col("workload") == w, F.col("be_dynamic_mw")))
-    sides = df.where(F.col("operating_point") == "nom").groupBy(*ID).agg(at("idle").alias("idle"), at(reference).alias("ref"))
-    value = F.when(F.col("ref") > 0, ratio(F.col("idle"), F.col("ref")))
-    return _found(sides.withColumn("v", value).where(F.col("v") > IDLE_RATIO), "idle_dynamic", F.col("v"), IDLE_RATIO)
+    at = lambda w, c: F.max(F.when(F.col("workload") == w, F.col(c)))
+    rows = ctx.where((F.col("operating_point") == F.col("ref_op")) & (F.col("ref_workload") != IDLE))
+    sides = rows.groupBy(*ID, "operating_point", "ref_workload").agg(at(F.lit(IDLE), "be_dynamic_mw").alias("idle"), at(F.col("ref_workload"), "be_dynamic_mw").alias("ref"))
+    sides = sides.withColumn("v", F.when(F.col("ref") > 0, ratio(F.col("idle"), F.col("ref")))).where(F.col("v") > cfg.anomaly_idle_ratio)
+    said = F.concat(_say("idle dynamic %,.1f mW is %.0f%% of ", F.col("idle"), F.col("v") * 100), F.col("ref_workload"), _say(" (%,.1f mW)", F.col("ref")))
+    return _found(sides, F.col("v"), cfg.anomaly_idle_ratio, said, F.lit(IDLE))
 
 
-def activity_power_mismatch(df: DataFrame) -> DataFrame:
-    """Power per switched capacitance far above the blocks' median, in robust z of logarithms."""
+def activity_power_mismatch(ctx: DataFrame, cfg: Config) -> DataFrame:
+    """Dynamic power per activity, capacitance and corner far above the blocks' median, in robust z of logarithms."""
     by = Window.partitionBy("design", "build")
-    work = F.col("activity") * F.col("total_cap_pf")
-    rows = _at(df, "typical").withColumn("eff", F.when(work > 0, F.col("be_dynamic_mw") / work)).where("eff > 0").withColumn("log", F.ln("eff"))
+    drive = F.col("activity") * (F.col("wire_cap_pf") + F.col("cell_cap_pf")) * F.col("voltage_v") * F.col("voltage_v") * F.col("frequency_ghz")
+    rows = _reference(ctx).withColumn("eff", F.when(drive > 0, F.col("be_dynamic_mw") / drive)).where("eff > 0").withColumn("log", F.ln("eff"))
     rows = rows.withColumns({"mid": F.median("log").over(by), "n": F.count("*").over(by)}).withColumn("off", F.abs(F.col("log") - F.col("mid")))
     mad = F.median("off").over(by) * 1.4826
     z = (F.col("log") - F.col("mid")) / F.when(mad > 0, mad).otherwise(1e-9)
     rows = rows.withColumns({"z": z, "v": F.exp(F.col("log") - F.col("mid"))})
-    return _found(rows.where((F.col("n") >= LEAST_BLOCKS) & (F.col("v") >= EFFICIENCY_RATIO) & (F.col("z") >= ROBUST_Z)), "activity_power_mismatch", F.col("v"), EFFICIENCY_RATIO)
+    rows = rows.where((F.col("n") >= LEAST_BLOCKS) & (F.col("v") >= cfg.anomaly_eff_ratio) & (F.col("z") >= ROBUST_Z))
+    said = _say("dynamic power per activity, capacitance and corner is %.1fx the design median (robust z %.1f); activity %.2f, dynamic %,.1f mW", F.col("v"), F.col("z"), F.col("activity"), F.col("be_dynamic_mw"))
+    return _found(rows, F.col("v"), cfg.anomaly_eff_ratio, said)
 
 
-def unexplained_regression(df: DataFrame) -> DataFrame:
-    """Growth since a block's last build that its capacitance and activity do not explain."""
+def unexplained_regression(ctx: DataFrame, cfg: Config) -> DataFrame:
+    """Growth of dynamic power since a block's last build beyond what its capacitance and activity (else its area) explain."""
     last = Window.partitionBy("design", "model_root").orderBy("build_rank")
-    rows = with_rank(_at(df, "typical"))
     act = F.when(F.col("activity") > 0, F.col("activity")).otherwise(1.0)
-    rows = rows.withColumn("driver", F.col("total_cap_pf") * act)
-    rows = rows.withColumns({f"prev_{c}": F.lag(c).over(last) for c in ("be_mw", "driver", "area")})
+    rows = _reference(ctx).withColumns({"cap": F.col("wire_cap_pf") + F.col("cell_cap_pf")}).withColumn("driver", F.col("cap") * act)
+    rows = rows.withColumns({f"prev_{c}": F.lag(c).over(last) for c in ("be_dynamic_mw", "driver", "cap", "area", "build")})
     pct = lambda c: ratio(F.col(c) - F.col(f"prev_{c}"), F.col(f"prev_{c}")) * 100
-    rows = rows.withColumns({"growth": pct("be_mw"), "explained": F.coalesce(pct("driver"), pct("area"), F.lit(0.0))})
-    return _found(rows.where((F.col("growth") > REGRESSION_PCT) & (F.col("growth") - F.col("explained") > REGRESSION_PCT)), "unexplained_regression", F.col("growth"), REGRESSION_PCT)
+    growth = F.when(F.col("prev_be_dynamic_mw") > 0, pct("be_dynamic_mw"))
+    explained = F.coalesce(F.when(F.col("prev_cap") > 0, pct("driver")), F.when(F.col("prev_area") > 0, pct("area")), F.lit(0.0))
+    rows = rows.withColumns({"growth": growth, "explained": explained}).withColumn("v", F.col("growth") - F.col("explained"))
+    rows = rows.where((F.col("growth") > cfg.anomaly_regression_pct) & (F.col("v") > cfg.anomaly_regression_pct))
+    said = F.concat(_say("dynamic %,.1f -> %,.1f mW (%+.1f%%) vs ", F.col("prev_be_dynamic_mw"), F.col("be_dynamic_mw"), F.col("growth")), F.col("prev_build"), _say("; activity and capacitance explain %+.1f%%", F.col("explained")))
+    return _found(rows, F.col("v"), cfg.anomaly_regression_pct, said)
 
 
-def creeping_growth(df: DataFrame) -> DataFrame:
-    """Strict growth over CREEP_BUILDS moves in a row that adds up."""
+def creeping_growth(ctx: DataFrame, cfg: Config) -> DataFrame:
+    """Strict growth of dynamic power over the last builds in a row that adds up."""
+    n = cfg.anomaly_creep_builds
     own = Window.partitionBy("design", "model_root").orderBy("build_rank")
-    rows = with_rank(_at(df, "typical"))
-    steps = [F.col("be_mw")] + [F.lag("be_mw", k).over(own) for k in range(1, CREEP_BUILDS + 1)]
-    adjacent = F.col("build_rank") - F.lag("build_rank", CREEP_BUILDS).over(own) == CREEP_BUILDS
-    rising = adjacent & (steps[-1] > 0)
+    rows = _reference(ctx)
+    steps = [F.col("be_dynamic_mw")] + [F.lag("be_dynamic_mw", k).over(own) for k in range(1, n + 1)]
+    rising = (F.col("build_rank") - F.lag("build_rank", n).over(own) == n) & (steps[-1] > 0)
     for a, b in zip(steps, steps[1:], strict=False):
         rising = rising & (a > b)
-    rows = rows.withColumns({"rising": rising, "v": ratio(steps[0] - steps[-1], steps[-1]) * 100})
-    return _found(rows.where(F.col("rising") & (F.col("v") > CREEP_PCT)), "creeping_growth", F.col("v"), CREEP_PCT)
+    rows = rows.withColumns({"rising": rising, "v": ratio(steps[0] - steps[-1], steps[-1]) * 100, "from_mw": steps[-1]})
+    said = _say(f"dynamic rose in {n} builds in a row: %,.0f -> %,.0f mW", F.col("from_mw"), F.col("be_dynamic_mw"))
+    return _found(rows.where(F.col("rising") & (F.col("v") > cfg.anomaly_creep_pct)), F.col("v"), cfg.anomaly_creep_pct, said)
 
 
-def clock_dominant(df: DataFrame) -> DataFrame:
-    rows = _at(df, "typical").where((F.col("clock_fraction") > CLOCK_FRACTION) & (F.col("be_dynamic_mw") > 0))
-    return _found(rows, "clock_dominant", F.col("clock_fraction"), CLOCK_FRACTION)
+def clock_dominant(ctx: DataFrame, cfg: Config) -> DataFrame:
+    rows = _reference(ctx).where((F.col("clock_fraction") > cfg.anomaly_clock_fraction) & (F.col("be_dynamic_mw") > 0))
+    said = _say("clock network is %.0f%% of dynamic power (%,.1f of %,.1f mW)", F.col("clock_fraction") * 100, F.col("be_clock_mw"), F.col("be_dynamic_mw"))
+    return _found(rows, F.col("clock_fraction"), cfg.anomaly_clock_fraction, said)
 
 
-def replica_divergence(df: DataFrame) -> DataFrame:
-    """Instances (name@i) of one block that differ; a finding on the largest."""
-    rows = _at(df, "typical").withColumn("base", F.split("fub", "@")[0])
-    sides = rows.groupBy("design", "build", "base").agg(F.count("be_mw").alias("n"), F.min("be_mw").alias("low"), F.max("be_mw").alias("high"), F.max_by(F.struct("model_root", "fub", "owner"), F.struct("be_mw", "fub")).alias("at"))
-    sides = sides.where((F.col("n") >= 2) & (F.col("low") > 0)).select("design", "build", "at.*", ratio(F.col("high"), F.col("low")).alias("v"))
-    return _found(sides.where(F.col("v") > REPLICA_RATIO), "replica_divergence", F.col("v"), REPLICA_RATIO)
+def replica_divergence(ctx: DataFrame, cfg: Config) -> DataFrame:
+    """Instances (name@i) of one block whose dynamic power differs; a finding on the largest."""
+    rows = _reference(ctx).where(F.col("fub").contains("@")).withColumn("base", F.split("fub", "@")[0])
+    measured = F.col("be_dynamic_mw").isNotNull()
+    sides = rows.groupBy("design", "build", "base", "workload", "operating_point").agg(F.count("*").alias("instances"), F.count("be_dynamic_mw").alias("n"), F.min("be_dynamic_mw").alias("low"), F.max("be_dynamic_mw").alias("high"), F.max_by(F.struct(*ID[2:]), F.when(measured, F.struct("be_dynamic_mw", "fub"))).alias("at"), F.min_by("fub", F.when(measured, F.struct("be_dynamic_mw", "fub"))).alias("least"))
+    sides = sides.where((F.col("n") >= 2) & (F.col("low") > 0)).select("*", "at.*").withColumn("v", ratio(F.col("high"), F.col("low"))).where(F.col("v") > cfg.anomaly_replica_ratio)
+    said = F.concat("base", F.lit(": "), "fub", _say(" %,.1f mW vs ", F.col("high")), "least", _say(" %,.1f mW across %.0f instances", F.col("low"), F.col("instances")))
+    return _found(sides, F.col("v"), cfg.anomaly_replica_ratio, said)
 
 
-def leakage_share(df: DataFrame) -> DataFrame:
+def leakage_share(ctx: DataFrame, cfg: Config) -> DataFrame:
     by = Window.partitionBy("design", "build")
-    rows = _at(df, "typical").where((F.col("be_mw") > 0) & F.col("leakage_fraction").isNotNull())
+    rows = _reference(ctx).where((F.col("be_mw") > 0) & F.col("leakage_fraction").isNotNull())
     rows = rows.withColumns({"mid": F.median("leakage_fraction").over(by), "n": F.count("*").over(by)})
     limit = F.greatest(2 * F.col("mid"), F.lit(LEAKAGE_SHARE))
-    return _found(rows.where((F.col("n") >= LEAST_BLOCKS) & (F.col("leakage_fraction") > limit)), "leakage_share", F.col("leakage_fraction"), limit)
-
-
-#: Rules by name; register a rule by adding an entry here and in SEVERITY.
-RULES = {f.__name__: f for f in (idle_dynamic, activity_power_mismatch, unexplained_regression, creeping_growth, clock_dominant, replica_divergence, leakage_share)}
-
-
-def findings(df: DataFrame, rules: list[str] | None = None) -> DataFrame:
-    out = None
+    said = _say("leakage is %.0f%% of total vs design median %.0f%% (%,.1f mW)", F.col("leakage_fraction") * 100, F.col("mid") * 100, F.col("be_leakage_mw"))
+    return _found(rows.where((F.col("n") >= LEAST_BLOCKS) & (F.col("leakage_fraction") > limit)), F.col("leakage_fraction"), limit, said)
+
+
+#: The rules by name, in order; register a rule by adding an entry here.
+RULES = {
+    r.name: r
+    for r in (
+        Rule("idle_dynamic", "Dynamic power at idle", "high", "ratio", "clock_gating", ("be_dynamic_mw",), idle_dynamic),
+        Rule("activity_power_mismatch", "Power high for its activity", "high", "x median", "glitch_reduction", ("be_dynamic_mw", "activity", "wire_cap_pf", "cell_cap_pf"), activity_power_mismatch),
+        Rule("unexplained_regression", "Unexplained build regression", "high", "%", "clock_gating", ("be_dynamic_mw",), unexplained_regression),
+        Rule("creeping_growth", "Creeping growth across builds", "medium", "%", None, ("be_dynamic_mw",), creeping_growth),
+        Rule("clock_dominant", "Clock network dominant", "medium", "fraction", "clock_gating", ("be_clock_mw",), clock_dominant),
+        Rule("replica_divergence", "Replica instances disagree", "medium", "max/min", "wire_cap_reduction", ("be_dynamic_mw",), replica_divergence),
+        Rule("leakage_share", "Leakage share far above peers", "medium", "fraction", "vt_swap", ("be_leakage_mw",), leakage_share),
+    )
+}
+
+
+def find(df: DataFrame, name: str, cfg: Config | None = None, ctx: DataFrame | None = None) -> DataFrame:
+    """FINDING rows of one rule, over all builds; none where a column it needs is absent."""
+    rule = RULES[name]
+    ctx = context(df) if ctx is None else ctx
+    if set(rule.needs) - set(df.columns):
+        ctx = ctx.limit(0).withColumns({c: F.lit(None).cast("double") for c in set(rule.needs) - set(df.columns)})
+    rows = rule.find(ctx, cfg or Config())
+    return rows.withColumns({"rule": F.lit(name), "severity": F.lit(rule.severity), "unit": F.lit(rule.unit), "technique": F.lit(rule.technique).cast("string")}).select(*FINDING)
+
+
+def findings(df: DataFrame, rules: list[str] | None = None, cfg: Config | None = None) -> DataFrame:
+    ctx, out = context(df), None
     for name in rules or RULES:
-        out = RULES[name](df) if out is None else out.unionByName(RULES[name](df))
+        rows = find(df, name, cfg, ctx)
+        out = rows if out is None else out.unionByName(rows)
     return out
 
 
 def with_status(df: DataFrame, found: DataFrame) -> DataFrame:
     """Each design's latest findings as new or persisting, and those of the build before that are cleared."""
-    ranked = found.join(with_rank(df).select("design", "build", "build_rank").distinct(), ["design", "build"])
-    last = df.transform(with_rank).groupBy("design").agg(F.max("build_rank").alias("last_"))
+    ranks = with_rank(df.select("design", "build").distinct())
+    last = ranks.groupBy("design").agg(F.max("build_rank").alias("last_"))
     key = ["design", "model_root", "rule"]
-    near = ranked.join(last, "design").where(F.col("build_rank") >= F.col("last_") - 1)
+    near = found.join(F.broadcast(ranks.join(last, "design").where(F.col("build_rank") >= F.col("last_") - 1)), ["design", "build"])
     sides = near.groupBy(*key).agg(F.max(F.col("build_rank") == F.col("last_")).alias("now"), F.max(F.col("build_rank") < F.col("last_")).alias("then"))
     return sides.select(*key, F.when(~F.col("now"), "cleared").when(F.col("then"), "persisting").otherwise("new").alias("status"))
 
 
+def report(df: DataFrame, rules: list[str] | None = None, cfg: Config | None = None) -> DataFrame:
+    """Findings of each design's latest build, new or persisting, and cleared ones of the build before.
+
+    ``place`` orders a design's findings: by severity, then growth first among percentages, then by block.
+    """
+    found = findings(df, rules, cfg)
+    ranks = with_rank(df.select("design", "build").distinct())
+    last = ranks.groupBy("design").agg(F.max("build_rank").alias("last_"))
+    rows = found.join(F.broadcast(ranks.join(last, "design")), ["design", "build"]).where(F.col("build_rank") >= F.col("last_") - 1)
+    of = Window.partitionBy("design", "model_root", "rule")
+    now, before = (F.max(F.col("build_rank") == F.col("last_") - k).over(of) for k in (0, 1))
+    rows = rows.withColumn("status", F.when(~now, "cleared").when(before, "persisting").otherwise("new"))
+    rows = rows.where((F.col("build_rank") == F.col("last_")) | (F.col("status") == "cleared"))
+    severity = F.when(F.col("severity") == "high", 0).when(F.col("severity") == "medium", 1).otherwise(2)
+    order = Window.partitionBy("design").orderBy(F.col("status") == "cleared", severity, F.when(F.col("unit") == "%", -F.col("value")).otherwise(0.0), "model_root", "rule")
+    return rows.withColumn("place", F.row_number().over(order)).select(*FINDING, "status", "place")
+
+
+def skipped(df: DataFrame, cfg: Config | None = None) -> DataFrame:
+    """(design, rule, reason) of rules that cannot judge a design's latest build."""
+    cfg = cfg or Config()
+    has = [c for r in RULES.values() for c in r.needs if c in df.columns]
+    ctx = context(df)
+    last = ctx.groupBy("design").agg(F.max("build_rank").alias("last_"))
+    at = (F.col("build_rank") == F.col("last_")) & (F.col("workload") == F.col("ref_workload")) & (F.col("operating_point") == F.col("ref_op"))
+    drive = F.col("activity") * (F.col("wire_cap_pf") + F.col("cell_cap_pf")) * F.col("voltage_v") * F.col("frequency_ghz")
+    counts = {f"n_{c}": F.count(c) for c in dict.fromkeys(has)}
+    counts |= {"idle_": F.count_if(F.col("workload") == IDLE), "ref_": F.max("ref_workload"), "builds_": F.max("build_rank"), "replicas_": F.count_if(at & F.col("fub").contains("@")), "clocks_": F.count_if(at & F.col("clock_fraction").isNotNull()), "leaks_": F.count_if(at & F.col("leakage_fraction").isNotNull() & (F.col("be_mw") > 0)), "drives_": F.count_if(at & (drive > 0) & (F.col("be_dynamic_mw") > 0))}
+    rows = ctx.join(F.broadcast(last), "design").groupBy("design").agg(*[v.alias(k) for k, v in counts.items()])
+    own = {
+        "idle_dynamic": F.when((F.col("idle_") == 0) | (F.col("ref_") == IDLE), f"no '{IDLE}' workload in the dataset"),
+        "activity_power_mismatch": F.when(F.col("drives_") < LEAST_BLOCKS, f"fewer than {LEAST_BLOCKS} blocks with activity, capacitance and corner"),
+        "unexplained_regression": F.when(F.col("builds_") < 2, "no previous build"),
+        "creeping_growth": F.when(F.col("builds_") <= cfg.anomaly_creep_builds, f"fewer than {cfg.anomaly_creep_builds + 1} builds"),
+        "clock_dominant": F.when(F.col("clocks_") == 0, "no power by group (be_clock_mw)"),
+        "replica_divergence": F.when(F.col("replicas_") == 0, "no rows of replica instances"),
+        "leakage_share": F.when(F.col("leaks_") < LEAST_BLOCKS, f"fewer than {LEAST_BLOCKS} blocks with a leakage split"),
+    }
+    reasons = []
+    for name, rule in RULES.items():
+        absent = F.concat_ws(", ", *[F.lit(c) if c not in has else F.when(F.col(f"n_{c}") == 0, c) for c in rule.needs])
+        reasons.append(F.struct(F.lit(name).alias("rule"), F.when(absent != "", F.concat(F.lit("needs "), absent)).otherwise(own[name]).alias("reason")))
+    return rows.select("design", F.inline(F.array(*reasons))).where("reason is not null")
+
+
 def by_owner(found: DataFrame) -> DataFrame:
     owner = F.coalesce("owner", F.lit("(no owner)"))
-    return found.groupBy(owner.alias("owner")).agg(F.count("*").alias("findings"), F.count_if(F.col("severity") == "high").alias("high"), F.countDistinct("fub").alias("fubs"))
+    return found.groupBy(owner.alias("owner")).agg(F.count("*").alias("findings"), F.count_if(F.col("severity") == "high").alias("high"), F.countDistinct("model_root").alias("fubs"))

@@ -1,7 +1,8 @@
-"""Build-validated power models: linear ones by Gram matrices, a monotone boosted tree, and what-if.
+"""Build-validated power models: linear ones by Gram matrices, monotone boosted trees, scores, intervals and what-if.
 
 A linear fit is one distributed aggregate of cross products (k x k numbers a build); only that
-reaches the driver, whatever the rows. Leave-one-build-out folds are the total less a build.
+reaches the driver, whatever the rows. Leave-one-build-out folds are the total less a build, with each
+fold's own medians for missing values: these enter through indicator columns, so one pass serves all folds.
 """
 
 from __future__ import annotations
@@ -10,15 +11,19 @@ import math
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wattloom.functions.expr import natural_key
 from wattloom.operators.derive import rescale_estimate, with_features
+from wattloom.operators.stats import prediction_metrics
 
 #: Features of each kind of model.
 KINDS = {"scaled": ["fe_physical_mw"], "linear": ["fe_physical_mw", "wire_cap_pf", "cell_cap_pf"], "physics": ["dyn_term", "move_term", "leak_term", "fe_physical_mw"], "datamove": ["cell_dyn_term", "wire_dyn_term", "move_term", "leak_term"]}
-PREFERENCE = ["datamove", "physics", "linear", "scaled", "baseline"]
+#: Which kind stands in for one that is not there.
+PREFERENCE = ["datamove", "physics", "linear", "scaled", "tree"]
+#: What the terms of the datamove model attribute power to.
+PARTS = {"cell_dyn_term": "compute_mw", "wire_dyn_term": "wire_mw", "move_term": "movement_mw", "leak_term": "leakage_mw"}
 TARGET = "be_mw"
 
 
@@ -46,9 +51,10 @@ def _fills(df: DataFrame, features: list[str]) -> dict[str, float]:
     return {c: float(row[c]) for c in features if row[c] is not None}
 
 
-def grams(df: DataFrame, features: list[str], fill: dict[str, float]) -> dict[str, np.ndarray]:
-    """Per build: cross products of (1, features, target) over rows with a target."""
-    x = [F.lit(1.0), *[F.coalesce(F.col(c).cast("double"), F.lit(fill[c])) for c in features], F.col(TARGET)]
+def grams(df: DataFrame, features: list[str], missing: list[str] = ()) -> dict[str, np.ndarray]:
+    """Per build: cross products of (1, features or 0, whether each of ``missing`` is missing, target) over rows with a target."""
+    value = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0))
+    x = [F.lit(1.0), *[value(c) for c in features], *[F.col(c).isNull().cast("double") for c in missing], F.col(TARGET)]
     k = len(x)
     sums = [F.sum(x[i] * x[j]) for i in range(k) for j in range(i, k)]
     out = {}
@@ -62,6 +68,22 @@ def grams(df: DataFrame, features: list[str], fill: dict[str, float]) -> dict[st
     return out
 
 
+def filled(g: np.ndarray, features: list[str], missing: list[str], fill: dict[str, float]) -> np.ndarray:
+    """The Gram matrix of (1, features, target) with missing values filled, from one with indicators."""
+    k = len(features)
+    to = np.zeros((k + 2, len(g)))
+    to[: k + 1, : k + 1] = np.eye(k + 1)
+    to[-1, -1] = 1
+    for n, c in enumerate(missing):
+        to[1 + features.index(c), 1 + k + n] = fill[c]
+    return to @ g @ to.T
+
+
+def _missing(df: DataFrame, features: list[str]) -> list[str]:
+    row = df.where(F.col(TARGET).isNotNull()).agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in features]).first()
+    return [c for c in features if row[c]]
+
+
 def solve(kind: str, g: np.ndarray, features: list[str], fill: dict[str, float]) -> Linear:
     """Least squares with intercept from a Gram matrix; scaled, and of minimum norm where rank lacks."""
     n, sx, sy = g[0, 0], g[0, 1:-1], g[0, -1]
@@ -82,7 +104,8 @@ def fit(df: DataFrame, kind: str) -> Linear:
     features = [c for c in KINDS[kind] if c in fill]
     if not features or kind == "datamove" and len(features) < 2:
         raise ValueError(f"too few features for {kind}")
-    return solve(kind, sum(grams(df, features, fill).values()), features, fill)
+    missing = _missing(df, features)
+    return solve(kind, filled(sum(grams(df, features, missing).values()), features, missing, fill), features, fill)
 
 
 def builds_in_order(df: DataFrame) -> list[str]:
@@ -99,43 +122,158 @@ def split_by_build(df: DataFrame, fraction: float = 0.2) -> tuple[DataFrame, Dat
     return df.where(~F.col("build").isin(held)), df.where(F.col("build").isin(held)), held
 
 
-def leave_one_build_out(df: DataFrame, kind: str) -> dict[str, Linear]:
-    """A model per held-out build, all from one pass: the total Gram matrix less the build's."""
-    fill = _fills(df, KINDS[kind])
-    features = [c for c in KINDS[kind] if c in fill]
-    by = grams(df, features, fill)
-    if len(by) < 3:
-        raise ValueError("cross-validation needs three builds")
-    total = sum(by.values())
-    return {b: solve(kind, total - g, features, fill) for b, g in by.items()}
+def leave_one_build_out(df: DataFrame, kind: str, least: int = 3) -> dict[str, Linear]:
+    """A model per held-out build, all from one pass: the total Gram matrix less the build's, its own medians filled in."""
+    features = [c for c in KINDS.get(kind, []) if c in df.columns]
+    names = builds_in_order(df)
+    if len(names) < least:
+        raise ValueError(f"cross-validation needs {least} builds")
+    if kind == "baseline":
+        return {b: baseline() for b in names}
+    missing = _missing(df, features)
+    # a median a fold and feature with gaps: as many as builds, not rows
+    asked = [F.median(F.when(F.col("build") != b, F.col(c))).alias(f"{c}/{n}") for n, b in enumerate(names) for c in missing]
+    medians = df.agg(*asked).first() if asked else {}
+    whole = _fills(df, features)
+    features = [c for c in features if c in whole]
+    missing = [c for c in missing if c in features]
+    by = grams(df, features, missing)
+    total, out = sum(by.values()), {}
+    for n, b in enumerate(names):
+        fill = whole | {c: medians[f"{c}/{n}"] for c in missing}
+        own = [c for c in features if fill[c] is not None]  # a feature that only the held-out build has
+        at = [0, *[1 + features.index(c) for c in own], *[1 + len(features) + missing.index(c) for c in missing if c in own], -1]
+        gaps = [c for c in missing if c in own]
+        g = (total - by.get(b, 0 * total))[np.ix_(at, at)]
+        out[b] = solve(kind, filled(g, own, gaps, fill), own, {c: fill[c] for c in own})
+    return out
 
 
 def score_folds(df: DataFrame, models: dict[str, Linear]) -> DataFrame:
-    """Per held-out build: n and MAPE; each row is predicted by its build's model through a small map."""
-    names = list(next(iter(models.values())).coefficients)
-    spark = df.sparkSession
-    rows = [(b, m.intercept, *[m.coefficients[c] for c in names]) for b, m in models.items()]
-    w = spark.createDataFrame(rows, ["build", "w0_", *[f"w_{c}" for c in names]])
-    fill = next(iter(models.values())).fill
-    p = sum((F.coalesce(F.col(c), F.lit(fill[c])) * F.col(f"w_{c}") for c in names), F.col("w0_"))
-    scored = df.join(F.broadcast(w), "build").where(F.col(TARGET) != 0).withColumn("ape_", F.abs((p - F.col(TARGET)) / F.col(TARGET)) * 100)
-    return scored.groupBy("build").agg(F.count("*").alias("n"), F.avg("ape_").alias("mape"))
+    """Per held-out build: error metrics; each row is predicted by its build's model."""
+    return _with_fold_predictions(df, models).groupBy("build").agg(*prediction_metrics(F.col(TARGET), F.col("predicted_")))
+
+
+def _with_fold_predictions(df: DataFrame, models: dict[str, Linear]) -> DataFrame:
+    names = sorted({c for m in models.values() for c in m.coefficients})
+    rows = [(b, m.intercept, *[float(m.coefficients.get(c, 0.0)) for c in names], *[float(m.fill.get(c, 0.0)) for c in names]) for b, m in models.items()]
+    w = df.sparkSession.createDataFrame(rows, ", ".join(["build string", "w0_ double", *[f"w_{c} double" for c in names], *[f"fill_{c} double" for c in names]]))
+    p = sum((F.coalesce(F.col(c), F.col(f"fill_{c}")) * F.col(f"w_{c}") for c in names), F.col("w0_"))
+    return df.join(F.broadcast(w), "build").withColumn("predicted_", p).drop("w0_", *[f"w_{c}" for c in names], *[f"fill_{c}" for c in names])  # a row a build
+
+
+def cross_validate(df: DataFrame, kinds: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(folds: kind, build, metrics), (summary: kind, MAPE's mean, spread and worst, mean R2, and percentiles of the error in pct)."""
+    rows = None
+    for kind in kinds or ["baseline", *KINDS]:
+        part = _with_fold_predictions(df, leave_one_build_out(df, kind)).select(F.lit(kind).alias("kind"), "build", TARGET, "predicted_")
+        rows = part if rows is None else rows.unionByName(part)
+    folds = rows.groupBy("kind", "build").agg(*prediction_metrics(F.col(TARGET), F.col("predicted_")))
+    off = F.when(F.col(TARGET) != 0, (F.col("predicted_") - F.col(TARGET)) / F.col(TARGET) * 100)
+    spread = rows.groupBy("kind").agg(*[F.percentile(off, F.lit(q / 100)).alias(f"p{q:02d}") for q in (5, 50, 95)], F.count(off).alias("n"))
+    summary = folds.groupBy("kind").agg(F.avg("mape").alias("mape_mean"), F.stddev_pop("mape").alias("mape_std"), F.max("mape").alias("mape_worst"), F.avg("r2").alias("r2_mean"), F.count("*").alias("n_folds"))
+    return folds, summary.join(spread, "kind")
+
+
+def score(df: DataFrame, models: dict[str, Linear]) -> DataFrame:
+    """(kind, error metrics) of several models over the same rows, in one pass."""
+    pairs = F.array(*[F.struct(F.lit(k).alias("kind"), m.predict().alias("p")) for k, m in models.items()])
+    return df.select(TARGET, F.explode(pairs).alias("at")).groupBy(F.col("at.kind").alias("kind")).agg(*prediction_metrics(F.col(TARGET), F.col("at.p")))
+
+
+@dataclass
+class Trained:
+    """Models fitted on all builds, and how models of the earlier builds scored on the held-out ones."""
+
+    models: dict[str, Linear]
+    held_out: list[str]
+    metrics: dict[str, dict]
+    metrics_train: dict[str, dict]
+    notes: list[str]
+
+    @property
+    def best(self) -> str:
+        return best_model(self.metrics)
+
+
+def _metrics(scored: DataFrame) -> dict[str, dict]:
+    return {r.kind: {k: v for k, v in r.asDict().items() if k != "kind"} for r in scored.collect()}  # a row a kind
+
+
+def train(df: DataFrame, kinds: list[str] | None = None, fraction: float = 0.2, least_builds: int = 5) -> Trained:
+    """Fits on the earlier builds, scores on the latest, then fits again on all for use."""
+    early, late, held = split_by_build(df, fraction)
+    fitted, notes = {}, []
+    for kind in kinds or ["baseline", *KINDS]:
+        try:
+            fitted[kind] = fit(early, kind)
+        except ValueError as e:
+            notes.append(f"{kind} skipped: {e}")
+    n = len(builds_in_order(df))
+    if n < least_builds:
+        notes.append(f"only {n} builds: scores on {len(held)} of them are noisy")
+    return Trained({k: fit(df, k) for k in fitted}, held, _metrics(score(late, fitted)), _metrics(score(early, fitted)), notes)
+
+
+def evaluate(df: DataFrame, trained: Trained) -> dict[str, dict]:
+    """Models in use scored on the builds once held out: in sample, as they were fitted on all builds."""
+    rows = df.where(F.col("build").isin(trained.held_out))
+    if not rows.limit(1).count():
+        raise ValueError("none of the held-out builds is in these rows")
+    return _metrics(score(rows, trained.models))
+
+
+def best_model(metrics: dict[str, dict]) -> str:
+    return min(metrics, key=lambda k: (metrics[k]["mape"] if metrics[k]["mape"] is not None else math.inf, k))
+
+
+def improvement_pct(base: dict, other: dict, key: str = "mape") -> float | None:
+    if base.get(key) in (None, 0) or other.get(key) is None:
+        return None
+    return (base[key] - other[key]) / base[key] * 100
+
+
+def pick_model(models: dict, wanted: str | None = None, trees: bool = False) -> str:
+    """The wanted kind if it is there, else the first by preference."""
+    if wanted in models:
+        return wanted
+    for k in PREFERENCE:
+        if k in models and (trees or k != "tree"):
+            return k
+    raise ValueError("no model to use")
 
 
 def decompose(df: DataFrame, model: Linear) -> DataFrame:
-    """Each term's share of the predicted power; shares clip at 0, the prediction does not."""
+    """Each part's share of the predicted power (parts clip at 0, the prediction does not), and energy per bit and mm moved."""
     terms = model.terms()
-    whole = sum((F.greatest(t, F.lit(0.0)) for t in terms.values()), F.lit(0.0))
-    parts = {f"{c}_mw": t for c, t in terms.items()} | {f"{c}_share": F.try_divide(F.greatest(t, F.lit(0.0)), whole) for c, t in terms.items()}
-    return df.withColumns(parts | {"predicted_mw": model.predict()})
+    parts = {PARTS.get(c, f"{c}_mw"): F.greatest(t, F.lit(0.0)) for c, t in terms.items()}
+    whole = sum(parts.values(), F.lit(0.0))
+    out = {**parts, **{f"{c}_share": F.when(whole > 0, t / whole) for c, t in parts.items()}, "intercept_mw": F.lit(model.intercept), "predicted_mw": model.predict()}
+    if "movement_mw" in parts:
+        moved = F.col("bits_per_cycle") * F.col("frequency_ghz") * 1e9 * F.col("avg_net_length_um") / 1000
+        out["pj_per_bit_mm"] = F.when(moved > 0, parts["movement_mw"] * 1e-3 / moved * 1e12)
+    return df.withColumns(out)
+
+
+def decomposition_totals(parts: DataFrame) -> DataFrame:
+    names = [c for c in PARTS.values() if c in parts.columns]
+    return parts.groupBy("design", "workload", "operating_point").agg(*[F.sum(c).alias(c) for c in (*names, "predicted_mw", TARGET)])
 
 
 #: Short names for overrides.
-ALIASES = {"v": "voltage_v", "voltage": "voltage_v", "f": "frequency_ghz", "frequency": "frequency_ghz", "wire": "wire_cap_pf", "cell": "cell_cap_pf", "act": "activity", "bits": "bits_per_cycle", "length": "avg_net_length_um", "fe": "fe_physical_mw"}
+ALIASES = {"v": "voltage_v", "voltage": "voltage_v", "vdd": "voltage_v", "f": "frequency_ghz", "freq": "frequency_ghz", "frequency": "frequency_ghz", "wire": "wire_cap_pf", "wire-cap": "wire_cap_pf", "wire_cap": "wire_cap_pf", "cell": "cell_cap_pf", "cell-cap": "cell_cap_pf", "cell_cap": "cell_cap_pf", "act": "activity", "bits": "bits_per_cycle", "length": "avg_net_length_um", "fe": "fe_physical_mw", "fe-physical": "fe_physical_mw", "fe_physical": "fe_physical_mw"}
+
 
+def parse_override(text: str, scale: bool = False) -> tuple[str, float | str]:
+    """``feature=value`` with short names; a factor if ``scale``."""
+    name, equals, value = text.partition("=")
+    if not equals:
+        raise ValueError(f"expected feature=value, not {text!r}")
+    return ALIASES.get(name.strip(), name.strip()), f"x{float(value)}" if scale else float(value)
 
-def what_if(df: DataFrame, model: Linear, overrides: dict[str, float | str]) -> DataFrame:
-    """Predictions before and after: a number sets a feature, a string like x1.2 scales it."""
+
+def what_if(df: DataFrame, model: Linear, overrides: dict[str, float | str], interval: tuple[float, float] | None = None) -> DataFrame:
+    """Predictions before and after: a number sets a feature, a string like x1.2 scales it; bounds by a cross-validated error in pct."""
     changed = {ALIASES.get(k, k): v for k, v in overrides.items()}
     if unknown := set(changed) - set(df.columns):
         raise ValueError(f"no such feature: {sorted(unknown)}")
@@ -143,88 +281,163 @@ def what_if(df: DataFrame, model: Linear, overrides: dict[str, float | str]) ->
     value = lambda c, v: F.col(c) * float(v[1:]) if isinstance(v, str) else F.lit(float(v))
     then = with_features(now.withColumns({c: value(c, v) for c, v in changed.items()}))
     then = rescale_estimate(then, set(changed)).withColumn("proposed_mw", model.predict())
+    if interval is not None:
+        then = then.withColumns({"proposed_low_mw": F.col("proposed_mw") * (1 + interval[0] / 100), "proposed_high_mw": F.col("proposed_mw") * (1 + interval[1] / 100)})
     return then.withColumn("delta_pct", F.try_divide(F.col("proposed_mw") - F.col("current_mw"), F.col("current_mw")) * 100).drop("cur_dyn_term")
 
 
-def sweep(df: DataFrame, model: Linear, column: str, values: list[float], spark=None) -> DataFrame:
-    """Total predicted power per design for each value of a feature: scenarios meet rows in one job."""
-    points = df.sparkSession.createDataFrame([(float(v),) for v in values], "value_ double")
-    rows = df.crossJoin(F.broadcast(points)).withColumn(column, F.col("value_"))  # a few scenario values, named by the caller
-    return with_features(rows).groupBy("design", F.col("value_").alias(column)).agg(F.sum(model.predict()).alias("power_mw"))
-
-
-def mark_pareto(rows: DataFrame, power: str = "power_mw", speed: str = "throughput") -> DataFrame:
-    """Feasible rows that no feasible row beats; ties stay. Scenario sets are small tables."""
-    a, b = rows.alias("a"), rows.where("feasible").alias("b")
-    better = (F.col(f"b.{power}") <= F.col(f"a.{power}")) & (F.col(f"b.{speed}") >= F.col(f"a.{speed}")) & ((F.col(f"b.{power}") < F.col(f"a.{power}")) | (F.col(f"b.{speed}") > F.col(f"a.{speed}")))
-    best = a.where(f"feasible and {speed} is not null").join(b, better, "left_anti").withColumn("pareto", F.lit(True))
-    rest = rows.join(best.select(*rows.columns), rows.columns, "left_anti").withColumn("pareto", F.lit(False))
-    return best.unionByName(rest)
-
+def what_if_totals(rows: DataFrame, by: list[str]) -> DataFrame:
+    """Summed predictions before and after, and their change."""
+    sums = rows.groupBy(*by).agg(F.sum("current_mw").alias("current_mw"), F.sum("proposed_mw").alias("proposed_mw"))
+    return sums.withColumn("delta_pct", F.try_divide(F.col("proposed_mw") - F.col("current_mw"), F.col("current_mw")) * 100)
 
-def run_trace(trace: DataFrame, power: DataFrame, performance: DataFrame) -> DataFrame:
-    """Energy, operations and pJ per operation of a trace (design, interval, duration_s, workload, operating_point)."""
-    rows = trace.join(power, ["design", "workload", "operating_point"], "left").join(performance, ["design", "workload"], "left")
-    return rows.withColumns({"energy_mj": F.col("power_mw") * F.col("duration_s"), "ops_g": F.col("throughput_gops") * F.col("duration_s")}).withColumn("pj_per_op", F.try_divide(F.col("energy_mj"), F.col("ops_g")))
 
+def mark_pareto(rows: DataFrame, power: str = "power_mw", speed: str = "throughput_gops", by: list[str] | None = None) -> DataFrame:
+    """``pareto``: feasible, with a speed, and no feasible row of the same ``by`` beats it; ties stay.
 
-class MonotoneTrees:
-    """Boosted histogram trees that never fall along the features named increasing.
-
-    Bounded work: fitted on at most ``rows`` collected rows, which block-sized data never reach.
+    By falling speed, what is before a row is at least as fast: a running minimum of power tells domination.
     """
+    able = F.col("feasible") & F.col(power).isNotNull() & F.col(speed).isNotNull()
+    key = [F.col(c) for c in by or []]
+    good = rows.withColumn("power_", F.when(able, F.col(power))).withColumn("speed_", F.when(able, F.col(speed)))
+    ranked = good.withColumn("rank_", F.dense_rank().over(Window.partitionBy(*key).orderBy(F.col("speed_").desc_nulls_last())))
+    faster = F.min("power_").over(Window.partitionBy(*key).orderBy("rank_").rangeBetween(Window.unboundedPreceding, -1))
+    same = F.min("power_").over(Window.partitionBy(*key, "rank_"))
+    beaten = F.coalesce((faster <= F.col("power_")) | (same < F.col("power_")), F.coalesce(same < F.col("power_"), F.lit(False)))
+    return ranked.withColumn("pareto", F.coalesce(able & ~beaten, F.lit(False))).drop("power_", "speed_", "rank_")
 
-    def __init__(self, features: list[str], increasing: set[str], rounds: int = 120, rate: float = 0.1, depth: int = 3, leaf: int = 10, l2: float = 0.1, rows: int = 200_000):
-        self.features, self.increasing, self.rounds, self.rate, self.depth, self.leaf, self.l2, self.rows = features, increasing, rounds, rate, depth, leaf, l2, rows
 
-    def fit(self, df: DataFrame) -> MonotoneTrees:
-        got = df.where(F.col(TARGET).isNotNull()).orderBy(F.xxhash64(*self.features, TARGET)).select(*self.features, TARGET).limit(self.rows).toPandas()
-        x, y = got[self.features].to_numpy(float), got[TARGET].to_numpy(float)
-        self.edges = [np.unique(np.nanquantile(x[:, j], np.linspace(0, 1, 65)[1:-1])) for j in range(x.shape[1])]
-        bins = np.column_stack([np.searchsorted(e, x[:, j], side="right") for j, e in enumerate(self.edges)])
-        self.base, self.trees = float(y.mean()), []
-        at = np.full(len(y), self.base)
+@dataclass
+class Tree:
+    """One boosted ensemble over binned features; a value beyond the last edge, or a missing one, is in the last bin."""
+
+    features: list[str]
+    increasing: frozenset[str]
+    rounds: int = 500
+    rate: float = 0.05
+    leaves: int = 15
+    leaf: int = 10
+    l2: float = 0.1
+    patience: int = 20
+    edges: list[np.ndarray] = field(default_factory=list)
+    base: float = 0.0
+    trees: list = field(default_factory=list)
+
+    def bins(self, x: np.ndarray) -> np.ndarray:
+        return np.column_stack([np.searchsorted(e, x[:, j], side="right") for j, e in enumerate(self.edges)])
+
+    def fit(self, x: np.ndarray, y: np.ndarray) -> Tree:
+        """Boosts squared error; a tenth of the rows says when further rounds no longer help."""
+        self.edges = [np.unique(np.nanquantile(c, np.linspace(0, 1, 65)[1:-1])) if np.isfinite(c).any() else np.zeros(0) for c in x.T]
+        bins = self.bins(x)
+        check = np.arange(len(y)) % 10 == 9 if len(y) >= 200 else np.zeros(len(y), bool)
+        own, self.base, self.trees = np.nonzero(~check)[0], float(y[~check].mean()), []
+        at, best, since = np.full(len(y), self.base), math.inf, 0
         for _ in range(self.rounds):
-            tree = self._grow(bins, y - at, np.arange(len(y)), 0, -np.inf, np.inf)
+            tree = self._grow(bins, y - at, own)
             self.trees.append(tree)
             at += self.rate * self._eval(tree, bins)
+            if check.any():
+                error = float(np.mean((y[check] - at[check]) ** 2))
+                since = 0 if error < best - 1e-12 else since + 1
+                best = min(best, error)
+                if since >= self.patience:
+                    self.trees = self.trees[:-since]
+                    break
         return self
 
-    def _grow(self, bins, r, rows, depth, low, high):
-        value = float(np.clip(r[rows].sum() / (len(rows) + self.l2), low, high))
-        best = None
-        if depth < self.depth and len(rows) >= 2 * self.leaf:
-            for j, e in enumerate(self.edges):
-                n = np.bincount(bins[rows, j], minlength=len(e) + 1).cumsum()[:-1]
-                s = np.bincount(bins[rows, j], weights=r[rows], minlength=len(e) + 1).cumsum()[:-1]
-                ok = (n >= self.leaf) & (len(rows) - n >= self.leaf)
-                left, right = s / (n + self.l2), (r[rows].sum() - s) / (len(rows) - n + self.l2)
-                if self.features[j] in self.increasing:
-                    ok &= np.clip(left, low, high) <= np.clip(right, low, high)
-                gain = np.where(ok, s * left + (r[rows].sum() - s) * right, -np.inf)
-                k = int(gain.argmax()) if len(gain) else -1
-                if k >= 0 and gain[k] > (best[0] if best else r[rows].sum() * value + 1e-9):
-                    best = (gain[k], j, k, float(np.clip(left[k], low, high)), float(np.clip(right[k], low, high)))
-        if best is None:
-            return value
-        _, j, k, left, right = best
-        go = bins[rows, j] <= k
-        middle = (left + right) / 2
-        lo_hi = [(low, middle), (middle, high)] if self.features[j] in self.increasing else [(low, high)] * 2
-        return (j, k, *(self._grow(bins, r, rows[m], depth + 1, *b) for m, b in zip((go, ~go), lo_hi, strict=True)))
-
-    def _eval(self, tree, bins):
-        if not isinstance(tree, tuple):
-            return np.full(len(bins), tree)
-        go = bins[:, tree[0]] <= tree[1]
+    def _split(self, bins, r, rows, low, high):
+        """The best split of rows: (gain, feature, bin, left value, right value), or none."""
+        total, n, best = r[rows].sum(), len(rows), None
+        value = float(np.clip(total / (n + self.l2), low, high))
+        if n < 2 * self.leaf:
+            return None
+        for j, e in enumerate(self.edges):
+            if not len(e):
+                continue
+            count = np.bincount(bins[rows, j], minlength=len(e) + 1).cumsum()[:-1]
+            s = np.bincount(bins[rows, j], weights=r[rows], minlength=len(e) + 1).cumsum()[:-1]
+            ok = (count >= self.leaf) & (n - count >= self.leaf)
+            left, right = np.clip(s / (count + self.l2), low, high), np.clip((total - s) / (n - count + self.l2), low, high)
+            if self.features[j] in self.increasing:
+                ok &= left <= right
+            gain = np.where(ok, s * left + (total - s) * right - total * value, -np.inf)
+            k = int(gain.argmax())
+            if gain[k] > (best[0] if best else 1e-9):
+                best = (float(gain[k]), j, k, float(left[k]), float(right[k]))
+        return best
+
+    def _grow(self, bins, r, rows):
+        """Best-first: the leaf whose split gains most splits next, until there are enough leaves."""
+        value = float(r[rows].sum() / (len(rows) + self.l2))
+        root = [value]
+        waiting = [(self._split(bins, r, rows, -np.inf, np.inf), root, rows, -np.inf, np.inf)]
+        leaves = 1
+        while leaves < self.leaves:
+            k = max(range(len(waiting)), key=lambda i: waiting[i][0][0] if waiting[i][0] else -1.0)
+            found, node, own, low, high = waiting.pop(k)
+            if found is None:
+                break
+            _, j, cut, left, right = found
+            go, middle = bins[own, j] <= cut, (left + right) / 2
+            bounds = [(low, middle), (middle, high)] if self.features[j] in self.increasing else [(low, high)] * 2
+            below = [[left], [right]]
+            node[:] = [j, cut, *below]
+            for child, m, (lo, hi) in zip(below, (go, ~go), bounds, strict=True):
+                waiting.append((self._split(bins, r, own[m], lo, hi), child, own[m], lo, hi))
+            leaves += 1
+        return root
+
+    def _eval(self, node, bins):
+        if len(node) == 1:
+            return np.full(len(bins), node[0])
+        go = bins[:, node[0]] <= node[1]
         out = np.empty(len(bins))
-        out[go], out[~go] = self._eval(tree[2], bins[go]), self._eval(tree[3], bins[~go])
+        out[go], out[~go] = self._eval(node[2], bins[go]), self._eval(node[3], bins[~go])
         return out
 
-    def predict_array(self, x: np.ndarray) -> np.ndarray:
-        bins = np.column_stack([np.searchsorted(e, x[:, j], side="right") for j, e in enumerate(self.edges)])
+    def predict(self, x: np.ndarray) -> np.ndarray:
+        bins = self.bins(x)
         return self.base + self.rate * sum((self._eval(t, bins) for t in self.trees), np.zeros(len(x)))
 
+
+class MonotoneTrees:
+    """Boosted trees that never fall along the features named increasing, fitted on all rows.
+
+    Rows are dealt by hash into groups of some GROUP rows (one group for block-sized tables); each group is
+    fitted in a task of its own, and predictions are the groups' mean, which keeps monotony.
+    """
+
+    GROUP = 200_000
+
+    def __init__(self, features: list[str], increasing: set[str], rounds: int = 500, group: int = GROUP):
+        self.features, self.increasing, self.rounds, self.group = features, frozenset(increasing) & set(features), rounds, group
+        self.parts: list[Tree] = []
+
+    def fit(self, df: DataFrame) -> MonotoneTrees:
+        import pickle
+
+        x = [F.col(c).cast("double").alias(c) for c in self.features]
+        rows = df.where(F.col(TARGET).isNotNull()).select(*x, F.col(TARGET).cast("double").alias(TARGET))
+        n = max(1, math.ceil(rows.count() / self.group))
+        features, increasing, rounds = self.features, self.increasing, self.rounds
+        order = F.xxhash64(*self.features, TARGET)
+
+        def fit(table):
+            import pandas as pd
+
+            got = table.sort_values("h_", kind="stable")
+            tree = Tree(features, increasing, rounds).fit(got[features].to_numpy(float), got[TARGET].to_numpy(float))
+            return pd.DataFrame({"part": [table["part_"].iloc[0]], "model": [pickle.dumps(tree)]})
+
+        dealt = rows.withColumn("h_", order).withColumn("part_", F.pmod("h_", F.lit(n)).cast("int"))
+        found = dealt.groupBy("part_").applyInPandas(fit, "part int, model binary").orderBy("part").collect()  # a model a group
+        self.parts = [pickle.loads(r.model) for r in found]
+        return self
+
+    def predict_array(self, x: np.ndarray) -> np.ndarray:
+        return np.mean([t.predict(x) for t in self.parts], axis=0)
+
     def predict(self, df: DataFrame) -> DataFrame:
         model = self
 
@@ -239,8 +452,6 @@ class MonotoneTrees:
 
 def permutation_importance(df: DataFrame, model: Linear, seed: int = 42, shuffles: int = 5) -> DataFrame:
     """Per feature: how much MAPE grows on average when its values go to other rows (matched by rank in random orders)."""
-    from pyspark.sql import Window
-
     base = df.where(F.col(TARGET) != 0)
     mape = lambda rows: rows.agg(F.avg(F.abs((model.predict() - F.col(TARGET)) / F.col(TARGET)) * 100)).first()[0]
     start, gains = mape(base), []

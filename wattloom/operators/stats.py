@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,14 +41,14 @@ def top_errors(df: DataFrame, stage: str, by: str, n: int = 10) -> DataFrame:
 
 
 def error_trend(df: DataFrame, stage: str) -> DataFrame:
-    """Per design: slope of the mean error over builds in natural order, and its word."""
-    by = stage_metrics(df, stage, ["design", "build"]).select("design", "build", "mean_error_pct").where("mean_error_pct is not null")
+    """Per design: slope of the mean error in pct (positive: the estimate is too low) over builds in natural order, and its word."""
+    share = F.when(F.col("be_mw") != 0, (F.col("be_mw") - F.col(f"fe_{stage}_mw")) / F.col("be_mw") * 100)
+    by = df.groupBy("design", "build").agg(F.avg(share).alias("e")).where("e is not null")
     order = Window.partitionBy("design").orderBy(natural_key(F.col("build")))
     ranked = by.withColumn("i", F.row_number().over(order).cast("double"))
-    first, last = F.min_by("mean_error_pct", "i"), F.max_by("mean_error_pct", "i")
-    step = F.abs(last) - F.abs(first)
-    word = F.when(F.abs(last - first) < 2, "stable").when(step > 0, "grows").otherwise("shrinks")
-    return ranked.groupBy("design").agg(F.count("*").alias("n_builds"), F.regr_slope("mean_error_pct", "i").alias("slope"), word.alias("trend")).where("n_builds >= 3")
+    first, last = F.min_by("e", "i"), F.max_by("e", "i")
+    word = F.when(F.abs(last - first) < 2, "is roughly stable").when(last > first, "grows").otherwise("shrinks")
+    return ranked.groupBy("design").agg(F.count("*").alias("n_builds"), F.regr_slope("e", "i").alias("slope"), first.alias("first_pct"), last.alias("last_pct"), word.alias("trend")).where("n_builds >= 3")
 
 
 def associations(df: DataFrame, target: str, candidates: list[str]) -> DataFrame:
@@ -62,13 +64,70 @@ def correlation_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.agg(rows.alias("rows")).select(F.inline("rows"))
 
 
+def _beta_fraction(a: float, b: float, x: float) -> float:
+    """Continued fraction of the incomplete beta function, by Lentz's method."""
+    tiny, c, d = 1e-300, 1.0, 1 - (a + b) * x / (a + 1)
+    d = 1 / (d if abs(d) > tiny else tiny)
+    out = d
+    for m in range(1, 500):
+        for k in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+            d, c = 1 + k * d, 1 + k / c
+            d = 1 / (d if abs(d) > tiny else tiny)
+            c = c if abs(c) > tiny else tiny
+            out *= d * c
+        if abs(d * c - 1) < 1e-15:
+            break
+    return out
+
+
+def pearson_p(r: float | None, n: int) -> float | None:
+    """Two-sided p-value of a correlation of n pairs: I_x((n - 2) / 2, 1 / 2) at x = 1 - r * r."""
+    if r is None or n < 3:
+        return None
+    a, b, x = (n - 2) / 2, 0.5, max(0.0, 1 - r * r)
+    if n == 2 or x == 0 or a == 0:
+        return 0.0
+    if x == 1:
+        return 1.0
+    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log(1 - x))
+    return front * _beta_fraction(a, b, x) / a if x < (a + 1) / (a + b + 2) else 1 - front * _beta_fraction(b, a, 1 - x) / b
+
+
+def with_p(found: DataFrame) -> DataFrame:
+    """Associations (r, n) with their p-values; a row a feature."""
+
+    @F.pandas_udf("double")
+    def of(r, n):
+        import pandas as pd
+
+        return pd.Series([pearson_p(None if pd.isna(x) else float(x), int(k)) for x, k in zip(r, n, strict=True)], dtype="float64")
+
+    return found.withColumn("p", of("r", "n"))
+
+
+def strength_word(r: Column) -> Column:
+    a = F.abs(r)
+    return F.when(a >= 0.9, "very strongly").when(a >= 0.7, "strongly").when(a >= 0.5, "moderately").when(a >= 0.3, "weakly").otherwise("not meaningfully")
+
+
+#: Features whose missing values a summary counts.
+COUNTED = ["wire_cap_pf", "cell_cap_pf", "area", "cell_count", "fanout", "frequency_ghz"]
+
+
+def missing_features(df: DataFrame, features: list[str] | None = None) -> DataFrame:
+    """(feature, n) of features that miss some value."""
+    names = [c for c in features or COUNTED if c in df.columns]
+    rows = F.array(*[F.struct(F.lit(c).alias("feature"), F.count_if(F.col(c).isNull()).alias("n")) for c in names])
+    return df.agg(rows.alias("rows")).select(F.inline("rows")).where("n > 0")
+
+
 def summarize(df: DataFrame) -> DataFrame:
     be = F.col("be_mw")
     distinct = lambda *c: F.countDistinct(F.struct(*c))
     return df.agg(
         F.count("*").alias("n_rows"), F.count(be).alias("n_be"), F.avg(be).alias("mean"), F.median(be).alias("median"), F.percentile(be, F.lit(0.05)).alias("p05"), F.percentile(be, F.lit(0.95)).alias("p95"),
         F.min(be).alias("min"), F.max(be).alias("max"), F.sum(be.cast("decimal(28,9)")).cast("double").alias("total"),
-        F.countDistinct("design").alias("n_designs"), distinct("design", "build").alias("n_builds"), distinct("design", "fub").alias("n_fubs"), F.count(F.when(F.col("bits_per_cycle").isNull(), 1)).alias("missing_bits"),
+        F.countDistinct("design").alias("n_designs"), distinct("design", "build").alias("n_builds"), distinct("design", "fub").alias("n_fubs"),
     )
 
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wattloom.functions.expr import ratio
+from wattloom.functions.expr import pearson, ratio
+from wattloom.operators.select import latest_builds
 
 
 def design_power(df: DataFrame) -> DataFrame:
@@ -13,22 +14,42 @@ def design_power(df: DataFrame) -> DataFrame:
     return df.groupBy("design", "build", "workload", "operating_point").agg(F.count("*").alias("n_fubs"), exact("be_mw").alias("be_mw"), exact("fe_physical_mw").alias("fe_physical_mw"), F.avg("activity").alias("activity"), F.max("frequency_ghz").alias("frequency_ghz"), F.max("voltage_v").alias("voltage_v"))
 
 
+def with_corner_values(performance: DataFrame, df: DataFrame) -> DataFrame:
+    """Performance rows with frequency and voltage of their design, build and operating point, where they lack them."""
+    need = [c for c in ("frequency_ghz", "voltage_v") if c not in performance.columns]
+    if not need:
+        return performance
+    values = df.groupBy("design", "build", "operating_point").agg(*[F.min(c).alias(c) for c in need])
+    return performance.join(values, ["design", "build", "operating_point"], "left")
+
+
 def energy_per_op(power: DataFrame, performance: DataFrame) -> DataFrame:
     """mW over Gops/s is pJ an operation."""
-    rows = power.join(performance.select("design", "build", "workload", "throughput_gops"), ["design", "build", "workload"], "left")
+    keys = ["design", "build", "workload", "operating_point"]
+    rows = power.join(performance.select(*keys, *[c for c in ("ipc", "throughput_gops") if c in performance.columns]), keys, "left")
     return rows.withColumn("energy_pj_per_op", F.when(F.col("throughput_gops") > 0, ratio(F.col("be_mw"), F.col("throughput_gops"))))
 
 
 def best_operating_point(energy: DataFrame) -> DataFrame:
-    """Per design and workload: where an operation costs least on average."""
-    by = energy.where("energy_pj_per_op is not null").groupBy("design", "workload", "operating_point").agg(F.avg("energy_pj_per_op").alias("pj"))
-    return by.groupBy("design", "workload").agg(F.min_by("operating_point", F.struct("pj", "operating_point")).alias("best_op"), F.min("pj").alias("pj_per_op"))
+    """Per design and workload, at the design's latest build: where an operation costs least."""
+    latest = energy.join(F.broadcast(latest_builds(energy)), ["design", "build"], "left_semi")
+    order = F.struct("energy_pj_per_op", "operating_point")
+    return latest.where("energy_pj_per_op is not null").groupBy("design", "workload").agg(F.min_by("operating_point", order).alias("best_op"), F.min("energy_pj_per_op").alias("pj_per_op"))
 
 
 def sensitivity(df: DataFrame) -> DataFrame:
-    """Per block: the largest over the least of its mean power by workload."""
-    means = df.groupBy("design", "fub", "workload").agg(F.avg("be_mw").alias("p"))
-    return means.groupBy("design", "fub").agg(ratio(F.max("p"), F.min("p")).alias("sensitivity"), F.count("*").alias("n_workloads"))
+    """Per block: least and largest mean power by workload and their ratio, over the builds that are some design's latest."""
+    latest = df.join(F.broadcast(latest_builds(df).select("build").distinct()), "build", "left_semi")
+    means = latest.groupBy("design", "fub", "workload").agg(F.avg("be_mw").alias("p"))
+    out = means.groupBy("design", "fub").agg(F.min("p").alias("min_mw"), F.max("p").alias("max_mw"), F.count("p").alias("n_workloads"))
+    return out.withColumn("dynamic_range", F.when(F.col("min_mw") > 0, F.col("max_mw") / F.col("min_mw")))
+
+
+def activity_association(df: DataFrame) -> DataFrame:
+    """Per design: correlation of activity with power, and with signoff over estimate."""
+    share = F.when(F.col("fe_physical_mw") > 0, F.col("be_mw") / F.col("fe_physical_mw"))
+    n = F.count(F.when(F.col("activity").isNotNull() & F.col("be_mw").isNotNull(), 1))
+    return df.groupBy("design").agg(n.alias("n"), pearson(F.col("activity"), F.col("be_mw")).alias("r_power"), pearson(F.col("activity"), share).alias("r_ratio"))
 
 
 def _fit(y: Column, x: Column) -> list[Column]:
@@ -39,22 +60,40 @@ def _fit(y: Column, x: Column) -> list[Column]:
 def perf_model(performance: DataFrame) -> DataFrame:
     """log throughput over log frequency per design and workload; exponent 1 through the means where frequency is one."""
     rows = performance.where("throughput_gops > 0 and frequency_ghz > 0").withColumns({"lt": F.ln("throughput_gops"), "lf": F.ln("frequency_ghz")})
-    out = rows.groupBy("design", "workload").agg(*_fit(F.col("lt"), F.col("lf")), F.avg("lt").alias("mt"), F.avg("lf").alias("mf"))
-    return out.select("design", "workload", "n", F.coalesce("slope", F.lit(1.0)).alias("exponent"), F.coalesce("intercept", F.col("mt") - F.col("mf")).alias("intercept"), "r2")
+    single = F.ln(F.avg("throughput_gops")) - F.ln(F.avg("frequency_ghz"))
+    out = rows.groupBy("design", "workload").agg(*_fit(F.col("lt"), F.col("lf")), single.alias("single"), F.countDistinct("frequency_ghz").alias("points"))
+    one = F.col("points") < 2
+    return out.select("design", "workload", "n", F.when(one, 1.0).otherwise(F.col("slope")).alias("exponent"), F.when(one, F.col("single")).otherwise(F.col("intercept")).alias("intercept"), F.when(~one, F.col("r2")).alias("r2"))
 
 
 def dvfs_curve(df: DataFrame) -> DataFrame:
-    """Voltage over frequency per design, on distinct points."""
-    points = df.select("design", "frequency_ghz", "voltage_v").distinct()
-    out = points.groupBy("design").agg(*_fit(F.col("voltage_v"), F.col("frequency_ghz")), F.avg("voltage_v").alias("mean"))
-    return out.select("design", "n", F.coalesce("slope", F.lit(0.0)).alias("slope"), F.coalesce("intercept", "mean").alias("intercept"))
+    """Voltage over frequency per design, on distinct points; constant where frequency is one."""
+    points = df.select("design", "frequency_ghz", "voltage_v").where("frequency_ghz is not null and voltage_v is not null").distinct()
+    out = points.groupBy("design").agg(*_fit(F.col("voltage_v"), F.col("frequency_ghz")), F.avg("voltage_v").alias("mean"), F.countDistinct("frequency_ghz").alias("f"))
+    one = F.col("f") < 2
+    return out.select("design", "n", F.when(one, 0.0).otherwise(F.col("slope")).alias("slope"), F.when(one, F.col("mean")).otherwise(F.col("intercept")).alias("intercept"))
 
 
 def timing_model(df: DataFrame) -> DataFrame:
-    """log delay over log voltage per design and partition, on distinct points of the rows given; flat at one voltage."""
-    points = df.select("design", "partition", "voltage_v", (F.col("clock_period_ps") - F.col("wns_ps")).alias("delay")).where("delay > 0 and voltage_v > 0").distinct()
-    fitted = points.withColumns({"ld": F.ln("delay"), "lv": F.ln("voltage_v")}).groupBy("design", "partition").agg(*_fit(F.col("ld"), F.col("lv")), F.avg("ld").alias("mean_"))
-    return fitted.withColumn("intercept", F.coalesce("intercept", "mean_")).drop("mean_")
+    """log delay over log voltage per design and partition: delay = exp(intercept) * voltage ** slope.
+
+    Points are the distinct ones of the latest build over all designs. Where it has fewer than two voltages, all
+    builds give the slope, and the latest build's own point (if it has one; its least delay) the
+    intercept. Where there is but one voltage at all, the slope is 0 through the mean delay.
+    """
+    rows = df.select("design", "partition", "build", "voltage_v", "clock_period_ps", "wns_ps").where("partition is not null and voltage_v is not null and clock_period_ps is not null and wns_ps is not null")
+    last = latest_builds(rows.withColumn("design", F.lit("all"))).select(F.col("build").alias("last_"))
+    points = rows.withColumn("delay", F.col("clock_period_ps") - F.col("wns_ps")).groupBy("design", "partition", "build", "voltage_v", "delay").agg(F.lit(1).alias("one"))
+    points = points.crossJoin(F.broadcast(last)).withColumn("now", F.col("build") == F.col("last_"))  # last is one row
+    at = points.where("now").groupBy("design", "partition").agg(F.countDistinct("voltage_v").alias("volts"), F.min(F.struct("voltage_v", "delay")).alias("anchor"))
+    joined = points.join(at, ["design", "partition"], "left").where("now or coalesce(volts, 0) < 2")
+    sound = joined.select("design", "partition", "volts", "anchor", "voltage_v", "delay").where("voltage_v > 0 and delay > 0").distinct()
+    logs = sound.withColumns({"ld": F.ln("delay"), "lv": F.ln("voltage_v")})
+    fitted = logs.groupBy("design", "partition").agg(*_fit(F.col("ld"), F.col("lv")), F.ln(F.avg("delay")).alias("mean_"), F.countDistinct("voltage_v").alias("v_"), F.max("volts").alias("volts"), F.max("anchor").alias("anchor"))
+    anchored = F.ln("anchor.delay") - F.col("slope") * F.ln("anchor.voltage_v")
+    one = F.col("v_") < 2
+    intercept = F.when(one, F.col("mean_")).when(F.col("volts") == 1, anchored).otherwise(F.col("intercept"))
+    return fitted.select("design", "partition", "n", F.when(one, 0.0).otherwise(F.col("slope")).alias("slope"), intercept.alias("intercept"), F.when(~one, F.col("r2")).alias("r2"))
 
 
 def timing_fmax(model: DataFrame, voltage: float) -> DataFrame:
@@ -63,17 +102,35 @@ def timing_fmax(model: DataFrame, voltage: float) -> DataFrame:
     return model.withColumn("ghz", ghz).groupBy("design").agg(F.min("ghz").alias("fmax_ghz"), F.min_by("partition", F.struct(F.round("ghz", 9), "partition")).alias("limited_by"))
 
 
+PROFILE_KEYS = ["design", "build", "workload", "operating_point"]
+
+
 def profile_summary(profile: DataFrame) -> DataFrame:
-    """Per workload: time-weighted mean, extremes, steepest step and energy of a power profile of windows."""
-    order = Window.partitionBy("workload").orderBy("t_start", "event_id")
-    seconds = (F.unix_micros(F.to_timestamp_ltz("t_end")) - F.unix_micros(F.to_timestamp_ltz("t_start"))) / 1e6
-    rows = profile.withColumn("dt", seconds).withColumn("step", ratio(F.abs(F.col("profile_total_mw") - F.lag("profile_total_mw").over(order)), F.when(F.col("dt") > 0, F.col("dt"))))
-    timed = rows.where("dt is not null")
-    out = timed.groupBy("workload").agg(F.count("*").alias("n_windows"), F.sum(F.col("profile_total_mw") * F.col("dt")).alias("energy_uj"), F.sum("dt").alias("seconds"), F.max("profile_total_mw").alias("peak_mw"), F.min("profile_total_mw").alias("least_mw"), F.max_by("event_id", F.struct("profile_total_mw", "event_id")).alias("peak_at"), F.max("step").alias("steepest"))
-    return out.withColumn("mean_mw", ratio(F.col("energy_uj"), F.col("seconds")))
-
-
-def reconcile(summary: DataFrame, expected: DataFrame, tolerance: float = 5.0) -> DataFrame:
-    """A profile's mean against the sum that the wide table has; a missing side is no fault."""
-    gap = ratio(F.col("mean_mw") - F.col("be_mw"), F.col("be_mw")) * 100
-    return summary.join(expected, "workload", "left").withColumn("gap_pct", gap).withColumn("ok", ~F.coalesce(F.abs("gap_pct") > tolerance, F.lit(False)))
+    """Per design, build, workload and operating point: time-weighted mean, extremes, steepest step and energy of a power profile.
+
+    profile: windows (PROFILE_KEYS, t_start, t_end, profile_total_mw, event_id to break ties); times in ns.
+    """
+    order = Window.partitionBy(*PROFILE_KEYS).orderBy("t_start", "event_id")
+    dt = (F.unix_micros(F.to_timestamp_ltz("t_end")) - F.unix_micros(F.to_timestamp_ltz("t_start"))) * 1000.0
+    power = F.col("profile_total_mw")
+    rows = profile.withColumn("dt", dt).withColumn("step", ratio(F.abs(power - F.lag(power).over(order)), F.when(F.col("dt") > 0, F.col("dt"))))
+    timed = F.when(F.col("dt") > 0, F.col("dt"))
+    peak = F.struct("profile_total_mw", -F.unix_micros(F.to_timestamp_ltz("t_start")), -F.col("event_id"))
+    out = rows.groupBy(*PROFILE_KEYS).agg(
+        F.count("*").alias("n_windows"), F.sum(timed).alias("duration_ns"), F.sum(F.when(timed.isNotNull(), power) * timed).alias("area_"), F.max(power).alias("peak_mw"), F.min(power).alias("min_mw"),
+        F.max_by("event_id", peak).alias("peak_at"), F.max("step").alias("max_step_mw_per_ns"), F.max_by("event_id", F.struct("step", -F.col("event_id"))).alias("step_at"),
+    ).where("duration_ns > 0")
+    avg = ratio(F.col("area_"), F.col("duration_ns"))
+    return out.withColumn("avg_mw", avg).withColumns({"energy_uj": F.col("area_") * 1e-6, "peak_to_avg": F.when(F.col("avg_mw") > 0, F.col("peak_mw") / F.col("avg_mw"))}).drop("area_")
+
+
+def reconcile(summary: DataFrame, df: DataFrame, performance: DataFrame | None = None, tolerance: float = 5.0) -> DataFrame:
+    """A profile's mean against the power that the wide table sums up, and energy per operation; a missing side is no fault."""
+    expected = df.groupBy(*PROFILE_KEYS).agg(F.sum(F.col("be_mw").cast("decimal(28,9)")).cast("double").alias("reported_avg_mw"))
+    gap = F.when(F.col("reported_avg_mw") > 0, (F.col("avg_mw") - F.col("reported_avg_mw")) / F.col("reported_avg_mw") * 100)
+    out = summary.join(expected, PROFILE_KEYS, "left").withColumn("avg_gap_pct", gap)
+    out = out.withColumn("profile_ok", ~F.coalesce(F.abs("avg_gap_pct") > tolerance, F.lit(False)))
+    if performance is None:
+        return out.withColumn("energy_pj_per_op", F.lit(None).cast("double"))
+    speed = performance.groupBy(*PROFILE_KEYS).agg(F.min("throughput_gops").alias("gops_"))
+    return out.join(speed, PROFILE_KEYS, "left").withColumn("energy_pj_per_op", F.when(F.col("gops_") > 0, F.col("avg_mw") / F.col("gops_"))).drop("gops_")

@@ -12,7 +12,8 @@ from wattloom.session import importable
 WIDE = """
 select *, design || '.' || partition || '.' || fub as model_root, 'rtl-' || partition as owner,
   cast(40 - (partition_number * 7 + build_number * 13 + case when operating_point = 'nom' then 0 else 29 end) % 80 as double) as wns_ps,
-  make_date(1995 + cast(floor((build_number - 1) / 4.0) as int), 1 + 3 * ((build_number - 1) % 4), 1) as build_date
+  make_date(1995 + cast(floor((build_number - 1) / 4.0) as int), 1 + 3 * ((build_number - 1) % 4), 1) as build_date,
+  case when build_number <= 6 then 'rtl' when build_number <= 12 then 'synthesis' when build_number <= 18 then 'placement' when build_number <= 24 then 'route' else 'signoff' end as milestone
 from (
   select r_name as design,
     'B' || cast((year(o_orderdate) - 1995) * 4 + quarter(o_orderdate) as varchar(9)) as build,
@@ -50,17 +51,24 @@ from (
 """
 
 PERFORMANCE = """
-select r_name as design, 'B' || cast((year(o_orderdate) - 1995) * 4 + quarter(o_orderdate) as varchar(9)) as build,
-  case o_orderstatus when 'F' then 'idle' when 'O' then 'typical' else 'compute' end as workload,
-  cast(count(*) as double) as ipc, cast(sum(cast(o_totalprice as decimal(18,2))) as double) / 100000 as throughput_gops
-from {orders} orders join {customer} customer on o_custkey = c_custkey join {nation} nation on c_nationkey = n_nationkey
-  join {region} region on n_regionkey = r_regionkey
-group by r_name, year(o_orderdate), quarter(o_orderdate), o_orderstatus
+select *, case operating_point when 'nom' then 0.75e0 else 0.85e0 end as voltage_v, case operating_point when 'nom' then 1.0e0 else 1.25e0 end as frequency_ghz
+from (
+  select r_name as design, 'B' || cast((year(o_orderdate) - 1995) * 4 + quarter(o_orderdate) as varchar(9)) as build,
+    case o_orderstatus when 'F' then 'idle' when 'O' then 'typical' else 'compute' end as workload,
+    case when o_orderkey % 2 = 0 then 'nom' else 'turbo' end as operating_point,
+    cast(count(*) as double) as ipc, cast(sum(cast(o_totalprice as decimal(18,2))) as double) / 100000 as throughput_gops
+  from {orders} orders join {customer} customer on o_custkey = c_custkey join {nation} nation on c_nationkey = n_nationkey
+    join {region} region on n_regionkey = r_regionkey
+  group by r_name, year(o_orderdate), quarter(o_orderdate), o_orderstatus, o_orderkey % 2
+) runs
 """
 
 PROFILE = """
-select event_type as workload, event_id, ts as t_start, lead(ts) over (partition by event_type order by ts, event_id) as t_end, value as profile_total_mw
-from {events} events
+select r_name as design, 'B' || cast(10 + user_id % 2 as varchar(9)) as build, event_type, case when event_type in ('click', 'view') then 'typical' else 'idle' end as workload,
+  'nom' as operating_point, event_id, ts as t_start,
+  lead(ts) over (partition by r_name, user_id % 2, case when event_type in ('click', 'view') then 'typical' else 'idle' end order by ts, event_id) as t_end,
+  value as profile_total_mw
+from {events} events join {region} region on r_regionkey = user_id % 5
 """
 
 TABLES = {"wide": WIDE, "performance": PERFORMANCE, "profile": PROFILE}

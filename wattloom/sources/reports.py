@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from wattloom.session import importable
 
-SCHEMA = "source_file string, source string, ordinal long, object string, object_kind string, metric string, value double, unit string, workload string, operating_point string, error string"
+SCHEMA = "source_file string, source string, ordinal long, object string, object_kind string, metric string, value double, unit string, workload string, operating_point string, tool string, tool_version string, run_id string, report_build string, report_date string, activity_mode string, error string"
 Record = tuple[str, str, str, float | None, str]  # object, kind, metric, value, unit
 _KEY = re.compile(r"^\s*([A-Za-z][\w ./-]{0,39}?)\s*[:=]\s*(.*)$")
 
@@ -40,6 +40,17 @@ def header(lines: list[str], first: str) -> tuple[dict[str, str], int]:
     raise ReportError(f"no table that begins with {first}")
 
 
+def provenance(text: str) -> dict[str, str | None]:
+    """What a report's first lines say of its tool, run, build, date and activity."""
+    found: dict[str, str] = {}
+    for line in text.splitlines()[:40]:
+        for part in re.split(r"\s{2,}(?=[A-Za-z][\w ./-]{0,39}\s*[:=])", line.strip().lstrip("#* ")):
+            if got := _KEY.match(part):
+                found.setdefault(got[1].strip().lower(), got[2].strip())
+    first = lambda *keys: next((found[k] for k in keys if found.get(k)), None)
+    return {"tool": first("tool", "program"), "tool_version": first("version", "tool version"), "run_id": first("run", "run id", "run_id"), "report_build": first("build"), "report_date": first("date", "report date"), "activity_mode": (first("activity") or "").lower() or None}
+
+
 def number(token: str) -> float | None:
     token = token.strip().rstrip("%")
     if token in ("", "-", "--") or token.lower() in ("n/a", "na"):
@@ -271,42 +282,108 @@ def context_of(path: str, source: str) -> dict:
     return {"workload": workload or name, "operating_point": op if workload else None}
 
 
-def read_reports(spark: SparkSession, run: str, source: str, **context) -> DataFrame:
-    """Long records of one source under a run's folder; a file that cannot be parsed is one row with its error."""
+def read_reports(spark: SparkSession, run: str, source: str, pattern: str | None = None, contexts: dict[str, dict] | None = None, **context) -> DataFrame:
+    """Long records of one source under a run's folder, or under many by a glob; a file that cannot be parsed is one row with its error.
+
+    contexts: what is known of each run, by its folder (a row of metadata a run); a file's run is the folder among them that holds it.
+    """
     importable(spark)
-    reader, pattern = READERS[source]
-    files = spark.read.text(f"{run.rstrip('/')}/{pattern}", wholetext=True).select("value", F.col("_metadata.file_path").alias("path"))
+    reader, own_pattern = READERS[source]
+    files = spark.read.text(f"{run.rstrip('/')}/{pattern or own_pattern}", wholetext=True).select("value", F.col("_metadata.file_path").alias("path"))
+    known = contexts or {}
+
+    def of(path: str) -> dict:
+        folder = path
+        while "/" in folder:
+            folder = folder.rpartition("/")[0]
+            if folder in known:
+                return known[folder]
+        return {}
 
     def parse(batches: Iterator) -> Iterator:
         import pandas as pd
 
         for batch in batches:
             for text, path in zip(batch["value"], batch["path"], strict=True):
-                own = context | context_of(path, source)
+                own = of(path) | context | context_of(path, source)
                 rows, error = [], None
                 try:
                     rows = list(reader(text, own))
                 except (ValueError, KeyError, IndexError) as e:
                     error = f"{type(e).__name__}: {e}"
-                out = [(path, source, i, *r, own.get("workload"), own.get("operating_point"), None) for i, r in enumerate(rows)] if error is None else [(path, source, 0, None, None, None, None, None, None, None, error)]
+                said = provenance(text) if source not in ("metadata", "performance", "activity") else dict.fromkeys(("tool", "tool_version", "run_id", "report_build", "report_date", "activity_mode"))
+                said = list(said.values())
+                op = own.get("operating_point")
+                out = [(path, source, i, *r, own.get("workload"), r[0] if source == "metadata" else op, *said, None) for i, r in enumerate(rows)] if error is None else [(path, source, 0, None, None, None, None, None, None, None, *said, error)]
                 yield pd.DataFrame(out, columns=[c.split()[0] for c in SCHEMA.split(", ")])
 
     return files.mapInPandas(parse, SCHEMA)
 
 
-def parse_upf(text: str) -> list[tuple[str, str, float | None]]:
-    """(domain, element, highest numeric supply voltage) of a power-intent file."""
+def parse_states(text: str) -> list[tuple[str, str | None, str | None, str | None, float | None]]:
+    """(domain, element, supply net, state, voltage) of a power-intent file: each domain's elements by the states of its supply.
+
+    States without a number (off) are left out; a domain without elements or states still has a row.
+    """
     text = re.sub(r"\\\s*\n", " ", re.sub(r"#[^\n]*", "", text))
-    elements, supply, volts = {}, {}, {}
+    elements: dict[str, list[str]] = {}
+    supply: dict[str, str] = {}
+    states: dict[str, dict[str, float]] = {}
     for line in text.splitlines():
-        if found := re.match(r"\s*create_power_domain\s+(\S+).*-elements\s+\{([^}]*)\}", line):
-            elements[found[1]] = found[2].split()
+        if found := re.match(r"\s*create_power_domain\s+(\S+)(.*)", line):
+            listed = re.search(r"-elements\s+\{([^}]*)\}", found[2])
+            elements.setdefault(found[1], []).extend(listed[1].split() if listed else [])
         elif found := re.match(r"\s*set_domain_supply_net\s+(\S+).*-primary_power_net\s+(\S+)", line):
             supply[found[1]] = found[2]
+            elements.setdefault(found[1], [])
         elif found := re.match(r"\s*add_port_state\s+(\S+)\s+(.*)", line):
-            volts[found[1]] = max([float(x) for x in re.findall(r"\{\s*\S+\s+(\d+(?:\.\d+)?)\s*\}", found[2])], default=None)
-    return [(d, e, volts.get(supply.get(d))) for d, es in elements.items() for e in es]
+            numbers = re.findall(r"\{\s*(\S+)\s+(\d+(?:\.\d+)?)\s*\}", found[2])
+            states.setdefault(found[1], {}).update({k: float(v) for k, v in numbers})
+    out = []
+    for domain, own in elements.items():
+        net = supply.get(domain)
+        at = states.get(net, {}) or {None: None}
+        out += [(domain, e, net, state, volts) for e in own or [None] for state, volts in at.items()]
+    return out
+
+
+def parse_upf(text: str) -> list[tuple[str, str, float | None]]:
+    """(domain, element, highest numeric supply voltage) of a power-intent file."""
+    most: dict[tuple[str, str], float | None] = {}
+    for domain, element, _, _, volts in parse_states(text):
+        if element is not None:
+            now = most.get((domain, element))
+            most[domain, element] = volts if now is None else max(now, volts)
+    return [(d, e, v) for (d, e), v in most.items()]
+
+
+INTENT = "path string, domain string, element string, supply_net string, state string, voltage double, error string"
+
+
+def read_intent(spark: SparkSession, root: str, pattern: str = "intent/*.upf") -> DataFrame:
+    """Power domains of each run's first intent file (by name) under a folder or glob."""
+    importable(spark)
+    files = spark.read.text(f"{root.rstrip('/')}/{pattern}", wholetext=True).select("value", F.col("_metadata.file_path").alias("path"))
+    folder = F.regexp_replace("path", "/[^/]*$", "")
+    first = files.groupBy(folder.alias("folder")).agg(F.min("path").alias("path")).select("path")
+
+    def parse(batches: Iterator) -> Iterator:
+        import pandas as pd
+
+        for batch in batches:
+            out = []
+            for text, path in zip(batch["value"], batch["path"], strict=True):
+                out += [(path, *row, None) for row in parse_states(text)] or [(path, None, None, None, None, None, "no power domain")]
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in INTENT.split(", ")])
+
+    return files.join(first, "path", "left_semi").mapInPandas(parse, INTENT)
+
+
+#: Fixed: the stage that a source reports on, the version that its reader was written for, and whether a run may lack it.
+SPECS = {k: ({"estimate": "FE", "activity": "ACTIVITY", "performance": "PERF", "metadata": "DESIGN"}.get(k, "BE"), "1", k in ("groups", "profile", "performance", "second_engine")) for k in READERS}
 
 
-def source_table(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(k, p) for k, (_, p) in READERS.items()], "source string, pattern string")
+def source_table(spark: SparkSession, disabled: list[str] = (), patterns: dict[str, str] | None = None) -> DataFrame:
+    """The registry: each source's stage, pattern, version, and whether it is on."""
+    rows = [(k, SPECS[k][0], (patterns or {}).get(k, p), SPECS[k][1], SPECS[k][2], "disabled" if k in disabled else "enabled") for k, (_, p) in READERS.items()]
+    return spark.createDataFrame(rows, "source string, stage string, pattern string, versions string, optional boolean, state string")

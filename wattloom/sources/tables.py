@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 NUMERIC = re.compile(r"_(mw|pf|ps|v|ghz|um|pct)$|^(area|activity|cell_count|fanout|bits_per_cycle|cg_efficiency|net_count)$")
 
 
-def read_table(spark: SparkSession, path: str) -> DataFrame:
-    """CSV or Parquet; names trimmed, lower case, blanks as underscores; numbers parsed softly."""
+def read_table(spark: SparkSession, path: str, typed: bool = True) -> DataFrame:
+    """CSV or Parquet; names trimmed, lower case, blanks as underscores; numbers parsed softly, or left as text if not ``typed``."""
     if re.search(r"\.(parquet|pq)/?$", path):
         df = spark.read.parquet(path)
     elif path.endswith(".csv"):
@@ -19,15 +19,11 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
     else:
         raise ValueError(f"neither CSV nor Parquet: {path}")
     df = df.toDF(*[c.strip().lower().replace(" ", "_") for c in df.columns])
-    soft = {c: F.col(c).try_cast("double") for c, t in df.dtypes if t == "string" and NUMERIC.search(c)}
+    soft = {c: F.col(c).try_cast("double") for c, t in df.dtypes if typed and t == "string" and NUMERIC.search(c)}
     trimmed = {c: F.trim(c) for c, t in df.dtypes if t == "string" and c not in soft}
     return df.withColumns(soft | trimmed)
 
 
-def with_file_hash(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.format("binaryFile").load(path).select("path", F.sha2("content", 256).alias("sha256"))
-
-
 def keyed_replace(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """old without the keys that new has, and new: what ingesting a run again does."""
     return old.join(new.select(*keys).distinct(), keys, "left_anti").unionByName(new, allowMissingColumns=True)
@@ -45,6 +41,43 @@ def store(df: DataFrame, path: str, keys: tuple[str, ...] = ("design", "build"))
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path)
 
 
+def write_table(df: DataFrame, path: str) -> None:
+    """A flat table as Parquet, or as CSV where the path says so."""
+    if path.endswith(".csv"):
+        df.write.mode("overwrite").option("header", True).csv(path)
+    else:
+        df.write.mode("overwrite").parquet(path)
+
+
+def import_file(spark: SparkSession, path: str, out: str, append: bool = False) -> tuple[int, int]:
+    """A flat file into stored tables: validated, derived, split into clean and rejected rows; returns their numbers.
+
+    An append adds rows without looking for repeated keys; those that repeat within the file are rejected.
+    """
+    from wattloom.operators.derive import with_derived
+    from wattloom.operators.quality import NUMERIC as METRICS
+    from wattloom.operators.quality import REQUIRED, validate
+
+    rows = validate(read_table(spark, path, typed=False))
+    absent = [c for c in REQUIRED if c not in rows.columns]
+    if absent:
+        raise ValueError(f"required columns are missing: {', '.join(absent)}")
+    for c in METRICS:
+        if c not in rows.columns:
+            rows = rows.withColumn(c, F.lit(None).cast("double"))
+    for c in ("workload", "operating_point", "partition", "owner", "model_root"):
+        if c not in rows.columns:
+            rows = rows.withColumn(c, F.lit({"workload": "default", "operating_point": "default"}.get(c)).cast("string"))
+    rows = rows.withColumn("model_root", F.coalesce("model_root", "fub"))
+    clean, rejected = split_rejected(with_derived(rows).withColumns({"source_file": F.lit(path), "imported_at": F.current_timestamp()}))
+    if append:
+        clean.write.mode("append").partitionBy("design", "build").parquet(f"{out}/measurements")
+    else:
+        store(clean, f"{out}/measurements")
+    rejected.write.mode("append" if append else "overwrite").parquet(f"{out}/rejected_rows")
+    return clean.count(), rejected.count()
+
+
 def split_rejected(validated: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Clean rows, and rejected ones with their reasons."""
     bad = F.size("errors") > 0
