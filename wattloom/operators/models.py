@@ -257,7 +257,7 @@ def decompose(df: DataFrame, model: Linear) -> DataFrame:
 
 def decomposition_totals(parts: DataFrame) -> DataFrame:
     names = [c for c in PARTS.values() if c in parts.columns]
-    return parts.groupBy("design", "workload", "operating_point").agg(*[F.sum(c).alias(c) for c in (*names, "predicted_mw", TARGET)])
+    return parts.groupBy("design", "workload", "operating_point").agg(*[F.sum(F.col(c).cast("decimal(28,9)")).cast("double").alias(c) for c in (*names, "predicted_mw", TARGET)])
 
 
 #: Short names for overrides.

@@ -680,21 +680,21 @@ def _(s, d):
 
 FIXED = models.Linear("datamove", 5.1234567890123, {"cell_dyn_term": 0.5, "wire_dyn_term": 0.25, "move_term": -0.125, "leak_term": 0.0625}, {"move_term": 10.0})
 _P = "5.1234567890123e0 + cell_dyn_term * 0.5 + wire_dyn_term * 0.25 + coalesce(move_term, 10.0) * -0.125 + leak_term * 0.0625"
-MOVING = models.Linear("datamove", 1.2347, {"cell_dyn_term": 0.371, "wire_dyn_term": 0.213, "move_term": 0.137, "leak_term": 0.059}, {"move_term": 10.0})
-_M = {"compute_mw": "cell_dyn_term * 0.371e0", "wire_mw": "wire_dyn_term * 0.213e0", "movement_mw": "coalesce(move_term, 10.0) * 0.137e0", "leakage_mw": "leak_term * 0.059e0"}
-PARTED = DERIVED.rstrip() + f", c as (select *, {', '.join(f'greatest({e}, 0) as {k}' for k, e in _M.items())}, 1.2347e0 + {' + '.join(_M.values())} as predicted_mw from d)"
+#: Coefficients of many digits, as fitted ones are: no product lies on the half of a rounded place.
+MOVING = models.Linear("datamove", 1.2347913570246, {"cell_dyn_term": 0.3713579246801, "wire_dyn_term": 0.2131357924683, "move_term": 0.1370246813579, "leak_term": 0.0592468013579}, {"move_term": 10.0})
+_M = {"compute_mw": "cell_dyn_term * 0.3713579246801e0", "wire_mw": "wire_dyn_term * 0.2131357924683e0", "movement_mw": "coalesce(move_term, 10.0) * 0.1370246813579e0", "leakage_mw": "leak_term * 0.0592468013579e0"}
+PARTED = DERIVED.rstrip() + f", c as (select *, {', '.join(f'greatest({e}, 0) as {k}' for k, e in _M.items())}, 1.2347913570246e0 + {' + '.join(_M.values())} as predicted_mw from d)"
 
 
-@query("decompose", f"{PARTED} select {KEYS}, round(predicted_mw, 9) as predicted_mw, round(compute_mw / nullif({' + '.join(_M)}, 0), 6) as compute_share, round(case when bits_per_cycle * frequency_ghz * avg_net_length_um > 0 then movement_mw * 1e-3 / (bits_per_cycle * frequency_ghz * 1e9 * avg_net_length_um / 1000) * 1e12 end, 6) as pj_per_bit_mm from c")
+@query("decompose", f"{PARTED} select {KEYS}, round(predicted_mw, 6) as predicted_mw, round(compute_mw / nullif({' + '.join(_M)}, 0), 6) as compute_share, round(case when bits_per_cycle * frequency_ghz * avg_net_length_um > 0 then movement_mw * 1e-3 / (bits_per_cycle * frequency_ghz * 1e9 * avg_net_length_um / 1000) * 1e12 end, 6) as pj_per_bit_mm from c")
 def _(s, d):
     rows = models.decompose(wide(s, d), MOVING)
-    return rounded(rows.select(*KEY, "predicted_mw", F.col("compute_mw_share").alias("compute_share"), "pj_per_bit_mm"), predicted_mw=9)
+    return rounded(rows.select(*KEY, "predicted_mw", F.col("compute_mw_share").alias("compute_share"), "pj_per_bit_mm"))
 
 
-@query("decomposition_totals", f"{PARTED} select design, workload, operating_point, {', '.join(f'round(sum({c}), 5) as {c}' for c in [*_M, 'predicted_mw', 'be_mw'])} from c group by 1, 2, 3")
+@query("decomposition_totals", f"{PARTED} select design, workload, operating_point, {', '.join(f'round(cast(sum(cast({c} as decimal(28,9))) as double), 5) as {c}' for c in [*_M, 'predicted_mw', 'be_mw'])} from c group by 1, 2, 3")
 def _(s, d):
-    out = models.decomposition_totals(models.decompose(wide(s, d), MOVING))
-    return rounded(out, **dict.fromkeys([*_M, "predicted_mw", "be_mw"], 5))
+    return rounded(models.decomposition_totals(models.decompose(wide(s, d), MOVING)), **dict.fromkeys([*_M, "predicted_mw", "be_mw"], 5))
 
 
 @query("whatif", f"{DERIVED}, {LATEST}, t as (select design, sum({_P}) as a, sum({_P} - wire_dyn_term * 0.25 + wire_dyn_term * 0.25 * 0.8) as b from d join l using (design) where build_number = bn and {AT} group by design) select design, round(a, 3) as current_mw, round(b, 3) as proposed_mw, round((b - a) / a * 100, 5) as delta_pct from t")
