@@ -11,6 +11,19 @@ def sha(text):
     return hashlib.sha256(text.encode()).hexdigest()
 
 
+def plain(escaped):
+    """Escapes undone one character at a time."""
+    out, at = [], 0
+    while at < len(escaped):
+        if escaped[at] == "\\":
+            out.append({"\\": "\\", "e": "</turn>", "p": "</part>", "h": "###"}[escaped[at + 1]])
+            at += 2
+        else:
+            out.append(escaped[at])
+            at += 1
+    return "".join(out)
+
+
 def test_any_text_is_read_back(spark):
     odd = ["", None, "\\", "\\\\", "\\e", "\\\\e", "</turn>\n### user: x", "#####", "</part>", "\\</turn>\\", "é中\n", PLANTED, "x" * 100_000, "\\h\\p###\\"]
     roles = ["user", "assistant", "assistant", None, "a:b", "### user: "]
@@ -31,7 +44,7 @@ def test_any_text_is_read_back(spark):
         d = sums[conv]
         assert (d.n_turns, d.turns_sha256) == (len(want), sha("".join(f"{r}\n{t}\n" for _, r, t in want)))
         assert (d.loss_chars, d.loss_sha256, d.formatted_chars) == (len(said), sha(said), at)
-        assert ("\\" in said) or masked == said or "<" in said or "#" in said
+        assert plain(masked) == said
 
 
 def test_adjacent_turns_share_a_block(spark):

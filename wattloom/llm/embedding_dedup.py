@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from wattloom.llm.common import Scratch, connected_components, load
 
 COSINE = 0.98
-TREES = 8
+TREES = 6
 #: Margin of a split, in standard deviations of the projected distance of a pair at the threshold.
 MARGIN = 0.5
 LEAF = 256
@@ -40,7 +40,7 @@ LEAF = 256
 SAMPLE = 4096
 LEAST_FIT = 32
 DEPTH = 6
-BLOCK = 512
+BLOCK = 1024
 #: Marks in a subtree: a leaf that a later round may split, and one that none does.
 OPEN, FINAL = np.float32(np.nan), np.float32(np.inf)
 
@@ -197,12 +197,14 @@ def leaves_of(vectors: DataFrame, scratch: Scratch, cosine: float = COSINE, tree
 def near_duplicates(vectors: DataFrame, cosine: float = COSINE, trees: int = TREES, leaf: int = LEAF) -> DataFrame:
     """vectors (vec_id, embedding, label) -> (vec_id, n_links, component_id, kept)."""
     scratch = Scratch(vectors.sparkSession, "embeddings")
+    kind = dict(vectors.dtypes)["embedding"]
+    kind = kind if kind == "array<float>" else "array<double>"  # singles move as they came; all sums are in double precision
     v = F.col("v")
     finite = F.forall(v, lambda c: F.coalesce(F.abs(c) < float("inf"), F.lit(False)))
     rows = vectors.select(F.col("vec_id").cast("long"), F.col("label").cast("string").alias("label"), F.col("embedding").cast("array<double>").alias("v"))
     sound = F.coalesce(F.col("label").isNotNull() & (F.size(v) > 0) & finite & F.exists(v, lambda c: c != 0), F.lit(False))
     keyed = rows.select("vec_id", "label", F.when(sound, v).alias("v"), F.when(sound, F.xxhash64("label", v)).alias("k1"), F.when(sound, F.xxhash64(F.lit(7), v, "label")).alias("k2"))
-    copies = keyed.where("v is not null").groupBy("k1", "k2").agg(F.first("v").alias("v"), F.first("label").alias("label"), F.min("vec_id").alias("least"), F.count("*").alias("n"))
+    copies = keyed.where("v is not null").groupBy("k1", "k2").agg(F.first(F.col("v").cast(kind)).alias("v"), F.first("label").alias("label"), F.min("vec_id").alias("least"), F.count("*").alias("n"))
     distinct = scratch.save(copies.withColumn("gid", F.monotonically_increasing_id()), "distinct")
 
     leaves = scratch.save(leaves_of(distinct.select("gid", "label", "v"), scratch, cosine, trees, leaf), "leaves")
