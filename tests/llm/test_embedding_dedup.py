@@ -110,3 +110,15 @@ def test_narrow_margins_and_many_trees_find_pairs_at_the_threshold():
             tree = grow(x[rng.choice(rows, min(len(rows), 4096), replace=False)], seed, max(1, len(rows) / 4096), 0.98)
             nodes += [((seed * 131 + n) % (1 << 62), found) for n, final, found in route(tree, seed, x, rows, 0.98) if len(found) < len(rows)]
     assert met.mean() >= 0.995
+
+
+def test_a_cloud_is_a_leaf_and_a_cluster_in_the_middle_is_passed_by():
+    rng = np.random.default_rng(8)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    cloud = unit(rng.standard_normal(64) + 0.05 * rng.standard_normal((3000, 64)))
+    tree = grow(cloud, 5, 1.0, 0.98)
+    assert sum(len(r) for _, _, r in route(tree, 5, cloud, np.arange(3000), 0.98)) <= 3 * 3000
+    mixed = unit(np.concatenate([cloud, rng.standard_normal((3000, 64))]))  # half of all in one place
+    tree = grow(mixed, 6, 1.0, 0.98)
+    leaves = list(route(tree, 6, mixed, np.arange(6000), 0.98))
+    assert len(leaves) > 4 and sum(len(r) for _, _, r in leaves) <= 3 * 6000

@@ -1,15 +1,15 @@
 """Near-duplicate embeddings by a forest of random-projection trees with spill.
 
 Only vectors of equal label and length compare. Exact copies are first counted as one. Each tree
-splits recursively at the median of a random projection; vectors within a margin of the split go
+splits recursively on a random projection, near its middle where fewest vectors are close; vectors within a margin of the split go
 both ways, so that a pair at the threshold parts only if its projections differ by more than
 twice the margin. Many trees with a narrow margin miss a pair only if each of them parts it.
 
 Trees grow by rounds. A round counts the rows of each node; nodes above LEAF each get a subtree, fitted
 on a sample of their own vectors (at most SAMPLE a node, by hash) and applied by a join on the node, until
 no node splits any more. So leaves hold at most LEAF vectors whatever the corpus; what stays larger is a
-cloud no wider than the margin, whose vectors are near copies: it becomes pairs of blocks in
-tasks of their own. Leaves and pairs of blocks are compared by matrix products.
+cloud that no split parts without sending over SPILL of it both ways, whose vectors are near copies: it becomes
+pairs of blocks in tasks of their own. Leaves and pairs of blocks are compared by matrix products.
 
 A pair that meets in several leaves counts in the first one only, which each task tells from the
 leaves that its vectors carry; so link counts add up without a list of pairs. For components,
@@ -40,6 +40,9 @@ LEAF = 256
 SAMPLE = 4096
 LEAST_FIT = 32
 DEPTH = 6
+#: Directions that a split tries, and the most of a node's vectors that may go both ways.
+TRIES = 4
+SPILL = 0.25
 BLOCK = 1024
 #: Marks in a subtree: a leaf that a later round may split, and one that none does.
 OPEN, FINAL = np.float32(np.nan), np.float32(np.inf)
@@ -49,7 +52,7 @@ def _unit(vectors: np.ndarray) -> np.ndarray:
     return vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
 
 
-def _direction(seed: tuple[int, int], size: int) -> np.ndarray:
+def _direction(seed: tuple[int, ...], size: int) -> np.ndarray:
     r = np.random.default_rng(seed).standard_normal(size)
     return r / np.linalg.norm(r)
 
@@ -61,23 +64,34 @@ def _margin(size: int, cosine: float) -> float:
 def grow(x: np.ndarray, seed: int, scale: float, cosine: float, leaf: int = LEAF, least: int = LEAST_FIT) -> np.ndarray:
     """A subtree over sample vectors x of a node, each of which stands for ``scale`` vectors.
 
-    A heap of thresholds, its root at 1; the direction of a split is drawn from the node's seed and its number.
+    A heap of thresholds, its root at 1, and which direction each split took: these are drawn from the node's seed,
+    the split's number and the try.
     """
-    tree, m = np.full(2 << DEPTH, OPEN), _margin(x.shape[1], cosine)
+    tree, m = np.full((2, 2 << DEPTH), OPEN), _margin(x.shape[1], cosine)
 
     def split(number: int, x: np.ndarray) -> None:
         if len(x) * scale <= leaf:
-            tree[number] = FINAL
+            tree[0, number] = FINAL
         if len(x) * scale <= leaf or len(x) < least or number >> DEPTH:
             return  # with few vectors of the sample left, the next round samples this node anew
-        p = x @ _direction((seed, number), x.shape[1])
-        at = np.float32(np.median(p))
-        sides = [x[p <= at + m], x[p >= at - m]]
-        if max(map(len, sides)) > 0.9 * len(x):
-            tree[number] = FINAL  # a cloud no wider than the margin
+        best = (SPILL, 0, np.float32(0), x[:, 0])
+        for t in range(TRIES):
+            p = x @ _direction((seed, number, t), x.shape[1])
+            ordered = np.sort(p)
+            at = ordered[np.unique(np.linspace(len(p) // 4, len(p) * 3 // 4, 33).astype(int))].astype(np.float32)
+            both = (np.searchsorted(ordered, at + m, "right") - np.searchsorted(ordered, at - m, "left")) / len(p)
+            both = np.where(np.maximum(np.searchsorted(ordered, at + m, "right"), len(p) - np.searchsorted(ordered, at - m, "left")) <= 0.9 * len(p), both, np.inf)
+            k = int(np.argmin(both + np.abs(np.linspace(-0.02, 0.02, len(at)))))  # of equals the one nearest the middle
+            if both[k] < best[0]:
+                best = (float(both[k]), t, at[k], p)
+            if best[0] <= SPILL / 2:
+                break
+        if best[0] >= SPILL:
+            tree[0, number] = FINAL  # a cloud that no split parts
             return
-        tree[number] = at
-        for i, side in enumerate(sides):
+        _, t, at, p = best
+        tree[:, number] = at, t
+        for i, side in enumerate((x[p <= at + m], x[p >= at - m])):
             split(2 * number + i, side)
 
     split(1, x)
@@ -86,11 +100,11 @@ def grow(x: np.ndarray, seed: int, scale: float, cosine: float, leaf: int = LEAF
 
 def route(tree: np.ndarray, seed: int, x: np.ndarray, rows: np.ndarray, cosine: float, number: int = 1) -> Iterator[tuple[int, bool, np.ndarray]]:
     """(leaf's number, whether it is final, rows in it) for unit vectors x; a root that does not split is final."""
-    at = tree[number]
+    at, attempt = tree[:, number]
     if not np.isfinite(at) or not len(rows):
         yield number, bool(np.isinf(at)) or number == 1, rows
         return
-    p = x[rows] @ _direction((seed, number), x.shape[1])
+    p = x[rows] @ _direction((seed, number, int(attempt)), x.shape[1])
     m = _margin(x.shape[1], cosine)
     for i, side in enumerate((p <= at + m, p >= at - m)):
         yield from route(tree, seed, x, rows[side], cosine, 2 * number + i)
@@ -168,7 +182,7 @@ def leaves_of(vectors: DataFrame, scratch: Scratch, cosine: float = COSINE, tree
             for i, k in enumerate(nodes.to_pylist()):
                 same.setdefault(k, []).append(i)
             for k, members in same.items():
-                tree = np.frombuffer(blobs[members[0]].as_py(), np.float32)
+                tree = np.frombuffer(blobs[members[0]].as_py(), np.float32).reshape(2, -1)
                 own, x = gids.take(pa.array(members)).to_numpy(), _unit(np.array(lists.take(pa.array(members)).flatten(), np.float64).reshape(len(members), -1))
                 for number, final, found in route(tree, k & (1 << 63) - 1, x, np.arange(len(members)), cosine):
                     name = int.from_bytes(xxhash.xxh3_64_digest(b"%d/%d" % (k, number)), signed=True)
