@@ -1,0 +1,18 @@
+from pyspark.sql import functions as F
+
+from wattloom.functions.sides import small
+
+
+def test_small_side_is_broadcast_and_a_larger_one_is_not(spark):
+    left = spark.range(50).select((F.col("id") % 7).alias("k"), "id")
+    for rows, hint in ((5, True), (6, False)):
+        side = spark.range(rows).select(F.col("id").alias("k"), F.when(F.col("id") != 2, F.col("id") / 2).alias("half"))
+        out = left.join(small(side, 5), "k", "left")
+        assert ("strategy=broadcast" in out._jdf.queryExecution().analyzed().toString()) is hint
+        want = {(i, i % 7, i % 7 / 2 if i % 7 < rows and i % 7 != 2 else None) for i in range(50)}
+        assert {(r.id, r.k, r.half) for r in out.collect()} == want
+
+
+def test_small_side_keeps_its_schema_when_empty(spark):
+    side = spark.createDataFrame([], "k long, d date, s struct<a: string, b: double>")
+    assert small(side).schema == side.schema and small(side).count() == 0

@@ -1,0 +1,20 @@
+"""The small side of a join: broadcast only once its size is known."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+#: Most rows of a side that is broadcast: builds, designs, budgets and blocks, each of a few short columns.
+SMALL = 100_000
+
+
+def small(side: DataFrame, most: int = SMALL) -> DataFrame:
+    """side for a join: read once and broadcast if it has at most ``most`` rows, else as it is, for Spark to shuffle.
+
+    At most ``most`` + 1 rows reach the driver, and what they were computed from is not computed again by the join.
+    """
+    rows = side.limit(most + 1).collect()
+    if len(rows) > most:
+        return side
+    return F.broadcast(side.sparkSession.createDataFrame(rows, side.schema, verifySchema=False))

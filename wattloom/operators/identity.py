@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wattloom.functions.expr import glob_regex, issue_list, ratio
+from wattloom.functions.sides import small
 
 #: The unit that each metric is kept in, and factors into it.
 CANONICAL = {
@@ -98,7 +99,7 @@ def resolve_objects(long: DataFrame, mapping: DataFrame, per_instance: bool = Tr
     exact = exact.unionByName(_by_partition(objects, m))
     rest = objects.where("object_kind = 'be_hier'").join(exact.select("object", "object_kind"), ["object", "object_kind"], "left_anti")
     globs = m.where(is_glob).select("fub", F.col("be_hier").alias("glob"), "share_").withColumn("re", glob_regex(F.col("glob")))
-    by_glob = rest.join(F.broadcast(globs), F.rlike(rest.object, F.col("re"))).select("object", "object_kind", "fub", "share_", F.substring_index(F.expr("substr(object, length(substring_index(glob, '*', 1)) + 1)"), "/", 1).alias("instance"))
+    by_glob = rest.join(small(globs), F.rlike(rest.object, F.col("re"))).select("object", "object_kind", "fub", "share_", F.substring_index(F.expr("substr(object, length(substring_index(glob, '*', 1)) + 1)"), "/", 1).alias("instance"))
     found = exact.unionByName(by_glob)
     design = objects.where("object_kind = 'design'").select("object", "object_kind", F.lit("*").alias("fub"), F.lit(1.0).alias("share_"), F.lit(None).cast("string").alias("instance"))
     n = Window.partitionBy("object", "object_kind")
@@ -179,7 +180,7 @@ def lineage(mapped: DataFrame, mapping: DataFrame) -> DataFrame:
     relation = F.concat_ws(";", F.when(F.col("rows_") > 1, "split"), F.when(F.col("merged_").isNotNull(), "merged"), F.when(F.col("glob_"), "replicated"))
     blocks = blocks.withColumn("relationship", F.when(relation != "", relation).otherwise("one-to-one"))
     runs = mapped.groupBy("design", "build").agg(F.max(F.col("object_kind") == "partition").alias("timed_"))
-    grid = runs.crossJoin(F.broadcast(blocks))  # runs x blocks is the table asked for
+    grid = runs.crossJoin(small(blocks))  # runs x blocks is the table asked for
     out = grid.join(metrics.withColumnRenamed("base", "fub"), ["design", "build", "fub"], "left")
     has = lambda names: F.arrays_overlap(F.coalesce("metrics", F.array().cast("array<string>")), F.array(*[F.lit(m) for m in names]))
     every = F.size(F.array_intersect(F.coalesce("metrics", F.array().cast("array<string>")), F.array(*[F.lit(m) for m in PHYSICAL]))) == len(PHYSICAL)
@@ -205,7 +206,7 @@ def intent_table(blocks: DataFrame, domains: DataFrame, points: DataFrame, toler
     for c in run:
         same = same & (F.col(c) == F.col(f"{c}_"))
     keys = [*run, *[c for c in ("fub", "model_root", "partition") if c in blocks.columns]]
-    hits = blocks.join(F.broadcast(marked), same & (inside("be_hier") | inside("fe_hier")), "left")
+    hits = blocks.join(small(marked), same & (inside("be_hier") | inside("fe_hier")), "left")
     by = hits.groupBy(*keys).agg(F.array_sort(F.collect_set(F.when(inside("be_hier"), F.col("domain")))).alias("be"), F.array_sort(F.collect_set(F.when(inside("fe_hier"), F.col("domain")))).alias("fe"))
     by = by.withColumn("domains", F.when(F.size("be") > 0, F.col("be")).otherwise(F.col("fe"))).drop("be", "fe").withColumn("power_domain", F.try_element_at("domains", F.lit(1)))
     states = domains.where("state is not null").groupBy(*run, F.col("domain").alias("power_domain")).agg(F.map_from_entries(F.array_sort(F.collect_set(F.struct("state", "voltage")))).alias("domain_states"))
