@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from wattloom.llm.alignment import op11_token_alignment
 from wattloom.llm.chat import OP7_SQL, op7_chat_format
 from wattloom.llm.embedding_dedup import OP6_SQL, op6_embedding_dedup
 from wattloom.llm.language_id import op3_language_id
@@ -28,6 +29,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
+    "op11_token_alignment": op11_token_alignment,
     "quality_statistics": quality_statistics,
 }
 ORACLE_SQL: dict[str, str] = {

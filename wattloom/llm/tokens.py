@@ -40,10 +40,11 @@ class Encoder:
     leading_space: byte-level BPE whose pattern takes one blank into the piece behind it. A text in
     which all white space stands alone, as one blank or line end, is then cut before each blank
     and around each line end; no piece of such a pattern reaches over those places, from either
-    side. Else the tokenizer drops white space, and texts are cut at it.
+    side. Else the tokenizer drops white space, and texts are cut at it. ``lead``, a blank or nothing,
+    stands before each text.
     """
 
-    def __init__(self, path: str, leading_space: bool, control_as_text: bool = False):
+    def __init__(self, path: str, leading_space: bool, control_as_text: bool = False, lead: str = ""):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -54,7 +55,9 @@ class Encoder:
         self.control = "|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values())
         if self.tokenizer.get_vocab_size() > np.iinfo(HELD).max:
             raise ValueError("ids of this vocabulary do not fit 16 bits")
-        self.leading_space = leading_space
+        if lead not in ("", " ") or lead and not leading_space:
+            raise ValueError("only a blank can stand before a text, and only where blanks count")
+        self.leading_space, self.lead = leading_space, lead
         # what parts new pieces in one text, taken as exactly one id of its own, and what they must not hold
         self.mark, self.apart = ("\n", "\n") if leading_space else (" 0 ", "0")
         [self.mark_id] = self._ids([self.mark])[0]
@@ -138,13 +141,13 @@ class Encoder:
         if self.leading_space:
             odd |= pc.match_substring_regex(texts, UNSURE).to_numpy(zero_copy_only=False)
         some, sure = np.nonzero(odd)[0], np.nonzero(~odd)[0]
-        for i, ids in zip(some, self._ids(texts.take(pa.array(some)).to_pylist()), strict=True):
+        for i, ids in zip(some, self._ids([self.lead + t for t in texts.take(pa.array(some)).to_pylist()]), strict=True):
             out[i] = np.array(ids, HELD).tobytes()
         if len(some):
             texts = texts.take(pa.array(sure))
         if self.leading_space:
             texts = pc.replace_substring_regex(texts, SIGN, rf"\1 {FIRST}\2")
-            texts = pc.binary_join_element_wise(pa.scalar(FIRST, text), pc.replace_substring(texts, "\n", f" \n {FIRST}"), pa.scalar("", text))
+            texts = pc.binary_join_element_wise(pa.scalar("" if self.lead else FIRST, text), pc.replace_substring(texts, "\n", f" \n {FIRST}"), pa.scalar("", text))
         else:
             texts = pc.replace_substring_regex(pc.replace_substring(texts, "\n", " "), SIGN, r"\1 \2")
         if not len(sure):
@@ -162,9 +165,9 @@ class Encoder:
         return out
 
 
-def shared(path: str, leading_space: bool, control_as_text: bool = False) -> Encoder:
+def shared(path: str, leading_space: bool, control_as_text: bool = False, lead: str = "") -> Encoder:
     """This worker's encoder for a file, so that its tasks share what it remembers."""
-    return worker_cache(f"tokens {path} {leading_space} {control_as_text}", lambda: Encoder(path, leading_space, control_as_text))
+    return worker_cache(f"tokens {path} {leading_space} {control_as_text} {lead}", lambda: Encoder(path, leading_space, control_as_text, lead))
 
 
 ENCODED = "part int, pos long, doc_id long, n_tokens long, ids binary, counts binary"
