@@ -76,3 +76,28 @@ def test_an_archive_cut_short_is_reported(spark, tmp_path):
 def test_a_record_without_its_last_gap(spark, tmp_path):
     raw = record(1, b"first") + record(2, b"")
     assert records(spark, tmp_path, raw[: -len(GAP)]) == [(1, "first", 5, False), (2, "", 0, False)]
+
+
+def test_scans_that_split_differently(spark):
+    """Cores that come and go between two scans change the splits; no record may be lost by that."""
+    scratch = Scratch(spark, "t")
+    path = scratch.path("warc")
+    html = lambda i: f"page {i} " + (MAGIC + "x" * 40 + record(i, b"inner").decode() if i % 5 == 0 else "y" * 4000)
+    write_warc(spark.range(2000).coalesce(1).selectExpr("id as page_id", "'u' as url").join(spark.createDataFrame([(i, html(i)) for i in range(2000)], "page_id long, html string"), "page_id").repartition(3), path, scratch)
+    conf = {"spark.sql.files.openCostInBytes": "65536", "spark.sql.files.minPartitionNum": "8"}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        read = read_warc(spark, path, scratch)
+        spark.conf.set("spark.sql.files.minPartitionNum", "12")
+        got = {r.page_id: r.payload_digest for r in read.collect()}
+    finally:
+        for k in conf:
+            spark.conf.unset(k)
+    assert got == {i: hashlib.sha256(html(i).encode()).hexdigest() for i in range(2000)}
+
+
+def test_long_lengths(spark, tmp_path):
+    raw = record(1, b"first") + record(2, b"cut short").replace(b"Content-Length: 28", b"Content-Length: 3000000000")
+    assert b"3000000000" in raw
+    assert records(spark, tmp_path, raw) == [(1, "first", 5, False), (2, "cut short" + GAP, 13, True)]

@@ -10,7 +10,9 @@ Tasks emit for each cut a candidate: its length and, from the header behind it,
 its successor. Per file, pointer jumping from the first byte (log2 n doublings over two integer
 arrays) keeps the records that the chain of lengths reaches; a magic inside a payload is never
 reached. A candidate takes some 40 bytes there, so even an archive of a million records is
-a small group. Cuts inside a kept record are joined to its payload again. A record's block is the
+a small group. Cuts inside a kept record are joined to its payload again: these are read once more and told by
+what they hold (128 bits of hashes of their text), never by where a scan found them, as splits change with the
+number of cores; a cut that is not found again is an error. A record's block is the
 octets that its Content-Length counts: what stands behind them belongs to no record, and a record with
 fewer (an archive cut short) is reported as ``truncated``.
 
@@ -65,7 +67,7 @@ def write_warc(pages: DataFrame, path: str, scratch: Scratch, date: str = "2020-
 
 
 def _cuts(spark: SparkSession, path: str) -> DataFrame:
-    """What stands after each magic string: (file, split, at, value), ``at`` in reading order."""
+    """What stands after each magic string: (file, split, at, value), ``at`` in reading order; another scan may split otherwise."""
     text = spark.read.option("lineSep", MAGIC).text(path)
     return text.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("at"), "value")
 
@@ -78,9 +80,9 @@ def _field(header: Column, name: str, value: str) -> Column:
 def _parsed(value: Column) -> dict[str, Column]:
     """Fields of a record whose text after the magic begins ``value``; its block ends where Content-Length says."""
     header = F.substring_index(value, GAP, 1)
-    length = F.coalesce(_field(header, "Content-Length", r"(\d{1,9})").cast("int"), F.lit(0))
+    length = F.coalesce(_field(header, "Content-Length", r"(\d{1,15})").cast("long"), F.lit(0))
     rest = F.octet_length(value) - F.octet_length(header) - len(GAP)
-    block = F.substr(value.cast("binary"), F.octet_length(header) + len(GAP) + 1, F.greatest(length, F.lit(0))).cast("string")
+    block = F.substr(value.cast("binary"), F.octet_length(header) + len(GAP) + 1, F.least(length, F.greatest(rest, F.lit(0))).cast("int")).cast("string")
     http = F.substring_index(block, GAP, 1)
     payload = F.substr(block, F.length(http) + len(GAP) + 1)
     revisit = _field(header, "WARC-Type", r"(\w+)") == "revisit"
@@ -135,7 +137,8 @@ def read_warc(spark: SparkSession, path: str, scratch: Scratch, payloads: bool =
     fields = _parsed(value)
     names = [c for c in fields if payloads or c != "payload"]
     sizes = [F.octet_length(value).cast("long").alias("n"), F.octet_length(header).cast("long").alias("head"), body.alias("body")]
-    found = scratch.save(_cuts(spark, path).select("file", "split", "at", *sizes, *[fields[c].alias(c) for c in names]), "cuts")
+    hashes = [F.xxhash64(value).alias("h1"), F.xxhash64(F.lit(7), value).alias("h2")]
+    found = scratch.save(_cuts(spark, path).select("file", "split", "at", *sizes, *hashes, *[fields[c].alias(c) for c in names]), "cuts")
     narrow = found.select("file", "split", "at", "n", "head", "body")
     chain = scratch.save(narrow.groupBy("file").applyInArrow(_chain, "file string, split long, at long, own_split long, own_at long, kept boolean"), "chain")
     parted = chain.where("not kept").select("file", F.col("own_split").alias("split"), F.col("own_at").alias("at")).distinct()
@@ -144,9 +147,14 @@ def read_warc(spark: SparkSession, path: str, scratch: Scratch, payloads: bool =
     whole = found.join(chain.where("kept").select(*keys).hint("merge"), keys).join(parted.hint("merge"), keys, "left_anti").select(*names)
     if not parted.limit(1).count():
         return whole
-    of_parted = chain.join(parted.select("file", F.col("split").alias("own_split"), F.col("at").alias("own_at")), ["file", "own_split", "own_at"])
-    pieces = _cuts(spark, path).join(of_parted, keys)
-    together = pieces.groupBy("file", "own_split", "own_at").agg(F.array_sort(F.collect_list(F.struct("split", "at", "value"))).alias("cuts"))
+    own = parted.select("file", F.col("split").alias("own_split"), F.col("at").alias("own_at"))
+    pieces = chain.join(own, ["file", "own_split", "own_at"]).join(found.select(*keys, "h1", "h2").hint("merge"), keys)
+    pieces = scratch.save(pieces.select("file", "own_split", "own_at", "split", "at", "h1", "h2"), "pieces")
+    wanted = pieces.select("h1", "h2").distinct()
+    again = _cuts(spark, path).select(*hashes, "value").join(wanted, ["h1", "h2"]).groupBy("h1", "h2").agg(F.first("value").alias("value"))
+    pieces = pieces.join(again, ["h1", "h2"], "left")
+    held = F.coalesce("value", F.raise_error(F.concat(F.lit("changed while it was read: "), F.col("file"))))
+    together = pieces.groupBy("file", "own_split", "own_at").agg(F.array_sort(F.collect_list(F.struct("split", "at", held.alias("value")))).alias("cuts"))
     # the last cut of a record may run on into bytes that belong to none; its length says where it ends
     text = F.array_join(F.transform("cuts", lambda c: c["value"]), MAGIC)
     again = _parsed(value)
