@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -18,3 +19,16 @@ def importable(spark: SparkSession) -> SparkSession:
     if root not in paths:
         env["PYTHONPATH"] = ":".join([*paths, root])
     return spark
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share, from ``spark.checkpoint.dir``; a session on one machine gets one of its own."""
+    importable(spark)
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="wattloom-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found.rstrip("/")
