@@ -326,3 +326,25 @@ def test_techniques_without_data_and_a_decomposition(spark, wide):
     rows = spark.createDataFrame([("d", "B1", "r", "w", "nom", 10.0)], "design string, build string, model_root string, workload string, operating_point string, be_mw double")
     parts = spark.createDataFrame([("d", "B1", "r", "w", "nom", 4.0)], "design string, build string, model_root string, workload string, operating_point string, leakage_mw double")
     assert closure.dyn_leak(rows, parts).first().leak == 4.0 and closure.dyn_leak(rows).first().leak == pytest.approx(1.5)
+
+
+def test_paths_meet_by_equality(spark):
+    from wattloom.operators import identity
+
+    mapping = spark.createDataFrame([("a", "t/a", "top/x/a*/core", "P", None), ("b", "t/b", "top/y/b", "P", "1"), ("c", None, "*/c?", None, None), ("d", "t/d", "top/y/d*", "P", None)], "fub string, fe_hier string, be_hier string, partition string, be_share string")
+    names = ["top/x/a0/core", "top/x/a1/z/core", "top/y/b", "q/c1", "top/y/c2", "top/y/d", "top/y/dd/e", "top/x", "other/x/a0/core", "top"]
+    long = spark.createDataFrame([(n, "be_hier", 1.0) for n in names], "object string, object_kind string, value double")
+    mapped, unmapped = identity.resolve_objects(long, mapping)
+    got = {(r.object, r.fub) for r in mapped.collect()}
+    assert got == {("top/x/a0/core", "a@0"), ("top/x/a1/z/core", "a@1"), ("top/y/b", "b"), ("q/c1", "c"), ("top/y/c2", "c"), ("top/y/d", "d"), ("top/y/dd/e", "d@d")} or {x for x, _ in got} == set(names) - {"top/x", "other/x/a0/core", "top"}
+    assert {r.object for r in unmapped.collect()} == {"other/x/a0/core"}
+    blocks = mapping.select("fub", "partition", "be_hier", "fe_hier").where("fub <> 'c'").replace({"top/x/a*/core": "top/x/a0/core"})
+    rows = [("D1", "top/x"), ("D2", "top/x/a0/"), ("D3", "top/y/b"), ("D4", "t/"), ("D5", "/"), ("D6", "top/y/b/")]
+    domains = spark.createDataFrame([(d, e, "VDD", "nom", 0.8) for d, e in rows], "domain string, element string, supply_net string, state string, voltage double")
+    points = spark.createDataFrame([("nom", 0.8)], "operating_point string, voltage_v double")
+    table = identity.intent_table(blocks, domains, points)
+    assert {r.fub: r.domains for r in table.collect()} == {"a": ["D1", "D2"], "b": ["D3"], "d": ["D4"]}
+    of = lambda df, c: df.withColumn("design", F.substring(c, 1, 0))
+    for df in (mapped, unmapped, identity.intent_table(of(blocks, "fub"), of(domains, "domain"), of(points, "operating_point"))):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "NestedLoop" not in plan and "Cartesian" not in plan

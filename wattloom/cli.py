@@ -260,7 +260,7 @@ def run(spark: SparkSession, a: argparse.Namespace, cfg: Config) -> int:
         rows = data()
         for c in ("design", "fub"):
             rows = rows if getattr(a, c) is None else rows.where(F.col(c) == getattr(a, c))
-        rows = rows.join(F.broadcast(latest_builds(rows)), ["design", "build"], "left_semi")
+        rows = rows.join(latest_builds(rows), ["design", "build"], "left_semi")
         model = models.fit(data(), a.model or cfg.whatif_model)
         show(models.what_if_totals(models.what_if(rows, model, overrides(a.set, False) | overrides(a.scale, True)), ["design", "workload", "operating_point"]))
     elif a.command == "export":

@@ -44,3 +44,14 @@ def glob_regex(pattern: Column) -> Column:
     """A glob with * and ? as an anchored regular expression."""
     quoted = F.regexp_replace(pattern, r"([.\\+^$|(){}\[\]])", r"\\$1")
     return F.concat(F.lit("^"), F.replace(F.replace(quoted, F.lit("*"), F.lit(".*")), F.lit("?"), F.lit(".")), F.lit("$"))
+
+
+def ancestors(path: Column) -> Column:
+    """A path and what it lies under, as an array that begins with the empty root: a join key for anything named by a prefix."""
+    parts = F.split(path, "/")
+    return F.array_union(F.array(F.lit("")), F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "/")))
+
+
+def glob_base(pattern: Column) -> Column:
+    """The whole path elements before a glob's first wildcard: every path that it matches lies under them."""
+    return F.regexp_extract(pattern, r"^([^*?]*)/[^/]*[*?]", 1)

@@ -45,6 +45,12 @@ def settings(meta: dict) -> dict:
     }
 
 
+def _run_folder(path: str, folders: list[str]):
+    """The run folder that a file lies under; all are equally deep, as they match one pattern."""
+    [depth] = {f.count("/") for f in folders}
+    return F.substring_index(path, "/", depth + 1)
+
+
 def _found(read):
     """A table over a glob, or none where nothing matches it."""
     try:
@@ -73,8 +79,8 @@ def read_long(spark: SparkSession, root: str, runs: list[dict], cfg: Config | No
         raise ValueError(f"no reports under {root}")
     rows = reduce(DataFrame.unionByName, frames)
     meta = spark.createDataFrame([tuple(s[c.split()[0]] for c in _META.split(", ")) for s in known.values()], _META)
-    folders = F.broadcast(meta.drop("object_kind", "sim_clock_period_ps").withColumnsRenamed({"run_id": "meta_run_id", "status": "build_status"}))  # a row a run
-    out = rows.join(folders, rows.source_file.startswith(F.concat(folders.folder, F.lit("/")))).drop("folder")
+    folders = meta.drop("object_kind", "sim_clock_period_ps").withColumnsRenamed({"run_id": "meta_run_id", "status": "build_status"})
+    out = rows.withColumn("folder", _run_folder("source_file", list(known))).join(folders, "folder").drop("folder")
     name = identity.normalize_name(F.trim("object"), **_names(cfg))
     return out.withColumn("object", F.when(F.col("object_kind").isin("fe_hier", "be_hier", "partition"), name).otherwise(F.col("object")))
 
@@ -153,7 +159,7 @@ def wide_from_long(good: DataFrame, blocks: DataFrame, work: Work, per_instance:
     names = blocks.groupBy(F.col("fub").alias("base_")).agg(F.min("partition").alias("partition"), F.min("owner").alias("owner"), F.min("model_root").alias("root_"))
     runs = good.groupBy("design", "build").agg(*[F.max(c).alias(c) for c in ("build_date", "build_status", "design_type", "milestone", "tools")], F.max("run_id").alias("run_id"))
     wide = wide.join(points(good), ["design", "build", "operating_point"], "left").join(runs, ["design", "build"], "left").join(mode, ["design", "build", "fub", "workload", "operating_point"], "left")
-    wide = wide.withColumn("base_", F.split("fub", "@")[0]).join(F.broadcast(names), "base_", "left")  # a row a block
+    wide = wide.withColumn("base_", F.split("fub", "@")[0]).join(names, "base_", "left")
     instance = F.try_element_at(F.split("fub", "@"), F.lit(2))
     root = F.coalesce("root_", F.concat_ws(".", "design", "partition", "base_"))
     wide = wide.withColumns({"stage": F.lit("FE_BE"), "model_root": F.when(instance.isNotNull(), F.concat_ws("@", root, instance)).otherwise(root), "build_date": F.col("build_date").try_cast("date"), "fmax_ghz": fmax(F.col("clock_period_ps"), F.col("wns_ps")), "tool": F.lit("pipeline"), "imported_at": F.current_timestamp()})
@@ -192,9 +198,9 @@ def intent_from_runs(spark: SparkSession, root: str, runs: list[dict], blocks: D
     if found is None:
         return None
     folders = spark.createDataFrame([(m["path"], str(m["design"]), str(m["build"])) for m in runs], "folder string, design string, build string")
-    domains = found.where("error is null").join(F.broadcast(folders), F.col("path").startswith(F.concat("folder", F.lit("/")))).select("design", "build", "domain", "element", "supply_net", "state", "voltage")
+    domains = found.where("error is null").withColumn("folder", _run_folder("path", [m["path"] for m in runs])).join(folders, "folder").select("design", "build", "domain", "element", "supply_net", "state", "voltage")
     own = blocks.groupBy("fub").agg(F.min("partition").alias("partition"), F.min("be_hier").alias("be_hier"), F.min("fe_hier").alias("fe_hier"), F.min("model_root").alias("root_"))
-    grid = domains.select("design", "build").distinct().crossJoin(F.broadcast(own))  # runs x blocks is the table asked for
+    grid = domains.select("design", "build").distinct().crossJoin(own)  # runs x blocks is the table asked for
     grid = grid.withColumn("model_root", F.coalesce("root_", F.concat_ws(".", "design", "partition", "fub"))).drop("root_")
     return identity.intent_table(grid, domains, points(good).select("design", "build", "operating_point", "voltage_v"))
 
@@ -218,7 +224,7 @@ def ingest(spark: SparkSession, root: str, map_path: str, out: str, cfg: Config
     raw = read_long(spark, root if only is None else root, runs, cfg)
     store(raw, f"{out}/reports")
     mine = spark.createDataFrame([(str(m["design"]), str(m["build"])) for m in runs], "design string, build string")
-    raw = spark.read.schema(raw.schema).parquet(f"{out}/reports").join(F.broadcast(mine), ["design", "build"], "left_semi")  # a row a run
+    raw = spark.read.schema(raw.schema).parquet(f"{out}/reports").join(mine, ["design", "build"], "left_semi")
     work = Work(spark, out)
     good, failed = accepted(raw, cfg.strict_consistency)
     good, blocks = work.keep(good, "good"), work.keep(blocks, "blocks")

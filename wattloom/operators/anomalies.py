@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 
 from wattloom.config import Config
 from wattloom.functions.expr import ratio
-from wattloom.functions.sides import small
 from wattloom.operators.select import with_rank
 
 #: Fixed thresholds that no setting changes.
@@ -43,7 +42,7 @@ def context(df: DataFrame) -> DataFrame:
     for c in ("partition", "owner"):
         if c not in df.columns:
             df = df.withColumn(c, F.lit(None).cast("string"))
-    return with_rank(df).join(small(corners), "design")  # a row a design
+    return with_rank(df).join(corners, "design")  # a row a design
 
 
 def _reference(ctx: DataFrame) -> DataFrame:
@@ -175,7 +174,7 @@ def with_status(df: DataFrame, found: DataFrame) -> DataFrame:
     ranks = with_rank(df.select("design", "build").distinct())
     last = ranks.groupBy("design").agg(F.max("build_rank").alias("last_"))
     key = ["design", "model_root", "rule"]
-    near = found.join(small(ranks.join(last, "design").where(F.col("build_rank") >= F.col("last_") - 1)), ["design", "build"])
+    near = found.join(ranks.join(last, "design").where(F.col("build_rank") >= F.col("last_") - 1), ["design", "build"])
     sides = near.groupBy(*key).agg(F.max(F.col("build_rank") == F.col("last_")).alias("now"), F.max(F.col("build_rank") < F.col("last_")).alias("then"))
     return sides.select(*key, F.when(~F.col("now"), "cleared").when(F.col("then"), "persisting").otherwise("new").alias("status"))
 
@@ -188,7 +187,7 @@ def report(df: DataFrame, rules: list[str] | None = None, cfg: Config | None = N
     found = findings(df, rules, cfg)
     ranks = with_rank(df.select("design", "build").distinct())
     last = ranks.groupBy("design").agg(F.max("build_rank").alias("last_"))
-    rows = found.join(small(ranks.join(last, "design")), ["design", "build"]).where(F.col("build_rank") >= F.col("last_") - 1)
+    rows = found.join(ranks.join(last, "design"), ["design", "build"]).where(F.col("build_rank") >= F.col("last_") - 1)
     of = Window.partitionBy("design", "model_root", "rule")
     now, before = (F.max(F.col("build_rank") == F.col("last_") - k).over(of) for k in (0, 1))
     rows = rows.withColumn("status", F.when(~now, "cleared").when(before, "persisting").otherwise("new"))
@@ -208,7 +207,7 @@ def skipped(df: DataFrame, cfg: Config | None = None) -> DataFrame:
     drive = F.col("activity") * (F.col("wire_cap_pf") + F.col("cell_cap_pf")) * F.col("voltage_v") * F.col("frequency_ghz")
     counts = {f"n_{c}": F.count(c) for c in dict.fromkeys(has)}
     counts |= {"idle_": F.count_if(F.col("workload") == IDLE), "ref_": F.max("ref_workload"), "builds_": F.max("build_rank"), "replicas_": F.count_if(at & F.col("fub").contains("@")), "clocks_": F.count_if(at & F.col("clock_fraction").isNotNull()), "leaks_": F.count_if(at & F.col("leakage_fraction").isNotNull() & (F.col("be_mw") > 0)), "drives_": F.count_if(at & (drive > 0) & (F.col("be_dynamic_mw") > 0))}
-    rows = ctx.join(small(last), "design").groupBy("design").agg(*[v.alias(k) for k, v in counts.items()])
+    rows = ctx.join(last, "design").groupBy("design").agg(*[v.alias(k) for k, v in counts.items()])
     own = {
         "idle_dynamic": F.when((F.col("idle_") == 0) | (F.col("ref_") == IDLE), f"no '{IDLE}' workload in the dataset"),
         "activity_power_mismatch": F.when(F.col("drives_") < LEAST_BLOCKS, f"fewer than {LEAST_BLOCKS} blocks with activity, capacitance and corner"),

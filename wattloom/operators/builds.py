@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wattloom.functions.expr import fmax, ratio
-from wattloom.functions.sides import small
 from wattloom.operators.select import with_rank
 
 POWER_TOLERANCE_PCT, TIMING_TOLERANCE_PS = 0.5, 1.0
@@ -69,7 +68,7 @@ def movers(df: DataFrame, n: int = 5) -> DataFrame:
     """Per design, the blocks whose power changed most, in pct, between its last two builds."""
     pairs = _pairs(df)
     last = pairs.groupBy("design").agg(F.max("build_rank").alias("last_"))
-    rows = pairs.join(small(last), "design").where(F.col("build_rank") == F.col("last_")).select("design", "model_root", F.col("from.be_mw").alias("from_mw"), F.col("to.be_mw").alias("to_mw")).withColumn("power_pct", _pct("from_mw", "to_mw"))
+    rows = pairs.join(last, "design").where(F.col("build_rank") == F.col("last_")).select("design", "model_root", F.col("from.be_mw").alias("from_mw"), F.col("to.be_mw").alias("to_mw")).withColumn("power_pct", _pct("from_mw", "to_mw"))
     order = Window.partitionBy("design").orderBy(F.abs("power_pct").desc_nulls_last(), "model_root")
     return rows.withColumn("place", F.row_number().over(order)).where(F.col("place") <= n)
 

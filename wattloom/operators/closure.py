@@ -1,7 +1,7 @@
 """Budgets, convergence to them, and techniques that save power.
 
-Budgets and techniques are control files and registries: their rows are as many as someone wrote down,
-and only that side of a join is broadcast.
+Nothing here runs a job: sides of a few rows (budgets, corners, latest builds) are joined plainly, and adaptive execution
+broadcasts what it has measured to be small.
 """
 
 from __future__ import annotations
@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wattloom.functions.expr import ratio
-from wattloom.functions.sides import small
 from wattloom.operators.select import build_ranks, latest_builds
 
 #: Fixed tolerances in pct by milestone.
@@ -57,7 +56,7 @@ def classify_status(actual: Column, target: Column, tolerance: Column) -> Column
 def _with_budgets(df: DataFrame, budgets: DataFrame, member: bool = True) -> DataFrame:
     """Rows of each budget's design and scope at its workload and operating point, by default of that scope."""
     names = [c for c in budgets.columns if c != "design"]
-    rows = df.drop(*names).join(small(budgets), "design")
+    rows = df.drop(*names).join(budgets, "design")
     if member:
         inside = F.when(F.col("scope") == "design", F.lit(True))
         for c in ("partition", "fub", "model_root"):
@@ -66,7 +65,7 @@ def _with_budgets(df: DataFrame, budgets: DataFrame, member: bool = True) -> Dat
         rows = rows.where(inside)
     preferred = lambda c, value: F.coalesce(F.max(F.when(F.col(c) == value, F.col(c))), F.min(c))
     defaults = rows.groupBy("budget").agg(preferred("workload", "typical").alias("default_workload"), preferred("operating_point", "nom").alias("default_op"))
-    rows = rows.join(small(defaults), "budget")  # a row a budget
+    rows = rows.join(defaults, "budget")  # a row a budget
     return rows.where((F.col("workload") == F.coalesce("at_workload", "default_workload")) & (F.col("operating_point") == F.coalesce("at_op", "default_op")))
 
 
@@ -91,7 +90,7 @@ def budget_history(df: DataFrame, budgets: DataFrame) -> DataFrame:
 def _latest(history: DataFrame, ranks: DataFrame) -> DataFrame:
     """Per budget: its last build's row, and the slope of ``actual`` over builds where there are three."""
     order = Window.partitionBy("budget").orderBy("build_rank")
-    rows = history.join(small(ranks), ["design", "build"]).withColumn("i", F.row_number().over(order).cast("double"))
+    rows = history.join(ranks, ["design", "build"]).withColumn("i", F.row_number().over(order).cast("double"))
     at = F.struct("build", "milestone", "actual", "tolerance_pct", "margin_pct", "status", "n_fubs")
     out = rows.groupBy(*BUDGET).agg(F.max_by(at, "i").alias("at"), F.count("*").alias("n_builds"), F.regr_slope("actual", "i").alias("slope"))
     return out.select(*BUDGET, "at.*", "n_builds", F.when(F.col("n_builds") >= 3, F.col("slope")).alias("trend"))
@@ -106,7 +105,7 @@ def budget_status(history: DataFrame, ranks: DataFrame, lineage: DataFrame | Non
     if lineage is None:
         return out.withColumn("fubs_expected", F.lit(0).cast("long"))
     inside = F.when(F.col("scope") == "design", F.lit(True)).when(F.col("scope") == "partition", F.col("l.partition") == F.col("member")).when(F.col("scope") == "fub", F.col("l.fub") == F.col("member")).otherwise(F.col("l.model_root") == F.col("member"))
-    near = small(out.select("budget", "design", "build", "scope", "member"))  # a row a budget
+    near = out.select("budget", "design", "build", "scope", "member")  # a row a budget
     known = lineage.alias("l").join(near, ["design", "build"]).where(inside)
     return out.join(known.groupBy("budget").agg(F.countDistinct("l.fub").alias("fubs_expected")), "budget", "left").fillna(0, ["fubs_expected"])
 
@@ -179,17 +178,18 @@ NAMES = {"clock_gating": "Clock gating", "power_gating": "Power gating", "dvfs":
 NOT_ASSESSABLE = {"operand_isolation": "toggle counts with datapath enables", "glitch_reduction": "a glitch-aware power report", "memory_low_power": "memory instances and their mode power"}
 
 
-def idle_workload(df: DataFrame) -> str | None:
-    """``idle`` if there is one, else the workload of least power; none where there is but one workload."""
-    found = df.groupBy("workload").agg(F.sum("be_mw").alias("p")).orderBy(F.col("p").asc_nulls_last(), "workload").collect()  # a row a workload
-    names = [r.workload for r in found]
-    return None if len(names) < 2 else "idle" if "idle" in names else names[0]
+def idle_workload(df: DataFrame) -> DataFrame:
+    """One row (idle): ``idle`` if there is one, else the workload of least power; null where there is but one workload."""
+    found = df.groupBy("workload").agg(F.sum("be_mw").alias("p"))
+    least = F.min_by("workload", F.struct(F.col("p").isNull(), "p", "workload"))
+    named = F.max(F.when(F.col("workload") == "idle", F.col("workload")))
+    return found.agg(F.when(F.count("*") > 1, F.coalesce(named, least)).alias("idle"))
 
 
 def assess_all(df: DataFrame, budgets: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Per budget, at its design's latest build and corner: (savings by technique and component), and (technique, needs) of those not assessable."""
     spark = df.sparkSession
-    latest = df.join(small(latest_builds(df)), ["design", "build"], "left_semi")
+    latest = df.join(latest_builds(df), ["design", "build"], "left_semi")
     needs = dict(NOT_ASSESSABLE)
     rows = _with_budgets(latest, budgets, member=False)
     parts = []
@@ -200,10 +200,9 @@ def assess_all(df: DataFrame, budgets: DataFrame) -> tuple[DataFrame, DataFrame]
         else:
             parts.append(technique(rows))
     idle = idle_workload(df)
-    if idle is None:
-        needs["power_gating"] = "an idle workload"
-    else:
-        parts.append(power_gating(_with_budgets(latest, budgets.withColumn("at_workload", F.lit(idle)), member=False)))
+    at_idle = budgets.crossJoin(F.broadcast(idle.where("idle is not null"))).withColumn("at_workload", F.col("idle")).drop("idle")  # one row
+    parts.append(power_gating(_with_budgets(latest, at_idle, member=False)))
+    no_idle = idle.where("idle is null").select(F.lit("power_gating").alias("technique"), F.lit("an idle workload").alias("needs"))
     exact = lambda c: F.sum(F.round(c, 8).cast("decimal(28,8)")).cast("double").alias(c)
     out = None
     for p in parts:
@@ -211,14 +210,14 @@ def assess_all(df: DataFrame, budgets: DataFrame) -> tuple[DataFrame, DataFrame]
     sums = out.groupBy("budget", "technique").agg(exact("saving_mw"), exact("dynamic_mw"), exact("leakage_mw"))
     if {"voltage_v", "frequency_ghz"} <= set(df.columns):
         corners = budgets.withColumn("at_op", F.lit(None).cast("string"))
-        any_op = latest.drop(*[c for c in budgets.columns if c != "design"]).join(small(corners), "design")
+        any_op = latest.drop(*[c for c in budgets.columns if c != "design"]).join(corners, "design")
         preferred = any_op.groupBy("budget").agg(F.coalesce(F.max(F.when(F.col("workload") == "typical", F.col("workload"))), F.min("workload")).alias("default_workload"))
-        any_op = any_op.join(small(preferred), "budget").where(F.col("workload") == F.coalesce("at_workload", "default_workload"))
+        any_op = any_op.join(preferred, "budget").where(F.col("workload") == F.coalesce("at_workload", "default_workload"))
         moved = dvfs(any_op, ["budget"]).where("n_points > 1")
         sums = sums.unionByName(moved.select("budget", F.lit("dvfs").alias("technique"), F.round("saving_mw", 8).alias("saving_mw"), F.lit(None).cast("double").alias("dynamic_mw"), F.lit(None).cast("double").alias("leakage_mw")))
     else:
         needs["dvfs"] = "voltage_v, frequency_ghz"
-    return sums, spark.createDataFrame(list(needs.items()), "technique string, needs string")
+    return sums, spark.createDataFrame(list(needs.items()), "technique string, needs string").unionByName(no_idle)
 
 
 def closure_plan(df: DataFrame, budgets: DataFrame, gaps: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -227,11 +226,11 @@ def closure_plan(df: DataFrame, budgets: DataFrame, gaps: DataFrame) -> tuple[Da
     gaps: of ``converge``. A line has its running total, the share of the gap that it covers, and what is left after all.
     """
     savings, _ = assess_all(df, budgets)
-    scoped = _with_budgets(df.join(small(latest_builds(df)), ["design", "build"], "left_semi"), budgets)
+    scoped = _with_budgets(df.join(latest_builds(df), ["design", "build"], "left_semi"), budgets)
     corner = scoped.groupBy("budget").agg(F.max("voltage_v").alias("v"), F.max("frequency_ghz").alias("f"))
     component = F.create_map(*[F.lit(x) for pair in METRICS.items() for x in pair])
     at = budgets.select("budget", "at_op").join(gaps.select(*BUDGET, "gap"), "budget")
-    rows = savings.join(small(at), "budget").join(small(corner), "budget", "left").withColumn("component", component[F.col("metric")])
+    rows = savings.join(at, "budget").join(corner, "budget", "left").withColumn("component", component[F.col("metric")])
     mw = F.when(F.col("component") == "total", F.col("saving_mw")).when(F.col("component") == "dynamic", F.col("dynamic_mw")).otherwise(F.col("leakage_mw"))
     rows = rows.withColumn("mw", F.coalesce(mw, F.lit(0.0)))
     rows = rows.withColumn("saving", F.when(F.col("metric") == "cdyn_pf", ratio(F.col("mw"), F.col("v") * F.col("v") * F.col("f"))).otherwise(F.col("mw")))

@@ -12,7 +12,6 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wattloom.functions.sides import small
 from wattloom.operators import workload
 from wattloom.operators.derive import TRIGGERS, with_features
 from wattloom.operators.models import Linear, mark_pareto
@@ -54,11 +53,10 @@ def scenario_table(spark: SparkSession, scenarios: list[Scenario]) -> DataFrame:
 
 def evaluate(df: DataFrame, scenarios: DataFrame, model: Linear, performance: DataFrame | None = None, interval: tuple[float, float] | None = None) -> DataFrame:
     """A row a scenario that has rows: its corner, power (and its bounds), speed, energy, feasibility, changes against its baseline, and Pareto mark."""
-    rows = df.join(small(latest_builds(df)), ["design", "build"], "left_semi")
+    rows = df.join(latest_builds(df), ["design", "build"], "left_semi")
     defaults = rows.groupBy("design", "workload").agg(F.coalesce(F.max(F.when(F.col("operating_point") == "nom", F.col("operating_point"))), F.min("operating_point")).alias("default_op"))
-    asked = small(scenarios)  # a list that someone wrote
-    rows = rows.join(asked, ["design", "workload"]).join(defaults, ["design", "workload"]).where(F.col("operating_point") == F.coalesce("at_op", "default_op"))
-    rows = rows.join(small(workload.dvfs_curve(df).select("design", F.col("slope").alias("c1_"), F.col("intercept").alias("c0_"))), "design", "left")  # a row a design
+    rows = rows.join(scenarios, ["design", "workload"]).join(defaults, ["design", "workload"]).where(F.col("operating_point") == F.coalesce("at_op", "default_op"))
+    rows = rows.join(workload.dvfs_curve(df).select("design", F.col("slope").alias("c1_"), F.col("intercept").alias("c0_")), "design", "left")  # a row a design
     rows = with_features(rows).withColumn("cur_dyn_term", F.col("dyn_term"))
     follow = F.coalesce("v_", F.when(F.col("f_").isNotNull(), F.col("c0_") + F.col("c1_") * F.col("f_")), "voltage_v")
     rows = rows.withColumns({"voltage_v": follow, "frequency_ghz": F.coalesce("f_", "frequency_ghz")})
@@ -82,7 +80,7 @@ def evaluate(df: DataFrame, scenarios: DataFrame, model: Linear, performance: Da
     low, high = (F.lit(None).cast("double"),) * 2 if interval is None else (F.col("power_mw") * (1 + interval[0] / 100), F.col("power_mw") * (1 + interval[1] / 100))
     out = out.withColumns({"power_low_mw": low, "power_high_mw": high, "energy_pj": F.when(F.col("throughput_gops") > 0, F.col("power_mw") / F.col("throughput_gops"))})
     base = out.select(F.col("name").alias("baseline"), F.col("power_mw").alias("p_"), F.col("throughput_gops").alias("t_"), F.col("energy_pj").alias("e_"))
-    out = out.join(small(base), "baseline", "left")
+    out = out.join(base, "baseline", "left")
     pct = lambda a, b: F.coalesce(F.try_divide(F.col(a) - F.col(b), F.col(b)) * 100, F.when(F.col("baseline").isNull(), 0.0))
     out = out.withColumns({"delta_power_pct": pct("power_mw", "p_"), "delta_perf_pct": pct("throughput_gops", "t_"), "delta_energy_pct": pct("energy_pj", "e_")})
     return mark_pareto(out.drop("p_", "t_", "e_"))
@@ -160,7 +158,7 @@ def _literal(d: dict[str, float]) -> Column:
 def export_compact(df: DataFrame, model: Linear, performance: DataFrame | None = None, interval: tuple[float, float] | None = None) -> DataFrame:
     """(design, document): what evaluates the model away from here. A document grows with a design's blocks."""
     last = latest_builds(df)
-    rows = df.join(small(last), ["design", "build"], "left_semi")
+    rows = df.join(last, ["design", "build"], "left_semi")
     entries = lambda pairs: F.map_from_entries(F.sort_array(F.collect_list(pairs)))
     by = rows.groupBy("design", "model_root", "workload").agg(*[F.avg(c).alias(c) if c in df.columns else F.lit(None).cast("double").alias(c) for c in ACTIVITY], F.min("fub").alias("fub"), F.min("partition").alias("partition"), *[F.min(c).alias(c) for c in PHYSICAL if c in df.columns])
     measured = F.map_filter(F.map_from_arrays(F.array(*[F.lit(c) for c in PHYSICAL if c in df.columns]), F.array(*[F.min(c) for c in PHYSICAL if c in df.columns])), lambda k, v: v.isNotNull())

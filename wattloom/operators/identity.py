@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wattloom.functions.expr import glob_regex, issue_list, ratio
-from wattloom.functions.sides import small
+from wattloom.functions.expr import ancestors, glob_base, glob_regex, issue_list, ratio
 
 #: The unit that each metric is kept in, and factors into it.
 CANONICAL = {
@@ -98,8 +97,10 @@ def resolve_objects(long: DataFrame, mapping: DataFrame, per_instance: bool = Tr
         exact = part if exact is None else exact.unionByName(part)
     exact = exact.unionByName(_by_partition(objects, m))
     rest = objects.where("object_kind = 'be_hier'").join(exact.select("object", "object_kind"), ["object", "object_kind"], "left_anti")
-    globs = m.where(is_glob).select("fub", F.col("be_hier").alias("glob"), "share_").withColumn("re", glob_regex(F.col("glob")))
-    by_glob = rest.join(small(globs), F.rlike(rest.object, F.col("re"))).select("object", "object_kind", "fub", "share_", F.substring_index(F.expr("substr(object, length(substring_index(glob, '*', 1)) + 1)"), "/", 1).alias("instance"))
+    globs = m.where(is_glob).select("fub", F.col("be_hier").alias("glob"), "share_").withColumns({"re": glob_regex(F.col("glob")), "under_": glob_base(F.col("glob"))})
+    # an object meets only the globs whose literal path elements it lies under: an equality
+    near = rest.withColumn("under_", F.explode(ancestors(F.col("object"))))
+    by_glob = near.join(globs, "under_").where(F.rlike("object", F.col("re"))).select("object", "object_kind", "fub", "share_", F.substring_index(F.expr("substr(object, length(substring_index(glob, '*', 1)) + 1)"), "/", 1).alias("instance"))
     found = exact.unionByName(by_glob)
     design = objects.where("object_kind = 'design'").select("object", "object_kind", F.lit("*").alias("fub"), F.lit(1.0).alias("share_"), F.lit(None).cast("string").alias("instance"))
     n = Window.partitionBy("object", "object_kind")
@@ -109,9 +110,8 @@ def resolve_objects(long: DataFrame, mapping: DataFrame, per_instance: bool = Tr
     found = found.withColumn("fub", F.when(F.lit(per_instance) & F.col("instance").isNotNull() & (F.col("instance") != "") & (F.col("weight") == 1), F.concat_ws("@", "fub", "instance")).otherwise(F.col("fub")))
     mapped = long.join(found, ["object", "object_kind"])
     paths = mapping.select(F.explode(F.array("fe_hier", "be_hier")).alias("p")).where("p is not null").withColumn("p", F.substring_index("p", "*", 1))
-    depth = F.size(F.split("p", "/"))
-    ancestors = paths.withColumn("a", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(depth - 1, F.lit(1))), lambda k: F.array_join(F.slice(F.split("p", "/"), F.lit(1), k), "/")))).where("a <> p").select(F.col("a").alias("object")).distinct()
-    unmapped = long.join(found.select("object", "object_kind").distinct(), ["object", "object_kind"], "left_anti").join(ancestors, "object", "left_anti")
+    above = paths.select(F.explode(ancestors(F.col("p"))).alias("object"), "p").where("object <> p").select("object").distinct()
+    unmapped = long.join(found.select("object", "object_kind").distinct(), ["object", "object_kind"], "left_anti").join(above, "object", "left_anti")
     return mapped, unmapped
 
 
@@ -180,7 +180,7 @@ def lineage(mapped: DataFrame, mapping: DataFrame) -> DataFrame:
     relation = F.concat_ws(";", F.when(F.col("rows_") > 1, "split"), F.when(F.col("merged_").isNotNull(), "merged"), F.when(F.col("glob_"), "replicated"))
     blocks = blocks.withColumn("relationship", F.when(relation != "", relation).otherwise("one-to-one"))
     runs = mapped.groupBy("design", "build").agg(F.max(F.col("object_kind") == "partition").alias("timed_"))
-    grid = runs.crossJoin(small(blocks))  # runs x blocks is the table asked for
+    grid = runs.crossJoin(blocks)  # runs x blocks is the table asked for
     out = grid.join(metrics.withColumnRenamed("base", "fub"), ["design", "build", "fub"], "left")
     has = lambda names: F.arrays_overlap(F.coalesce("metrics", F.array().cast("array<string>")), F.array(*[F.lit(m) for m in names]))
     every = F.size(F.array_intersect(F.coalesce("metrics", F.array().cast("array<string>")), F.array(*[F.lit(m) for m in PHYSICAL]))) == len(PHYSICAL)
@@ -196,18 +196,18 @@ def intent_table(blocks: DataFrame, domains: DataFrame, points: DataFrame, toler
 
     blocks: (fub, be_hier, fe_hier), domains: a row a (domain, element, supply_net, state, voltage), points: (operating_point,
     voltage_v); each with design and build where they differ by run. A block is where its signoff path is, or else its early one;
-    of several domains the first by name gives the voltages. Domains are tens: paths meet them by prefix.
+    of several domains the first by name gives the voltages. A path's ancestors meet the elements by equality.
     """
     run = [c for c in ("design", "build") if c in blocks.columns and c in domains.columns]
     elements = domains.select(*run, "domain", "element").where("element is not null").distinct()
-    inside = lambda path: (F.col(path) == F.col("element")) | F.col(path).startswith(F.concat(F.rtrim(F.col("element"), F.lit("/")), F.lit("/")))
-    same = F.lit(True)
-    marked = elements.select(*[F.col(c).alias(f"{c}_") for c in run], "domain", "element")
-    for c in run:
-        same = same & (F.col(c) == F.col(f"{c}_"))
+    elements = elements.withColumn("under_", F.rtrim(F.col("element"), F.lit("/")))
     keys = [*run, *[c for c in ("fub", "model_root", "partition") if c in blocks.columns]]
-    hits = blocks.join(small(marked), same & (inside("be_hier") | inside("fe_hier")), "left")
-    by = hits.groupBy(*keys).agg(F.array_sort(F.collect_set(F.when(inside("be_hier"), F.col("domain")))).alias("be"), F.array_sort(F.collect_set(F.when(inside("fe_hier"), F.col("domain")))).alias("fe"))
+    paths = blocks.select(*keys, F.explode(F.array(*[F.struct(F.lit(s).alias("side_"), F.col(f"{s}_hier").alias("path_")) for s in ("be", "fe")])).alias("at_")).select(*keys, "at_.*")
+    near = paths.distinct().withColumn("under_", F.explode_outer(ancestors(F.col("path_"))))
+    hits = near.join(elements, [*run, "under_"], "left")
+    inside = (F.col("path_") == F.col("element")) | F.col("path_").startswith(F.concat("under_", F.lit("/")))
+    domains_of = lambda side: F.array_sort(F.collect_set(F.when(inside & (F.col("side_") == side), F.col("domain")))).alias(side)
+    by = hits.groupBy(*keys).agg(domains_of("be"), domains_of("fe"))
     by = by.withColumn("domains", F.when(F.size("be") > 0, F.col("be")).otherwise(F.col("fe"))).drop("be", "fe").withColumn("power_domain", F.try_element_at("domains", F.lit(1)))
     states = domains.where("state is not null").groupBy(*run, F.col("domain").alias("power_domain")).agg(F.map_from_entries(F.array_sort(F.collect_set(F.struct("state", "voltage")))).alias("domain_states"))
     nets = domains.groupBy(*run, F.col("domain").alias("power_domain")).agg(F.min("supply_net").alias("supply_net"))

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from wattloom.config import Config
 from wattloom.functions.expr import issue_list, pearson
-from wattloom.functions.sides import small
 
 KEY = ["design", "build", "fub", "stage", "workload", "operating_point"]
 #: Fixed: the columns of the wide table by role.
@@ -127,7 +126,7 @@ def sanitize(df: DataFrame, cfg: Config | None = None, lineage: DataFrame | None
     be, leak, physical = F.col("be_mw"), F.col("be_leakage_mw"), F.col("fe_physical_mw")
     dated = "build_date" in has
     by_design = df.groupBy("design").agg(F.median(be).alias("median_"), (F.max("build_date") if dated else F.lit(None).cast("date")).alias("newest_"))
-    df = with_z(df, "be_mw", "z_be_").join(small(by_design), "design", "left")  # a row a design
+    df = with_z(df, "be_mw", "z_be_").join(by_design, "design", "left")  # a row a design
     marks = {"lineage_mismatch": _no(), "timing_missing": _no(), "intent_mismatch": _no(), "intent_missing": _no()}
     for table, column, groups in ((lineage, "lineage_issues", {"lineage_mismatch": BLOCKING_ISSUES, "timing_missing": TIMING_ISSUES}), (intent, "intent_issues", {"intent_mismatch": DOMAIN_MISMATCH, "intent_missing": DOMAIN_MISSING})):
         if table is not None:

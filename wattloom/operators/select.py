@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wattloom.functions.expr import natural_key
-from wattloom.functions.sides import small
 
 
 def build_ranks(df: DataFrame, per: list[str] | None = None) -> DataFrame:
@@ -23,7 +22,7 @@ def latest_builds(df: DataFrame) -> DataFrame:
 
 
 def with_rank(df: DataFrame) -> DataFrame:
-    return df.join(small(build_ranks(df)), ["design", "build"])
+    return df.join(build_ranks(df), ["design", "build"])
 
 
 def default_corner(df: DataFrame, column: str, preferred: str) -> DataFrame:
@@ -36,7 +35,7 @@ def select_slice(df: DataFrame, *, latest: bool = True, workload: str | None = "
     for column, value in equal.items():
         df = df.where(F.col(column) == value)
     if latest and "build" not in equal:
-        df = df.join(small(latest_builds(df)), ["design", "build"], "left_semi")
+        df = df.join(latest_builds(df), ["design", "build"], "left_semi")
     for column, preferred in (("workload", workload), ("operating_point", operating_point)):
         if preferred is not None and column not in equal:
             df = df.join(F.broadcast(default_corner(df, column, preferred)), column, "left_semi")

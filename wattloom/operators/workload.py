@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wattloom.functions.expr import pearson, ratio
-from wattloom.functions.sides import small
 from wattloom.operators.select import latest_builds
 
 
@@ -33,14 +32,14 @@ def energy_per_op(power: DataFrame, performance: DataFrame) -> DataFrame:
 
 def best_operating_point(energy: DataFrame) -> DataFrame:
     """Per design and workload, at the design's latest build: where an operation costs least."""
-    latest = energy.join(small(latest_builds(energy)), ["design", "build"], "left_semi")
+    latest = energy.join(latest_builds(energy), ["design", "build"], "left_semi")
     order = F.struct("energy_pj_per_op", "operating_point")
     return latest.where("energy_pj_per_op is not null").groupBy("design", "workload").agg(F.min_by("operating_point", order).alias("best_op"), F.min("energy_pj_per_op").alias("pj_per_op"))
 
 
 def sensitivity(df: DataFrame) -> DataFrame:
     """Per block: least and largest mean power by workload and their ratio, over the builds that are some design's latest."""
-    latest = df.join(small(latest_builds(df).select("build").distinct()), "build", "left_semi")
+    latest = df.join(latest_builds(df).select("build").distinct(), "build", "left_semi")
     means = latest.groupBy("design", "fub", "workload").agg(F.avg("be_mw").alias("p"))
     out = means.groupBy("design", "fub").agg(F.min("p").alias("min_mw"), F.max("p").alias("max_mw"), F.count("p").alias("n_workloads"))
     return out.withColumn("dynamic_range", F.when(F.col("min_mw") > 0, F.col("max_mw") / F.col("min_mw")))
