@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 
 from wattloom.functions.expr import natural_key
 from wattloom.operators.derive import rescale_estimate, with_features
-from wattloom.operators.stats import prediction_metrics
+from wattloom.operators.ranks import Ask, quantiles
+from wattloom.operators.stats import prediction_metrics, whole_metrics
 
 #: Features of each kind of model.
 KINDS = {"scaled": ["fe_physical_mw"], "linear": ["fe_physical_mw", "wire_cap_pf", "cell_cap_pf"], "physics": ["dyn_term", "move_term", "leak_term", "fe_physical_mw"], "datamove": ["cell_dyn_term", "wire_dyn_term", "move_term", "leak_term"]}
@@ -47,8 +48,8 @@ def baseline() -> Linear:
 
 def _fills(df: DataFrame, features: list[str]) -> dict[str, float]:
     """Training medians; features without any value are left out."""
-    row = df.agg(*[F.median(c).alias(c) for c in features]).first()
-    return {c: float(row[c]) for c in features if row[c] is not None}
+    found = quantiles(df, {c: F.col(c) for c in features}, [Ask(c, 0.5) for c in features])
+    return {c: x for c, x in zip(features, found, strict=True) if x is not None}
 
 
 def grams(df: DataFrame, features: list[str], missing: list[str] = ()) -> dict[str, np.ndarray]:
@@ -131,10 +132,11 @@ def leave_one_build_out(df: DataFrame, kind: str, least: int = 3) -> dict[str, L
     if kind == "baseline":
         return {b: baseline() for b in names}
     missing = _missing(df, features)
-    # a median a fold and feature with gaps: as many as builds, not rows
-    asked = [F.median(F.when(F.col("build") != b, F.col(c))).alias(f"{c}/{n}") for n, b in enumerate(names) for c in missing]
-    medians = df.agg(*asked).first() if asked else {}
-    whole = _fills(df, features)
+    # medians over all rows, and one a fold and feature with gaps: all in the same rounds
+    gaps = [(n, b, c) for n, b in enumerate(names) for c in missing]
+    found = quantiles(df, {c: F.col(c) for c in features}, [Ask(c, 0.5) for c in features] + [Ask(c, 0.5, but=b) for _, b, c in gaps], part="build")
+    whole = {c: x for c, x in zip(features, found, strict=False) if x is not None}
+    medians = {f"{c}/{n}": x for (n, _, c), x in zip(gaps, found[len(features) :], strict=True)}
     features = [c for c in features if c in whole]
     missing = [c for c in missing if c in features]
     by = grams(df, features, missing)
@@ -170,7 +172,10 @@ def cross_validate(df: DataFrame, kinds: list[str] | None = None) -> tuple[DataF
         rows = part if rows is None else rows.unionByName(part)
     folds = rows.groupBy("kind", "build").agg(*prediction_metrics(F.col(TARGET), F.col("predicted_")))
     off = F.when(F.col(TARGET) != 0, (F.col("predicted_") - F.col(TARGET)) / F.col(TARGET) * 100)
-    spread = rows.groupBy("kind").agg(*[F.percentile(off, F.lit(q / 100)).alias(f"p{q:02d}") for q in (5, 50, 95)], F.count(off).alias("n"))
+    kinds, places = kinds or ["baseline", *KINDS], (5, 50, 95)
+    found = iter(quantiles(rows, {"off": off}, [Ask("off", q / 100, only=k) for k in kinds for q in places], part="kind"))
+    limits = df.sparkSession.createDataFrame([(k, *[next(found) for _ in places]) for k in kinds], "kind string, " + ", ".join(f"p{q:02d} double" for q in places))
+    spread = rows.groupBy("kind").agg(F.count(off).alias("n")).join(limits, "kind")
     summary = folds.groupBy("kind").agg(F.avg("mape").alias("mape_mean"), F.stddev_pop("mape").alias("mape_std"), F.max("mape").alias("mape_worst"), F.avg("r2").alias("r2_mean"), F.count("*").alias("n_folds"))
     return folds, summary.join(spread, "kind")
 
@@ -178,7 +183,8 @@ def cross_validate(df: DataFrame, kinds: list[str] | None = None) -> tuple[DataF
 def score(df: DataFrame, models: dict[str, Linear]) -> DataFrame:
     """(kind, error metrics) of several models over the same rows, in one pass."""
     pairs = F.array(*[F.struct(F.lit(k).alias("kind"), m.predict().alias("p")) for k, m in models.items()])
-    return df.select(TARGET, F.explode(pairs).alias("at")).groupBy(F.col("at.kind").alias("kind")).agg(*prediction_metrics(F.col(TARGET), F.col("at.p")))
+    rows = df.select(TARGET, F.inline(pairs))
+    return whole_metrics(rows, F.col(TARGET), F.col("p"), "kind", list(models))
 
 
 @dataclass
@@ -450,19 +456,36 @@ class MonotoneTrees:
         return df.withColumn("predicted_mw", run(F.struct(*[F.col(c).cast("double") for c in self.features])))
 
 
+#: Buckets of a row's hash in which it is ranked; a rank is its place in the bucket and the rows of the buckets before.
+RANK_BITS = 12
+
+
+def _ranked(rows: DataFrame, copy: str) -> DataFrame:
+    """rows (copy, h_) with ``i_``: each copy's rows numbered from 1 by their hash, without a task that holds a copy."""
+    rows = rows.withColumn("bucket_", F.shiftrightunsigned("h_", 64 - RANK_BITS))
+    before = Window.partitionBy(copy).orderBy("bucket_").rowsBetween(Window.unboundedPreceding, -1)  # a row a bucket
+    starts = rows.groupBy(copy, "bucket_").agg(F.count("*").alias("n_")).withColumn("start_", F.coalesce(F.sum("n_").over(before), F.lit(0))).drop("n_")
+    place = F.row_number().over(Window.partitionBy(copy, "bucket_").orderBy("h_"))
+    return rows.withColumn("place_", place).join(starts, [copy, "bucket_"]).withColumn("i_", F.col("start_") + F.col("place_")).drop("bucket_", "place_", "start_", "h_")
+
+
 def permutation_importance(df: DataFrame, model: Linear, seed: int = 42, shuffles: int = 5) -> DataFrame:
-    """Per feature: how much MAPE grows on average when its values go to other rows (matched by rank in random orders)."""
+    """Per feature: its share of how much MAPE grows on average when its values go to other rows, over the whole table.
+
+    One job: every shuffle of every feature is a copy of that feature's column, numbered in a random order of its own and
+    joined to the rows by number; only the feature's own term of a prediction changes.
+    """
+    names = list(model.coefficients)
+    key = ["design", "build", "fub", "workload", "operating_point"]
     base = df.where(F.col(TARGET) != 0)
-    mape = lambda rows: rows.agg(F.avg(F.abs((model.predict() - F.col(TARGET)) / F.col(TARGET)) * 100)).first()[0]
-    start, gains = mape(base), []
-    for k, c in enumerate(model.coefficients):
-        by = Window.partitionBy("design", "build")
-        left = base.withColumn("i_", F.row_number().over(by.orderBy("fub", "workload", "operating_point")))
-        shuffled = []
-        for n in range(shuffles):
-            hashed = F.xxhash64(F.lit(seed + k + n * len(model.coefficients)), "fub", "workload", "operating_point")
-            right = base.select("design", "build", F.col(c).alias("shuffled_"), F.row_number().over(by.orderBy(hashed)).alias("i_"))
-            shuffled.append(mape(left.join(right, ["design", "build", "i_"]).withColumn(c, F.col("shuffled_"))))
-        gains.append((c, max(0.0, sum(shuffled) / shuffles - start)))
-    whole = sum(g for _, g in gains) or 1.0
-    return df.sparkSession.createDataFrame([(c, g / whole) for c, g in gains], "feature string, importance double")
+    rows = base.select(F.col(TARGET).alias("y"), model.predict().alias("p"), F.array(*model.terms().values()).alias("terms"), F.lit(0).alias("copy"), F.xxhash64(F.lit(seed), *key).alias("h_"))
+    copies = F.array(*[F.struct(F.lit(1 + k + n * len(names)).alias("copy"), F.lit(k).alias("feature"), F.lit(seed + 1 + k + n * len(names)).alias("salt"), t.alias("moved")) for n in range(shuffles) for k, t in enumerate(model.terms().values())])
+    moved = base.select(*key, F.inline(copies)).select("copy", "feature", "moved", F.xxhash64("salt", *key).alias("h_"))
+    left, right = _ranked(rows, "copy").drop("copy"), _ranked(moved, "copy")
+    off = lambda p: F.avg(F.abs((p - F.col("y")) / F.col("y")) * 100)
+    shuffled = left.join(right, "i_").groupBy("copy", "feature").agg(off(F.col("p") - F.element_at("terms", F.col("feature") + 1) + F.col("moved")).alias("mape"))
+    start = rows.agg(off(F.col("p")).alias("start"))
+    gains = shuffled.groupBy("feature").agg(F.avg("mape").alias("mape")).crossJoin(F.broadcast(start)).withColumn("gain", F.greatest(F.col("mape") - F.col("start"), F.lit(0.0)))  # one row
+    whole = F.sum("gain").over(Window.partitionBy(F.lit(1)))  # a row a feature
+    share = F.when(whole > 0, F.col("gain") / whole).otherwise(0.0)
+    return gains.select(F.element_at(F.array(*[F.lit(c) for c in names]), F.col("feature") + 1).alias("feature"), share.alias("importance"))

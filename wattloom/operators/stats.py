@@ -8,10 +8,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wattloom.functions.expr import natural_key, pearson, ratio
+from wattloom.operators.ranks import Ask, quantiles
 
 
-def prediction_metrics(actual: Column, predicted: Column) -> list[Column]:
-    """Aggregates over finite pairs; missing where nothing is defined."""
+def prediction_metrics(actual: Column, predicted: Column, percentiles: bool = True) -> list[Column]:
+    """Aggregates over finite pairs; missing where nothing is defined. ``percentiles`` meet in one task a group."""
     both = actual.isNotNull() & predicted.isNotNull()
     y, p = F.when(both, actual), F.when(both, predicted)
     error = p - y
@@ -25,13 +26,26 @@ def prediction_metrics(actual: Column, predicted: Column) -> list[Column]:
         F.avg(ape).alias("mape"),
         (F.avg(share) * 100).alias("mean_error_pct"),
         F.when(total > 0, 1 - F.sum(error * error) / total).alias("r2"),
-        F.percentile(ape, F.lit(0.5)).alias("p50_ape"),
-        F.percentile(ape, F.lit(0.95)).alias("p95_ape"),
+        *([F.percentile(ape, F.lit(0.5)).alias("p50_ape"), F.percentile(ape, F.lit(0.95)).alias("p95_ape")] if percentiles else []),
     ]
 
 
+def whole_metrics(df: DataFrame, actual: Column, predicted: Column, part: str | None = None, parts: list[str | None] | None = None) -> DataFrame:
+    """prediction_metrics over the whole table, or each of a few named parts of it, without a task that holds all errors."""
+    out = df.groupBy(*([part] if part else [])).agg(*prediction_metrics(actual, predicted, percentiles=False))
+    ape = F.when(actual != 0, F.abs((predicted - actual) / actual)) * 100
+    names = [None] if part is None else list(parts)
+    asks = [Ask("ape", q, only=n) for n in names for q in (0.5, 0.95)]
+    found = quantiles(df, {"ape": ape}, asks, part)
+    rows = [(n, *found[2 * i : 2 * i + 2]) for i, n in enumerate(names)]
+    if part is None:
+        return out.withColumns({c: F.lit(x).cast("double") for c, x in zip(("p50_ape", "p95_ape"), rows[0][1:], strict=True)})
+    return out.join(df.sparkSession.createDataFrame(rows, f"{part} string, p50_ape double, p95_ape double"), part)
+
+
 def stage_metrics(df: DataFrame, stage: str, by: list[str] | None = None) -> DataFrame:
-    return df.groupBy(*(by or [])).agg(*prediction_metrics(F.col("be_mw"), F.col(f"fe_{stage}_mw")))
+    actual, predicted = F.col("be_mw"), F.col(f"fe_{stage}_mw")
+    return df.groupBy(*by).agg(*prediction_metrics(actual, predicted)) if by else whole_metrics(df, actual, predicted)
 
 
 def top_errors(df: DataFrame, stage: str, by: str, n: int = 10) -> DataFrame:
@@ -123,9 +137,10 @@ def missing_features(df: DataFrame, features: list[str] | None = None) -> DataFr
 
 def summarize(df: DataFrame) -> DataFrame:
     be = F.col("be_mw")
+    median, p05, p95 = (F.lit(x).cast("double") for x in quantiles(df, {"be_mw": be}, [Ask("be_mw", q) for q in (0.5, 0.05, 0.95)]))
     distinct = lambda *c: F.countDistinct(F.struct(*c))
     return df.agg(
-        F.count("*").alias("n_rows"), F.count(be).alias("n_be"), F.avg(be).alias("mean"), F.median(be).alias("median"), F.percentile(be, F.lit(0.05)).alias("p05"), F.percentile(be, F.lit(0.95)).alias("p95"),
+        F.count("*").alias("n_rows"), F.count(be).alias("n_be"), F.avg(be).alias("mean"), median.alias("median"), p05.alias("p05"), p95.alias("p95"),
         F.min(be).alias("min"), F.max(be).alias("max"), F.sum(be.cast("decimal(28,9)")).cast("double").alias("total"),
         F.countDistinct("design").alias("n_designs"), distinct("design", "build").alias("n_builds"), distinct("design", "fub").alias("n_fubs"),
     )
@@ -136,5 +151,6 @@ def qualify(df: DataFrame, engine: str = "be_voltus_mw", by: list[str] | None =
     y, p = F.col("be_mw"), F.col(engine)
     both = y.isNotNull() & p.isNotNull()
     ape = F.when(y != 0, F.abs(p - y) / F.abs(y) * 100)
-    out = df.where(both).groupBy(*(by or [])).agg(F.count("*").alias("n"), F.avg(ape).alias("mape"), F.percentile(ape, F.lit(0.95)).alias("p95"), F.sum(y).alias("sum_be"), F.sum(p).alias("sum_engine"), pearson(p, y).alias("r"))
+    p95 = F.percentile(ape, F.lit(0.95)) if by else F.lit(quantiles(df.where(both), {"ape": ape}, [Ask("ape", 0.95)])[0]).cast("double")
+    out = df.where(both).groupBy(*(by or [])).agg(F.count("*").alias("n"), F.avg(ape).alias("mape"), p95.alias("p95"), F.sum(y).alias("sum_be"), F.sum(p).alias("sum_engine"), pearson(p, y).alias("r"))
     return out.withColumn("bias_pct", ratio(F.col("sum_engine") - F.col("sum_be"), F.col("sum_be")) * 100).withColumn("passed", (F.col("mape") <= tolerance) & (F.col("p95") <= 2 * tolerance))

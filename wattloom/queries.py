@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +13,7 @@ from wattloom.operators.measurements import MeasurementStore
 from wattloom.operators.derive import with_derived, with_features
 from wattloom.operators.select import build_ranks, latest_builds, select_slice, with_rank
 from wattloom.plans.fixture import sql, table
+from wattloom.session import shared_dir
 from wattloom.sources import tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -37,6 +39,17 @@ def wide(spark: SparkSession, d: str) -> DataFrame:
     return with_features(with_derived(table(spark, d, "wide")))
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """df, written: what a query reads many times is computed once, as the stored measurements of a run are."""
+    path = f"{shared_dir(df.sparkSession)}/wide-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def measured(spark: SparkSession, d: str) -> DataFrame:
+    return kept(wide(spark, d))
+
+
 DERIVED = """
 with d as (select *, be_mw - fe_logical_mw as logical_error_mw, be_mw - fe_physical_mw as physical_error_mw,
   case when be_mw <> 0 then (be_mw - fe_logical_mw) / be_mw * 100 end as logical_error_pct,
@@ -220,7 +233,7 @@ def _(s, d):
 
 @query("summary_stats", "select count(*) as n_rows, count(be_mw) as n_be, round(avg(be_mw), 6) as mean, round(median(be_mw), 6) as median, round(quantile_cont(be_mw, 0.05), 6) as p05, round(quantile_cont(be_mw, 0.95), 6) as p95, min(be_mw) as min, max(be_mw) as max, cast(sum(cast(be_mw as decimal(28,9))) as double) as total, count(distinct design) as n_designs, count(distinct (design, build)) as n_builds, count(distinct (design, fub)) as n_fubs from wide")
 def _(s, d):
-    return rounded(stats.summarize(table(s, d, "wide")))
+    return rounded(stats.summarize(kept(table(s, d, "wide"))))
 
 
 _COUNTED = ["wire_cap_pf", "area", "bits_per_cycle", "be_mw"]
@@ -238,7 +251,7 @@ def _metrics(stage: str) -> str:
 
 
 for _stage in ("physical", "logical"):
-    query(f"stage_metrics_{_stage}", f"select {_metrics(_stage)} from wide")(lambda s, d, k=_stage: rounded(stats.stage_metrics(table(s, d, "wide"), k)))
+    query(f"stage_metrics_{_stage}", f"select {_metrics(_stage)} from wide")(lambda s, d, k=_stage: rounded(stats.stage_metrics(kept(table(s, d, "wide")), k)))
     for _by in ("design", "build"):
         query(f"error_by_{_by}_{_stage}", f"select {_by}, {_metrics(_stage)} from wide group by {_by}")(lambda s, d, k=_stage, b=_by: rounded(stats.stage_metrics(table(s, d, "wide"), k, [b])))
 for _unit in ("mw", "pct"):
@@ -274,7 +287,7 @@ def _qualify(by: str = "") -> str:
   round((sum(be_voltus_mw) - sum(be_mw)) / sum(be_mw) * 100, 6) as bias_pct, avg({ape}) <= 5 and quantile_cont({ape}, 0.95) <= 10 as passed from wide {'group by ' + by if by else ''}"""
 
 
-query("qualify_overall", _qualify())(lambda s, d: rounded(stats.qualify(table(s, d, "wide")), sum_be=3, sum_engine=3))
+query("qualify_overall", _qualify())(lambda s, d: rounded(stats.qualify(kept(table(s, d, "wide"))), sum_be=3, sum_engine=3))
 query("qualify_by_partition", _qualify("partition"))(lambda s, d: rounded(stats.qualify(table(s, d, "wide"), by=["partition"]), sum_be=3, sum_engine=3))
 
 
@@ -430,35 +443,35 @@ def budgets(s: SparkSession) -> DataFrame:
     return closure.budget_table(s, BUDGETS)
 
 
-def history(s: SparkSession, d: str) -> DataFrame:
-    return closure.budget_history(wide(s, d), budgets(s))
+def history(s: SparkSession, w: DataFrame) -> DataFrame:
+    return closure.budget_history(w, budgets(s))
 
 
 @query("budget_history", f"{HISTORY} select {_OF}, build, milestone, tol as tolerance_pct, round(actual, 6) as actual, n_fubs, round(margin, 6) as margin_pct, status from y")
 def _(s, d):
-    return rounded(history(s, d))
+    return rounded(history(s, wide(s, d)))
 
 
 @query("budget_status", f"""{HISTORY}, e as (select b.budget, count(distinct x.fub) as n from b join wide x on x.design = b.design and (scope = 'design' or (scope = 'partition' and x.partition = member) or (scope = 'fub' and x.fub = member)) join (select budget, arg_max(build, i) as build from y group by 1) z on z.budget = b.budget and z.build = x.build group by 1)
 select {_OF}, arg_max(build, i) as build, arg_max(milestone, i) as milestone, round(arg_max(actual, i), 6) as actual, arg_max(tol, i) as tolerance_pct, round(arg_max(margin, i), 6) as margin_pct, arg_max(status, i) as status, arg_max(n_fubs, i) as fubs_measured, count(*) as n_builds, round(case when count(*) >= 3 then regr_slope(actual, i) / target * 100 end, 6) as trend_pct, max(n) as fubs_expected from y join e using (budget) group by {_OF}""")
 def _(s, d):
-    w = table(s, d, "wide")
+    w = wide(s, d)
     lineage = w.select("design", "build", "fub", "partition", "model_root").distinct()
-    return rounded(closure.budget_status(history(s, d), closure.ranks_of(w), lineage))
+    return rounded(closure.budget_status(history(s, w), closure.ranks_of(w), lineage))
 
 
 CONVERGE = HISTORY.rstrip() + f""", c as (select {_OF}, arg_max(build, i) as build, arg_max(milestone, i) as milestone, arg_max(actual, i) as actual, arg_max(tol, i) as tol, arg_max(margin, i) as margin, arg_max(status, i) as status, count(*) as n_builds, case when count(*) >= 3 then regr_slope(actual, i) end as trend from y group by {_OF}),
 cv as (select *, actual - target as gap, case when actual <= target then 'CONVERGED' when trend is null or abs(trend) < 1e-12 then 'FLAT' when trend < 0 then 'CONVERGING' else 'DIVERGING' end as verdict from c)"""
 
 
-def converged(s: SparkSession, d: str) -> DataFrame:
-    return closure.converge(history(s, d), closure.ranks_of(table(s, d, "wide")))
+def converged(s: SparkSession, w: DataFrame) -> DataFrame:
+    return closure.converge(history(s, w), closure.ranks_of(w))
 
 
 @query("convergence_verdict", f"""{CONVERGE} select {_OF}, build, n_builds, round(actual, 6) as actual, round(gap, 6) as gap, round(gap / target * 100, 6) as gap_pct, round(greatest(gap, 0) / actual * 100, 6) as required_cut_pct, round(trend, 6) as trend, verdict,
   case verdict when 'CONVERGING' then round(gap / -trend, 6) when 'CONVERGED' then 0.0 else cast('infinity' as double) end as builds_to_target from cv""")
 def _(s, d):
-    out = converged(s, d).select(*closure.BUDGET, "build", "n_builds", "actual", "gap", "gap_pct", "required_cut_pct", "trend", "verdict", "builds_to_target")
+    out = converged(s, measured(s, d)).select(*closure.BUDGET, "build", "n_builds", "actual", "gap", "gap_pct", "required_cut_pct", "trend", "verdict", "builds_to_target")
     return rounded(out)
 
 
@@ -496,7 +509,8 @@ rs as (select *, case when rw.metric = 'cdyn_pf' then mw / (v * v * f) else mw e
 
 
 def plan(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    return closure.closure_plan(wide(s, d), budgets(s), converged(s, d))
+    w = measured(s, d)
+    return closure.closure_plan(w, budgets(s), converged(s, w))
 
 
 @query("closure_plan", f"""{PLAN} select {_OF}, technique, round(saving, 4) as saving, cast(row_number() over o as int) as rank, round(sum(saving) over (o rows unbounded preceding), 4) as cumulative, round(case when gap > 0 then saving / gap * 100 end, 4) as covers_pct, round(greatest(gap - sum(saving) over (partition by budget), 0), 4) as remainder
@@ -636,7 +650,7 @@ FOLDS = "with b as (select distinct build as held from wide), f as (select held,
 
 @query("model_scaled_lobo", f"{FOLDS} select build, count(*) as n, round(avg(abs((p - be_mw) / be_mw) * 100), 6) as mape from p where be_mw <> 0 group by build")
 def _(s, d):
-    w = table(s, d, "wide")
+    w = kept(table(s, d, "wide"))
     return rounded(models.score_folds(w, models.leave_one_build_out(w, "scaled")).select("build", "n", "mape"))
 
 
@@ -646,18 +660,19 @@ s as (select kind, avg(mape) as mape_mean, stddev_pop(mape) as mape_std, max(map
 q as (select kind, quantile_cont((p - be_mw) / be_mw * 100, 0.05) as p05, quantile_cont((p - be_mw) / be_mw * 100, 0.5) as p50, quantile_cont((p - be_mw) / be_mw * 100, 0.95) as p95, count(*) as n from k where be_mw <> 0 group by 1)
 select kind, round(mape_mean, 6) as mape_mean, round(mape_std, 6) as mape_std, round(mape_worst, 6) as mape_worst, round(r2_mean, 6) as r2_mean, n_folds, round(p05, 6) as p05, round(p50, 6) as p50, round(p95, 6) as p95, n from s join q using (kind)""")
 def _(s, d):
-    return rounded(models.cross_validate(table(s, d, "wide"), ["baseline", "scaled"])[1])
+    return rounded(models.cross_validate(kept(table(s, d, "wide")), ["baseline", "scaled"])[1])
 
 
 for _kind in ("linear", "physics", "datamove"):
-    query(f"model_{_kind}")(lambda s, d, k=_kind: model_rows(s, models.fit(models.split_by_build(wide(s, d))[0], k)))
-    query(f"model_{_kind}_lobo")(lambda s, d, k=_kind: models.score_folds(w := wide(s, d), models.leave_one_build_out(w, k)))
+    query(f"model_{_kind}")(lambda s, d, k=_kind: model_rows(s, models.fit(models.split_by_build(measured(s, d))[0], k)))
+    query(f"model_{_kind}_lobo")(lambda s, d, k=_kind: models.score_folds(w := measured(s, d), models.leave_one_build_out(w, k)))
 
 
 @query("model_train")
 def _(s, d):
-    done = models.train(wide(s, d))
-    inside = models.evaluate(wide(s, d), done)
+    w = measured(s, d)
+    done = models.train(w)
+    inside = models.evaluate(w, done)
     rows = [(k, k == done.best, m["n"], m["mape"], m["r2"], models.improvement_pct(done.metrics["baseline"], m), inside[k]["mape"]) for k, m in done.metrics.items()]
     return s.createDataFrame(rows, "kind string, best boolean, n long, mape double, r2 double, improvement_pct double, mape_in_sample double")
 
@@ -667,14 +682,14 @@ TREE_FEATURES = ["fe_physical_mw", "wire_cap_pf", "cell_cap_pf", "area", "cell_c
 
 @query("model_tree")
 def _(s, d):
-    train, held, _ = models.split_by_build(wide(s, d))
+    train, held, _ = models.split_by_build(measured(s, d))
     tree = models.MonotoneTrees(TREE_FEATURES, set(TREE_FEATURES)).fit(train)
     return tree.predict(held).select(*KEY, "be_mw", "predicted_mw")
 
 
 @query("permutation_importance")
 def _(s, d):
-    w = wide(s, d)
+    w = measured(s, d)
     return models.permutation_importance(w, models.fit(w, "datamove"))
 
 
@@ -754,7 +769,7 @@ TRACE = [("ASIA", 0, 2.0, "idle", "nom", None, None, None), ("ASIA", 1, 1.0, "ty
 
 
 def compact(s: SparkSession, d: str) -> DataFrame:
-    return explore.export_compact(wide(s, d), FIXED, table(s, d, "performance"))
+    return explore.export_compact(measured(s, d), FIXED, table(s, d, "performance"))
 
 
 def traced(s: SparkSession, d: str) -> DataFrame:
