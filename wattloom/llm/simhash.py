@@ -225,8 +225,10 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, b
 
 #: Positional bytes of a list's key in ``similar``, and lists a document is in.
 WIDTH, BANDS = 5, 24
-#: Documents of a list that are held together; of those before, one for each cluster of all but equal ones stays.
-TOGETHER = 8192
+#: Documents of a block: longer lists are compared by blocks.
+TOGETHER = 1024
+#: Pairs of two groups that a block emits at first; a group of pairs that was cut short comes back with eight times as many.
+PAIRS_AT_ONCE = 64
 #: A pair at the threshold falls below the tally's bound by so many standard deviations at most, but for 0.3 %.
 SLACK = 2.75
 _rng = np.random.default_rng(10)
@@ -251,8 +253,8 @@ def positions(shingles: np.ndarray) -> np.ndarray:
     return ((least * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(56)).astype(np.uint8)
 
 
-def spanning(sketch: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(i, j, tally): a maximum spanning forest of the pairs that share ``least`` positions or more (Prim's)."""
+def spanning(sketch: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """(i, j): a maximum spanning forest of the pairs that share ``least`` positions or more (Prim's)."""
     n = len(sketch)
     best, of = np.zeros(n, np.int16), np.zeros(n, np.int64)
     out, rest = [], np.arange(1, n)
@@ -264,15 +266,77 @@ def spanning(sketch: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np
         k = int(best[rest].argmax())
         at = int(rest[k])
         if best[at] >= least:
-            out.append((int(of[at]), at, int(best[at])))
+            out.append((int(of[at]), at))
         rest = np.delete(rest, k)
-    i, j, tally = np.array(out, np.int64).reshape(-1, 3).T
-    return i, j, tally
+    i, j = np.array(out, np.int64).reshape(-1, 2).T
+    return i, j
+
+
+def crossing(sketch: np.ndarray, group: np.ndarray, least: int, most: int) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Pairs (i, j) of different groups that share ``least`` positions: of each two groups the ``most`` with the highest tally.
+
+    Also whether there were more. Rows of the most common group are compared with others only.
+    """
+    names, own, size = np.unique(group, return_inverse=True, return_counts=True)
+    rest = np.nonzero(own != size.argmax())[0]
+    found = []
+    for at in range(0, len(rest), 64):
+        rows = rest[at : at + 64]
+        shared = (sketch[rows, None] == sketch).sum(axis=2, dtype=np.int16)
+        i, j = np.nonzero(shared >= least)
+        tally, i = shared[i, j], rows[i]
+        ok = (own[i] != own[j]) & ((i < j) | (own[j] == size.argmax()))
+        found.append((i[ok], j[ok], tally[ok]))
+    i, j, tally = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
+    two = np.minimum(own[i], own[j]) * len(names) + np.maximum(own[i], own[j])
+    order = np.lexsort((j, i, -tally, two))
+    first = np.nonzero(np.concatenate(([True], two[order][1:] != two[order][:-1])))[0] if len(order) else np.zeros(0, np.int64)
+    place = np.arange(len(order)) - np.repeat(first, np.diff(np.append(first, len(order))))
+    keep = order[place < most]
+    return i[keep], j[keep], len(keep) < len(order)
+
+
+PART = ["key", "p", "q"]
+
+
+def _first_parts(shared: DataFrame) -> DataFrame:
+    """Lists as (key, p, q, gid): long ones in blocks that are not compared with each other yet."""
+    long = shared.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > TOGETHER).select("key", F.ceil(F.col("n") / TOGETHER).alias("blocks"))
+    block = F.coalesce(F.pmod(F.xxhash64("key", "gid"), F.col("blocks")), F.lit(0)).cast("int")
+    return shared.join(long, "key", "left").select("key", block.alias("p"), F.lit(0).alias("q"), "gid", F.col("gid").alias("group"))
+
+
+def _later_parts(shared: DataFrame, groups: DataFrame) -> DataFrame:
+    """Lists that still hold two groups or more, as (key, p, q, gid, group); in a part of a long list, one block meets another.
+
+    The largest group of a long list has blocks of its own, which meet the blocks of the others but not each other: a cloud of
+    copies that is one group by now is not compared with itself again.
+    """
+    rows = shared.join(groups, "gid", "left").select("key", "gid", F.coalesce("group", "gid").alias("group"))
+    sizes = rows.groupBy("key", "group").agg(F.count("*").alias("n"))
+    lists_ = sizes.groupBy("key").agg(F.count("*").alias("groups"), F.sum("n").alias("n"), F.max(F.struct("n", "group")).alias("top")).where("groups > 1")
+    lists_ = lists_.select("key", "n", F.col("top.group").alias("top"), F.ceil((F.col("n") - F.col("top.n")) / TOGETHER).alias("others"), F.ceil(F.col("top.n") / TOGETHER).alias("tops"))
+    rows = rows.join(lists_, "key")
+    hashed = lambda n: F.pmod(F.xxhash64("key", "gid"), F.col(n))
+    row = lambda p, q: F.struct(F.least(p, q).cast("int").alias("p"), F.greatest(p, q).cast("int").alias("q"))
+    upto = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
+    of_other = F.transform(upto(F.col("others") + F.col("tops")), lambda k: row(hashed("others"), k))
+    of_top = F.transform(upto(F.col("others")), lambda k: row(F.col("others") + hashed("tops"), k))
+    parts = F.when(F.col("n") <= TOGETHER, F.array(row(F.lit(0), F.lit(0)))).when(F.col("group") == F.col("top"), of_top).otherwise(of_other)
+    return rows.select("key", F.inline(parts), "gid", "group")
 
 
 def similar(docs: DataFrame, words: int = 5, similarity: float = 0.8, seed: int = SEED) -> DataFrame:
-    """Per document: doc_id, component_id (smallest doc_id reachable by pairs of at least this Jaccard similarity)."""
-    scratch = Scratch(docs.sparkSession, "similar")
+    """Per document: doc_id, component_id (smallest doc_id reachable by pairs of at least this Jaccard similarity).
+
+    Pairs are candidates if they meet in a list and share enough positions, which a pair at the threshold fails in some 0.3 %
+    of cases. In a first round each block of a list emits a spanning forest of its candidates; these are
+    verified on whole sets, and what holds makes groups. Only lists that still hold more than one group
+    come back, and there every candidate between two groups is verified, best first, until none is left: a pair that fails
+    never stands in for one that would hold.
+    """
+    spark = docs.sparkSession
+    scratch = Scratch(spark, "similar")
     size = WIDTH * BANDS
     least = int(np.floor(size * similarity - SLACK * np.sqrt(size * similarity * (1 - similarity))))
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -283,13 +347,13 @@ def similar(docs: DataFrame, words: int = 5, similarity: float = 0.8, seed: int
 
         worker_cache()
         for batch in batches:
-            texts = batch.column("text").cast(pa.large_binary()).to_pylist()
-            found = [positions(shingle_set(t, words, seed)).tobytes() for t in texts]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("k1"), batch.column("k2"), pa.array(found, pa.binary())], ["doc_id", "k1", "k2", "sketch"])
+            sets = [shingle_set(t, words, seed) for t in batch.column("text").cast(pa.large_binary()).to_pylist()]
+            columns = [batch.column("doc_id"), batch.column("k1"), batch.column("k2"), pa.array([len(x) for x in sets], pa.int64()), pa.array([positions(x).tobytes() for x in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "k1", "k2", "shingles", "sketch"])
         trim()
 
-    rows = scratch.save(keyed.mapInArrow(sketches, "doc_id long, k1 long, k2 long, sketch binary"), "sketches")
-    texts = rows.groupBy("k1", "k2").agg(F.min("doc_id").alias("least"), F.first("sketch").alias("sketch"))  # equal texts are one
+    rows = scratch.save(keyed.mapInArrow(sketches, "doc_id long, k1 long, k2 long, shingles long, sketch binary"), "sketches")
+    texts = rows.groupBy("k1", "k2").agg(F.min("doc_id").alias("least"), F.first("sketch").alias("sketch"), F.first("shingles").alias("shingles"))  # equal texts are one
     texts = scratch.save(texts.withColumn("gid", F.monotonically_increasing_id()), "texts")
     keys = F.array(*[F.xxhash64(F.lit(b), F.substring("sketch", b * WIDTH + 1, WIDTH)) for b in range(BANDS)])
 
@@ -314,30 +378,32 @@ def similar(docs: DataFrame, words: int = 5, similarity: float = 0.8, seed: int
     dealt = texts.select("gid", F.explode(keys).alias("key")).repartition("key").sortWithinPartitions("key")
     shared = scratch.save(dealt.mapInArrow(met, "key long, gid long"), "met")
 
-    def tally(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        kept = None  # of a long list: (key, gids, sketches) that stay for its next part
-        for table, long in lists(batches, "key", TOGETHER):
-            key, gid = table.column("key").to_numpy(), table.column("gid").to_numpy()
-            sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(len(key), size)
-            cut = np.concatenate(([0], np.nonzero(key[1:] != key[:-1])[0] + 1, [len(key)]))
-            found = []
-            for a, b in zip(cut[:-1], cut[1:], strict=True):
-                own, marks = gid[a:b], sketch[a:b]
-                if long and kept is not None and kept[0] == key[a]:
-                    own, marks = np.concatenate([kept[1], own]), np.concatenate([kept[2], marks])
-                i, j, n = spanning(marks, least)
-                found.append((own[i], own[j]))
-                if long:
-                    rest = np.ones(len(own), bool)
-                    rest[j[n >= 0.95 * size]] = False
-                    kept = key[a], own[rest], marks[rest]
-            i, j = (np.concatenate(x) for x in zip(*found, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(i, j)), pa.array(np.maximum(i, j))], ["a", "b"])
-
-    listed = shared.join(texts.select("gid", "sketch"), "gid").select("key", "gid", "sketch").repartition("key").sortWithinPartitions("key", "gid")
-    pairs = scratch.save(listed.mapInArrow(tally, "a long, b long").distinct(), "pairs")
+    def candidates(parts: DataFrame, most: int) -> DataFrame:
+        """(a, b) of all parts: a forest each if ``most`` is 0; a row of nulls where there are more."""
+
+        def run(batches: Iterator) -> Iterator:
+            import pyarrow as pa
+
+            for table, _ in lists(batches, "part", 1 << 20):
+                part, gid, group = (table.column(c).to_numpy() for c in ("part", "gid", "group"))
+                sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(len(part), size)
+                cut = np.concatenate(([0], np.nonzero(part[1:] != part[:-1])[0] + 1, [len(part)]))
+                a, b, more = [], [], False
+                for x, y in zip(cut[:-1], cut[1:], strict=True):
+                    if most:
+                        i, j, cut_short = crossing(sketch[x:y], group[x:y], least, most)
+                        more |= cut_short
+                    else:
+                        i, j = spanning(sketch[x:y], least)
+                    a.append(gid[x:y][i])
+                    b.append(gid[x:y][j])
+                a, b = np.concatenate(a), np.concatenate(b)
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+                if more:
+                    yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64())], ["a", "b"])
+
+        listed = parts.join(texts.select("gid", "sketch"), "gid").select(F.xxhash64(*PART).alias("part"), "gid", "group", "sketch")
+        return listed.repartition("part").sortWithinPartitions("part", "gid").mapInArrow(run, "a long, b long").distinct()
 
     def sets(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -346,12 +412,6 @@ def similar(docs: DataFrame, words: int = 5, similarity: float = 0.8, seed: int
             found = [shingle_set(t, words, seed).tobytes() for t in batch.column("text").cast(pa.large_binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("gid"), pa.array(found, pa.binary())], ["gid", "shingles"])
 
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("gid")).distinct()
-    wanted = texts.join(ends, "gid").select("gid", "k1", "k2", "least")
-    # of equal texts the one with the least id gives the shingles; of rows equal in that, too, any
-    held = keyed.join(wanted, (keyed.k1 == wanted.k1) & (keyed.k2 == wanted.k2) & keyed.doc_id.eqNullSafe(wanted.least)).select("gid", "text").dropDuplicates(["gid"])
-    held = scratch.save(held.mapInArrow(sets, "gid long, shingles binary"), "sets")
-
     def verify(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
@@ -363,9 +423,41 @@ def similar(docs: DataFrame, words: int = 5, similarity: float = 0.8, seed: int
                 ok.append(both >= similarity * (len(one) + len(other) - both) - 1e-9)
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    both = pairs.join(held.toDF("a", "x"), "a").join(held.toDF("b", "y"), "b").select("a", "b", "x", "y")
-    roots = connected_components(scratch, both.mapInArrow(verify, "a long, b long")).withColumnsRenamed({"node": "gid"})
-    placed = texts.select("gid", "k1", "k2", "least").join(roots, "gid", "left").withColumn("root", F.coalesce("root", "gid"))
+    held = spark.createDataFrame([], "gid long, shingles binary")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) that are similar; sets are made once for each text that takes part."""
+        nonlocal held
+        ends = pairs.select(F.explode(F.array("a", "b")).alias("gid")).distinct().join(held, "gid", "left_anti")
+        wanted = texts.join(ends, "gid").select("gid", "k1", "k2", "least")
+        # of equal texts the one with the least id gives the shingles; of rows equal in that, too, any
+        own = keyed.join(wanted, (keyed.k1 == wanted.k1) & (keyed.k2 == wanted.k2) & keyed.doc_id.eqNullSafe(wanted.least)).select("gid", "text").dropDuplicates(["gid"])
+        held = held.unionByName(scratch.save(own.mapInArrow(sets, "gid long, shingles binary"), "sets"))
+        both = pairs.join(held.toDF("a", "x"), "a").join(held.toDF("b", "y"), "b").select("a", "b", "x", "y")
+        return scratch.save(both.mapInArrow(verify, "a long, b long"), "links")
+
+    sizes = texts.select("gid", "shingles")
+    near = F.least("one", "other") >= similarity * F.greatest("one", "other") - 1e-9  # else no overlap is enough
+    tested, groups, most = None, None, 0
+    while True:
+        parts = _first_parts(shared) if groups is None else _later_parts(shared, groups)
+        found = scratch.save(candidates(parts, most), "candidates")
+        pairs = found.where("a is not null").join(sizes.toDF("a", "one"), "a").join(sizes.toDF("b", "other"), "b").where(near).select("a", "b")
+        pairs = scratch.save(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
+        tested = pairs if tested is None else tested.unionByName(pairs)
+        links_ = verified(pairs)
+        if groups is None:
+            groups = connected_components(scratch, links_).withColumnsRenamed({"node": "gid", "root": "group"})
+        elif links_.limit(1).count():
+            of = lambda end: groups.select(F.col("gid").alias(end), F.col("group").alias(f"g_{end}"))  # noqa: B023, E731
+            joined_ = links_.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("g_a", "a").alias("a"), F.coalesce("g_b", "b").alias("b"))
+            roots = connected_components(scratch, joined_).withColumnsRenamed({"node": "group", "root": "top"})
+            known = groups.select("gid", "group").unionByName(roots.join(groups.select("gid"), F.col("group") == F.col("gid"), "left_anti").select(F.col("group").alias("gid"), "group"))
+            groups = scratch.save(known.join(roots, "group", "left").select("gid", F.coalesce("top", "group").alias("group")), "groups")
+        if most and not found.where("a is null").limit(1).count():
+            break
+        most = most * 8 or PAIRS_AT_ONCE
+    placed = texts.select("gid", "k1", "k2", "least").join(groups, "gid", "left").withColumn("root", F.coalesce("group", "gid"))
     first = placed.groupBy("root").agg(F.min("least").alias("component_id"))
     of = scratch.save(placed.join(first, "root").select("k1", "k2", "component_id"), "components")
     return rows.select("doc_id", "k1", "k2").join(of, ["k1", "k2"]).select("doc_id", "component_id")
