@@ -348,3 +348,39 @@ def test_paths_meet_by_equality(spark):
     for df in (mapped, unmapped, identity.intent_table(of(blocks, "fub"), of(domains, "domain"), of(points, "operating_point"))):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_a_profile_in_buckets(spark):
+    """A bucket a row, some rows and all rows say the same; empty buckets and steps between buckets count."""
+    import random
+
+    rng = random.Random(5)
+    rows, at = [], 0
+    for i in range(400):
+        at += rng.choice((0, 1, 1, 1, 2000))
+        rows.append(("d", "B1", "w", None if i % 2 else "nom", i, at, at + rng.choice((0, 1, 5)), None if rng.random() < 0.05 else rng.random() * 9))
+    df = spark.createDataFrame(rows, "design string, build string, workload string, operating_point string, event_id long, a long, b long, profile_total_mw double")
+    df = df.withColumns({"t_start": F.timestamp_micros("a"), "t_end": F.timestamp_micros("b")}).drop("a", "b")
+    whole, *rest = ([{k: round(v, 9) if isinstance(v, float) else v for k, v in r.asDict().items()} for r in workload.profile_summary(df, n).orderBy("operating_point").collect()] for n in (10**6, 25, 1))
+    assert len(whole) == 2 and all(r == whole for r in rest)
+    own = sorted((r for r in rows if r[3] == "nom"), key=lambda r: (r[5], r[4]))
+    steps = [(abs(b[7] - a[7]) / ((b[6] - b[5]) * 1000), -b[4]) for a, b in zip(own, own[1:]) if b[6] > b[5] and None not in (a[7], b[7])]
+    assert (whole[1]["max_step_mw_per_ns"], whole[1]["step_at"]) == (round(max(steps)[0], 9), -max(steps)[1])
+    assert whole[1]["peak_mw"] == round(max(r[7] for r in own if r[7] is not None), 9) and whole[1]["n_windows"] == 200
+
+
+def test_a_front_of_fronts(spark, monkeypatch):
+    import random
+
+    rng = random.Random(6)
+    pick = lambda: rng.choice((None, 0.0, -0.0, float(rng.randrange(30)), rng.random() * 30))
+    rows = [(i, rng.choice(("a", "b", None)), rng.choice((True, True, False, None)), pick(), pick()) for i in range(600)]
+    df = spark.createDataFrame(rows, "i int, k string, feasible boolean, power_mw double, throughput_gops double")
+    beats = lambda a, b: a[3] <= b[3] and a[4] >= b[4] and (a[3] < b[3] or a[4] > b[4])
+    for by in (None, ["k"]):
+        able = [r for r in rows if r[2] and None not in r[3:]]
+        want = {r[0] for r in able if not any(beats(o, r) for o in able if by is None or o[1] == r[1])}
+        for parts in (256, 1):
+            monkeypatch.setattr(models, "FRONTS", parts)
+            got = models.mark_pareto(df, by=by)
+            assert {r.i for r in got.where("pareto").collect()} == want and got.count() == len(rows) and got.columns == [*df.columns, "pareto"]

@@ -298,19 +298,37 @@ def what_if_totals(rows: DataFrame, by: list[str]) -> DataFrame:
     return sums.withColumn("delta_pct", F.try_divide(F.col("proposed_mw") - F.col("current_mw"), F.col("current_mw")) * 100)
 
 
+#: Parts that find a front of their own before the fronts meet.
+FRONTS = 256
+
+
+def _front(rows: DataFrame, key: list[Column]) -> DataFrame:
+    """Rows (power_, speed_) that no row of the same key beats: by falling speed, a running minimum of power tells domination."""
+    by = Window.partitionBy(*key)
+    faster = F.min("power_").over(by.orderBy(F.col("speed_").desc()).rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    # least power among rows at least as fast, and the speed of the fastest that have it
+    rows = rows.withColumn("least_", faster)
+    return rows.where(F.col("power_") == F.col("least_")).withColumn("top_", F.max("speed_").over(Window.partitionBy(*key, "power_"))).where(F.col("speed_") == F.col("top_")).drop("least_", "top_")
+
+
 def mark_pareto(rows: DataFrame, power: str = "power_mw", speed: str = "throughput_gops", by: list[str] | None = None) -> DataFrame:
     """``pareto``: feasible, with a speed, and no feasible row of the same ``by`` beats it; ties stay.
 
-    By falling speed, what is before a row is at least as fast: a running minimum of power tells domination.
+    Distinct points are dealt by hash and each part finds its own front; only these fronts, which are short, come together
+    for the front of all, whose points mark the rows that have them. No task sees all rows, even without ``by``.
     """
-    able = F.col("feasible") & F.col(power).isNotNull() & F.col(speed).isNotNull()
-    key = [F.col(c) for c in by or []]
-    good = rows.withColumn("power_", F.when(able, F.col(power))).withColumn("speed_", F.when(able, F.col(speed)))
-    ranked = good.withColumn("rank_", F.dense_rank().over(Window.partitionBy(*key).orderBy(F.col("speed_").desc_nulls_last())))
-    faster = F.min("power_").over(Window.partitionBy(*key).orderBy("rank_").rangeBetween(Window.unboundedPreceding, -1))
-    same = F.min("power_").over(Window.partitionBy(*key, "rank_"))
-    beaten = F.coalesce((faster <= F.col("power_")) | (same < F.col("power_")), F.coalesce(same < F.col("power_"), F.lit(False)))
-    return ranked.withColumn("pareto", F.coalesce(able & ~beaten, F.lit(False))).drop("power_", "speed_", "rank_")
+    by = by or []
+    able = F.coalesce(F.col("feasible"), F.lit(False)) & F.col(power).isNotNull() & F.col(speed).isNotNull()
+    # 0 is -0: a join and a group tell them apart no more than a comparison
+    points = rows.where(able).select(*[F.col(c).alias(f"by_{c}") for c in by], (F.col(power).cast("double") + 0.0).alias("power_"), (F.col(speed).cast("double") + 0.0).alias("speed_")).distinct()
+    key = [F.col(f"by_{c}") for c in by]
+    local = _front(points.withColumn("part_", F.pmod(F.xxhash64("power_", "speed_"), F.lit(FRONTS))), [*key, F.col("part_")]).drop("part_")
+    front = _front(local, key).withColumn("pareto", F.lit(True))
+    same = (rows[power].cast("double") == front.power_) & (rows[speed].cast("double") == front.speed_)
+    for c in by:
+        same = same & rows[c].eqNullSafe(front[f"by_{c}"])
+    marked = rows.join(front, same, "left")
+    return marked.withColumn("pareto", F.coalesce(able & F.col("pareto"), F.lit(False))).drop("power_", "speed_", *[f"by_{c}" for c in by])
 
 
 @dataclass

@@ -105,23 +105,42 @@ def timing_fmax(model: DataFrame, voltage: float) -> DataFrame:
 PROFILE_KEYS = ["design", "build", "workload", "operating_point"]
 
 
-def profile_summary(profile: DataFrame) -> DataFrame:
+#: Rows of a profile that share a time bucket, on average.
+BUCKET_ROWS = 1_000_000
+
+
+def profile_summary(profile: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """Per design, build, workload and operating point: time-weighted mean, extremes, steepest step and energy of a power profile.
 
-    profile: windows (PROFILE_KEYS, t_start, t_end, profile_total_mw, event_id to break ties); times in ns.
+    profile: windows (PROFILE_KEYS, t_start, t_end, profile_total_mw, event_id to break ties); times in ns. A profile is cut into
+    buckets of time, each summed up by itself; the step into a bucket's first row is taken from the last row of the bucket
+    before, so a long profile spreads over tasks and only a row a bucket comes together.
     """
-    order = Window.partitionBy(*PROFILE_KEYS).orderBy("t_start", "event_id")
-    dt = (F.unix_micros(F.to_timestamp_ltz("t_end")) - F.unix_micros(F.to_timestamp_ltz("t_start"))) * 1000.0
-    power = F.col("profile_total_mw")
-    rows = profile.withColumn("dt", dt).withColumn("step", ratio(F.abs(power - F.lag(power).over(order)), F.when(F.col("dt") > 0, F.col("dt"))))
+    at, end = (F.unix_micros(F.to_timestamp_ltz(c)) for c in ("t_start", "t_end"))
+    rows = profile.select(*PROFILE_KEYS, "event_id", at.alias("at"), ((end - at) * 1000.0).alias("dt"), F.col("profile_total_mw").alias("power"))
+    spans = rows.groupBy(*PROFILE_KEYS).agg(F.min("at").alias("from_"), F.max("at").alias("to_"), F.ceil(F.count("*") / bucket_rows).alias("buckets_"))
+    share = (F.col("at") - F.col("from_")) / F.when(F.col("to_") > F.col("from_"), F.col("to_") - F.col("from_")).otherwise(1)
+    same = [rows[c].eqNullSafe(spans[c]) for c in PROFILE_KEYS]
+    rows = rows.join(spans, same).drop(*[spans[c] for c in PROFILE_KEYS]).withColumn("bucket", F.coalesce(F.least(F.floor(share * F.col("buckets_")), F.col("buckets_") - 1), F.lit(-1).cast("long")))
     timed = F.when(F.col("dt") > 0, F.col("dt"))
-    peak = F.struct("profile_total_mw", -F.unix_micros(F.to_timestamp_ltz("t_start")), -F.col("event_id"))
-    out = rows.groupBy(*PROFILE_KEYS).agg(
-        F.count("*").alias("n_windows"), F.sum(timed).alias("duration_ns"), F.sum(F.when(timed.isNotNull(), power) * timed).alias("area_"), F.max(power).alias("peak_mw"), F.min(power).alias("min_mw"),
-        F.max_by("event_id", peak).alias("peak_at"), F.max("step").alias("max_step_mw_per_ns"), F.max_by("event_id", F.struct("step", -F.col("event_id"))).alias("step_at"),
+    step = lambda before: ratio(F.abs(F.col("power") - before), timed)
+    rows = rows.withColumn("step", step(F.lag("power").over(Window.partitionBy(*PROFILE_KEYS, "bucket").orderBy("at", "event_id"))))
+    peak, order = F.struct("power", -F.col("at"), -F.col("event_id")), F.struct(F.col("at").isNotNull(), "at", "event_id")
+    steepest = lambda step: F.max(F.when(step.isNotNull(), F.struct(step.alias("step"), (-F.col("event_id")).alias("later"))))
+    parts = rows.groupBy(*PROFILE_KEYS, "bucket").agg(
+        F.count("*").alias("n"), F.sum(timed).alias("duration"), F.sum(F.when(timed.isNotNull(), F.col("power")) * timed).alias("area"), F.max("power").alias("high"), F.min("power").alias("low"),
+        F.max(peak).alias("peak"), steepest(F.col("step")).alias("inside"), F.min_by(F.struct("power", "dt", "event_id"), order).alias("first"), F.max_by(F.struct("power"), order).alias("last"),
+    )
+    into = F.lag("last.power").over(Window.partitionBy(*PROFILE_KEYS).orderBy("bucket"))  # a row a bucket
+    parts = parts.withColumn("before", into).select("*", "first.power", "first.dt", "first.event_id").withColumn("edge", step(F.col("before")))
+    parts = parts.withColumn("edge", F.when(F.col("edge").isNotNull(), F.struct(F.col("edge").alias("step"), (-F.col("event_id")).alias("later"))))
+    out = parts.groupBy(*PROFILE_KEYS).agg(
+        F.sum("n").alias("n_windows"), F.sum("duration").alias("duration_ns"), F.sum("area").alias("area_"), F.max("high").alias("peak_mw"), F.min("low").alias("min_mw"),
+        F.max("peak").alias("peak_"), F.greatest(F.max("inside"), F.max("edge")).alias("step_"),
     ).where("duration_ns > 0")
     avg = ratio(F.col("area_"), F.col("duration_ns"))
-    return out.withColumn("avg_mw", avg).withColumns({"energy_uj": F.col("area_") * 1e-6, "peak_to_avg": F.when(F.col("avg_mw") > 0, F.col("peak_mw") / F.col("avg_mw"))}).drop("area_")
+    out = out.withColumns({"peak_at": -F.col("peak_.col3"), "max_step_mw_per_ns": F.col("step_.step"), "step_at": -F.col("step_.later"), "avg_mw": avg})
+    return out.withColumns({"energy_uj": F.col("area_") * 1e-6, "peak_to_avg": F.when(F.col("avg_mw") > 0, F.col("peak_mw") / F.col("avg_mw"))}).drop("area_", "peak_", "step_")
 
 
 def reconcile(summary: DataFrame, df: DataFrame, performance: DataFrame | None = None, tolerance: float = 5.0) -> DataFrame:
