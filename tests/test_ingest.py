@@ -162,6 +162,9 @@ def test_command_line(spark, root, capsys, monkeypatch):
     for what in ("summary", "errors", "deltas", "frontier", "workloads", "profile", "intent"):
         assert cli.main(["analyze", what, store]) == 0, what
     assert cli.main(["analyze", "nothing", store]) == 1
+    assert cli.main(["analyze", "deltas", store, "--csv", str(root / "deltas.csv")]) == 0 and spark.read.option("header", True).csv(str(root / "deltas.csv")).count() > 0
+    for build, code in (("B1", 0), ("B9", 1)):  # a choice of build and corner
+        assert cli.main(["predict", store, "--model", "scaled", "--scale", "fe_physical=0.5", "--build", build, "--operating-point", "nom"]) == code
     capsys.readouterr()
     assert cli.main(["measure", store, "fub=A", "build=B2", "metric=fe_physical_mw"]) == 0 and "10.79" in capsys.readouterr().out
     (root / "budgets.toml").write_text('[[budget]]\ndesign = "chip"\nbe_mw = 15.0\n')

@@ -88,7 +88,7 @@ def test_folds_fill_with_their_own_medians(spark):
     df = spark.createDataFrame(rows, "design string, build string, dyn_term double, move_term double, be_mw double").withColumns({"leak_term": F.col("dyn_term") * F.col("dyn_term"), "fe_physical_mw": F.col("be_mw") + F.sin("dyn_term")})
     folds = models.leave_one_build_out(df, "physics")
     data = df.toPandas()
-    features = models.KINDS["physics"]
+    features = models.features_of("physics")
     for b in ("B0", "B3"):
         own = data[data.build != b]
         x = own[features].fillna(own[features].median())
@@ -113,15 +113,6 @@ def test_what_if_scales_the_estimate_with_its_drivers(wide):
         models.what_if(wide, models.baseline(), {"nonsense": 1})
 
 
-def test_trees_are_monotone_and_better_than_the_mean(wide):
-    names = ["fe_physical_mw", "area", "activity"]
-    tree = models.MonotoneTrees(names, {"fe_physical_mw"}, rounds=40).fit(wide)
-    x = np.column_stack([np.linspace(0, 400, 60), np.full(60, 50.0), np.full(60, 0.2)])
-    assert (np.diff(tree.predict_array(x)) >= -1e-9).all()
-    e = tree.predict(wide).agg(F.avg(F.abs(F.col("predicted_mw") - F.col("be_mw"))), F.avg(F.abs(F.col("be_mw") - tree.parts[0].base))).first()
-    assert e[0] < 0.5 * e[1]
-
-
 def test_merged_blocks_conserve_totals(spark):
     long = spark.createDataFrame([("top/x", "be_hier", "be_mw", 8.0), ("top/r1/a", "be_hier", "be_mw", 1.0), ("top", "be_hier", "be_mw", 99.0), ("lost", "be_hier", "be_mw", 5.0)], "object string, object_kind string, metric string, value double")
     blocks = spark.createDataFrame([("a", None, "top/x", "p", 1.0), ("b", None, "top/x", "p", 3.0), ("c", None, "top/r*", "p", None)], "fub string, fe_hier string, be_hier string, partition string, be_share double")
@@ -275,14 +266,6 @@ def test_train_evaluate_and_pick(wide):
     assert s["physics"].n_folds == folds.where("kind = 'physics'").count() and s["physics"].p05 < s["physics"].p50 < s["physics"].p95
 
 
-def test_trees_over_several_groups_stay_monotone(wide):
-    names = ["fe_physical_mw", "area", "activity"]
-    tree = models.MonotoneTrees(names, {"fe_physical_mw"}, rounds=30, group=2000).fit(wide)
-    assert len(tree.parts) == 3 and all(len(t.trees) <= 30 for t in tree.parts)
-    x = np.column_stack([np.linspace(0, 400, 60), np.full(60, 50.0), np.full(60, 0.2)])
-    assert (np.diff(tree.predict_array(x)) >= -1e-9).all()
-
-
 def test_module_metrics_are_shared_among_instances(spark):
     rows = [("d", "B1", "m", "w", "nom", None, 8.0, 0.5), ("d", "B1", "m@0", "w", "nom", 1.0, None, None), ("d", "B1", "m@1", "w", "nom", 3.0, None, None), ("d", "B1", "m@1", "idle", "nom", 2.0, None, None), ("d", "B1", "x", "w", "nom", 7.0, 6.0, 0.1)]
     df = spark.createDataFrame(rows, "design string, build string, fub string, workload string, operating_point string, be_mw double, fe_physical_mw double, cg_efficiency double")

@@ -87,3 +87,32 @@ def test_tables(spark, tmp_path):
     assert append_last_wins(old, old.withColumn("be_mw", F.lit(2.0)), ["design"]).agg(F.sum("be_mw")).first()[0] == 4.0
     with pytest.raises(ValueError):
         run_sql(spark, "drop table x")
+
+
+HEAD = '(SAIFILE (SAIFVERSION "2.0") (TIMESCALE 1 ns) (DURATION 100.0)\n'
+NETS = "(NET (a (T0 1) (TC 4)) (b (TC 2) // a comment )\n (TC 6)) (c (T1 3)))\n"
+
+
+def test_activity_is_read_as_a_stream(spark, tmp_path):
+    from wattloom.sources import reports
+
+    depth = 5000
+    deep = HEAD + "".join(f'(INSTANCE "top" u{i}\n'.replace('"top" ', "") for i in range(depth)) + NETS + "(PORT (p (TC 99)))" + ")" * depth + ")\n"
+    wide = HEAD + "(INSTANCE top\n" + "".join(f"(INSTANCE m{i} {NETS})\n" for i in range(20_000)) + NETS + "))\n"
+    for name, text in (("deep", deep), ("wide", wide), ("torn", wide[: len(wide) // 2]), ("other", "(NOTHING)\n"), ("late", HEAD.replace("(DURATION 100.0)", "") + "(INSTANCE t (INSTANCE a" + NETS + ")) (DURATION 5))\n")):
+        (tmp_path / "activity").mkdir(exist_ok=True)
+        (tmp_path / "activity" / f"{name}.saif").write_text(text)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")  # a file is read in many splits
+    try:
+        got = reports.read_reports(spark, str(tmp_path), "activity", sim_clock_period_ps=1000.0).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    of = lambda name: [r for r in got if r.source_file.endswith(f"/{name}.saif")]
+    assert len(of("deep")) == 3 * (depth - 1) and {r.value for r in of("deep") if r.metric == "net_count"} == {3.0}
+    assert {(r.metric, round(r.value, 9)) for r in of("deep")} == {("activity", round(10 / 3 / 100, 9)), ("bits_per_cycle", 0.1), ("net_count", 3.0)}
+    assert len(of("wide")) == 60_000 and {r.workload for r in of("wide")} == {"wide"} and sorted(r.ordinal for r in of("wide")) == list(range(60_000))
+    for name, why in (("torn", "unbalanced"), ("other", "not a SAIF"), ("late", "no duration")):
+        assert [why in r.error for r in of(name) if r.error] == [True]
+    text = HEAD + "(INSTANCE top (INSTANCE a" + NETS + "(INSTANCE b" + NETS + "))))\n"
+    assert [(o, m, round(v, 6)) for o, _, m, v, _ in reports.activity(text, {"sim_clock_period_ps": 1000.0})] == [("a/b", "activity", 0.033333), ("a/b", "bits_per_cycle", 0.1), ("a/b", "net_count", 3.0), ("a", "activity", 0.033333), ("a", "bits_per_cycle", 0.2), ("a", "net_count", 6.0)]

@@ -48,7 +48,7 @@ def parser() -> argparse.ArgumentParser:
     def command(name: str, text: str, *arguments: str, **flags):
         c = commands.add_parser(name, help=text)
         for a in arguments:
-            c.add_argument(a)
+            c.add_argument(a.rstrip("?"), nargs="?" if a.endswith("?") else None)
         for a, kind in flags.items():
             name = "--" + a.replace("_", "-")
             c.add_argument(name, action="store_true") if kind is bool else c.add_argument(name, type=kind)
@@ -64,15 +64,15 @@ def parser() -> argparse.ArgumentParser:
     command("import", "a flat file into stored tables", "path", "out", append=bool)
     command("sanitize", "flags of stored measurements", "store")
     command("anomalies", "findings over stored measurements", "store", strict=bool)
-    c = command("analyze", "an analysis of stored measurements", "what", "store", design=str)
+    c = command("analyze", "an analysis of stored measurements", "what", "store", design=str, csv=str)
     c.epilog = ", ".join(ANALYSES)
     command("train", "fit and score models, write their metadata", "store", "out", cv=bool)
-    command("predict", "power if features change", "store", design=str, fub=str, set=str, scale=str, model=str)
+    command("predict", "power if features change", "store", design=str, fub=str, build=str, workload=str, operating_point=str, set=str, scale=str, model=str, csv=str)
     command("export", "compact models as JSON, a file a design", "store", "out", model=str)
     command("trace", "a workload trace (CSV) over exported models", "models", "csv", out=str)
     command("explore", "a sweep, the operating points, or a file of scenarios", "what", "store", design=str, workload=str, feature=str, values=str, file=str, scale=bool)
-    command("budget", "targets and their status", "store", "file", strict=bool)
-    command("converge", "gaps, trends and what closes them", "store", "file", strict=bool)
+    command("budget", "targets and their status", "store", "file?", strict=bool)
+    command("converge", "gaps, trends and what closes them", "store", "file?", strict=bool)
     command("techniques", "what saves power, and where", "store", design=str)
     command("qualify", "a second engine against signoff", "store", strict=bool)
     command("lineage", "blocks and what reports say of them", "store", design=str, fub=str)
@@ -207,7 +207,7 @@ def run(spark: SparkSession, a: argparse.Namespace, cfg: Config) -> int:
     from wattloom.operators.measurements import MeasurementStore
     from wattloom.operators.select import latest_builds, select_slice
     from wattloom.sources.reports import source_table
-    from wattloom.sources.tables import import_file, read_table, run_sql
+    from wattloom.sources.tables import import_file, read_table, run_sql, write_table
 
     data = lambda raw=False: ingest.load_dataset(spark, a.store, raw, cfg)
     if a.command == "ingest":
@@ -246,25 +246,33 @@ def run(spark: SparkSession, a: argparse.Namespace, cfg: Config) -> int:
         if a.what not in ANALYSES:
             raise ValueError(f"no such analysis: {a.what}; there are {', '.join(ANALYSES)}")
         rows = data() if not a.design else data().where(F.col("design") == a.design)
-        show(ANALYSES[a.what](rows, stored(spark, a.store)))
+        found = ANALYSES[a.what](rows, stored(spark, a.store))
+        show(found)
+        if a.csv:
+            write_table(found, a.csv)
     elif a.command == "train":
-        done = models.train(data())
-        meta = {"best_model": done.best, "test_builds": done.held_out, "metrics": done.metrics, "metrics_train": done.metrics_train, "notes": done.notes, "models": {k: {"intercept": m.intercept, "coefficients": m.coefficients, "fill": m.fill} for k, m in done.models.items()}}
+        done = models.train(data(), cfg=cfg)
+        meta = {"best_model": done.best, "test_builds": done.held_out, "metrics": done.metrics, "metrics_train": done.metrics_train, "notes": done.notes, "models": {k: models.described(m) for k, m in done.models.items()}}
         if a.cv:
-            meta["cv"] = {r.kind: r.asDict() for r in models.cross_validate(data(), list(done.models))[1].collect()}
+            meta["cv"] = {r.kind: r.asDict() for r in models.cross_validate(data(), list(done.models), cfg)[1].collect()}
         Path(a.out).write_text(json.dumps(meta, indent=2))
         row = [(a.out, done.best, done.metrics[done.best]["mape"], done.metrics.get("baseline", {}).get("mape"), json.dumps(done.held_out), json.dumps(done.metrics))]
         catalog.record(f"{a.store}/catalog", "model", spark.createDataFrame(row, "model_file string, best_model string, best_mape double, baseline_mape double, test_builds string, metrics string"))
         print(json.dumps({k: v["mape"] for k, v in done.metrics.items()}))
     elif a.command == "predict":
         rows = data()
-        for c in ("design", "fub"):
+        for c in ("design", "fub", "build", "workload", "operating_point"):
             rows = rows if getattr(a, c) is None else rows.where(F.col(c) == getattr(a, c))
-        rows = rows.join(latest_builds(rows), ["design", "build"], "left_semi")
-        model = models.fit(data(), a.model or cfg.whatif_model)
-        show(models.what_if_totals(models.what_if(rows, model, overrides(a.set, False) | overrides(a.scale, True)), ["design", "workload", "operating_point"]))
+        rows = rows if a.build else rows.join(latest_builds(rows), ["design", "build"], "left_semi")
+        if not rows.limit(1).count():
+            raise ValueError("no rows of that design, block, build and corner")
+        model = models.fit(data(), a.model or cfg.whatif_model, cfg)
+        found = models.what_if_totals(models.what_if(rows, model, overrides(a.set, False) | overrides(a.scale, True)), ["design", "workload", "operating_point"])
+        show(found)
+        if a.csv:
+            write_table(found, a.csv)
     elif a.command == "export":
-        model = models.fit(data(), a.model or "datamove")
+        model = models.fit(data(), a.model or "datamove", cfg)
         docs = explore.export_compact(data(), model, stored(spark, a.store).get("performance"))
         docs.repartition("design").write.mode("overwrite").partitionBy("design").text(a.out)
     elif a.command == "trace":
@@ -285,10 +293,10 @@ def run(spark: SparkSession, a: argparse.Namespace, cfg: Config) -> int:
             asked = explore.with_baselines(explore.from_control_file(read_scenarios(a.file)))
         else:
             raise ValueError(f"explore {a.what}: there are sweep, opmap and scenario")
-        model = models.fit(rows, cfg.whatif_model)
+        model = models.fit(rows, cfg.whatif_model, cfg)
         show(explore.evaluate(rows, explore.scenario_table(spark, asked), model, stored(spark, a.store).get("performance")).orderBy("place"))
     elif a.command in ("budget", "converge"):
-        asked, rows = closure.budget_table(spark, read_budgets(a.file)), data(raw=True)
+        asked, rows = closure.budget_table(spark, read_budgets(a.file or cfg.budgets_file)), data(raw=True)
         history, ranks = closure.budget_history(rows, asked), closure.ranks_of(rows)
         if a.command == "budget":
             found = closure.budget_status(history, ranks, stored(spark, a.store).get("lineage"))

@@ -13,7 +13,6 @@ from wattloom.operators.closure import METRICS, MILESTONES, Budget
 class Config:
     """Fixed defaults; unknown keys of a file are ignored."""
 
-    target: str = "be_mw"
     baseline_feature: str = "fe_physical_mw"
     linear_features: list[str] = field(default_factory=lambda: ["fe_physical_mw", "wire_cap_pf", "cell_cap_pf"])
     physics_features: list[str] = field(default_factory=lambda: ["dyn_term", "move_term", "leak_term", "fe_physical_mw"])
@@ -22,7 +21,6 @@ class Config:
     cv_min_builds: int = 3
     test_fraction: float = 0.2
     min_builds_warn: int = 5
-    seed: int = 42
     top_n_errors: int = 10
     strict_consistency: bool = True
     qualify_tolerance_pct: float = 5.0
@@ -32,7 +30,6 @@ class Config:
     group_sum_tol_pct: float = 5.0
     unit_magnitude_ratio: float = 50.0
     use_sanitized: bool = True
-    fub_map_pattern: str = "mapping/fub_map.csv"
     source_patterns: dict[str, str] = field(default_factory=dict)
     disabled_sources: list[str] = field(default_factory=list)
     upf_pattern: str = "intent/*.upf"
@@ -46,7 +43,7 @@ class Config:
     anomaly_creep_builds: int = 3
     anomaly_creep_pct: float = 15.0
     anomaly_replica_ratio: float = 1.3
-    profile_tol_pct: float = 5.0
+    anomaly_profile_tol_pct: float = 5.0
 
     @classmethod
     def read(cls, path: str) -> Config:

@@ -106,7 +106,9 @@ def accepted(long: DataFrame, strict: bool = True) -> tuple[DataFrame, DataFrame
     """(records in canonical units with report date and run id filled in, failures); if strict, without inconsistent files."""
     stale = inconsistent(long)
     failed = long.where("error is not null").select("design", "build", "source_file", "error")
-    good = identity.convert_units(long.where("error is null"))
+    # a file that broke off while it was streamed counts for nothing
+    broken = long.where("error is not null").select("source_file").distinct()
+    good = identity.convert_units(long.where("error is null").join(broken, "source_file", "left_anti"))
     failed = failed.unionByName(good.where("unit_error").select("design", "build", "source_file", F.concat(F.lit("unknown unit of "), "metric").alias("error")).distinct()).unionByName(stale)
     if strict:
         good = good.join(stale.select("source_file").distinct(), "source_file", "left_anti")

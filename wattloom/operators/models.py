@@ -1,4 +1,4 @@
-"""Build-validated power models: linear ones by Gram matrices, monotone boosted trees, scores, intervals and what-if.
+"""Build-validated power models: linear ones by Gram matrices, monotone boosted trees (``trees.py``), scores, intervals and what-if.
 
 A linear fit is one distributed aggregate of cross products (k x k numbers a build); only that
 reaches the driver, whatever the rows. Leave-one-build-out folds are the total less a build, with each
@@ -14,13 +14,15 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wattloom.config import Config
 from wattloom.functions.expr import natural_key
+from wattloom.operators import trees
 from wattloom.operators.derive import rescale_estimate, with_features
 from wattloom.operators.ranks import Ask, quantiles
 from wattloom.operators.stats import prediction_metrics, whole_metrics
 
-#: Features of each kind of model.
-KINDS = {"scaled": ["fe_physical_mw"], "linear": ["fe_physical_mw", "wire_cap_pf", "cell_cap_pf"], "physics": ["dyn_term", "move_term", "leak_term", "fe_physical_mw"], "datamove": ["cell_dyn_term", "wire_dyn_term", "move_term", "leak_term"]}
+#: The kinds of models by name, with the setting that lists a kind's features (scaled has the baseline's alone); register one by adding it.
+KINDS = {"scaled": "baseline_feature", "linear": "linear_features", "physics": "physics_features", "datamove": "datamove_features", "tree": "tree_features"}
 #: Which kind stands in for one that is not there.
 PREFERENCE = ["datamove", "physics", "linear", "scaled", "tree"]
 #: What the terms of the datamove model attribute power to.
@@ -42,8 +44,31 @@ class Linear:
         return sum(self.terms().values(), F.lit(self.intercept))
 
 
-def baseline() -> Linear:
-    return Linear("baseline", 0.0, {"fe_physical_mw": 1.0})
+#: Fixed: features along which a tree's prediction never falls.
+INCREASING = {
+    "fe_physical_mw", "wire_cap_pf", "cell_cap_pf", "area", "cell_count", "dyn_term", "leak_term", "total_cap_pf", "activity", "frequency_ghz", "voltage_v",
+    "wire_cap_fraction", "cell_dyn_term", "wire_dyn_term", "move_term", "bits_per_cycle", "wire_length_um", "avg_net_length_um",
+}
+Model = Linear | trees.Tree
+
+
+def features_of(kind: str, cfg: Config | None = None) -> list[str]:
+    found = getattr(cfg or Config(), KINDS[kind])
+    return [found] if isinstance(found, str) else list(found)
+
+
+def baseline(cfg: Config | None = None) -> Linear:
+    return Linear("baseline", 0.0, {(cfg or Config()).baseline_feature: 1.0})
+
+
+def _tree_features(df: DataFrame, cfg: Config | None) -> list[str]:
+    """The tree's features that the rows have, with some value."""
+    names = [c for c in features_of("tree", cfg) if c in df.columns]
+    row = df.agg(*[F.count(c).alias(c) for c in names]).first() if names else {}
+    names = [c for c in names if row[c]]
+    if not names:
+        raise ValueError("too few features for tree")
+    return names
 
 
 def _fills(df: DataFrame, features: list[str]) -> dict[str, float]:
@@ -98,11 +123,15 @@ def solve(kind: str, g: np.ndarray, features: list[str], fill: dict[str, float])
     return Linear(kind, float(target - mean @ w), {c: float(v) for c, v in zip(features, w, strict=True)}, fill)
 
 
-def fit(df: DataFrame, kind: str) -> Linear:
+def fit(df: DataFrame, kind: str, cfg: Config | None = None) -> Model:
     if kind == "baseline":
-        return baseline()
-    fill = _fills(df, KINDS[kind])
-    features = [c for c in KINDS[kind] if c in fill]
+        return baseline(cfg)
+    if kind == "tree":
+        names = _tree_features(df, cfg)
+        return trees.fit(df, names, INCREASING, TARGET)
+    wanted = [c for c in features_of(kind, cfg) if c in df.columns]
+    fill = _fills(df, wanted)
+    features = [c for c in wanted if c in fill]
     if not features or kind == "datamove" and len(features) < 2:
         raise ValueError(f"too few features for {kind}")
     missing = _missing(df, features)
@@ -123,14 +152,18 @@ def split_by_build(df: DataFrame, fraction: float = 0.2) -> tuple[DataFrame, Dat
     return df.where(~F.col("build").isin(held)), df.where(F.col("build").isin(held)), held
 
 
-def leave_one_build_out(df: DataFrame, kind: str, least: int = 3) -> dict[str, Linear]:
-    """A model per held-out build, all from one pass: the total Gram matrix less the build's, its own medians filled in."""
-    features = [c for c in KINDS.get(kind, []) if c in df.columns]
+def leave_one_build_out(df: DataFrame, kind: str, least: int | None = None, cfg: Config | None = None) -> dict[str, Model]:
+    """A model per held-out build, linear ones all from one pass: the total Gram matrix less the build's, its own medians filled in."""
+    least = (cfg or Config()).cv_min_builds if least is None else least
     names = builds_in_order(df)
     if len(names) < least:
         raise ValueError(f"cross-validation needs {least} builds")
     if kind == "baseline":
-        return {b: baseline() for b in names}
+        return {b: baseline(cfg) for b in names}
+    if kind == "tree":
+        own = _tree_features(df, cfg)
+        return trees.fit_folds(df, own, INCREASING, TARGET, "build", names)
+    features = [c for c in features_of(kind, cfg) if c in df.columns]
     missing = _missing(df, features)
     # medians over all rows, and one a fold and feature with gaps: all in the same rounds
     gaps = [(n, b, c) for n, b in enumerate(names) for c in missing]
@@ -151,12 +184,14 @@ def leave_one_build_out(df: DataFrame, kind: str, least: int = 3) -> dict[str, L
     return out
 
 
-def score_folds(df: DataFrame, models: dict[str, Linear]) -> DataFrame:
+def score_folds(df: DataFrame, models: dict[str, Model]) -> DataFrame:
     """Per held-out build: error metrics; each row is predicted by its build's model."""
     return _with_fold_predictions(df, models).groupBy("build").agg(*prediction_metrics(F.col(TARGET), F.col("predicted_")))
 
 
-def _with_fold_predictions(df: DataFrame, models: dict[str, Linear]) -> DataFrame:
+def _with_fold_predictions(df: DataFrame, models: dict[str, Model]) -> DataFrame:
+    if any(isinstance(m, trees.Tree) for m in models.values()):
+        return df.withColumn("predicted_", trees.by_fold(models, "build"))
     names = sorted({c for m in models.values() for c in m.coefficients})
     rows = [(b, m.intercept, *[float(m.coefficients.get(c, 0.0)) for c in names], *[float(m.fill.get(c, 0.0)) for c in names]) for b, m in models.items()]
     w = df.sparkSession.createDataFrame(rows, ", ".join(["build string", "w0_ double", *[f"w_{c} double" for c in names], *[f"fill_{c} double" for c in names]]))
@@ -164,11 +199,11 @@ def _with_fold_predictions(df: DataFrame, models: dict[str, Linear]) -> DataFram
     return df.join(F.broadcast(w), "build").withColumn("predicted_", p).drop("w0_", *[f"w_{c}" for c in names], *[f"fill_{c}" for c in names])  # a row a build
 
 
-def cross_validate(df: DataFrame, kinds: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+def cross_validate(df: DataFrame, kinds: list[str] | None = None, cfg: Config | None = None) -> tuple[DataFrame, DataFrame]:
     """(folds: kind, build, metrics), (summary: kind, MAPE's mean, spread and worst, mean R2, and percentiles of the error in pct)."""
     rows = None
     for kind in kinds or ["baseline", *KINDS]:
-        part = _with_fold_predictions(df, leave_one_build_out(df, kind)).select(F.lit(kind).alias("kind"), "build", TARGET, "predicted_")
+        part = _with_fold_predictions(df, leave_one_build_out(df, kind, cfg=cfg)).select(F.lit(kind).alias("kind"), "build", TARGET, "predicted_")
         rows = part if rows is None else rows.unionByName(part)
     folds = rows.groupBy("kind", "build").agg(*prediction_metrics(F.col(TARGET), F.col("predicted_")))
     off = F.when(F.col(TARGET) != 0, (F.col("predicted_") - F.col(TARGET)) / F.col(TARGET) * 100)
@@ -180,10 +215,10 @@ def cross_validate(df: DataFrame, kinds: list[str] | None = None) -> tuple[DataF
     return folds, summary.join(spread, "kind")
 
 
-def score(df: DataFrame, models: dict[str, Linear]) -> DataFrame:
+def score(df: DataFrame, models: dict[str, Model]) -> DataFrame:
     """(kind, error metrics) of several models over the same rows, in one pass."""
     pairs = F.array(*[F.struct(F.lit(k).alias("kind"), m.predict().alias("p")) for k, m in models.items()])
-    rows = df.select(TARGET, F.inline(pairs))
+    rows = df.select(TARGET, pairs.alias("pairs")).select(TARGET, F.inline("pairs"))
     return whole_metrics(rows, F.col(TARGET), F.col("p"), "kind", list(models))
 
 
@@ -191,7 +226,7 @@ def score(df: DataFrame, models: dict[str, Linear]) -> DataFrame:
 class Trained:
     """Models fitted on all builds, and how models of the earlier builds scored on the held-out ones."""
 
-    models: dict[str, Linear]
+    models: dict[str, Model]
     held_out: list[str]
     metrics: dict[str, dict]
     metrics_train: dict[str, dict]
@@ -206,19 +241,27 @@ def _metrics(scored: DataFrame) -> dict[str, dict]:
     return {r.kind: {k: v for k, v in r.asDict().items() if k != "kind"} for r in scored.collect()}  # a row a kind
 
 
-def train(df: DataFrame, kinds: list[str] | None = None, fraction: float = 0.2, least_builds: int = 5) -> Trained:
+def train(df: DataFrame, kinds: list[str] | None = None, cfg: Config | None = None) -> Trained:
     """Fits on the earlier builds, scores on the latest, then fits again on all for use."""
-    early, late, held = split_by_build(df, fraction)
+    cfg = cfg or Config()
+    early, late, held = split_by_build(df, cfg.test_fraction)
     fitted, notes = {}, []
     for kind in kinds or ["baseline", *KINDS]:
         try:
-            fitted[kind] = fit(early, kind)
+            fitted[kind] = fit(early, kind, cfg)
         except ValueError as e:
             notes.append(f"{kind} skipped: {e}")
     n = len(builds_in_order(df))
-    if n < least_builds:
+    if n < cfg.min_builds_warn:
         notes.append(f"only {n} builds: scores on {len(held)} of them are noisy")
-    return Trained({k: fit(df, k) for k in fitted}, held, _metrics(score(late, fitted)), _metrics(score(early, fitted)), notes)
+    return Trained({k: fit(df, k, cfg) for k in fitted}, held, _metrics(score(late, fitted)), _metrics(score(early, fitted)), notes)
+
+
+def described(model: Model) -> dict:
+    """What a file of models says of one: a linear one's weights, the size of a tree's."""
+    if isinstance(model, trees.Tree):
+        return {"features": model.features, "trees": len(model.trees), "base": model.base}
+    return {"intercept": model.intercept, "coefficients": model.coefficients, "fill": model.fill}
 
 
 def evaluate(df: DataFrame, trained: Trained) -> dict[str, dict]:
@@ -331,149 +374,6 @@ def mark_pareto(rows: DataFrame, power: str = "power_mw", speed: str = "throughp
     return marked.withColumn("pareto", F.coalesce(able & F.col("pareto"), F.lit(False))).drop("power_", "speed_", *[f"by_{c}" for c in by])
 
 
-@dataclass
-class Tree:
-    """One boosted ensemble over binned features; a value beyond the last edge, or a missing one, is in the last bin."""
-
-    features: list[str]
-    increasing: frozenset[str]
-    rounds: int = 500
-    rate: float = 0.05
-    leaves: int = 15
-    leaf: int = 10
-    l2: float = 0.1
-    patience: int = 20
-    edges: list[np.ndarray] = field(default_factory=list)
-    base: float = 0.0
-    trees: list = field(default_factory=list)
-
-    def bins(self, x: np.ndarray) -> np.ndarray:
-        return np.column_stack([np.searchsorted(e, x[:, j], side="right") for j, e in enumerate(self.edges)])
-
-    def fit(self, x: np.ndarray, y: np.ndarray) -> Tree:
-        """Boosts squared error; a tenth of the rows says when further rounds no longer help."""
-        self.edges = [np.unique(np.nanquantile(c, np.linspace(0, 1, 65)[1:-1])) if np.isfinite(c).any() else np.zeros(0) for c in x.T]
-        bins = self.bins(x)
-        check = np.arange(len(y)) % 10 == 9 if len(y) >= 200 else np.zeros(len(y), bool)
-        own, self.base, self.trees = np.nonzero(~check)[0], float(y[~check].mean()), []
-        at, best, since = np.full(len(y), self.base), math.inf, 0
-        for _ in range(self.rounds):
-            tree = self._grow(bins, y - at, own)
-            self.trees.append(tree)
-            at += self.rate * self._eval(tree, bins)
-            if check.any():
-                error = float(np.mean((y[check] - at[check]) ** 2))
-                since = 0 if error < best - 1e-12 else since + 1
-                best = min(best, error)
-                if since >= self.patience:
-                    self.trees = self.trees[:-since]
-                    break
-        return self
-
-    def _split(self, bins, r, rows, low, high):
-        """The best split of rows: (gain, feature, bin, left value, right value), or none."""
-        total, n, best = r[rows].sum(), len(rows), None
-        value = float(np.clip(total / (n + self.l2), low, high))
-        if n < 2 * self.leaf:
-            return None
-        for j, e in enumerate(self.edges):
-            if not len(e):
-                continue
-            count = np.bincount(bins[rows, j], minlength=len(e) + 1).cumsum()[:-1]
-            s = np.bincount(bins[rows, j], weights=r[rows], minlength=len(e) + 1).cumsum()[:-1]
-            ok = (count >= self.leaf) & (n - count >= self.leaf)
-            left, right = np.clip(s / (count + self.l2), low, high), np.clip((total - s) / (n - count + self.l2), low, high)
-            if self.features[j] in self.increasing:
-                ok &= left <= right
-            gain = np.where(ok, s * left + (total - s) * right - total * value, -np.inf)
-            k = int(gain.argmax())
-            if gain[k] > (best[0] if best else 1e-9):
-                best = (float(gain[k]), j, k, float(left[k]), float(right[k]))
-        return best
-
-    def _grow(self, bins, r, rows):
-        """Best-first: the leaf whose split gains most splits next, until there are enough leaves."""
-        value = float(r[rows].sum() / (len(rows) + self.l2))
-        root = [value]
-        waiting = [(self._split(bins, r, rows, -np.inf, np.inf), root, rows, -np.inf, np.inf)]
-        leaves = 1
-        while leaves < self.leaves:
-            k = max(range(len(waiting)), key=lambda i: waiting[i][0][0] if waiting[i][0] else -1.0)
-            found, node, own, low, high = waiting.pop(k)
-            if found is None:
-                break
-            _, j, cut, left, right = found
-            go, middle = bins[own, j] <= cut, (left + right) / 2
-            bounds = [(low, middle), (middle, high)] if self.features[j] in self.increasing else [(low, high)] * 2
-            below = [[left], [right]]
-            node[:] = [j, cut, *below]
-            for child, m, (lo, hi) in zip(below, (go, ~go), bounds, strict=True):
-                waiting.append((self._split(bins, r, own[m], lo, hi), child, own[m], lo, hi))
-            leaves += 1
-        return root
-
-    def _eval(self, node, bins):
-        if len(node) == 1:
-            return np.full(len(bins), node[0])
-        go = bins[:, node[0]] <= node[1]
-        out = np.empty(len(bins))
-        out[go], out[~go] = self._eval(node[2], bins[go]), self._eval(node[3], bins[~go])
-        return out
-
-    def predict(self, x: np.ndarray) -> np.ndarray:
-        bins = self.bins(x)
-        return self.base + self.rate * sum((self._eval(t, bins) for t in self.trees), np.zeros(len(x)))
-
-
-class MonotoneTrees:
-    """Boosted trees that never fall along the features named increasing, fitted on all rows.
-
-    Rows are dealt by hash into groups of some GROUP rows (one group for block-sized tables); each group is
-    fitted in a task of its own, and predictions are the groups' mean, which keeps monotony.
-    """
-
-    GROUP = 200_000
-
-    def __init__(self, features: list[str], increasing: set[str], rounds: int = 500, group: int = GROUP):
-        self.features, self.increasing, self.rounds, self.group = features, frozenset(increasing) & set(features), rounds, group
-        self.parts: list[Tree] = []
-
-    def fit(self, df: DataFrame) -> MonotoneTrees:
-        import pickle
-
-        x = [F.col(c).cast("double").alias(c) for c in self.features]
-        rows = df.where(F.col(TARGET).isNotNull()).select(*x, F.col(TARGET).cast("double").alias(TARGET))
-        n = max(1, math.ceil(rows.count() / self.group))
-        features, increasing, rounds = self.features, self.increasing, self.rounds
-        order = F.xxhash64(*self.features, TARGET)
-
-        def fit(table):
-            import pandas as pd
-
-            got = table.sort_values("h_", kind="stable")
-            tree = Tree(features, increasing, rounds).fit(got[features].to_numpy(float), got[TARGET].to_numpy(float))
-            return pd.DataFrame({"part": [table["part_"].iloc[0]], "model": [pickle.dumps(tree)]})
-
-        dealt = rows.withColumn("h_", order).withColumn("part_", F.pmod("h_", F.lit(n)).cast("int"))
-        found = dealt.groupBy("part_").applyInPandas(fit, "part int, model binary").orderBy("part").collect()  # a model a group
-        self.parts = [pickle.loads(r.model) for r in found]
-        return self
-
-    def predict_array(self, x: np.ndarray) -> np.ndarray:
-        return np.mean([t.predict(x) for t in self.parts], axis=0)
-
-    def predict(self, df: DataFrame) -> DataFrame:
-        model = self
-
-        @F.pandas_udf("double")
-        def run(columns):
-            import pandas as pd
-
-            return pd.Series(model.predict_array(columns.to_numpy(float)))
-
-        return df.withColumn("predicted_mw", run(F.struct(*[F.col(c).cast("double") for c in self.features])))
-
-
 #: Buckets of a row's hash in which it is ranked; a rank is its place in the bucket and the rows of the buckets before.
 RANK_BITS = 12
 

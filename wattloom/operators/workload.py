@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wattloom.config import Config
 from wattloom.functions.expr import pearson, ratio
 from wattloom.operators.select import latest_builds
 
@@ -143,12 +144,12 @@ def profile_summary(profile: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataF
     return out.withColumns({"energy_uj": F.col("area_") * 1e-6, "peak_to_avg": F.when(F.col("avg_mw") > 0, F.col("peak_mw") / F.col("avg_mw"))}).drop("area_", "peak_", "step_")
 
 
-def reconcile(summary: DataFrame, df: DataFrame, performance: DataFrame | None = None, tolerance: float = 5.0) -> DataFrame:
+def reconcile(summary: DataFrame, df: DataFrame, performance: DataFrame | None = None, cfg: Config | None = None) -> DataFrame:
     """A profile's mean against the power that the wide table sums up, and energy per operation; a missing side is no fault."""
     expected = df.groupBy(*PROFILE_KEYS).agg(F.sum(F.col("be_mw").cast("decimal(28,9)")).cast("double").alias("reported_avg_mw"))
     gap = F.when(F.col("reported_avg_mw") > 0, (F.col("avg_mw") - F.col("reported_avg_mw")) / F.col("reported_avg_mw") * 100)
     out = summary.join(expected, PROFILE_KEYS, "left").withColumn("avg_gap_pct", gap)
-    out = out.withColumn("profile_ok", ~F.coalesce(F.abs("avg_gap_pct") > tolerance, F.lit(False)))
+    out = out.withColumn("profile_ok", ~F.coalesce(F.abs("avg_gap_pct") > (cfg or Config()).anomaly_profile_tol_pct, F.lit(False)))
     if performance is None:
         return out.withColumn("energy_pj_per_op", F.lit(None).cast("double"))
     speed = performance.groupBy(*PROFILE_KEYS).agg(F.min("throughput_gops").alias("gops_"))

@@ -677,14 +677,10 @@ def _(s, d):
     return s.createDataFrame(rows, "kind string, best boolean, n long, mape double, r2 double, improvement_pct double, mape_in_sample double")
 
 
-TREE_FEATURES = ["fe_physical_mw", "wire_cap_pf", "cell_cap_pf", "area", "cell_count", "frequency_ghz", "voltage_v", "activity", "wire_cap_fraction", "dyn_term", "leak_term"]
-
-
 @query("model_tree")
 def _(s, d):
     train, held, _ = models.split_by_build(measured(s, d))
-    tree = models.MonotoneTrees(TREE_FEATURES, set(TREE_FEATURES)).fit(train)
-    return tree.predict(held).select(*KEY, "be_mw", "predicted_mw")
+    return held.withColumn("predicted_mw", models.fit(train, "tree").predict()).select(*KEY, "be_mw", "predicted_mw")
 
 
 @query("permutation_importance")

@@ -89,7 +89,7 @@ def sections(spark: SparkSession, out: str, cfg: Config, budgets: list | None =
         "Logical estimate": lambda: "\n\n".join(interpret(rows, "logical")),
         "Physical estimate": lambda: "\n\n".join(interpret(rows, "physical")),
         "Error by build": lambda: table(stats.stage_metrics(rows, "physical", ["build"]).orderBy("build")),
-        "Largest errors": lambda: table(stats.top_errors(rows, "physical", "pct")),
+        "Largest errors": lambda: table(stats.top_errors(rows, "physical", "pct", cfg.top_n_errors)),
         "Correlation with signoff power": lambda: table(stats.with_p(stats.associations(rows, "be_mw", [c for c in [*quality.FEATURES, "fe_logical_mw", "fe_physical_mw"] if c in rows.columns]))),
         "Data quality": lambda: "\n\n".join([table(quality.quality_report(quality.sanitize(raw, cfg, stored("lineage"), stored("power_intent")))), table(quality.flag_counts(quality.sanitize(raw, cfg, stored("lineage"), stored("power_intent"))).orderBy("flag"))]),
         "Trust in metrics": lambda: table(quality.metric_quality(raw, long=stored("measurements_long")).orderBy("metric")),
@@ -111,7 +111,7 @@ def sections(spark: SparkSession, out: str, cfg: Config, budgets: list | None =
         "Best operating points": lambda: table(workload.best_operating_point(workload.energy_per_op(workload.design_power(rows), performance)).orderBy("design", "workload")),
         "Range over workloads": lambda: table(workload.sensitivity(rows).orderBy(F.col("dynamic_range").desc_nulls_last())),
         "Curves": lambda: "\n\n".join([table(workload.dvfs_curve(rows).orderBy("design")), table(workload.timing_model(rows).orderBy("design", "partition"))]),
-        "Models by held-out build": lambda: table(models.cross_validate(rows, ["baseline", "scaled", "linear"])[1].orderBy("mape_mean")),
+        "Models by held-out build": lambda: table(models.cross_validate(rows, ["baseline", *(k for k in models.KINDS if k != "tree")], cfg)[1].orderBy("mape_mean")),
         "Power over time": lambda: table(stored("power_profile").groupBy("design", "build", "workload", "operating_point").agg(F.count("*").alias("windows"), F.max("profile_total_mw").alias("peak_mw")).orderBy("design", "build")),
     }
     if budgets:

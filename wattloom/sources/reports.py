@@ -11,7 +11,7 @@ import csv
 import io
 import json
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -196,60 +196,95 @@ def metadata(text: str, context: dict) -> Iterator[Record]:
                 yield op, "design", metric, float(x[metric]), unit
 
 
-def _expressions(text: str):
-    """Nested lists of a file of parenthesised words; strings keep their blanks."""
-    stack: list[list] = [[]]
-    for token in re.findall(r'"[^"]*"|[()]|[^\s()"]+', re.sub(r"//[^\n]*", "", text)):
-        if token == "(":
-            stack.append([])
-        elif token == ")":
-            if len(stack) < 2:
-                raise ReportError("unbalanced parentheses")
-            done = stack.pop()
-            stack[-1].append(done)
-        else:
-            stack[-1].append(token.strip('"'))
-    if len(stack) != 1:
-        raise ReportError("unbalanced parentheses")
-    return stack[0]
+class Activity:
+    """Reads switching activity line by line: toggles of an instance's own and inner nets, per net and simulated cycle.
+
+    A stack of open parentheses is all that is held, so a file may be as long and as deep as it likes. An instance's
+    records come when it closes; a file that breaks off has given some by then, and its error row says so.
+    """
+
+    def __init__(self, context: dict):
+        self.period, self.kind = context.get("sim_clock_period_ps"), context.get("object_kind", "be_hier")
+        self.stack: list[list] = []  # [first word, further words, toggles, nets] of each open parenthesis
+        self.path: list[str] = []
+        self.cycles: float | None = None
+        self.head: dict[str, list[str]] = {}
+        self.seen = False
+
+    def lines(self, lines: Iterable[str]) -> Iterator[Record]:
+        for line in lines:
+            if line.count('"') % 2:
+                raise ReportError("a string that does not end on its line")
+            for token in re.findall(r'"[^"]*"|[()]|[^\s()"]+', line.partition("//")[0]):
+                if token == "(":
+                    self.stack.append([None, [], 0.0, 0])
+                elif token == ")":
+                    if not self.stack:
+                        raise ReportError("unbalanced parentheses")
+                    yield from self._close(*self.stack.pop())
+                elif self.stack:
+                    self._word(self.stack[-1], token.strip('"'))
+
+    def end(self) -> None:
+        if self.stack:
+            raise ReportError("unbalanced parentheses")
+        if not self.seen:
+            raise ReportError("not a SAIF file")
+        self._duration()
+
+    def _word(self, top: list, word: str) -> None:
+        if top[0] is None:
+            top[0] = word
+            self.seen |= word == "SAIFILE" and len(self.stack) == 1
+        elif len(top[1]) < 2:  # no list that counts has more
+            top[1].append(word)
+            if top[0] == "INSTANCE" and len(top[1]) == 1:
+                self.path.append(word)
+
+    def _duration(self) -> None:
+        unit = {"fs": 1e-3, "ps": 1.0, "ns": 1e3, "us": 1e6}
+        scale = self.head.get("TIMESCALE", ["1", "ns"])
+        duration = float(self.head.get("DURATION", ["0"])[0]) * float(scale[0]) * unit[scale[1]]
+        if duration <= 0 or not self.period:
+            raise ReportError("no duration before the first instance, or an unknown period")
+        self.cycles = duration / float(self.period)
+
+    def _close(self, word: str | None, words: list[str], toggles: float, nets: int) -> Iterator[Record]:
+        above = [x[0] for x in self.stack[-2:]]
+        if above == ["SAIFILE"]:
+            self.head[word] = words
+        if word == "INSTANCE":
+            if self.cycles is None:
+                self._duration()
+            if len(self.path) > 1 and nets:
+                name = "/".join(self.path[1:])
+                yield name, self.kind, "activity", toggles / nets / self.cycles, "1"
+                yield name, self.kind, "bits_per_cycle", toggles / self.cycles, "1"
+                yield name, self.kind, "net_count", float(nets), "1"
+            self.path.pop()
+        elif len(above) == 2 and above[0] == "NET":  # a count of a net: the last TC is the net's
+            value = float(words[0]) if words else 0.0
+            if word == "TC":
+                self.stack[-1][2] = value
+            return
+        elif above[-1:] == ["NET"]:
+            nets = 1
+        elif word != "NET":
+            return
+        if self.stack:
+            self.stack[-1][2] += toggles
+            self.stack[-1][3] += nets
 
 
 def activity(text: str, context: dict) -> Iterator[Record]:
-    """Switching activity: toggles of an instance's own and inner nets, per net and simulated cycle."""
-    [root] = [x for x in _expressions(text) if isinstance(x, list) and x and x[0] == "SAIFILE"] or [None]
-    if root is None:
-        raise ReportError("not a SAIF file")
-    head = {x[0]: x[1:] for x in root if isinstance(x, list)}
-    unit = {"fs": 1e-3, "ps": 1.0, "ns": 1e3, "us": 1e6}
-    scale = head.get("TIMESCALE", ["1", "ns"])
-    duration = float(head.get("DURATION", ["0"])[0]) * float(scale[0]) * unit[scale[1]]
-    period = context.get("sim_clock_period_ps")
-    if duration <= 0 or not period:
-        raise ReportError("no duration, or an unknown period")
-    cycles, kind, out = duration / float(period), context.get("object_kind", "be_hier"), []
-
-    def walk(node: list, path: list[str]) -> tuple[float, int]:
-        toggles, nets = 0.0, 0
-        at = len(out)
-        for x in node[2:]:
-            if not isinstance(x, list):
-                continue
-            if x[0] == "INSTANCE":
-                t, n = walk(x, [*path, x[1]])
-                toggles, nets = toggles + t, nets + n
-            elif x[0] == "NET":
-                for net in x[1:]:
-                    counts = {y[0]: float(y[1]) for y in net[1:] if isinstance(y, list) and len(y) > 1}
-                    toggles, nets = toggles + counts.get("TC", 0.0), nets + 1
-        if len(path) > 1 and nets:
-            name = "/".join(path[1:])
-            out[at:at] = [(name, kind, "activity", toggles / nets / cycles, "1"), (name, kind, "bits_per_cycle", toggles / cycles, "1"), (name, kind, "net_count", float(nets), "1")]
-        return toggles, nets
-
-    for x in root:
-        if isinstance(x, list) and x[0] == "INSTANCE":
-            walk(x, [x[1]])
-    yield from out
+    """Switching activity of a text at hand."""
+    reader = Activity(context)
+    yield from reader.lines(text.split("\n"))
+    reader.end()
+
+
+#: Sources that are read line by line; their files can be larger than a task's memory.
+STREAMED = {"activity": Activity}
 
 
 #: source -> (reader, where its files lie under a run)
@@ -282,35 +317,81 @@ def context_of(path: str, source: str) -> dict:
     return {"workload": workload or name, "operating_point": op if workload else None}
 
 
+def _context_under(path: str, known: dict[str, dict]) -> dict:
+    """What is known of the folder that holds a file."""
+    folder = path
+    while "/" in folder:
+        folder = folder.rpartition("/")[0]
+        if folder in known:
+            return known[folder]
+    return {}
+
+
+def _read_lines(spark: SparkSession, files: str, source: str, known: dict[str, dict], context: dict) -> DataFrame:
+    """Long records of files read as streams of lines: a file is one task's, in order, but never held whole."""
+    lines = spark.read.text(files).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), "value")
+    names, nothing, make = [c.split()[0] for c in SCHEMA.split(", ")], [None] * 6, STREAMED[source]
+
+    def parse(batches: Iterator) -> Iterator:
+        import pandas as pd
+
+        path, reader, own, n, failed = None, None, {}, 0, False
+
+        def rows(found: Iterable[Record], end: bool = False) -> list[tuple]:
+            nonlocal n, failed
+            out = []
+            try:
+                for r in found:
+                    out.append((path, source, n, *r, own.get("workload"), own.get("operating_point"), *nothing, None))
+                    n += 1
+                if end:
+                    reader.end()
+            except (ValueError, KeyError, IndexError, TypeError, AttributeError) as e:
+                failed = True
+                out.append((path, source, n, *[None] * 7, *nothing, f"{type(e).__name__}: {e}"))
+            return out
+
+        for batch in batches:
+            out = []
+            for new, group in batch.groupby("path", sort=False):
+                if new != path:
+                    if reader is not None and not failed:
+                        out += rows((), end=True)
+                    path, own, n, failed = new, _context_under(new, known) | context | context_of(new, source), 0, False
+                    reader = make(own)
+                if not failed:
+                    out += rows(reader.lines(group["value"]))
+            yield pd.DataFrame(out, columns=names)
+        if reader is not None and not failed:
+            yield pd.DataFrame(rows((), end=True), columns=names)
+
+    return lines.repartition("path").sortWithinPartitions("path", "block", "at").mapInPandas(parse, SCHEMA)
+
+
 def read_reports(spark: SparkSession, run: str, source: str, pattern: str | None = None, contexts: dict[str, dict] | None = None, **context) -> DataFrame:
-    """Long records of one source under a run's folder, or under many by a glob; a file that cannot be parsed is one row with its error.
+    """Long records of one source under a run's folder, or under many by a glob; a file that cannot be parsed is a row with its error
+    (a source that is read as a stream may have given records before; ``ingest.accepted`` drops these).
 
     contexts: what is known of each run, by its folder (a row of metadata a run); a file's run is the folder among them that holds it.
     """
     importable(spark)
     reader, own_pattern = READERS[source]
+    if source in STREAMED:
+        return _read_lines(spark, f"{run.rstrip('/')}/{pattern or own_pattern}", source, contexts or {}, context)
     files = spark.read.text(f"{run.rstrip('/')}/{pattern or own_pattern}", wholetext=True).select("value", F.col("_metadata.file_path").alias("path"))
     known = contexts or {}
 
-    def of(path: str) -> dict:
-        folder = path
-        while "/" in folder:
-            folder = folder.rpartition("/")[0]
-            if folder in known:
-                return known[folder]
-        return {}
-
     def parse(batches: Iterator) -> Iterator:
         import pandas as pd
 
         for batch in batches:
             for text, path in zip(batch["value"], batch["path"], strict=True):
-                own = of(path) | context | context_of(path, source)
+                own = _context_under(path, known) | context | context_of(path, source)
                 rows, error = [], None
                 try:
                     rows = list(reader(text, own))
-                except (ValueError, KeyError, IndexError) as e:
-                    error = f"{type(e).__name__}: {e}"
+                except (ValueError, KeyError, IndexError, TypeError, AttributeError, RecursionError) as e:
+                    rows, error = [], f"{type(e).__name__}: {e}"
                 said = provenance(text) if source not in ("metadata", "performance", "activity") else dict.fromkeys(("tool", "tool_version", "run_id", "report_build", "report_date", "activity_mode"))
                 said = list(said.values())
                 op = own.get("operating_point")
