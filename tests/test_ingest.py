@@ -98,13 +98,15 @@ def test_replicas_by_policy_and_map_errors(spark, tmp_path):
     write_run(tmp_path, "B1", 1.0, {"primepower/typical_nom/power_hier.rpt": tree, "pprtl/typical_nom/l_power.rpt": early.format("rtl"), "pprtl/typical_nom/p_power.rpt": early.format("physical")})
     (tmp_path / "map.csv").write_text("fub,fe_hier,be_hier,partition,owner\nA,fe/a,a,P0,x\nR,fe/r,r*,P0,y\n")
     got = {}
-    for policy in ("sum", "per_instance"):
+    for policy in ("sum", "per_instance", "mean"):
         cfg = Config(identity=Config().identity | {"replica_policy": policy})
         ingest(spark, str(tmp_path / "runs"), str(tmp_path / "map.csv"), str(tmp_path / policy), cfg)
         rows = spark.read.parquet(str(tmp_path / policy / "measurements")).collect()
         got[policy] = {r.fub: (r.be_mw, r.fe_logical_mw) for r in rows}
         assert {r.be_activity_mode for r in rows} == {"vectorless"}
-    assert got["sum"] == {"A": (10.0, 8.0), "R": (6.0, 5.0)} and got["per_instance"] == {"A": (10.0, 8.0), "R@0": (2.0, 2.5), "R@1": (4.0, 2.5)}
+    assert got["mean"] == got["sum"] == {"A": (10.0, 8.0), "R": (6.0, 5.0)} and got["per_instance"] == {"A": (10.0, 8.0), "R@0": (2.0, 2.5), "R@1": (4.0, 2.5)}
+    with pytest.raises(ValueError, match="replica_policy"):
+        ingest(spark, str(tmp_path / "runs"), str(tmp_path / "map.csv"), str(tmp_path / "none"), Config(identity={"replica_policy": "most"}))
     (tmp_path / "bad.csv").write_text("fub,fe_hier,be_hier,partition\nA,fe/a,a,P0\nA,fe/a,b,P1\n")
     with pytest.raises(ValueError, match="A"):
         engine.read_map(spark, str(tmp_path / "bad.csv"))

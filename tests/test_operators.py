@@ -367,3 +367,30 @@ def test_a_front_of_fronts(spark, monkeypatch):
             monkeypatch.setattr(models, "FRONTS", parts)
             got = models.mark_pareto(df, by=by)
             assert {r.i for r in got.where("pareto").collect()} == want and got.count() == len(rows) and got.columns == [*df.columns, "pareto"]
+
+
+def test_checks_and_techniques_are_registered(wide, monkeypatch):
+    monkeypatch.setitem(quality.CHECKS, "tiny_area", quality.Check("Area under a limit", True, lambda f: F.col("area") < 30))
+    flagged = quality.sanitize(wide)
+    own = flagged.where(F.array_contains("quality_flags", "tiny_area"))
+    assert own.count() == wide.where("area < 30").count() > 0 and own.where("usable").count() == 0
+    halve = lambda rows: rows.select("budget", F.lit("halve").alias("technique"), (F.col("be_mw") / 2).alias("saving_mw"), (F.col("be_mw") / 2).alias("dynamic_mw"), F.lit(0.0).alias("leakage_mw"))
+    monkeypatch.setitem(closure.TECHNIQUES, "halve", closure.Technique(["be_mw"], halve))
+    budgets = closure.budget_table(wide.sparkSession, [closure.Budget("ASIA", "design", "be_mw", 1.0)])
+    gaps = closure.converge(closure.budget_history(wide, budgets), closure.ranks_of(wide))
+    lines, _ = closure.closure_plan(wide, budgets, gaps)
+    assert {"halve", "clock_gating", "dvfs"} <= {r.technique for r in lines.collect()}
+
+
+def test_nothing_runs_before_the_action(wide):
+    """Plans are built without a job: closure, exploration and anomalies over given rows."""
+    spark = wide.sparkSession
+    budgets = closure.budget_table(spark, [closure.Budget("ASIA", "design", "be_mw", 1.0)])
+    spark.sparkContext.setJobGroup("no-jobs", "x")
+    try:
+        closure.closure_plan(wide, budgets, closure.converge(closure.budget_history(wide, budgets), closure.ranks_of(wide)))
+        anomalies.report(wide)
+        explore.evaluate(wide, explore.scenario_table(spark, explore.sweep("ASIA", "typical", "frequency_ghz", [1.0])), models.baseline())
+        assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("no-jobs")) == 0
+    finally:
+        spark.sparkContext.setJobGroup("", "")

@@ -34,7 +34,7 @@ class Config:
     disabled_sources: list[str] = field(default_factory=list)
     upf_pattern: str = "intent/*.upf"
     budgets_file: str = "budgets.toml"
-    identity: dict[str, object] = field(default_factory=lambda: {"replica_policy": "sum", "divider": "/", "strip_top": False, "lowercase": False, "name_rules": []})
+    identity: dict[str, object] = field(default_factory=lambda: {"replica_policy": "sum", "merge_basis": "share", "divider": "/", "strip_top": False, "lowercase": False, "name_rules": []})
     tree_features: list[str] = field(default_factory=lambda: ["fe_physical_mw", "wire_cap_pf", "cell_cap_pf", "area", "cell_count", "fanout", "frequency_ghz", "voltage_v", "activity", "wire_cap_fraction", "dyn_term", "leak_term"])
     anomaly_idle_ratio: float = 0.35
     anomaly_eff_ratio: float = 2.0

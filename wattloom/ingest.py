@@ -23,6 +23,8 @@ from wattloom.sources.reports import READERS, SPECS, read_intent, read_reports
 from wattloom.sources.tables import read_table, split_rejected, store
 
 METRICS = ["fe_logical_mw", "fe_physical_mw", "be_mw", "be_leakage_mw", "fe_leakage_mw", "be_voltus_mw", "be_clock_mw", "be_register_mw", "be_comb_mw", "be_memory_mw", "cg_efficiency", "wire_cap_pf", "cell_cap_pf", "area", "cell_count", "fanout", "wire_length_um", "avg_net_length_um", "net_count", "activity", "bits_per_cycle", "clock_period_ps", "wns_ps", "tns_ps", "violating_endpoints"]
+#: Fixed: what replicas of a block become (only per_instance keeps them apart; mean has sum's rows), and how blocks share an object.
+REPLICA_POLICIES, MERGE_BASES = ("sum", "per_instance", "mean"), ("share", "equal")
 TABLES = ["measurements", "rejected", "measurements_long", "lineage", "unmapped", "performance", "power_profile", "power_intent", "quality_flags", "measurements_sanitized"]
 _META = "folder string, design string, build string, run_id string, build_date string, status string, design_type string, milestone string, tools string, sim_clock_period_ps double, object_kind string"
 
@@ -148,9 +150,9 @@ class Work:
         _delete(self.spark, self.root)
 
 
-def wide_from_long(good: DataFrame, blocks: DataFrame, work: Work, per_instance: bool = True) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+def wide_from_long(good: DataFrame, blocks: DataFrame, work: Work, per_instance: bool = True, equal: bool = False) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """(wide, lineage, unmapped, the records that blocks claim)."""
-    mapped, unmapped = identity.resolve_objects(good.where(F.col("object_kind") != "window"), blocks, per_instance)
+    mapped, unmapped = identity.resolve_objects(good.where(F.col("object_kind") != "window"), blocks, per_instance, equal)
     mapped = work.keep(mapped, "mapped")
     design = ["frequency_ghz", "voltage_v", "ipc", "throughput_gops"]
     values = work.keep(identity.aggregate_metrics(mapped.where(~F.col("metric").isin(*design))), "values")
@@ -219,6 +221,9 @@ def ingest(spark: SparkSession, root: str, map_path: str, out: str, cfg: Config
     Flags and the sanitized view of an earlier state go, as they no longer hold.
     """
     cfg = cfg or Config()
+    for key, known in (("replica_policy", REPLICA_POLICIES), ("merge_basis", MERGE_BASES)):
+        if cfg.identity.get(key, known[0]) not in known:
+            raise ValueError(f"{key} is one of {', '.join(known)}")
     blocks = read_map(spark, map_path, cfg)
     runs = [m for m in find_runs(spark, root) if only is None or (str(m["design"]), str(m["build"])) == only]
     if not runs:
@@ -230,7 +235,7 @@ def ingest(spark: SparkSession, root: str, map_path: str, out: str, cfg: Config
     work = Work(spark, out)
     good, failed = accepted(raw, cfg.strict_consistency)
     good, blocks = work.keep(good, "good"), work.keep(blocks, "blocks")
-    wide, lines, unmapped, mapped = wide_from_long(good, blocks, work, cfg.identity.get("replica_policy") == "per_instance")
+    wide, lines, unmapped, mapped = wide_from_long(good, blocks, work, cfg.identity.get("replica_policy") == "per_instance", cfg.identity.get("merge_basis") == "equal")
     intent = intent_from_runs(spark, root, runs, blocks, good, cfg)
     if intent is not None:
         intent = work.keep(intent, "intent")

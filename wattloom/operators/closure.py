@@ -6,6 +6,7 @@ broadcasts what it has measured to be small.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -172,8 +173,33 @@ def dvfs(rows: DataFrame, by: list[str] | None = None) -> DataFrame:
     return out.select(*by, "n_points", F.col("a.operating_point").alias("best_op"), F.col("b.operating_point").alias("worst_op"), F.col("a.cost").alias("best_mw_per_ghz"), F.col("b.cost").alias("worst_mw_per_ghz"), F.greatest(F.col("b.power_mw") - F.col("a.power_mw"), F.lit(0.0)).alias("saving_mw"))
 
 
-#: Techniques over rows of one corner, with the columns that they need; power gating takes the idle rows, dvfs all operating points.
-TECHNIQUES = {"clock_gating": (clock_gating, ["be_mw", "cg_efficiency"]), "wire_cap_reduction": (wire_cap_reduction, ["wire_cap_pf", "cell_cap_pf"]), "vt_swap": (vt_swap, ["wns_ps"])}
+@dataclass(frozen=True)
+class Technique:
+    """What saves power: the columns that it needs, and its savings from the rows that ``at`` names.
+
+    ``corner``: a budget's rows at its workload and operating point; ``idle``: those at the idle workload; ``points``: those at all
+    operating points of its workload.
+    """
+
+    needs: list[str]
+    savings: Callable[[DataFrame], DataFrame]
+    at: str = "corner"
+
+
+def _dvfs_savings(rows: DataFrame) -> DataFrame:
+    moved = dvfs(rows, ["budget"]).where("n_points > 1")
+    none = F.lit(None).cast("double")
+    return moved.select("budget", F.lit("dvfs").alias("technique"), "saving_mw", none.alias("dynamic_mw"), none.alias("leakage_mw"))
+
+
+#: The techniques by name; register one by adding it.
+TECHNIQUES = {
+    "clock_gating": Technique(["be_mw", "cg_efficiency"], clock_gating),
+    "wire_cap_reduction": Technique(["wire_cap_pf", "cell_cap_pf"], wire_cap_reduction),
+    "vt_swap": Technique(["wns_ps"], vt_swap),
+    "power_gating": Technique(["be_mw"], power_gating, "idle"),
+    "dvfs": Technique(["voltage_v", "frequency_ghz"], _dvfs_savings, "points"),
+}
 NAMES = {"clock_gating": "Clock gating", "power_gating": "Power gating", "dvfs": "Voltage and frequency scaling", "wire_cap_reduction": "Wire capacitance reduction", "vt_swap": "Vt swap", "operand_isolation": "Operand isolation", "glitch_reduction": "Glitch reduction", "memory_low_power": "Memory low-power modes"}
 NOT_ASSESSABLE = {"operand_isolation": "toggle counts with datapath enables", "glitch_reduction": "a glitch-aware power report", "memory_low_power": "memory instances and their mode power"}
 
@@ -190,34 +216,33 @@ def assess_all(df: DataFrame, budgets: DataFrame) -> tuple[DataFrame, DataFrame]
     """Per budget, at its design's latest build and corner: (savings by technique and component), and (technique, needs) of those not assessable."""
     spark = df.sparkSession
     latest = df.join(latest_builds(df), ["design", "build"], "left_semi")
-    needs = dict(NOT_ASSESSABLE)
-    rows = _with_budgets(latest, budgets, member=False)
-    parts = []
-    for name, (technique, columns) in TECHNIQUES.items():
-        absent = [c for c in columns if c not in df.columns]
-        if absent:
-            needs[name] = ", ".join(absent)
-        else:
-            parts.append(technique(rows))
     idle = idle_workload(df)
     at_idle = budgets.crossJoin(F.broadcast(idle.where("idle is not null"))).withColumn("at_workload", F.col("idle")).drop("idle")  # one row
-    parts.append(power_gating(_with_budgets(latest, at_idle, member=False)))
-    no_idle = idle.where("idle is null").select(F.lit("power_gating").alias("technique"), F.lit("an idle workload").alias("needs"))
+    rows = {
+        "corner": _with_budgets(latest, budgets, member=False),
+        "idle": _with_budgets(latest, at_idle, member=False),
+        "points": _at_workload(latest, budgets),
+    }
+    needs, out = dict(NOT_ASSESSABLE), None
+    for name, technique in TECHNIQUES.items():
+        absent = [c for c in technique.needs if c not in df.columns]
+        if absent:
+            needs[name] = ", ".join(absent)
+            continue
+        found = technique.savings(rows[technique.at]).select("budget", "technique", "saving_mw", "dynamic_mw", "leakage_mw")
+        out = found if out is None else out.unionByName(found)
     exact = lambda c: F.sum(F.round(c, 8).cast("decimal(28,8)")).cast("double").alias(c)
-    out = None
-    for p in parts:
-        out = p if out is None else out.unionByName(p)
     sums = out.groupBy("budget", "technique").agg(exact("saving_mw"), exact("dynamic_mw"), exact("leakage_mw"))
-    if {"voltage_v", "frequency_ghz"} <= set(df.columns):
-        corners = budgets.withColumn("at_op", F.lit(None).cast("string"))
-        any_op = latest.drop(*[c for c in budgets.columns if c != "design"]).join(corners, "design")
-        preferred = any_op.groupBy("budget").agg(F.coalesce(F.max(F.when(F.col("workload") == "typical", F.col("workload"))), F.min("workload")).alias("default_workload"))
-        any_op = any_op.join(preferred, "budget").where(F.col("workload") == F.coalesce("at_workload", "default_workload"))
-        moved = dvfs(any_op, ["budget"]).where("n_points > 1")
-        sums = sums.unionByName(moved.select("budget", F.lit("dvfs").alias("technique"), F.round("saving_mw", 8).alias("saving_mw"), F.lit(None).cast("double").alias("dynamic_mw"), F.lit(None).cast("double").alias("leakage_mw")))
-    else:
-        needs["dvfs"] = "voltage_v, frequency_ghz"
-    return sums, spark.createDataFrame(list(needs.items()), "technique string, needs string").unionByName(no_idle)
+    no_idle = [n for n, t in TECHNIQUES.items() if t.at == "idle" and n not in needs]
+    lost = idle.where("idle is null").select(F.explode(F.array(*[F.lit(n) for n in no_idle]).cast("array<string>")).alias("technique"), F.lit("an idle workload").alias("needs"))
+    return sums, spark.createDataFrame(list(needs.items()), "technique string, needs string").unionByName(lost)
+
+
+def _at_workload(latest: DataFrame, budgets: DataFrame) -> DataFrame:
+    """Each budget's design at all operating points of its workload."""
+    rows = latest.drop(*[c for c in budgets.columns if c != "design"]).join(budgets.withColumn("at_op", F.lit(None).cast("string")), "design")
+    preferred = rows.groupBy("budget").agg(F.coalesce(F.max(F.when(F.col("workload") == "typical", F.col("workload"))), F.min("workload")).alias("default_workload"))
+    return rows.join(preferred, "budget").where(F.col("workload") == F.coalesce("at_workload", "default_workload"))
 
 
 def closure_plan(df: DataFrame, budgets: DataFrame, gaps: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -80,12 +80,12 @@ def _by_partition(objects: DataFrame, mapping: DataFrame) -> DataFrame:
     return hits.where("at_ = least_").select("object", "object_kind", "fub", F.lit(1.0).alias("share_"), F.lit(None).cast("string").alias("instance"))
 
 
-def resolve_objects(long: DataFrame, mapping: DataFrame, per_instance: bool = True) -> tuple[DataFrame, DataFrame]:
+def resolve_objects(long: DataFrame, mapping: DataFrame, per_instance: bool = True, equal: bool = False) -> tuple[DataFrame, DataFrame]:
     """(mapped, unmapped); without ``per_instance``, replicas add up to their block. mapping: (fub, fe_hier, be_hier, partition, be_share); be_hier may be a glob.
 
     Distinct objects are resolved once: exactly, by partition, or else by glob; only distinct
     objects that nothing else claims meet the globs. Objects that several blocks share weigh by
-    share, replicas carry the text that the glob's star matched. Ancestors of mapped paths go silently.
+    share (evenly if ``equal``), replicas carry the text that the glob's star matched. Ancestors of mapped paths go silently.
     """
     objects = long.select("object", "object_kind").distinct()
     m = mapping.withColumn("share_", F.coalesce(F.col("be_share").cast("double"), F.lit(1.0)))
@@ -105,6 +105,7 @@ def resolve_objects(long: DataFrame, mapping: DataFrame, per_instance: bool = Tr
     design = objects.where("object_kind = 'design'").select("object", "object_kind", F.lit("*").alias("fub"), F.lit(1.0).alias("share_"), F.lit(None).cast("string").alias("instance"))
     n = Window.partitionBy("object", "object_kind")
     shared = (F.count("*").over(n) > 1) & (F.col("object_kind") == "be_hier")
+    found = found.withColumn("share_", F.lit(1.0) if equal else F.col("share_"))
     total = F.sum("share_").over(n)
     found = found.withColumn("weight", F.when(shared, F.when(total > 0, F.col("share_") / total).otherwise(1.0)).otherwise(1.0)).drop("share_").unionByName(design.withColumnRenamed("share_", "weight"))
     found = found.withColumn("fub", F.when(F.lit(per_instance) & F.col("instance").isNotNull() & (F.col("instance") != "") & (F.col("weight") == 1), F.concat_ws("@", "fub", "instance")).otherwise(F.col("fub")))

@@ -5,6 +5,9 @@ Each check is (code, condition, blocking); a row's codes keep the order of the c
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,27 +32,88 @@ BLOCKING_ISSUES = ["fe_hier_not_in_reports", "be_hier_not_in_reports", "incomple
 TIMING_ISSUES = ["no_partition", "partition_timing_missing"]
 DOMAIN_MISSING = ["no_power_domain", "multiple_power_domains"]
 DOMAIN_MISMATCH = ["domain_voltage_mismatch", "domain_state_missing"]
-#: The checks in the order of a row's flags, and whether they block; the last three count rows of other tables.
+@dataclass(frozen=True)
+class Facts:
+    """What checks are told: the settings, the columns there are, and what was prepared over all rows."""
+
+    cfg: Config
+    has: frozenset[str]
+    marks: dict[str, Column]  # issues of lineage and intent, by check
+    duplicate: Column
+    leakage_spread_pct: Column  # over workloads, of a block's leakage
+
+    def some(self, condition: Column) -> Column:
+        return F.coalesce(condition, F.lit(False))
+
+    def lacks(self, columns: list[str]) -> Column:
+        return F.exists(F.array(*[F.col(c).isNull() if c in self.has else F.lit(True) for c in columns]), lambda x: x)
+
+    def negative(self) -> Column:
+        return F.exists(F.array(*[self.some(F.col(c) < 0) for c in NON_NEGATIVE if c in self.has]), lambda x: x)
+
+    def leakage(self) -> Column:
+        over = self.some(F.col("be_leakage_mw") > F.col("be_mw") * 1.001) | self.some(self.leakage_spread_pct > self.cfg.leakage_workload_tol_pct)
+        return over if "be_leakage_mw" in self.has else _no()
+
+    def groups(self) -> Column:
+        groups = [F.col(c) for c in GROUPS if c in self.has]
+        if not groups:
+            return _no()
+        total = sum((F.coalesce(c, F.lit(0.0)) for c in groups), F.lit(0.0))
+        return F.coalesce(*groups).isNotNull() & (F.when(F.col("be_mw") > 0, F.abs(total - F.col("be_mw")) / F.col("be_mw") * 100) > self.cfg.group_sum_tol_pct)
+
+    def zero(self) -> Column:
+        return F.abs("be_mw") < self.cfg.near_zero_mw
+
+    def magnitude(self) -> Column:
+        size = F.when(F.col("median_") > 0, F.col("be_mw") / F.col("median_"))
+        return ~self.zero() & ((size > self.cfg.unit_magnitude_ratio) | (size < 1 / self.cfg.unit_magnitude_ratio))
+
+    def stale(self) -> Column:
+        old = F.col("build_status") == "superseded" if "build_status" in self.has else _no()
+        late = F.datediff("newest_", "build_date") > self.cfg.stale_days if "build_date" in self.has else _no()
+        return self.some(old) | self.some(late)
+
+    def outlier(self) -> Column:
+        return self.some(F.col("z_be_") > Z_LIMIT) | self.some(_outlier_ratio(F.col("be_mw"), F.col("fe_physical_mw")))
+
+    def timing(self) -> Column:
+        return (F.col("wns_ps") > F.col("clock_period_ps")) | (F.col("clock_period_ps") <= 0) if {"wns_ps", "clock_period_ps"} <= self.has else _no()
+
+    def vectorless(self) -> Column:
+        return F.lower("be_activity_mode").startswith("vectorless") if "be_activity_mode" in self.has else _no()
+
+
+@dataclass(frozen=True)
+class Check:
+    """A check's label, whether its rows are unusable, and its condition on a row; None counts rows of other tables."""
+
+    label: str
+    blocking: bool
+    test: Callable[[Facts], Column] | None = None
+
+
+#: The checks in the order of a row's flags; register one by adding it.
 CHECKS = {
-    "missing_metric": ("Missing power metrics", True),
-    "missing_physical": ("Missing physical data", True),
-    "duplicate": ("Duplicate records", True),
-    "negative": ("Impossible negative values", True),
-    "leakage_suspect": ("Leakage above the total, or varying with the workload", False),
-    "group_sum_mismatch": ("Power groups do not sum to the total", False),
-    "near_zero_be": ("Zero or near-zero power", True),
-    "unit_suspect": ("Magnitude unlike the design's", True),
-    "stale_build": ("Stale or superseded builds", True),
-    "outlier": ("Outliers", False),
-    "lineage_mismatch": ("Lineage mismatches", True),
-    "timing_missing": ("Partition without timing", False),
-    "timing_suspect": ("Slack above the period, or no positive period", False),
-    "vectorless_power": ("Power from vectorless activity", False),
-    "intent_mismatch": ("Domain voltage unlike the operating point's", False),
-    "intent_missing": ("No power domain", False),
-    "duplicate_source_row": ("Duplicate rows in reports", False),
-    "unit_normalized": ("Unit conversions", False),
-    "unmapped_objects": ("Unmapped report objects", False),
+    "missing_metric": Check("Missing power metrics", True, lambda f: f.lacks(["fe_logical_mw", "fe_physical_mw", "be_mw"])),
+    "missing_physical": Check("Missing physical data", True, lambda f: f.lacks(PHYSICAL)),
+    "duplicate": Check("Duplicate records", True, lambda f: f.duplicate),
+    "negative": Check("Impossible negative values", True, Facts.negative),
+    "leakage_suspect": Check("Leakage above the total, or varying with the workload", False, Facts.leakage),
+    "group_sum_mismatch": Check("Power groups do not sum to the total", False, Facts.groups),
+    "near_zero_be": Check("Zero or near-zero power", True, Facts.zero),
+    "unit_suspect": Check("Magnitude unlike the design's", True, Facts.magnitude),
+    "stale_build": Check("Stale or superseded builds", True, Facts.stale),
+    "outlier": Check("Outliers", False, Facts.outlier),
+    "lineage_mismatch": Check("Lineage mismatches", True, lambda f: f.marks["lineage_mismatch"]),
+    "timing_missing": Check("Partition without timing", False, lambda f: f.marks["timing_missing"]),
+    "timing_suspect": Check("Slack above the period, or no positive period", False, Facts.timing),
+    "vectorless_power": Check("Power from vectorless activity", False, Facts.vectorless),
+    "intent_mismatch": Check("Domain voltage unlike the operating point's", False, lambda f: f.marks["intent_mismatch"]),
+    "intent_missing": Check("No power domain", False, lambda f: f.marks["intent_missing"]),
+    "duplicate_source_row": Check("Duplicate rows in reports", False),
+    "unit_normalized": Check("Unit conversions", False),
+    "unmapped_objects": Check("Unmapped report objects", False),
 }
 
 
@@ -123,7 +187,7 @@ def sanitize(df: DataFrame, cfg: Config | None = None, lineage: DataFrame | None
     cfg = cfg or Config()
     has = set(df.columns)
     names = df.columns
-    be, leak, physical = F.col("be_mw"), F.col("be_leakage_mw"), F.col("fe_physical_mw")
+    be, leak = F.col("be_mw"), F.col("be_leakage_mw")
     dated = "build_date" in has
     by_design = df.groupBy("design").agg(F.median(be).alias("median_"), (F.max("build_date") if dated else F.lit(None).cast("date")).alias("newest_"))
     df = with_z(df, "be_mw", "z_be_").join(by_design, "design", "left")  # a row a design
@@ -137,33 +201,10 @@ def sanitize(df: DataFrame, cfg: Config | None = None, lineage: DataFrame | None
         spread = Window.partitionBy("design", "build", "fub", "operating_point")
         mean = F.avg(leak).over(spread)
         spread_pct = F.when(mean > 0, (F.max(leak).over(spread) - F.min(leak).over(spread)) / mean * 100)
-    groups = [F.col(c) for c in GROUPS if c in has]
-    total = sum((F.coalesce(c, F.lit(0.0)) for c in groups), F.lit(0.0))
-    some_group = F.coalesce(*groups).isNotNull() if groups else _no()
-    zero = F.abs(be) < cfg.near_zero_mw
-    size = F.when(F.col("median_") > 0, be / F.col("median_"))
-    status = F.col("build_status") == "superseded" if "build_status" in has else _no()
-    late = F.datediff("newest_", "build_date") > cfg.stale_days if dated else _no()
-    timing = (F.col("wns_ps") > F.col("clock_period_ps")) | (F.col("clock_period_ps") <= 0) if {"wns_ps", "clock_period_ps"} <= has else _no()
-    lacks = lambda columns: F.exists(F.array(*[F.col(c).isNull() if c in has else F.lit(True) for c in columns]), lambda x: x)
-    some = lambda x: F.coalesce(x, F.lit(False))
-    tests = {
-        "missing_metric": lacks(["fe_logical_mw", "fe_physical_mw", "be_mw"]),
-        "missing_physical": lacks(PHYSICAL),
-        "duplicate": duplicated(df.select(*names)),
-        "negative": F.exists(F.array(*[some(F.col(c) < 0) for c in NON_NEGATIVE if c in has]), lambda x: x),
-        "leakage_suspect": some(leak > be * 1.001) | some(spread_pct > cfg.leakage_workload_tol_pct) if "be_leakage_mw" in has else _no(),
-        "group_sum_mismatch": some_group & (F.when(be > 0, F.abs(total - be) / be * 100) > cfg.group_sum_tol_pct),
-        "near_zero_be": zero,
-        "unit_suspect": ~zero & ((size > cfg.unit_magnitude_ratio) | (size < 1 / cfg.unit_magnitude_ratio)),
-        "stale_build": some(status) | some(late),
-        "outlier": some(F.col("z_be_") > Z_LIMIT) | some(_outlier_ratio(be, physical)),
-        "timing_suspect": timing,
-        "vectorless_power": F.lower("be_activity_mode").startswith("vectorless") if "be_activity_mode" in has else _no(),
-    } | marks
-    row_checks = [c for c in CHECKS if c in tests]
-    flags = issue_list(*[(code, tests[code]) for code in row_checks])
-    blocking = F.array(*[F.lit(code) for code in row_checks if CHECKS[code][1]])
+    facts = Facts(cfg, frozenset(has), marks, duplicated(df.select(*names)), spread_pct)
+    row_checks = {code: c for code, c in CHECKS.items() if c.test is not None}
+    flags = issue_list(*[(code, c.test(facts)) for code, c in row_checks.items()])
+    blocking = F.array(*[F.lit(code) for code, c in row_checks.items() if c.blocking])
     return df.withColumn("quality_flags", flags).withColumn("usable", ~F.arrays_overlap("quality_flags", blocking)).select(*names, "quality_flags", "usable")
 
 

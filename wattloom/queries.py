@@ -479,7 +479,7 @@ LEAK = "least(coalesce(be_leakage_mw, be_mw * 0.15), be_mw)"
 SAVE = DERIVED.rstrip() + f", c as (select *, {LEAK} as leak, be_mw - {LEAK} as dyn from d where {AT})"
 _SAVINGS = {"clock_gating": ("dyn * 0.35 * greatest(0.90 - cg_efficiency, 0.0)", "dynamic"), "wire_cap_reduction": ("dyn * wire_cap_fraction * 10 / 100", "dynamic"), "vt_swap": ("case when wns_ps > 20 then leak * 0.4 end", "leakage")}
 for _name, (_expr, _part) in _SAVINGS.items():
-    query(f"technique_{_name}", f"{SAVE} select design, build, fub, '{_name}' as technique, round({_expr}, 11) as saving_mw, round({_expr if _part == 'dynamic' else '0.0'}, 11) as dynamic_mw, round({_expr if _part == 'leakage' else '0.0'}, 11) as leakage_mw from c where {_expr} > 0")(lambda s, d, k=_name: rounded(closure.TECHNIQUES[k][0](closure.dyn_leak(corner(wide(s, d)))), saving_mw=11, dynamic_mw=11, leakage_mw=11))
+    query(f"technique_{_name}", f"{SAVE} select design, build, fub, '{_name}' as technique, round({_expr}, 11) as saving_mw, round({_expr if _part == 'dynamic' else '0.0'}, 11) as dynamic_mw, round({_expr if _part == 'leakage' else '0.0'}, 11) as leakage_mw from c where {_expr} > 0")(lambda s, d, k=_name: rounded(closure.TECHNIQUES[k].savings(closure.dyn_leak(corner(wide(s, d)))), saving_mw=11, dynamic_mw=11, leakage_mw=11))
 query("technique_power_gating", f"select design, build, fub, 'power_gating' as technique, round(be_mw * 0.5 * 0.9, 11) as saving_mw, 0.0 as dynamic_mw, round({LEAK} * 0.5 * 0.9, 11) as leakage_mw from wide where workload = 'idle' and operating_point = 'nom' and be_mw > 0")(lambda s, d: rounded(closure.power_gating(corner(wide(s, d).join(F.broadcast(closure.idle_workload(wide(s, d))), F.col("workload") == F.col("idle")), F.col("idle"))), saving_mw=11, dynamic_mw=11, leakage_mw=11))
 
 
