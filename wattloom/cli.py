@@ -55,6 +55,7 @@ def parser() -> argparse.ArgumentParser:
         return c
 
     command("ingest", "read run folders into stored tables", "root", "map", "out", strict=bool, only=str)
+    command("generate", "run folders made by rule, with their truth", "out", designs=int, builds=int, blocks=int, dirty=float, seed=int)
     command("plan", "a command a run, for a scheduler", "root", "map", "parts", template=str)
     command("merge", "put single-run tables into one store", "parts", "out")
     command("sources", "list report formats")
@@ -207,6 +208,7 @@ def run(spark: SparkSession, a: argparse.Namespace, cfg: Config) -> int:
     from wattloom.operators.measurements import MeasurementStore
     from wattloom.operators.select import latest_builds, select_slice
     from wattloom.sources.reports import source_table
+    from wattloom.sources.generate import generate
     from wattloom.sources.tables import import_file, read_table, run_sql, write_table
 
     data = lambda raw=False: ingest.load_dataset(spark, a.store, raw, cfg)
@@ -242,6 +244,9 @@ def run(spark: SparkSession, a: argparse.Namespace, cfg: Config) -> int:
         show(found.orderBy("design", "place"))
         catalog.record(f"{a.store}/catalog", "anomaly", found)
         return int(a.strict and found.where("status <> 'cleared'").limit(1).count() > 0)
+    elif a.command == "generate":
+        given = {k: v for k in ("designs", "builds", "blocks", "dirty", "seed") if (v := getattr(a, k)) is not None}
+        print(generate(spark, a.out, **given), "report files")
     elif a.command == "analyze":
         if a.what not in ANALYSES:
             raise ValueError(f"no such analysis: {a.what}; there are {', '.join(ANALYSES)}")
