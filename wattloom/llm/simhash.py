@@ -225,6 +225,8 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, b
 
 #: Positional bytes of a list's key in ``similar``, and lists a document is in.
 WIDTH, BANDS = 5, 24
+#: Positions that a pair's tally counts: those of the keys, and as many again, so that fewer pairs reach its bound by chance.
+TALLIED = 2 * WIDTH * BANDS
 #: Documents of a block: longer lists are compared by blocks.
 TOGETHER = 1024
 #: Pairs of two groups that a block emits at first; a group of pairs that was cut short comes back with eight times as many.
@@ -232,7 +234,7 @@ PAIRS_AT_ONCE = 64
 #: A pair at the threshold falls below the tally's bound by so many standard deviations at most, but for 0.3 %.
 SLACK = 2.75
 _rng = np.random.default_rng(10)
-_TIMES, _XOR = _rng.integers(0, 1 << 63, (2, WIDTH * BANDS, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_TIMES, _XOR = _rng.integers(0, 1 << 63, (2, TALLIED, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def shingle_set(text: bytes, words: int = 5, seed: int = SEED) -> np.ndarray:
@@ -272,10 +274,18 @@ def spanning(sketch: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
     return i, j
 
 
-def crossing(sketch: np.ndarray, group: np.ndarray, least: int, most: int) -> tuple[np.ndarray, np.ndarray, bool]:
+def first_band(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The first key that each pair shares; BANDS if it shares none."""
+    same = (a[:, : WIDTH * BANDS] == b[:, : WIDTH * BANDS]).reshape(len(a), BANDS, WIDTH).all(axis=2)
+    return np.where(same.any(axis=1), same.argmax(axis=1), BANDS)
+
+
+def crossing(sketch: np.ndarray, group: np.ndarray, least: int, most: int, band: int | None = None, skip: int = 0) -> tuple[np.ndarray, np.ndarray, bool]:
     """Pairs (i, j) of different groups that share ``least`` positions: of each two groups the ``most`` with the highest tally.
 
-    Also whether there were more. Rows of the most common group are compared with others only.
+    Also whether there were more. Rows of the most common group are compared with others only. A pair counts in the list of the
+    first key that it shares (``band``), so that it comes once however many lists hold it; of each two groups, ``skip`` pairs were
+    had before.
     """
     names, own, size = np.unique(group, return_inverse=True, return_counts=True)
     rest = np.nonzero(own != size.argmax())[0]
@@ -286,14 +296,16 @@ def crossing(sketch: np.ndarray, group: np.ndarray, least: int, most: int) -> tu
         i, j = np.nonzero(shared >= least)
         tally, i = shared[i, j], rows[i]
         ok = (own[i] != own[j]) & ((i < j) | (own[j] == size.argmax()))
+        if band is not None:
+            ok[ok] = first_band(sketch[i[ok]], sketch[j[ok]]) == band
         found.append((i[ok], j[ok], tally[ok]))
     i, j, tally = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
     two = np.minimum(own[i], own[j]) * len(names) + np.maximum(own[i], own[j])
     order = np.lexsort((j, i, -tally, two))
     first = np.nonzero(np.concatenate(([True], two[order][1:] != two[order][:-1])))[0] if len(order) else np.zeros(0, np.int64)
     place = np.arange(len(order)) - np.repeat(first, np.diff(np.append(first, len(order))))
-    keep = order[place < most]
-    return i[keep], j[keep], len(keep) < len(order)
+    keep = order[(place >= skip) & (place < most)]
+    return i[keep], j[keep], bool((place >= most).any())
 
 
 PART = ["key", "p", "q"]
@@ -303,7 +315,7 @@ def _first_parts(shared: DataFrame) -> DataFrame:
     """Lists as (key, p, q, gid): long ones in blocks that are not compared with each other yet."""
     long = shared.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > TOGETHER).select("key", F.ceil(F.col("n") / TOGETHER).alias("blocks"))
     block = F.coalesce(F.pmod(F.xxhash64("key", "gid"), F.col("blocks")), F.lit(0)).cast("int")
-    return shared.join(long, "key", "left").select("key", block.alias("p"), F.lit(0).alias("q"), "gid", F.col("gid").alias("group"))
+    return shared.join(long, "key", "left").select("key", "band", block.alias("p"), F.lit(0).alias("q"), "gid", F.col("gid").alias("group"))
 
 
 def _later_parts(shared: DataFrame, groups: DataFrame) -> DataFrame:
@@ -312,7 +324,7 @@ def _later_parts(shared: DataFrame, groups: DataFrame) -> DataFrame:
     The largest group of a long list has blocks of its own, which meet the blocks of the others but not each other: a cloud of
     copies that is one group by now is not compared with itself again.
     """
-    rows = shared.join(groups, "gid", "left").select("key", "gid", F.coalesce("group", "gid").alias("group"))
+    rows = shared.join(groups, "gid", "left").select("key", "band", "gid", F.coalesce("group", "gid").alias("group"))
     sizes = rows.groupBy("key", "group").agg(F.count("*").alias("n"))
     lists_ = sizes.groupBy("key").agg(F.count("*").alias("groups"), F.sum("n").alias("n"), F.max(F.struct("n", "group")).alias("top")).where("groups > 1")
     lists_ = lists_.select("key", "n", F.col("top.group").alias("top"), F.ceil((F.col("n") - F.col("top.n")) / TOGETHER).alias("others"), F.ceil(F.col("top.n") / TOGETHER).alias("tops"))
@@ -323,7 +335,7 @@ def _later_parts(shared: DataFrame, groups: DataFrame) -> DataFrame:
     of_other = F.transform(upto(F.col("others") + F.col("tops")), lambda k: row(hashed("others"), k))
     of_top = F.transform(upto(F.col("others")), lambda k: row(F.col("others") + hashed("tops"), k))
     parts = F.when(F.col("n") <= TOGETHER, F.array(row(F.lit(0), F.lit(0)))).when(F.col("group") == F.col("top"), of_top).otherwise(of_other)
-    return rows.select("key", F.inline(parts), "gid", "group")
+    return rows.select("key", "band", F.inline(parts), "gid", "group")
 
 
 def similar(docs: DataFrame, words: int = 5, similarity: float = 0.8, seed: int = SEED) -> DataFrame:
@@ -337,7 +349,7 @@ def similar(docs: DataFrame, words: int = 5, similarity: float = 0.8, seed: int
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "similar")
-    size = WIDTH * BANDS
+    size = TALLIED
     least = int(np.floor(size * similarity - SLACK * np.sqrt(size * similarity * (1 - similarity))))
     text = F.coalesce(F.col("text"), F.lit(""))
     keyed = docs.select(F.col("doc_id").cast("long"), text.alias("text")).withColumns({"k1": F.xxhash64("text"), "k2": F.xxhash64(F.lit(7), "text")})
@@ -361,37 +373,36 @@ def similar(docs: DataFrame, words: int = 5, similarity: float = 0.8, seed: int
         """Rows of lists of two or more, of rows sorted by key: a stream."""
         import pyarrow as pa
 
-        last = None  # the row before, if it has not been passed on
-        before = None
+        last = before = None  # the row before, if it has not been passed on, and its key
         for table in joined(batches):
-            key, gid = table.column("key").to_numpy(), table.column("gid").to_numpy()
+            key = table.column("key").to_numpy()
             as_before = np.concatenate(([before is not None and key[0] == before], key[1:] == key[:-1]))
             keep = as_before.copy()
             keep[:-1] |= as_before[1:]
             if as_before[0] and last is not None:
-                yield pa.RecordBatch.from_arrays([pa.array([last[0]], pa.int64()), pa.array([last[1]], pa.int64())], ["key", "gid"])
+                yield last
             if keep.any():
-                yield pa.RecordBatch.from_arrays([pa.array(key[keep]), pa.array(gid[keep])], ["key", "gid"])
+                yield from table.filter(pa.array(keep)).to_batches()
             before = key[-1]
-            last = None if keep[-1] else (int(key[-1]), int(gid[-1]))
+            last = None if keep[-1] else table.slice(len(key) - 1).to_batches()[0]
 
-    dealt = texts.select("gid", F.explode(keys).alias("key")).repartition("key").sortWithinPartitions("key")
-    shared = scratch.save(dealt.mapInArrow(met, "key long, gid long"), "met")
+    dealt = texts.select(F.posexplode(keys).alias("band", "key"), "gid").select("key", "band", "gid").repartition("key").sortWithinPartitions("key")
+    shared = scratch.save(dealt.mapInArrow(met, "key long, band int, gid long"), "met")
 
-    def candidates(parts: DataFrame, most: int) -> DataFrame:
+    def candidates(parts: DataFrame, most: int, skip: int) -> DataFrame:
         """(a, b) of all parts: a forest each if ``most`` is 0; a row of nulls where there are more."""
 
         def run(batches: Iterator) -> Iterator:
             import pyarrow as pa
 
             for table, _ in lists(batches, "part", 1 << 20):
-                part, gid, group = (table.column(c).to_numpy() for c in ("part", "gid", "group"))
+                part, band, gid, group = (table.column(c).to_numpy() for c in ("part", "band", "gid", "group"))
                 sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(len(part), size)
                 cut = np.concatenate(([0], np.nonzero(part[1:] != part[:-1])[0] + 1, [len(part)]))
                 a, b, more = [], [], False
                 for x, y in zip(cut[:-1], cut[1:], strict=True):
                     if most:
-                        i, j, cut_short = crossing(sketch[x:y], group[x:y], least, most)
+                        i, j, cut_short = crossing(sketch[x:y], group[x:y], least, most, int(band[x]), skip)
                         more |= cut_short
                     else:
                         i, j = spanning(sketch[x:y], least)
@@ -402,7 +413,7 @@ def similar(docs: DataFrame, words: int = 5, similarity: float = 0.8, seed: int
                 if more:
                     yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64())], ["a", "b"])
 
-        listed = parts.join(texts.select("gid", "sketch"), "gid").select(F.xxhash64(*PART).alias("part"), "gid", "group", "sketch")
+        listed = parts.join(texts.select("gid", "sketch"), "gid").select(F.xxhash64(*PART).alias("part"), "band", "gid", "group", "sketch")
         return listed.repartition("part").sortWithinPartitions("part", "gid").mapInArrow(run, "a long, b long").distinct()
 
     def sets(batches: Iterator) -> Iterator:
@@ -438,17 +449,18 @@ def similar(docs: DataFrame, words: int = 5, similarity: float = 0.8, seed: int
 
     sizes = texts.select("gid", "shingles")
     near = F.least("one", "other") >= similarity * F.greatest("one", "other") - 1e-9  # else no overlap is enough
-    tested, groups, most = None, None, 0
+    tested, groups, most, skip = None, None, 0, 0
     while True:
         parts = _first_parts(shared) if groups is None else _later_parts(shared, groups)
-        found = scratch.save(candidates(parts, most), "candidates")
+        found = scratch.save(candidates(parts, most, skip), "candidates")
         pairs = found.where("a is not null").join(sizes.toDF("a", "one"), "a").join(sizes.toDF("b", "other"), "b").where(near).select("a", "b")
         pairs = scratch.save(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
         tested = pairs if tested is None else tested.unionByName(pairs)
         links_ = verified(pairs)
+        linked = bool(links_.limit(1).count())
         if groups is None:
             groups = connected_components(scratch, links_).withColumnsRenamed({"node": "gid", "root": "group"})
-        elif links_.limit(1).count():
+        elif linked:
             of = lambda end: groups.select(F.col("gid").alias(end), F.col("group").alias(f"g_{end}"))  # noqa: B023, E731
             joined_ = links_.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("g_a", "a").alias("a"), F.coalesce("g_b", "b").alias("b"))
             roots = connected_components(scratch, joined_).withColumnsRenamed({"node": "group", "root": "top"})
@@ -456,6 +468,7 @@ def similar(docs: DataFrame, words: int = 5, similarity: float = 0.8, seed: int
             groups = scratch.save(known.join(roots, "group", "left").select("gid", F.coalesce("top", "group").alias("group")), "groups")
         if most and not found.where("a is null").limit(1).count():
             break
+        skip = 0 if linked else most  # between the same groups, the best ``most`` pairs were these
         most = most * 8 or PAIRS_AT_ONCE
     placed = texts.select("gid", "k1", "k2", "least").join(groups, "gid", "left").withColumn("root", F.coalesce("group", "gid"))
     first = placed.groupBy("root").agg(F.min("least").alias("component_id"))
