@@ -395,7 +395,30 @@ def _(s, d):
     return rounded(anomalies.findings(wide(s, d)).select("rule", "severity", "design", "build", "model_root", "value"))
 
 
-@query("anomaly_skipped")
+_NEEDS = {k: r.needs for k, r in anomalies.RULES.items()}
+_CANNOT = {
+    "idle_dynamic": "idle_ = 0 or ref_workload = 'idle' then 'no ''idle'' workload in the dataset'",
+    "activity_power_mismatch": "drives_ < 8 then 'fewer than 8 blocks with activity, capacitance and corner'",
+    "unexplained_regression": "builds_ < 2 then 'no previous build'",
+    "creeping_growth": "builds_ < 4 then 'fewer than 4 builds'",
+    "clock_dominant": "clocks_ = 0 then 'no power by group (be_clock_mw)'",
+    "replica_divergence": "replicas_ = 0 then 'no rows of replica instances'",
+    "leakage_share": "leaks_ < 8 then 'fewer than 8 blocks with a leakage split'",
+}
+_NEEDED = list(dict.fromkeys(c for needs in _NEEDS.values() for c in needs))
+
+
+def _skipped_sql() -> str:
+    """Counts a design, and a text a rule from them."""
+    lacks = {k: "concat_ws(', ', " + ", ".join(f"case when n_{c} = 0 then '{c}' end" for c in needs) + ")" for k, needs in _NEEDS.items()}
+    reasons = " union all ".join(f"select design, '{k}' as rule, case when {lacks[k]} <> '' then 'needs ' || {lacks[k]} when {_CANNOT[k]} end as reason from c" for k in _NEEDS)
+    return f"""{RANKED.rstrip()}, o as (select design, max(build_rank) as top, coalesce(max(case when workload = 'typical' then workload end), min(workload)) as ref_workload, coalesce(max(case when operating_point = 'nom' then operating_point end), min(operating_point)) as ref_op from r group by design),
+x as (select *, build_rank = top and workload = ref_workload and operating_point = ref_op as here, activity * (wire_cap_pf + cell_cap_pf) * voltage_v * frequency_ghz as drive from r join o using (design)),
+c as (select design, {', '.join(f'count({c}) as n_{c}' for c in _NEEDED)}, count(*) filter (where workload = 'idle') as idle_, max(ref_workload) as ref_workload, max(build_rank) as builds_, count(*) filter (where here and contains(fub, '@')) as replicas_, count(*) filter (where here and clock_fraction is not null) as clocks_, count(*) filter (where here and leakage_fraction is not null and be_mw > 0) as leaks_, count(*) filter (where here and drive > 0 and be_dynamic_mw > 0) as drives_ from x group by design)
+select * from ({reasons}) q where reason is not null"""
+
+
+@query("anomaly_skipped", _skipped_sql())
 def _(s, d):
     return anomalies.skipped(wide(s, d))
 
@@ -663,9 +686,46 @@ def _(s, d):
     return rounded(models.cross_validate(kept(table(s, d, "wide")), ["baseline", "scaled"])[1])
 
 
+def _least_squares(features: list[str], folds: bool) -> str:
+    """CTEs up to ``w``: held, an intercept, and x1 to xk, the least-squares weights of be_mw on the rows that are not held out.
+
+    Normal equations of correlations, solved by elimination without pivots: the matrix is positive definite where no feature
+    is a sum of others. Missing values are the medians of the rows that a fit sees; f1 to fk keep them.
+    """
+    k = range(1, len(features) + 1)
+    each = lambda text: ", ".join(text.format(i=i, c=features[i - 1]) for i in k)
+    held = "select distinct build as held from d" if folds else "select 'none' as held"
+    seen = "d join b on d.build <> b.held" if folds else f"d cross join b where {SPLIT}"
+    out = [
+        f"b as ({held})",
+        f"fill as (select held, {each('median({c}) as f{i}')} from {seen} group by held)",
+        f"t as (select held, be_mw as y, {each('coalesce({c}, f{i}) as x{i}')} from {seen.replace(' where', ' join fill using (held) where') if not folds else seen + ' join fill using (held)'})",
+        f"m as (select held, avg(y) as my, {each('avg(x{i}) as m{i}, stddev_pop(x{i}) as s{i}')} from t group by held)",
+        f"e0 as (select held, {', '.join(f'covar_pop(x{i}, x{j}) / (any_value(s{i}) * any_value(s{j})) as a{i}{j}' for i in k for j in k)}, {each('covar_pop(x{i}, y) / any_value(s{i}) as a{i}0')} from t join m using (held) group by held)",
+    ]
+    for n in k:
+        rows = [f"a{i}{j}" if i == n else f"a{i}{j} - a{i}{n} / a{n}{n} * a{n}{j} as a{i}{j}" for i in k for j in (0, *k)]
+        out.append(f"e{n} as (select held, {', '.join(rows)} from e{n - 1})")
+    slopes = each("a{i}0 / a{i}{i} / s{i} as x{i}")
+    out.append(f"v as (select held, {slopes} from e{len(features)} join m using (held))")
+    out.append(f"w as (select held, my - ({' + '.join(f'v.x{i} * m{i}' for i in k)}) as intercept, {each('v.x{i}')}, {each('f{i}')} from v join m using (held) join fill using (held))")
+    return DERIVED.rstrip() + ", " + ", ".join(out)
+
+
+def _weights_sql(features: list[str]) -> str:
+    terms = [("intercept", "intercept"), *[(c, f"x{i}") for i, c in enumerate(features, 1)]]
+    return _least_squares(features, False) + " union all ".join(f" select '{c}' as term, round({x}, 8) as weight from w" for c, x in terms)
+
+
+def _folds_sql(features: list[str]) -> str:
+    predicted = " + ".join(["intercept", *[f"x{i} * coalesce({c}, f{i})" for i, c in enumerate(features, 1)]])
+    return f"""{_least_squares(features, True)}, p as (select build, be_mw, {predicted} as p from d join w on build = held)
+select build, count(*) as n, round(avg(abs(p - be_mw)), 6) as mae, round(avg(abs((p - be_mw) / be_mw) * 100) filter (where be_mw <> 0), 6) as mape, round(case when var_pop(be_mw) > 0 then 1 - sum((p - be_mw) * (p - be_mw)) / (var_pop(be_mw) * count(*)) end, 6) as r2 from p group by build"""
+
+
 for _kind in ("linear", "physics", "datamove"):
-    query(f"model_{_kind}")(lambda s, d, k=_kind: model_rows(s, models.fit(models.split_by_build(measured(s, d))[0], k)))
-    query(f"model_{_kind}_lobo")(lambda s, d, k=_kind: models.score_folds(w := measured(s, d), models.leave_one_build_out(w, k)))
+    query(f"model_{_kind}", _weights_sql(models.features_of(_kind)))(lambda s, d, k=_kind: rounded(model_rows(s, models.fit(models.split_by_build(measured(s, d))[0], k)), weight=8))
+    query(f"model_{_kind}_lobo", _folds_sql(models.features_of(_kind)))(lambda s, d, k=_kind: rounded(models.score_folds(w := measured(s, d), models.leave_one_build_out(w, k)).select("build", "n", "mae", "mape", "r2")))
 
 
 @query("model_train")
