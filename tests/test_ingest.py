@@ -6,8 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 from wattloom import catalog, cli
 from wattloom import ingest as engine
-from wattloom.config import Config, read_budgets, read_scenarios
+from wattloom.config import PRESETS, Config, read_budgets, read_identity, read_scenarios
 from wattloom.ingest import ingest
+from wattloom.profiling import profiled
 from wattloom.report import write_report
 from wattloom.sources.tables import import_file
 
@@ -112,6 +113,39 @@ def test_replicas_by_policy_and_map_errors(spark, tmp_path):
         engine.read_map(spark, str(tmp_path / "bad.csv"))
 
 
+def test_presets_change_how_names_become_blocks(spark, tmp_path):
+    for name, (text, own) in PRESETS.items():
+        assert text and read_identity(name) == Config().identity | own
+    (tmp_path / "map.csv").write_text("fub,fe_hier,partition\nA,top/u_core_phys,P0\nB,top/U.esc_3,P0\n")
+    read = lambda name: {r.fub: (r.fe_hier, r.be_hier) for r in engine.read_map(spark, str(tmp_path / "map.csv"), Config(identity=read_identity(name))).collect()}
+    assert read("same_hierarchy") == {"A": ("top/u_core_phys",) * 2, "B": ("top/U.esc_3",) * 2}
+    with pytest.raises(ValueError, match="be_hier"):
+        read("flattened_backend")
+    (tmp_path / "map.csv").write_text("fub,fe_hier,be_hier\nA,top/u_core,top/u_core_phys\nB,top\\\\U.esc_3,top/x_r12\n")
+    assert read("separate_hierarchies")["A"] == ("top/u_core", "top/u_core") and read("separate_hierarchies")["B"][1] == "top/x"
+    assert read("rtl_activity_only") == {"A": ("top/u_core", "top/u_core"), "B": ("topu/esc", "top/x")}
+    with pytest.raises(ValueError, match="kind"):
+        ingest(spark, str(tmp_path), "map.csv", str(tmp_path / "none"), Config(identity={"kind": "guess"}))
+
+
+def test_what_failed_is_kept_until_the_next_ingest(spark, root, tmp_path):
+    out = str(tmp_path / "store")
+    failed = ingest(spark, str(root / "runs"), str(root / "map.csv"), out)
+    kept = spark.read.parquet(f"{out}/failed")
+    assert failed.count() == kept.count() > 0 and {r.error for r in failed.collect()} == {r.error for r in kept.collect()}
+    again = ingest(spark, str(root / "runs"), str(root / "map.csv"), out)
+    assert again.count() == spark.read.parquet(f"{out}/failed").count() == len(again.collect())
+
+
+def test_an_ingest_names_its_steps(spark, root, tmp_path):
+    out = str(tmp_path / "store")
+    with profiled(spark, "ingest", f"{out}/catalog"):
+        ingest(spark, str(root / "runs"), str(root / "map.csv"), out)
+    stages = {s.name: s for s in catalog.profiles(spark, f"{out}/catalog").first().stages}
+    assert {"reports", "good", "validated", "store measurements", "failed", "catalog"} <= set(stages)
+    assert stages["reports"].tasks > 0 and stages["reports"].wall_s > 0
+
+
 def test_single_runs_merge_to_the_same_store(spark, root, tmp_path):
     ingest(spark, str(root / "runs"), str(root / "map.csv"), str(tmp_path / "whole"))
     lines = engine.plan_jobs(spark, str(root / "runs"), str(root / "map.csv"), str(tmp_path / "parts"), "sub -J {design}-{build} {cmd}")
@@ -173,6 +207,10 @@ def test_command_line(spark, root, capsys, monkeypatch):
     assert cli.main(["budget", store, str(root / "budgets.toml"), "--strict"]) == 1 and cli.main(["converge", store, str(root / "budgets.toml")]) == 0
     assert cli.main(["catalog", store, "select status from budget_status"]) == 0 and "OVER" in capsys.readouterr().out
     assert cli.main(["predict", store, "--model", "scaled", "--scale", "fe_physical=0.5"]) == 0 and cli.main(["lineage", store, "--fub", "A"]) == 0
+    assert cli.main(["presets"]) == 0 and "same_hierarchy" in capsys.readouterr().out
+    assert cli.main(["identity", "rtl_activity_only"]) == 0 and '"lowercase": true' in capsys.readouterr().out
+    assert cli.main(["identity", "none"]) == 1 and cli.main(["init", str(root / "p.toml"), "--preset", "none"]) == 1
+    assert cli.main(["init", str(root / "p.toml"), "--preset", "same_hierarchy"]) == 0 and Config.read(str(root / "p.toml")).identity["kind"] == "same_hierarchy"
     assert cli.main(["init", str(root / "c.toml")]) == 0 and cli.main(["--config", str(root / "c.toml"), "tables", store]) == 0
     assert cli.main(["plan", str(root / "runs"), "map.csv", "parts"]) == 0 and "--only chip/B2" in capsys.readouterr().out
     assert cli.main(["techniques", store]) == 0 and cli.main(["doctor"]) == 0

@@ -68,5 +68,5 @@ def import_history(spark: SparkSession, root: str) -> DataFrame:
 
 def profiles(spark: SparkSession, root: str, last: int = 5) -> DataFrame:
     """The last profiled runs, their stages decoded."""
-    stages = "array<struct<name: string, wall_s: double, cpu_s: double, max_rss_mb: double, rows: long>>"
+    stages = "array<struct<name: string, wall_s: double, cpu_s: double, max_rss_mb: double, rows: long, jobs: long, tasks: long, task_s: double, task_cpu_s: double, shuffle_mb: double, spill_mb: double>>"
     return read(spark, root, "profile_run").orderBy(F.col("recorded_at").desc()).limit(last).withColumn("stages", F.from_json("stages", stages))

@@ -24,7 +24,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wattloom.config import Config, read_budgets, read_identity, read_scenarios
+from wattloom.config import PRESETS, Config, read_budgets, read_identity, read_scenarios
+from wattloom.profiling import profiled, stage_totals, stages_of, step
 
 
 def session() -> SparkSession:
@@ -43,6 +44,7 @@ def analysis(f):
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser("wattloom")
     p.add_argument("--config", help="settings as TOML")
+    p.add_argument("--profile", help="a store whose catalog records what the command cost")
     commands = p.add_subparsers(dest="command", required=True)
 
     def command(name: str, text: str, *arguments: str, **flags):
@@ -82,8 +84,10 @@ def parser() -> argparse.ArgumentParser:
     command("tables", "rows of stored and catalog tables", "store")
     command("catalog", "a SELECT over the catalog", "store", "text")
     command("sql", "a SELECT over the stored tables", "store", "text")
-    command("init", "write settings with their defaults", "path")
-    command("identity", "show an identity preset", "path")
+    command("init", "write settings with their defaults", "path", preset=str)
+    command("identity", "show an identity preset, by name or of a file", "path")
+    command("presets", "list identity presets")
+    command("costs", "the last profiled commands, and their stages summed", "store", last=int)
     command("doctor", "versions of what the engine runs on")
     return p
 
@@ -92,10 +96,20 @@ def main(argv: list[str] | None = None) -> int:
     a = parser().parse_args(argv)
     try:
         if a.command == "init":
-            Path(a.path).write_text(Config().to_toml())
+            Path(a.path).write_text((Config(identity=read_identity(a.preset)) if a.preset else Config()).to_toml())
             return 0
         cfg = Config.read(a.config) if a.config else Config()
-        return run(session(), a, cfg)
+        if a.command == "presets":
+            print("\n".join(f"{k}: {text}" for k, (text, _) in PRESETS.items()))
+            return 0
+        if not a.profile:
+            return run(session(), a, cfg)
+        spark = session()
+        with profiled(spark, a.command, f"{a.profile}/catalog"):
+            if a.command == "ingest":  # names its own steps
+                return run(spark, a, cfg)
+            with step(a.command):
+                return run(spark, a, cfg)
     except (ValueError, KeyError, FileNotFoundError) as e:
         print(e, file=sys.stderr)
         return 1
@@ -342,6 +356,10 @@ def run(spark: SparkSession, a: argparse.Namespace, cfg: Config) -> int:
         show(catalog.query(spark, f"{a.store}/catalog", a.text))
     elif a.command == "sql":
         show(run_sql(spark, a.text, **stored(spark, a.store)))
+    elif a.command == "costs":
+        runs = catalog.profiles(spark, f"{a.store}/catalog", a.last or 5)
+        show(runs.select("recorded_at", "command", "total_wall_s", "peak_rss_mb", F.size("stages").alias("n_stages")))
+        show(stage_totals(stages_of(runs), ["command"]).orderBy("command", "first"))
     elif a.command == "identity":
         print(json.dumps(read_identity(a.path), indent=2))
     elif a.command == "doctor":

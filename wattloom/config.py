@@ -34,7 +34,7 @@ class Config:
     disabled_sources: list[str] = field(default_factory=list)
     upf_pattern: str = "intent/*.upf"
     budgets_file: str = "budgets.toml"
-    identity: dict[str, object] = field(default_factory=lambda: {"replica_policy": "sum", "merge_basis": "share", "divider": "/", "strip_top": False, "lowercase": False, "name_rules": []})
+    identity: dict[str, object] = field(default_factory=lambda: {"kind": "explicit_map", "replica_policy": "sum", "merge_basis": "share", "divider": "/", "strip_top": False, "lowercase": False, "name_rules": []})
     tree_features: list[str] = field(default_factory=lambda: ["fe_physical_mw", "wire_cap_pf", "cell_cap_pf", "area", "cell_count", "fanout", "frequency_ghz", "voltage_v", "activity", "wire_cap_fraction", "dyn_term", "leak_term"])
     anomaly_idle_ratio: float = 0.35
     anomaly_eff_ratio: float = 2.0
@@ -95,8 +95,23 @@ def read_scenarios(path: str) -> list[dict]:
     return out
 
 
+#: Named presets of how report names become blocks: what set-up each is for, and the settings that it changes.
+#: Names and settings; a rule's replacement refers to groups as $1.
+PRESETS: dict[str, tuple[str, dict[str, object]]] = {
+    "flattened_backend": ("small modules are ungrouped: several blocks share a signoff object by share", {"merge_basis": "share"}),
+    "replicated_units": ("one module, many instances: a glob in the map, and their sum (or each, by per_instance)", {"replica_policy": "sum"}),
+    "rtl_activity_only": ("activity has RTL names: escapes, dots and copies' suffixes are rewritten", {"name_rules": [["\\\\", ""], ["\\.", "/"], ["_(?:phys|r\\d+)$", ""], ["_\\d+$", ""]], "lowercase": True}),
+    "same_hierarchy": ("signoff keeps the RTL's paths: the map needs one path a block", {"kind": "same_hierarchy"}),
+    "separate_hierarchies": ("a map relates both sides; suffixes of physical copies go", {"name_rules": [["_(?:phys|r\\d+)$", ""]]}),
+}
+
+
 def read_identity(path: str) -> dict[str, object]:
-    """A preset of name rules and replica policy."""
+    """A preset of name rules and replica policy, by its name or from a file."""
+    if path in PRESETS:
+        return Config().identity | PRESETS[path][1]
+    if "." not in path and "/" not in path:
+        raise ValueError(f"no preset {path}; there are {', '.join(PRESETS)}")
     with open(path, "rb") as f:
         found = tomllib.load(f)
     return Config().identity | found.get("identity", found)

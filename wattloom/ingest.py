@@ -18,13 +18,14 @@ from wattloom import catalog
 from wattloom.config import Config
 from wattloom.functions.expr import fmax
 from wattloom.operators import identity, quality
+from wattloom.profiling import step
 from wattloom.operators.derive import with_derived, with_features
 from wattloom.sources.reports import READERS, SPECS, read_intent, read_reports
 from wattloom.sources.tables import read_table, split_rejected, store
 
 METRICS = ["fe_logical_mw", "fe_physical_mw", "be_mw", "be_leakage_mw", "fe_leakage_mw", "be_voltus_mw", "be_clock_mw", "be_register_mw", "be_comb_mw", "be_memory_mw", "cg_efficiency", "wire_cap_pf", "cell_cap_pf", "area", "cell_count", "fanout", "wire_length_um", "avg_net_length_um", "net_count", "activity", "bits_per_cycle", "clock_period_ps", "wns_ps", "tns_ps", "violating_endpoints"]
 #: Fixed: what replicas of a block become (only per_instance keeps them apart; mean has sum's rows), and how blocks share an object.
-REPLICA_POLICIES, MERGE_BASES = ("sum", "per_instance", "mean"), ("share", "equal")
+REPLICA_POLICIES, MERGE_BASES, KINDS = ("sum", "per_instance", "mean"), ("share", "equal"), ("explicit_map", "same_hierarchy")
 TABLES = ["measurements", "rejected", "measurements_long", "lineage", "unmapped", "performance", "power_profile", "power_intent", "quality_flags", "measurements_sanitized"]
 _META = "folder string, design string, build string, run_id string, build_date string, status string, design_type string, milestone string, tools string, sim_clock_period_ps double, object_kind string"
 
@@ -122,6 +123,11 @@ def read_map(spark: SparkSession, path: str, cfg: Config | None = None) -> DataF
     """The block map, its names normalized. A block with two partitions or owners, or a repeated row, is an error."""
     cfg = cfg or Config()
     blocks = read_table(spark, path)
+    if cfg.identity.get("kind") == "same_hierarchy":
+        # one path names a block on both sides, so the map may give either
+        for c, other in (("be_hier", "fe_hier"), ("fe_hier", "be_hier")):
+            if c not in blocks.columns and other in blocks.columns:
+                blocks = blocks.withColumn(c, F.col(other))
     for c in ("fub", "fe_hier", "be_hier"):
         if c not in blocks.columns:
             raise ValueError(f"the block map has no column {c}")
@@ -143,7 +149,8 @@ class Work:
         self.spark, self.root = spark, f"{root}/_work"
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.mode("overwrite").parquet(f"{self.root}/{name}")
+        with step(name):
+            df.write.mode("overwrite").parquet(f"{self.root}/{name}")
         return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
 
     def close(self) -> None:
@@ -218,10 +225,10 @@ def _delete(spark: SparkSession, path: str) -> None:
 def ingest(spark: SparkSession, root: str, map_path: str, out: str, cfg: Config | None = None, only: tuple[str, str] | None = None) -> DataFrame:
     """Reads all runs (or one) and replaces their (design, build) in the stored tables; returns what failed.
 
-    Flags and the sanitized view of an earlier state go, as they no longer hold.
+    What failed is kept in the folder ``failed`` until the next ingest. Flags and the sanitized view of an earlier state go, as they no longer hold.
     """
     cfg = cfg or Config()
-    for key, known in (("replica_policy", REPLICA_POLICIES), ("merge_basis", MERGE_BASES)):
+    for key, known in (("replica_policy", REPLICA_POLICIES), ("merge_basis", MERGE_BASES), ("kind", KINDS)):
         if cfg.identity.get(key, known[0]) not in known:
             raise ValueError(f"{key} is one of {', '.join(known)}")
     blocks = read_map(spark, map_path, cfg)
@@ -229,7 +236,8 @@ def ingest(spark: SparkSession, root: str, map_path: str, out: str, cfg: Config
     if not runs:
         raise ValueError(f"no runs under {root}")
     raw = read_long(spark, root if only is None else root, runs, cfg)
-    store(raw, f"{out}/reports")
+    with step("reports"):
+        store(raw, f"{out}/reports")
     mine = spark.createDataFrame([(str(m["design"]), str(m["build"])) for m in runs], "design string, build string")
     raw = spark.read.schema(raw.schema).parquet(f"{out}/reports").join(mine, ["design", "build"], "left_semi")
     work = Work(spark, out)
@@ -239,17 +247,22 @@ def ingest(spark: SparkSession, root: str, map_path: str, out: str, cfg: Config
     intent = intent_from_runs(spark, root, runs, blocks, good, cfg)
     if intent is not None:
         intent = work.keep(intent, "intent")
-        store(intent, f"{out}/power_intent")
+        with step("store power_intent"):
+            store(intent, f"{out}/power_intent")
         domain = intent.select("design", "build", F.col("fub").alias("base_"), "power_domain")
         wide = wide.withColumn("base_", F.split("fub", "@")[0]).join(domain, ["design", "build", "base_"], "left").drop("base_")
     clean, rejected = split_rejected(work.keep(quality.validate(wide), "validated"))
     for name, df in (("measurements", clean), ("rejected", rejected), ("measurements_long", mapped), ("lineage", lines), ("unmapped", unmapped), ("performance", performance_from_long(good)), ("power_profile", profile_from_long(good))):
-        store(df, f"{out}/{name}")
+        with step(f"store {name}"):
+            store(df, f"{out}/{name}")
     for name in ("quality_flags", "measurements_sanitized", "metric_quality"):
         _delete(spark, f"{out}/{name}")
     failed = failed.unionByName(missing_sources(raw, cfg))
-    failed = spark.createDataFrame(failed.collect(), failed.schema)  # a row a file that failed
-    record_runs(spark, out, runs, raw, failed)
+    with step("failed"):
+        failed.write.mode("overwrite").parquet(f"{out}/failed")
+    failed = spark.read.schema(failed.schema).parquet(f"{out}/failed")
+    with step("catalog"):
+        record_runs(spark, out, runs, raw, failed)
     work.close()
     return failed
 

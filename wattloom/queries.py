@@ -13,6 +13,7 @@ from wattloom.operators.measurements import MeasurementStore
 from wattloom.operators.derive import with_derived, with_features
 from wattloom.operators.select import build_ranks, latest_builds, select_slice, with_rank
 from wattloom.plans.fixture import sql, table
+from wattloom.profiling import stage_totals
 from wattloom.session import shared_dir
 from wattloom.sources import tables
 
@@ -866,9 +867,42 @@ def _(s, d):
     return rounded(explore.trace_shares(traced(s, d)).select("workload", "time_s", "share_time", "share_energy"))
 
 
-@query("compact_export")
+_KNOWN = ["wire_cap_pf", "cell_cap_pf", "area", "cell_count", "avg_net_length_um"]
+
+
+@query("compact_export", f"""with {PERF}, {VOLTAGE}, {TIMING}, {LATEST}, lw as (select * from wide join l using (design) where build_number = bn),
+fb as (select design, model_root, min(fub) as fub, min(partition) as partition, {', '.join(f'min({c}) as {c}' for c in _KNOWN)} from lw group by 1, 2),
+fw as (select design, model_root, workload, avg(activity) as activity, avg(bits_per_cycle) as bits_per_cycle from lw group by 1, 2, 3),
+po as (select design, count(distinct operating_point) as n_points, max(case when operating_point = 'nom' then voltage_v end) as nom_v, max(case when operating_point = 'turbo' then frequency_ghz end) as turbo_ghz from lw group by 1)
+select fw.design, 'B' || cast(l.bn as varchar) as latest_build, 'datamove' as model_kind, 5.123456789 as intercept, -0.125e0 as move_weight, 10e0 as move_fill, n_points, nom_v, turbo_ghz, fw.model_root, fub, fb.partition, {_columns(_KNOWN, 9)}, fw.workload, round(activity, 9) as activity, round(bits_per_cycle, 9) as bits_per_cycle,
+round(c0, 6) as volts_at_0, round(c1, 6) as volts_a_ghz, round(tm.intercept, 6) as delay_a, round(tm.slope, 6) as delay_k, round(pm.intercept, 6) as perf_a, round(pm.exponent, 6) as perf_b, round(pm.r2, 6) as perf_r2
+from fw join fb on fb.design = fw.design and fb.model_root = fw.model_root join l on l.design = fw.design left join po on po.design = fw.design left join vc on vc.design = fw.design left join tm on tm.design = fw.design and tm.partition = fb.partition left join pm on pm.design = fw.design and pm.workload = fw.workload""", ("wide", "performance"))
+def _(s, d):
+    """The documents read back: a row a block and workload, with what they say of the design."""
+    m = explore.read_compact(compact(s, d)).select("m.*").withColumn("f", F.explode("fubs")).withColumn("w", F.explode("f.workloads"))
+    at = lambda c, k: F.try_element_at(c, F.lit(k) if isinstance(k, str) else k)
+    delay, speed = at("timing", F.col("f.partition")), at("perf", F.col("w.workload"))
+    return rounded(
+        m.select(
+            "design", "latest_build", "model_kind", F.round("intercept", 9).alias("intercept"), at("coefficients", "move_term").alias("move_weight"), at("fill", "move_term").alias("move_fill"),
+            F.size("operating_points").cast("long").alias("n_points"), at("operating_points", "nom")["voltage_v"].alias("nom_v"), at("operating_points", "turbo")["frequency_ghz"].alias("turbo_ghz"),
+            "f.model_root", "f.fub", "f.partition", *[at("f.physical", c).alias(c) for c in _KNOWN], "w.workload", "w.activity", "w.bits_per_cycle",
+            F.col("dvfs.c0").alias("volts_at_0"), F.col("dvfs.c1").alias("volts_a_ghz"), delay["a"].alias("delay_a"), delay["k"].alias("delay_k"), speed["a"].alias("perf_a"), speed["b"].alias("perf_b"), speed["r2"].alias("perf_r2"),
+        ),
+        intercept=9, activity=9, bits_per_cycle=9, **dict.fromkeys(_KNOWN, 9),
+    )
+
+
+# costs: the given events as stages of commands, a command a user
+@query("stage_totals", """with e as (select 'user ' || cast(user_id as varchar) as command, event_type as name, event_id, value from events)
+select command, name, round(coalesce(sum(value), 0), 6) as wall_s, round(coalesce(sum(value / 2) filter (where event_id % 3 > 0), 0), 6) as cpu_s, round(max(abs(value) + 1), 6) as max_rss_mb, cast(coalesce(sum(event_id % 100) filter (where event_id % 2 = 0), 0) as bigint) as rows, count(*) as calls, min(event_id) as first from e group by 1, 2""", ("wide",))
 def _(s, d):
-    return compact(s, d)
+    value = F.col("value")
+    stages = s.read.parquet(f"{d}/events.parquet").select(
+        F.concat(F.lit("user "), "user_id").alias("command"), F.col("event_type").alias("name"), value.alias("wall_s"), F.when(F.col("event_id") % 3 > 0, value / 2).alias("cpu_s"),
+        (F.abs(value) + 1).alias("max_rss_mb"), F.when(F.col("event_id") % 2 == 0, F.col("event_id") % 100).cast("long").alias("rows"), F.col("event_id").cast("long").alias("place"),
+    )
+    return rounded(stage_totals(stages, ["command"]))
 
 
 # identity: reports over the same cells
@@ -902,6 +936,18 @@ def _(s, d):
     return rounded(identity.convert_units(reports(s, d)).select("design", "build", "object", "workload", "operating_point", "value", "unit"), value=9)
 
 
+@query("duplicate_source_rows", f"""with {LONG}, r as (select 1 as n_copies from l where build_number % 2 = 0 and workload = 'typical' union all select 2 from l where build_number % 8 = 0 and workload = 'typical')
+select 'duplicate_source_row' as flag, cast(sum(n_copies) as bigint) as n from r union all select 'unit_normalized', count(*) filter (where i <> 1) + count(*) filter (where i <> 1 and workload = 'typical' and build_number % 2 = 0) + 2 * count(*) filter (where i <> 1 and workload = 'typical' and build_number % 8 = 0) from l""")
+def _(s, d):
+    """Reports of even builds name their typical rows twice, of every eighth build four times: each copy but the first counts."""
+    rows = identity.convert_units(reports(s, d))
+    number = F.substring("build", 2, 9).cast("int")
+    again = rows.where((number % 2 == 0) & (F.col("workload") == "typical"))
+    copies = F.when(number % 8 == 0, F.sequence(F.lit(1), F.lit(3))).otherwise(F.array(F.lit(1)))
+    planted = rows.unionByName(again.withColumn("copy_", F.explode(copies)).drop("copy_"))
+    return quality.source_counts(planted)
+
+
 @query("source_counts", f"with {LONG} select 'unit_normalized' as flag, count(*) filter (where i <> 1) as n from l union all select 'unmapped_objects', count(*) filter (where n % 2 = 1 and i = 2) from l")
 def _(s, d):
     long = identity.convert_units(reports(s, d))
