@@ -79,3 +79,92 @@ def test_sampling_ties_repeats_and_long_texts(spark):
     same = stats.withColumn("n_words", F.lit(50).cast("long"))  # ties: nothing tells good from bad
     assert fit(same, labels) == []
     assert statistics("a b c d e f " * 300_000) == (1_800_000, 1_800_000, 0, 0, 1_800_000)
+
+
+def plain_gain(rows, p0, n0):
+    """A condition's gain over rows (bad or not) that it covers, of p0 bad and n0 good ones."""
+    p = sum(rows)
+    return p * (np.log2(p / len(rows)) - np.log2(p0 / (p0 + n0))) if p else -1.0
+
+
+def plain_grow(x, bad):
+    """Every threshold between two neighbouring values of every feature is tried on every row."""
+    rule, rows = [], range(len(bad))
+    while len(rule) < 3 and any(bad[i] for i in rows) and not all(bad[i] for i in rows):
+        p0 = sum(bad[i] for i in rows)
+        best, gain = None, 1e-9
+        for name, v in x.items():
+            values = sorted({v[i] for i in rows})
+            middles = [(a + b) / 2 for a, b in zip(values, values[1:], strict=False)]
+            for above in (False, True):
+                for m in middles:
+                    g = plain_gain([bad[i] for i in rows if (v[i] >= m if above else v[i] <= m)], p0, len(rows) - p0)
+                    if g > gain:
+                        best, gain = (name, above, m), g
+        if best is None:
+            break
+        rule.append(best)
+        rows = [i for i in rows if plain_covers([best], x, i)]
+    return rule
+
+
+def plain_covers(rule, x, i):
+    return all(x[name][i] >= m if above else x[name][i] <= m for name, above, m in rule)
+
+
+def plain_learn(x, bad):
+    rules, left = [], list(range(len(bad)))
+    while any(bad[i] for i in left if i % 3 < 2) and not all(bad):
+        grow, prune = [i for i in left if i % 3 < 2], [i for i in left if i % 3 == 2]
+        rule = plain_grow({k: [v[i] for i in grow] for k, v in x.items()}, [bad[i] for i in grow])
+
+        def worth(r):
+            hit = [bad[i] for i in prune if plain_covers(r, x, i)]  # noqa: B023
+            return (sum(hit) - (len(hit) - sum(hit))) / max(len(hit), 1)
+
+        while len(rule) > 1 and worth(rule[:-1]) >= worth(rule):
+            rule.pop()
+        hit = [bad[i] for i in left if plain_covers(rule, x, i)]
+        if not rule or len(hit) < 5 or sum(hit) / len(hit) < 0.95 or worth(rule) < 0.9:
+            break
+        rules.append(rule)
+        left = [i for i in left if not plain_covers(rule, x, i)]
+    return rules
+
+
+def planted(seed, n=240):
+    """Statistics with many ties, and labels by a random conjunction or two, some of them wrong."""
+    rng = np.random.default_rng(seed)
+    rows = [(int(w), int(w * c), int(s), int(d), int(min(w, r))) for w, c, s, d, r in zip(rng.integers(8, 60, n), rng.integers(2, 9, n), rng.integers(0, 6, n), rng.integers(0, 4, n), rng.integers(0, 6, n), strict=True)]
+    bad = [(w > 40 and d > 1) or (s > 4 and c < w * 6) or rng.random() < 0.01 * (seed % 2) for w, c, s, d, _ in rows]
+    return rows, bad
+
+
+def plain_features(w, c, s, d, r):
+    n = max(w, 1.0)
+    return {"words": float(w), "word_length": c / n, "symbols_per_word": s / n, "dup_lines": float(d), "dup_lines_per_100_words": 100.0 * d / n, "repeat_share": r / n}
+
+
+def test_grow_and_prune_equal_a_plain_search():
+    found = 0
+    for seed in range(12):
+        rows, bad = planted(seed)
+        each = [plain_features(*r) for r in rows]
+        x = {k: [e[k] for e in each] for k in each[0]}
+        got = learn({k: np.array(v) for k, v in x.items()}, np.array(bad))
+        assert [[(c.feature, c.above, c.threshold) for c in rule] for rule in got] == plain_learn(x, bad), seed
+        found += len(got)
+    assert found >= 12
+
+
+def test_the_case_equals_the_rules_row_by_row(spark):
+    rows, bad = planted(3)
+    rows += [(0, 0, 0, 0, 0), (9, 45, 5, 3, 0), (50, 200, 5, 3, 11), (50, 200, 5, 3, 10)]
+    each = [plain_features(*r) for r in rows]
+    x = {k: [e[k] for e in each] for k in each[0]}
+    rules = learn({k: np.array(v[: len(bad)]) for k, v in x.items()}, np.array(bad))
+    plain = [[(c.feature, c.above, c.threshold) for c in rule] for rule in rules]
+    stats = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long")
+    kept = {r.doc_id: r.kept for r in stats.select("doc_id", verdict(rules).alias("kept")).collect()}
+    want = {i: not (r[0] < 10 or 100 * r[4] > 20 * r[0] or any(plain_covers(rule, x, i) for rule in plain)) for i, r in enumerate(rows)}
+    assert rules and kept == want and 0 < sum(want.values()) < len(want)
