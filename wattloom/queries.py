@@ -277,7 +277,13 @@ def _associations(target: str) -> str:
 
 query("pearson_associations", _associations("be_mw"))(lambda s, d: rounded(stats.associations(wide(s, d), "be_mw", FEATURES)))
 query("error_associations", _associations("physical_error_pct"))(lambda s, d: rounded(stats.associations(wide(s, d), "physical_error_pct", FEATURES)))
-query("association_p_values")(lambda s, d: stats.with_p(stats.associations(wide(s, d), "be_mw", FEATURES)))
+#: A correlation's p-value is the share of the area under cos(t) ** (n - 3), from 0 to pi / 2, that lies beyond asin(|r|): by Simpson's rule.
+_STEPS = 40_000
+_P_VALUES = f"""{DERIVED.rstrip()}, f as ({" union all ".join(f"select '{c}' as feature, count({c}) as n, {_r(c, 'be_mw')} as r from d" for c in FEATURES)}),
+g as (select feature, n, r, case when k in (0, {_STEPS}) then 1 when k % 2 = 1 then 4 else 2 end as w, k / {_STEPS}.0e0 as u, asin(least(abs(r), 1.0)) as a from f, range({_STEPS} + 1) s(k) where n >= 3),
+i as (select feature, (pi() / 2 - any_value(a)) * sum(w * exp((n - 3) * ln(greatest(cos(a + (pi() / 2 - a) * u), 1e-300)))) as beyond, pi() / 2 * sum(w * exp((n - 3) * ln(greatest(cos(pi() / 2 * u), 1e-300)))) as whole from g where r is not null group by feature)
+select feature, n, round(r, 6) as r, round(beyond / whole, 6) as p from f left join i using (feature)"""
+query("association_p_values", _P_VALUES)(lambda s, d: rounded(stats.with_p(stats.associations(wide(s, d), "be_mw", FEATURES))))
 _PAIRS = [(a, b) for i, a in enumerate(FEATURES[:6]) for b in FEATURES[i + 1 : 6]]
 query("correlation_pairs", DERIVED + " union all ".join(f" select '{a}' as a, '{b}' as b, round({_r(a, b)}, 6) as r from d" for a, b in _PAIRS))(lambda s, d: rounded(stats.correlation_matrix(wide(s, d), FEATURES[:6])))
 
