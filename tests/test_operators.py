@@ -255,6 +255,17 @@ def test_pareto_marks(spark):
     assert {r.name for r in models.mark_pareto(df).where("pareto").collect()} == {"b", "c", "d"}
 
 
+def test_pareto_marks_of_values_that_differ_when_computed_again(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    again = F.udf(lambda: random.SystemRandom().random(), "double").asNondeterministic()
+    df = spark.range(8).select("id", again().alias("power_mw"), F.lit(1.0).alias("throughput_gops"), F.lit(True).alias("feasible"))
+    got = models.mark_pareto(df).collect()
+    assert [r.id for r in got if r.pareto] == [min(got, key=lambda r: r.power_mw).id]
+
+
 def test_train_evaluate_and_pick(wide):
     done = models.train(wide, ["baseline", "scaled", "physics"])
     assert done.best == min(done.metrics, key=lambda k: done.metrics[k]["mape"]) and len(done.held_out) == 6

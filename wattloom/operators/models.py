@@ -20,6 +20,7 @@ from wattloom.operators import trees
 from wattloom.operators.derive import rescale_estimate, with_features
 from wattloom.operators.ranks import Ask, quantiles
 from wattloom.operators.stats import prediction_metrics, whole_metrics
+from wattloom.session import kept
 
 #: The kinds of models by name, with the setting that lists a kind's features (scaled has the baseline's alone); register one by adding it.
 KINDS = {"scaled": "baseline_feature", "linear": "linear_features", "physics": "physics_features", "datamove": "datamove_features", "tree": "tree_features"}
@@ -359,8 +360,10 @@ def mark_pareto(rows: DataFrame, power: str = "power_mw", speed: str = "throughp
 
     Distinct points are dealt by hash and each part finds its own front; only these fronts, which are short, come together
     for the front of all, whose points mark the rows that have them. No task sees all rows, even without ``by``.
+
+    The rows are written first: points meet their rows by equality, and a sum that is computed again may differ in its last bits.
     """
-    by = by or []
+    by, rows = by or [], kept(rows)
     able = F.coalesce(F.col("feasible"), F.lit(False)) & F.col(power).isNotNull() & F.col(speed).isNotNull()
     # 0 is -0: a join and a group tell them apart no more than a comparison
     points = rows.where(able).select(*[F.col(c).alias(f"by_{c}") for c in by], (F.col(power).cast("double") + 0.0).alias("power_"), (F.col(speed).cast("double") + 0.0).alias("speed_")).distinct()

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +13,7 @@ from wattloom.operators.derive import with_derived, with_features
 from wattloom.operators.select import build_ranks, latest_builds, select_slice, with_rank
 from wattloom.plans.fixture import sql, table
 from wattloom.profiling import stage_totals
-from wattloom.session import shared_dir
+from wattloom.session import kept, shared_dir
 from wattloom.sources import tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -40,13 +39,6 @@ def wide(spark: SparkSession, d: str) -> DataFrame:
     return with_features(with_derived(table(spark, d, "wide")))
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """df, written: what a query reads many times is computed once, as the stored measurements of a run are."""
-    path = f"{shared_dir(df.sparkSession)}/wide-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def measured(spark: SparkSession, d: str) -> DataFrame:
     return kept(wide(spark, d))
 
