@@ -44,14 +44,16 @@ def _stored(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path).join(builds, ["design", "build"], "left_semi")
 
 
-def measured(spark: SparkSession, folder: str) -> DataFrame:
-    """The wide rows under a folder: stored ones if there are, else the relational tables'."""
+def measured(spark: SparkSession, folder: str, output: str) -> DataFrame:
+    """The wide rows under a folder: stored ones if there are, else the relational tables', written under output first: every step reads them."""
     try:
         rows = spark.read.parquet(f"{folder}/measurements")
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
         rows = table(spark, folder, "wide")
+        rows.write.mode("overwrite").parquet(f"{output}/_measured")
+        rows = spark.read.schema(rows.schema).parquet(f"{output}/_measured")
     return with_features(with_derived(rows))
 
 
@@ -79,7 +81,7 @@ def scored(flags: DataFrame, found: DataFrame, powers: DataFrame, rise_pct: floa
 
 def run(spark: SparkSession, input: str, output: str, rise_pct: float = 10.0, usable_pct: float = 50.0) -> DataFrame:
     """Writes flags, findings and scorecard of all builds under ``input``; returns the scorecard as it stands."""
-    rows = measured(spark, input)
+    rows = measured(spark, input, output)
     log.info("reads %s", input)
     key = ["design", "build", "partition", "fub", "workload", "operating_point"]
     flags = _stored(quality.sanitize(rows).select(*key, "quality_flags", "usable"), f"{output}/flags")
