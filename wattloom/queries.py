@@ -99,7 +99,7 @@ LATEST = "l as (select design, max(build_number) as bn from wide group by design
 
 @query("slice_latest_default", f"with {LATEST} select design, build, fub, round(be_mw, 6) as be_mw from wide join l using (design) where build_number = bn and workload = 'typical' and operating_point = 'nom'")
 def _(s, d):
-    return rounded(select_slice(table(s, d, "wide")).select("design", "build", "fub", "be_mw"))
+    return rounded(select_slice(kept(table(s, d, "wide"))).select("design", "build", "fub", "be_mw"))
 
 
 def defective(df: DataFrame) -> DataFrame:
@@ -138,19 +138,19 @@ _REASONS = ["case when be_mw is null then 'missing_value:be_mw' end", "case when
 @query("validate_flags", f"""{DEFECT} select {KEYS}, nullif(concat_ws(';', {', '.join(_REASONS)}), '') as reject_reason,
   concat_ws(';', case when bits_per_cycle is null or area is null or wire_cap_pf is null then 'missing_feature' end, case when fr < 0.2 or fr > 5 then 'outlier_ratio' end, case when zb > 4 then 'outlier_be' end) as warnings from v""")
 def _(s, d):
-    return quality.validate(defective(table(s, d, "wide"))).select(*KEY, "reject_reason", F.array_join("warnings", ";").alias("warnings"))
+    return quality.validate(defective(kept(table(s, d, "wide")))).select(*KEY, "reject_reason", F.array_join("warnings", ";").alias("warnings"))
 
 
 @query("reject_reasons", f"{DEFECT} select coalesce(nullif(concat_ws(';', {', '.join(_REASONS)}), ''), '(clean)') as reason, count(*) as n from v group by 1")
 def _(s, d):
-    return quality.validate(defective(table(s, d, "wide"))).groupBy(F.coalesce("reject_reason", F.lit("(clean)")).alias("reason")).agg(F.count("*").alias("n"))
+    return quality.validate(defective(kept(table(s, d, "wide")))).groupBy(F.coalesce("reject_reason", F.lit("(clean)")).alias("reason")).agg(F.count("*").alias("n"))
 
 
 @query("validation_issues", f"""{DEFECT}, i as (select 'error' as level, unnest([{', '.join(_REASONS)}]) as code from v
   union all select 'warning', unnest([case when bits_per_cycle is null or area is null or wire_cap_pf is null then 'missing_feature' end, case when fr < 0.2 or fr > 5 then 'outlier_ratio' end, case when zb > 4 then 'outlier_be' end]) from v)
 select level, code, count(*) as n from i where code is not null group by 1, 2 union all select 'warning', 'absent_feature_columns:fanout,net_count,wire_length_um', 0""")
 def _(s, d):
-    return quality.validation_issues(quality.validate(defective(table(s, d, "wide"))))
+    return quality.validation_issues(quality.validate(defective(kept(table(s, d, "wide")))))
 
 
 def planted_lineage(df: DataFrame) -> DataFrame:
@@ -185,7 +185,7 @@ u as (select *, not regexp_matches(flags, 'missing_metric|missing_physical|dupli
 
 
 def flagged(s: SparkSession, d: str) -> DataFrame:
-    w = table(s, d, "wide")
+    w = kept(table(s, d, "wide"))
     return quality.sanitize(defective(w), lineage=planted_lineage(w), intent=planted_intent(w))
 
 
@@ -221,7 +221,7 @@ select metric, coverage_pct, round(r, 6) as r_target, r_min_build, r_max_build,
   concat_ws('; ', case when coverage_pct < 90 then printf('coverage %.0f%%', coverage_pct) end, case when r_max_build - r_min_build > 0.25 then printf('r varies %.2f..%.2f across builds', r_min_build, r_max_build) end, case when outliers > 0 then outliers || ' outliers' end) as notes
 from a left join c using (metric) left join o using (metric)""")
 def _(s, d):
-    return rounded(quality.metric_quality(table(s, d, "wide"), METRICS))
+    return rounded(quality.metric_quality(kept(table(s, d, "wide")), METRICS))
 
 
 @query("summary_stats", "select count(*) as n_rows, count(be_mw) as n_be, round(avg(be_mw), 6) as mean, round(median(be_mw), 6) as median, round(quantile_cont(be_mw, 0.05), 6) as p05, round(quantile_cont(be_mw, 0.95), 6) as p95, min(be_mw) as min, max(be_mw) as max, cast(sum(cast(be_mw as decimal(28,9))) as double) as total, count(distinct design) as n_designs, count(distinct (design, build)) as n_builds, count(distinct (design, fub)) as n_fubs from wide")
@@ -313,33 +313,33 @@ _MOVE = "case when t is null then 'timing unknown' when power_pct is null then '
 
 @query("build_deltas", f"{DELTAS} select * exclude (t, power_pct) replace (round(from_fmax_ghz, 6) as from_fmax_ghz, round(to_fmax_ghz, 6) as to_fmax_ghz), {', '.join(f'round((to_{c} - from_{c}) / nullif(from_{c}, 0) * 100, 6) as {c}_pct' for c in _SUMMED)}, {_MOVE} as move from m")
 def _(s, d):
-    out = builds.build_deltas(corner(table(s, d, "wide")))
+    out = builds.build_deltas(corner(kept(table(s, d, "wide"))))
     return rounded(out, **{f"{side}_{c}": 9 for c in _SUMMED for side in ("from", "to")})
 
 
 @query("delta_classify", f"{DELTAS} select design, {_MOVE} as move, count(*) as n from m group by 1, 2")
 def _(s, d):
-    return builds.build_deltas(corner(table(s, d, "wide"))).groupBy("design", "move").agg(F.count("*").alias("n"))
+    return builds.build_deltas(corner(kept(table(s, d, "wide")))).groupBy("design", "move").agg(F.count("*").alias("n"))
 
 
 @query("delta_partitions", f"""{PAIRS}, q as (select design, from_build, to_build, partition, {_TOTAL.format('f_be_mw')} as from_mw, {_TOTAL.format('t_be_mw')} as to_mw, min(f_wns_ps) as from_wns_ps, min(t_wns_ps) as to_wns_ps from j group by 1, 2, 3, 4),
 m as (select *, (to_mw - from_mw) / nullif(from_mw, 0) * 100 as power_pct, to_wns_ps - from_wns_ps as t from q) select * exclude (t) replace (round(power_pct, 6) as power_pct), {_MOVE} as move from m""")
 def _(s, d):
-    return rounded(builds.partition_deltas(corner(table(s, d, "wide"))), from_mw=9, to_mw=9)
+    return rounded(builds.partition_deltas(corner(kept(table(s, d, "wide")))), from_mw=9, to_mw=9)
 
 
 @query("delta_movers", f"""{PAIRS}, l as (select design, max(build_rank) as top from j group by 1), o as (select j.*, (t_be_mw - f_be_mw) / nullif(f_be_mw, 0) * 100 as power_pct from j join l using (design) where build_rank = top),
 n as (select *, cast(row_number() over (partition by design order by abs(power_pct) desc nulls last, model_root) as int) as place from o)
 select design, model_root, round(f_be_mw, 6) as from_mw, round(t_be_mw, 6) as to_mw, round(power_pct, 6) as power_pct, place from n where place <= 5""")
 def _(s, d):
-    return rounded(builds.movers(corner(table(s, d, "wide"))))
+    return rounded(builds.movers(corner(kept(table(s, d, "wide")))))
 
 
 @query("frontier_pareto", f"""{RANKED}, p as (select design, build, build_rank, cast(sum(cast(be_mw as decimal(28,9))) as double) as power_mw, min(fmax_ghz) as fmax_ghz, min(wns_ps) as wns_ps from r where {AT} group by 1, 2, 3),
 o as (select p.*, f.throughput_gops, case when lag(p.power_mw) over w <> 0 then (p.power_mw - lag(p.power_mw) over w) / lag(p.power_mw) over w * 100 else 0 end as power_pct, wns_ps - lag(wns_ps) over w as t from p left join (select * from performance where {AT}) f using (design, build) window w as (partition by design order by build_rank))
 select design, build, power_mw, round(fmax_ghz, 6) as fmax_ghz, wns_ps, round(throughput_gops, 9) as throughput_gops, fmax_ghz is not null and not exists (select 1 from p q where q.design = o.design and q.power_mw <= o.power_mw and q.fmax_ghz >= o.fmax_ghz and (q.power_mw < o.power_mw or q.fmax_ghz > o.fmax_ghz)) as pareto, case when t is null then '' else {_MOVE} end as status from o""", ("wide", "performance"))
 def _(s, d):
-    return rounded(builds.frontier(corner(table(s, d, "wide")), table(s, d, "performance")), power_mw=9, throughput_gops=9)
+    return rounded(builds.frontier(corner(kept(table(s, d, "wide"))), table(s, d, "performance")), power_mw=9, throughput_gops=9)
 
 
 HOT = RANKED.rstrip() + f""", a as (select * from r where {AT}), n as (select *, max(build_rank) over (partition by design) as top from a),
@@ -349,7 +349,7 @@ g as (select *, share_pct >= 2 and density >= quantile_cont(density, 0.8) over (
 
 
 def spots(s: SparkSession, d: str) -> DataFrame:
-    return builds.hotspots(corner(wide(s, d)))
+    return builds.hotspots(corner(measured(s, d)))
 
 
 @query("hotspots", f"{HOT} select design, build, fub, round(share_pct, 6) as share_pct, round(density, 6) as density, round(delta_pct, 6) as delta_pct, hotspot, regressed, low_cg from g")
@@ -374,7 +374,7 @@ _RULES_SQL = {
 }
 for _rule, (_ctes, _select) in _RULES_SQL.items():
     query(f"anomaly_{_rule}", f"{RANKED.rstrip()}, {_ctes} select design, build, fub, round(value, 6) as value, round(threshold, 6) as threshold from ({_select}) f")(
-        lambda s, d, k=_rule: rounded(anomalies.find(wide(s, d), k).select("design", "build", "fub", "value", "threshold"))
+        lambda s, d, k=_rule: rounded(anomalies.find(measured(s, d), k).select("design", "build", "fub", "value", "threshold"))
     )
 _DETAILS = {r.name: (r.severity, r.unit) for r in anomalies.RULES.values()}
 _ALL_SQL = " union all ".join(f"select '{k}' as rule, '{_DETAILS[k][0]}' as severity, '{_DETAILS[k][1]}' as unit, design, build, build_rank, model_root, owner, value from (with {c} {q}) f" for k, (c, q) in _RULES_SQL.items())
@@ -385,13 +385,13 @@ s as (select f.*, top, max(build_rank = top) over w as now, max(build_rank = top
 e as (select *, case when not now then 'cleared' when before then 'persisting' else 'new' end as status from s)
 select design, build, model_root, rule, severity, unit, round(value, 6) as value, status, cast(row_number() over (partition by design order by status = 'cleared', case severity when 'high' then 0 when 'medium' then 1 else 2 end, case when unit = '%' then -value else 0 end, model_root, rule) as int) as place from e where build_rank = top or status = 'cleared'""")
 def _(s, d):
-    rows = anomalies.report(wide(s, d))
+    rows = anomalies.report(measured(s, d))
     return rounded(rows.select("design", "build", "model_root", "rule", "severity", "unit", "value", "status", "place"))
 
 
 @query("anomaly_findings", f"{RANKED.rstrip()}, found as ({_ALL_SQL}) select rule, severity, design, build, model_root, round(value, 6) as value from found")
 def _(s, d):
-    return rounded(anomalies.findings(wide(s, d)).select("rule", "severity", "design", "build", "model_root", "value"))
+    return rounded(anomalies.findings(measured(s, d)).select("rule", "severity", "design", "build", "model_root", "value"))
 
 
 _NEEDS = {k: r.needs for k, r in anomalies.RULES.items()}
@@ -419,26 +419,26 @@ select * from ({reasons}) q where reason is not null"""
 
 @query("anomaly_skipped", _skipped_sql())
 def _(s, d):
-    return anomalies.skipped(wide(s, d))
+    return anomalies.skipped(measured(s, d))
 
 
 @query("anomaly_replica_divergence", f"""with a as (select *, greatest(be_mw - be_leakage_mw, 0) as dyn from wide where {AT}), g as (select design, build, partition as base, count(*) as n, min(dyn) as lo, max(dyn) as hi, arg_max(fub, (dyn, fub)) as top_fub from a group by 1, 2, 3)
 select design, build, base || '@' || top_fub as fub, round(hi / lo, 6) as value from g where n >= 2 and lo > 0 and hi / lo > 1.3""")
 def _(s, d):
-    rows = wide(s, d).withColumn("fub", F.concat("partition", F.lit("@"), "fub"))  # blocks of a partition as instances of one
+    rows = measured(s, d).withColumn("fub", F.concat("partition", F.lit("@"), "fub"))  # blocks of a partition as instances of one
     return rounded(anomalies.find(rows, "replica_divergence").select("design", "build", "fub", "value"))
 
 
 @query("anomaly_by_owner", f"{RANKED.rstrip()}, found as ({_ALL_SQL}) select owner, count(*) as findings, count(*) filter (where severity = 'high') as high, count(distinct model_root) as fubs from found group by owner")
 def _(s, d):
-    return anomalies.by_owner(anomalies.findings(wide(s, d)))
+    return anomalies.by_owner(anomalies.findings(measured(s, d)))
 
 
 @query("anomaly_status", f"""{RANKED}, f as (select * from r where {AT} and clock_fraction > 0.5 and be_dynamic_mw > 0), t as (select design, max(build_rank) as top from k group by design),
 g as (select f.design, f.model_root, bool_or(build_rank = top) as now, bool_or(build_rank < top) as before from f join t using (design) where build_rank >= top - 1 group by 1, 2)
 select design, model_root, 'clock_dominant' as rule, case when not now then 'cleared' when before then 'persisting' else 'new' end as status from g""")
 def _(s, d):
-    w = wide(s, d)
+    w = measured(s, d)
     return anomalies.with_status(w, anomalies.find(w, "clock_dominant"))
 
 
@@ -471,13 +471,13 @@ def history(s: SparkSession, w: DataFrame) -> DataFrame:
 
 @query("budget_history", f"{HISTORY} select {_OF}, build, milestone, tol as tolerance_pct, round(actual, 6) as actual, n_fubs, round(margin, 6) as margin_pct, status from y")
 def _(s, d):
-    return rounded(history(s, wide(s, d)))
+    return rounded(history(s, measured(s, d)))
 
 
 @query("budget_status", f"""{HISTORY}, e as (select b.budget, count(distinct x.fub) as n from b join wide x on x.design = b.design and (scope = 'design' or (scope = 'partition' and x.partition = member) or (scope = 'fub' and x.fub = member)) join (select budget, arg_max(build, i) as build from y group by 1) z on z.budget = b.budget and z.build = x.build group by 1)
 select {_OF}, arg_max(build, i) as build, arg_max(milestone, i) as milestone, round(arg_max(actual, i), 6) as actual, arg_max(tol, i) as tolerance_pct, round(arg_max(margin, i), 6) as margin_pct, arg_max(status, i) as status, arg_max(n_fubs, i) as fubs_measured, count(*) as n_builds, round(case when count(*) >= 3 then regr_slope(actual, i) / target * 100 end, 6) as trend_pct, max(n) as fubs_expected from y join e using (budget) group by {_OF}""")
 def _(s, d):
-    w = wide(s, d)
+    w = measured(s, d)
     lineage = w.select("design", "build", "fub", "partition", "model_root").distinct()
     return rounded(closure.budget_status(history(s, w), closure.ranks_of(w), lineage))
 
@@ -502,7 +502,7 @@ SAVE = DERIVED.rstrip() + f", c as (select *, {LEAK} as leak, be_mw - {LEAK} as
 _SAVINGS = {"clock_gating": ("dyn * 0.35 * greatest(0.90 - cg_efficiency, 0.0)", "dynamic"), "wire_cap_reduction": ("dyn * wire_cap_fraction * 10 / 100", "dynamic"), "vt_swap": ("case when wns_ps > 20 then leak * 0.4 end", "leakage")}
 for _name, (_expr, _part) in _SAVINGS.items():
     query(f"technique_{_name}", f"{SAVE} select design, build, fub, '{_name}' as technique, round({_expr}, 11) as saving_mw, round({_expr if _part == 'dynamic' else '0.0'}, 11) as dynamic_mw, round({_expr if _part == 'leakage' else '0.0'}, 11) as leakage_mw from c where {_expr} > 0")(lambda s, d, k=_name: rounded(closure.TECHNIQUES[k].savings(closure.dyn_leak(corner(wide(s, d)))), saving_mw=11, dynamic_mw=11, leakage_mw=11))
-query("technique_power_gating", f"select design, build, fub, 'power_gating' as technique, round(be_mw * 0.5 * 0.9, 11) as saving_mw, 0.0 as dynamic_mw, round({LEAK} * 0.5 * 0.9, 11) as leakage_mw from wide where workload = 'idle' and operating_point = 'nom' and be_mw > 0")(lambda s, d: rounded(closure.power_gating(corner(wide(s, d).join(F.broadcast(closure.idle_workload(wide(s, d))), F.col("workload") == F.col("idle")), F.col("idle"))), saving_mw=11, dynamic_mw=11, leakage_mw=11))
+query("technique_power_gating", f"select design, build, fub, 'power_gating' as technique, round(be_mw * 0.5 * 0.9, 11) as saving_mw, 0.0 as dynamic_mw, round({LEAK} * 0.5 * 0.9, 11) as leakage_mw from wide where workload = 'idle' and operating_point = 'nom' and be_mw > 0")(lambda s, d: rounded(closure.power_gating(corner((w := measured(s, d)).join(F.broadcast(closure.idle_workload(w)), F.col("workload") == F.col("idle")), F.col("idle"))), saving_mw=11, dynamic_mw=11, leakage_mw=11))
 
 
 LATEST = "l as (select design, max(build_number) as bn from wide group by design)"
@@ -512,7 +512,7 @@ DVFS = f"{LATEST}, p as (select design, operating_point, cast(sum(cast(be_mw as
 @query("technique_dvfs", f"""with {DVFS}, q as (select *, power_mw / f as cost from p)
 select design, count(*) as n_points, arg_min(operating_point, (cost, f, operating_point)) as best_op, arg_max(operating_point, (cost, -f, operating_point)) as worst_op, round(min(cost), 4) as best_mw_per_ghz, round(max(cost), 4) as worst_mw_per_ghz, round(greatest(arg_max(power_mw, (cost, -f, operating_point)) - arg_min(power_mw, (cost, f, operating_point)), 0), 4) as saving_mw from q group by design""")
 def _(s, d):
-    return rounded(closure.dvfs(select_slice(table(s, d, "wide"), operating_point=None)), best_mw_per_ghz=4, worst_mw_per_ghz=4, saving_mw=4)
+    return rounded(closure.dvfs(select_slice(kept(table(s, d, "wide")), operating_point=None)), best_mw_per_ghz=4, worst_mw_per_ghz=4, saving_mw=4)
 
 
 _SUM8 = "cast(sum(cast(round({0}, 8) as decimal(28,8))) as double)"
@@ -569,12 +569,12 @@ def _(s, d):
 
 @query("best_op", f"{ENERGY}, {LATEST} select design, workload, arg_min(operating_point, (energy_pj_per_op, operating_point)) as best_op, round(min(energy_pj_per_op), 6) as pj_per_op from e join l using (design) where cast(substring(build, 2) as int) = bn and energy_pj_per_op is not null group by 1, 2", ("wide", "performance"))
 def _(s, d):
-    return rounded(workload.best_operating_point(energy(s, d)))
+    return rounded(workload.best_operating_point(kept(energy(s, d))))
 
 
 @query("workload_sensitivity", f"with {LATEST}, m as (select design, fub, workload, avg(be_mw) as p from wide where build_number in (select bn from l) group by 1, 2, 3) select design, fub, round(min(p), 6) as min_mw, round(max(p), 6) as max_mw, count(p) as n_workloads, round(case when min(p) > 0 then max(p) / min(p) end, 6) as dynamic_range from m group by 1, 2")
 def _(s, d):
-    return rounded(workload.sensitivity(table(s, d, "wide")))
+    return rounded(workload.sensitivity(kept(table(s, d, "wide"))))
 
 
 @query("activity_association", f"select design, count(*) as n, round({_r('activity', 'be_mw')}, 6) as r_power, round({_r('activity', '(be_mw / fe_physical_mw)')}, 6) as r_ratio from wide group by design")
@@ -607,20 +607,20 @@ tm as (select design, partition, n, case when k < 2 then 0.0 else b end as slope
 
 @query("timing_model", f"with {TIMING} select design, partition, n, round(slope, 6) as slope, round(intercept, 6) as intercept, round(r2, 6) as r2 from tm")
 def _(s, d):
-    return rounded(workload.timing_model(table(s, d, "wide")))
+    return rounded(workload.timing_model(kept(table(s, d, "wide"))))
 
 
 @query("timing_history", """with h as (select * from wide where not (operating_point = 'turbo' and build_number = (select max(build_number) from wide) and partition in ('P1', 'P2'))
   and not (partition = 'P3' and build_number = (select max(build_number) from wide))), """ + TIMING.replace("from wide", "from h") + " select design, partition, n, round(slope, 6) as slope, round(intercept, 6) as intercept, round(r2, 6) as r2 from tm")
 def _(s, d):
-    w = table(s, d, "wide")
+    w = kept(table(s, d, "wide"))
     last = F.col("build") == w.select("build", "build_number").agg(F.max_by("build", "build_number")).first()[0]
     return rounded(workload.timing_model(w.where(~(last & (F.col("operating_point") == "turbo") & F.col("partition").isin("P1", "P2"))).where(~(last & (F.col("partition") == "P3")))))
 
 
 @query("timing_fmax", f"with {TIMING}, g as (select *, 1000 / exp(intercept + slope * ln(0.8)) as ghz from tm) select design, round(min(ghz), 6) as fmax_ghz, arg_min(partition, (round(ghz, 9), partition)) as limited_by from g group by design")
 def _(s, d):
-    return rounded(workload.timing_fmax(workload.timing_model(table(s, d, "wide")), 0.8))
+    return rounded(workload.timing_fmax(workload.timing_model(kept(table(s, d, "wide"))), 0.8))
 
 
 _PK = "design, build, workload, operating_point"
@@ -653,7 +653,7 @@ SPLIT = "build_number <= 21"  # the latest sixth of 27 builds is held out
 
 @query("model_baseline", f"select {_metrics('physical')} from wide where not ({SPLIT})")
 def _(s, d):
-    _, held, _ = models.split_by_build(table(s, d, "wide"))
+    _, held, _ = models.split_by_build(kept(table(s, d, "wide")))
     return rounded(stats.stage_metrics(held, "physical"))
 
 
@@ -663,7 +663,7 @@ def model_rows(s: SparkSession, m: models.Linear) -> DataFrame:
 
 @query("model_scaled", f"select 'intercept' as term, round(regr_intercept(be_mw, fe_physical_mw), 6) as weight from wide where {SPLIT} union all select 'fe_physical_mw', round(regr_slope(be_mw, fe_physical_mw), 6) from wide where {SPLIT}")
 def _(s, d):
-    train, _, _ = models.split_by_build(table(s, d, "wide"))
+    train, _, _ = models.split_by_build(kept(table(s, d, "wide")))
     return rounded(model_rows(s, models.fit(train, "scaled")))
 
 
@@ -769,7 +769,7 @@ def _(s, d):
 
 @query("whatif", f"{DERIVED}, {LATEST}, t as (select design, sum({_P}) as a, sum({_P} - wire_dyn_term * 0.25 + wire_dyn_term * 0.25 * 0.8) as b from d join l using (design) where build_number = bn and {AT} group by design) select design, round(a, 3) as current_mw, round(b, 3) as proposed_mw, round((b - a) / a * 100, 5) as delta_pct from t")
 def _(s, d):
-    rows = models.what_if(select_slice(wide(s, d)), FIXED, dict([models.parse_override("wire-cap=0.8", scale=True)]))
+    rows = models.what_if(select_slice(measured(s, d)), FIXED, dict([models.parse_override("wire-cap=0.8", scale=True)]))
     return rounded(models.what_if_totals(rows, ["design"]), current_mw=3, proposed_mw=3, delta_pct=5)
 
 
@@ -794,8 +794,8 @@ select name, design, round(frequency_ghz, 6) as frequency_ghz, round(voltage_v,
   feasible and throughput_gops is not null and not exists (select 1 from ex o where o.feasible and o.power_mw <= dl.power_mw and o.throughput_gops >= dl.throughput_gops and (o.power_mw < dl.power_mw or o.throughput_gops > dl.throughput_gops)) as pareto from dl"""
 
 
-def _explore(s: SparkSession, d: str, scenarios: list[explore.Scenario]) -> DataFrame:
-    out = explore.evaluate(wide(s, d), explore.scenario_table(s, scenarios), FIXED, table(s, d, "performance"))
+def _explore(s: SparkSession, d: str, w: DataFrame, scenarios: list[explore.Scenario]) -> DataFrame:
+    out = explore.evaluate(w, explore.scenario_table(s, scenarios), FIXED, table(s, d, "performance"))
     out = out.select("name", "design", "frequency_ghz", "voltage_v", "power_mw", "throughput_gops", "energy_pj", "fmax_ghz", "critical_partition", "feasible", "delta_power_pct", "delta_perf_pct", "pareto")
     return rounded(out, power_mw=3, throughput_gops=4, energy_pj=5, delta_power_pct=4, delta_perf_pct=4)
 
@@ -804,14 +804,14 @@ SWEEP = [c for n in DESIGNS for c in explore.sweep(n, "typical", "frequency_ghz"
 WIRES = [c for n in DESIGNS for c in explore.sweep(n, "compute", "wire_cap_pf", [0.8, 0.9, 1.1], scale=True)]
 CHOSEN = explore.with_baselines([explore.Scenario("fast", "ASIA", frequency_ghz=1.1), explore.Scenario("low", "ASIA", voltage_v=0.7), explore.Scenario("thin", "EUROPE", "compute", "turbo", scales={"wire_cap_pf": 0.85})])
 for _name, _list in (("explore_sweep", SWEEP), ("explore_wires", WIRES), ("explore_scenarios", CHOSEN)):
-    query(_name, _explored(_list), ("wide", "performance"))(lambda s, d, k=_list: _explore(s, d, k))
+    query(_name, _explored(_list), ("wide", "performance"))(lambda s, d, k=_list: _explore(s, d, measured(s, d), k))
 _MAP = [explore.Scenario(f"{n} {p} (measured)", n, "typical", p, baseline=f"{n} nom (measured)") for n in DESIGNS for p in ("nom", "turbo")] + [explore.Scenario(f"{n} V=0.8 f=0.9", n, "typical", frequency_ghz=0.9, voltage_v=0.8, baseline=f"{n} nom (measured)") for n in DESIGNS]
 
 
 @query("explore_opmap", _explored(_MAP), ("wide", "performance"))
 def _(s, d):
-    w = table(s, d, "wide")
-    return _explore(s, d, [c for n in DESIGNS for c in explore.operating_map(w, n, "typical", [(0.8, 0.9)])])
+    w = measured(s, d)
+    return _explore(s, d, w, [c for n in DESIGNS for c in explore.operating_map(w, n, "typical", [(0.8, 0.9)])])
 
 
 @query("explore_pareto", "with q(name, power_mw, speed, feasible) as (select design || build || operating_point, sum(be_mw), min(1000 / (clock_period_ps - wns_ps)), min(wns_ps) >= -35 from wide where workload = 'typical' group by design, build, operating_point) select name, feasible and not exists (select 1 from q r where r.feasible and r.power_mw <= q.power_mw and r.speed >= q.speed and (r.power_mw < q.power_mw or r.speed > q.speed)) as pareto from q")
@@ -998,7 +998,7 @@ f as (select distinct fub, partition from b), h as (select f.fub, count(distinct
 o as (select distinct operating_point, voltage_v from b), j as (select h.fub, n, first, bool_or(first is not null and e.state is null) as lost, bool_or(abs(e.voltage - voltage_v) > 0.005) as off from h cross join o left join e on e.domain = first and e.state = operating_point group by 1, 2, 3)
 select fub, first as power_domain, concat_ws(';', case when n = 0 then 'no_power_domain' end, case when n > 1 then 'multiple_power_domains' end, case when lost then 'domain_state_missing' end, case when off then 'domain_voltage_mismatch' end) as issues from j""")
 def _(s, d):
-    rows = select_slice(table(s, d, "wide"), operating_point=None)
+    rows = select_slice(kept(table(s, d, "wide")), operating_point=None)
     blocks = rows.select("fub", F.concat_ws("/", "partition", "fub").alias("be_hier"), F.lit(None).cast("string").alias("fe_hier")).distinct()
     states = [("PD0", "P0", "nom", 0.75), ("PD0", "P0", "turbo", 0.85), ("PD1", "P1", "nom", 0.75), ("PD1", "P1", "turbo", 0.80), ("PD1b", "P1/Brand#6", "nom", 0.75), ("PD2", "P2", "nom", 0.75)]
     domains = s.createDataFrame([(a, b, "VDD", c, v) for a, b, c, v in states], "domain string, element string, supply_net string, state string, voltage double")
@@ -1008,14 +1008,14 @@ def _(s, d):
 
 @query("keyed_replace", "with n as (select design, build, fub, be_mw * 2 as be_mw from wide where build_number between 3 and 5 and design < 'ASIB') select design, build, fub, round(be_mw, 9) as be_mw from wide w where not exists (select 1 from n where n.design = w.design and n.build = w.build) union all select design, build, fub, round(be_mw, 9) from n")
 def _(s, d):
-    w = table(s, d, "wide")
+    w = kept(table(s, d, "wide"))
     new = w.where("build_number between 3 and 5 and design < 'ASIB'").select("design", "build", "fub", (F.col("be_mw") * 2).alias("be_mw"))
     return rounded(tables.keyed_replace(w.select("design", "build", "fub", "be_mw"), new, ["design", "build"]), be_mw=9)
 
 
 @query("append_last_wins", "select design, build, fub, workload, operating_point, round(case when build_number >= 3 then be_mw * 2 else be_mw end, 9) as be_mw from wide")
 def _(s, d):
-    w = table(s, d, "wide").select(*KEY, "be_mw", "build_number", F.lit(0).alias("ordinal"))
+    w = kept(table(s, d, "wide")).select(*KEY, "be_mw", "build_number", F.lit(0).alias("ordinal"))
     new = w.where("build_number >= 3").withColumn("be_mw", F.col("be_mw") * 2)
     return rounded(tables.append_last_wins(w, new, KEY).select(*KEY, "be_mw"), be_mw=9)
 
