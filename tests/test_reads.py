@@ -42,3 +42,23 @@ def test_the_scorecard_does_not_compute_rows_again(spark, monkeypatch, tmp_path)
     monkeypatch.setattr(build_scorecard.quality, "sanitize", lambda df: seen.append(df) or sanitize(df))
     build_scorecard.run(spark, SF, str(tmp_path))
     assert [reads(df) for df in seen] == [0]
+
+
+NAMED = ["model_scaled", "model_baseline", "explore_scenarios", "explore_sweep", "explore_wires", "sanitize_counts", "sanitize_flags", "quality_report", "validation_issues"]
+NAMED += [f"anomaly_{n}" for n in ("by_owner", "report", "findings", "skipped", "status", "unexplained_regression", "clock_dominant", "activity_power_mismatch")]
+
+
+@pytest.mark.parametrize("name", NAMED)
+def test_a_run_reads_its_table_in_one_execution(spark, name):
+    store, bus = spark._jsparkSession.sharedState().statusStore(), spark.sparkContext._jsc.sc().listenerBus()
+
+    def executions():
+        bus.waitUntilEmpty()
+        found = store.executionsList()
+        return {e.executionId(): e.physicalPlanDescription() for e in map(found.apply, range(found.size()))}
+
+    before = max(executions(), default=-1)
+    df = queries.QUERIES[name](spark, SF)
+    df.write.format("noop").mode("overwrite").save()
+    assert sum("lineitem.parquet" in text for n, text in executions().items() if n > before) == 1
+    assert reads(df) == 0
